@@ -16,9 +16,21 @@ RFC3339_PATTERN = (
 UUID_PATTERN = r"^(?:urn:uuid:|\{)?[0-9a-fA-F]{8}(-?)[0-9a-fA-F]{4}\1[0-9a-fA-F]{4}\1[0-9a-fA-F]{4}\1[0-9a-fA-F]{12}\}?$"
 
 
+def strict_json(text) -> Column:
+    """Text as a variant, null unless it is exactly one JSON value.
+
+    Spark's parser stops after the first value and ignores what follows. Text followed by
+    anything but blanks cannot be read both as an object member and as an array element.
+    """
+    body = _col(text)
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), body, F.lit("}")))
+    element = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    return F.when(element.isNotNull(), F.try_variant_get(member, "$.v", "variant"))
+
+
 def is_json_object(text) -> Column:
     """True only for valid JSON whose top level is an object; null text gives false."""
-    shape = F.schema_of_variant(F.try_parse_json(_col(text)))
+    shape = F.schema_of_variant(strict_json(text))
     return F.coalesce(shape.startswith("OBJECT"), F.lit(False))
 
 

@@ -201,7 +201,9 @@ def sync_lag(jobs: DataFrame, streams: DataFrame, cursors: DataFrame, heads: Dat
             "chain_id",
             "head_block",
             "next_block",
-            F.greatest(F.col("head_block") + 1 - F.col("next_block"), F.lit(0)).alias("lag_blocks"),
+            F.when(
+                F.col("head_block").isNotNull(), F.greatest(F.col("head_block") + 1 - F.col("next_block"), F.lit(0))
+            ).alias("lag_blocks"),
         )
     )
 

@@ -63,7 +63,7 @@ def sync_status(
             F.coalesce("inflight", F.lit(0)).cast("bigint").alias("inflight"),
             F.coalesce("completed", F.lit(0)).cast("bigint").alias("completed"),
             F.when(follows, F.col("head_block")).alias("observed_head"),
-            F.when(follows & (age <= max_age), eligible).alias("eligible_end"),
+            F.when(follows & F.col("head_block").isNotNull() & (age <= max_age), eligible).alias("eligible_end"),
         )
     )
 

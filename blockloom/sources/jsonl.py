@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.functions.checks import canonical_uuid, parse_rfc3339
+from blockloom.functions.checks import canonical_uuid, parse_rfc3339, strict_json
 
 # Fields of an alert event line and their JSON types.
 ALERT_FIELDS = {
@@ -31,7 +31,7 @@ def _text(document: Column, name: str, sql_type: str = "string") -> Column:
 def alert_line_error(line: str = "line") -> Column:
     """Reason a line is not a valid alert event, or null when it is."""
     body = F.col(line)
-    document = F.try_parse_json(body)
+    document = strict_json(body)
     names = F.json_object_keys(body)
     allowed = F.lit(list(ALERT_FIELDS))
     wrong = F.lit(False)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from blockloom.functions.checks import strict_json
+
 # Manifest format and default limits.
 MANIFEST_VERSION = 1
 MANIFEST_NAME = "_manifest.json"
@@ -36,7 +38,7 @@ def parse_manifests(documents: DataFrame, body: str = "body") -> DataFrame:
         .withColumn(
             "malformed",
             F.coalesce(
-                F.try_parse_json(F.col(body)).isNull()
+                strict_json(body).isNull()
                 | (F.size(F.array_except(names, allowed)) > 0)
                 | both
                 | F.col("_doc.version").isNull()
@@ -78,7 +80,7 @@ def manifest_audit(
         F.col("dataset_uuid").alias("_uuid"),
         F.col("dataset_version").alias("_version"),
     )
-    directory = F.trim(F.lit("/"), F.col("storage_prefix"))
+    directory = F.trim("storage_prefix", F.lit("/"))
     no_key = F.lit(None).cast("string")
     count = F.size("parquet_keys")
     registered = F.col("dataset_uuid").eqNullSafe(F.col("_uuid")) & F.col("dataset_version").eqNullSafe(
