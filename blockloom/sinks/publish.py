@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -11,10 +10,13 @@ from pyspark.sql import functions as F
 from blockloom.functions.ids import dataset_version
 from blockloom.operators.intervals import assign_ranges
 from blockloom.operators.sets import keys_per_version
+from blockloom.sinks.append import path_exists
 from blockloom.sinks.files import list_files
 from blockloom.sources.manifests import MANIFEST_NAME, MANIFEST_VERSION
 
-LAYOUT = ["chain_id", "dataset_uuid", "range", "dataset_version"]
+# Folder names of the version-addressed layout; the range stays visible in every path. They
+# differ from the data columns, because Spark takes folder columns out of the files.
+LAYOUT = {"chain": "chain_id", "dataset": "dataset_uuid", "range": "block_range", "version": "dataset_version"}
 
 
 def plan_publications(ranges: DataFrame) -> DataFrame:
@@ -22,18 +24,11 @@ def plan_publications(ranges: DataFrame) -> DataFrame:
 
     ``ranges``: dataset_uuid, chain_id, range_start, range_end, config_hash.
     """
-    return ranges.withColumns(
-        {
-            "dataset_version": dataset_version("dataset_uuid", "config_hash", "chain_id", "range_start", "range_end"),
-            "range": F.concat_ws("_", F.col("range_start").cast("string"), F.col("range_end").cast("string")),
-        }
-    ).withColumn(
-        "storage_prefix",
-        F.concat_ws(
-            "/",
-            F.lit("cryo"),
-            *[F.concat(F.lit(f"{name}="), F.col(name).cast("string")) for name in LAYOUT],
-        ),
+    bounds = F.concat_ws("_", F.col("range_start").cast("string"), F.col("range_end").cast("string"))
+    version = dataset_version("dataset_uuid", "config_hash", "chain_id", "range_start", "range_end")
+    folders = [F.concat(F.lit(f"{name}="), F.col(column).cast("string")) for name, column in LAYOUT.items()]
+    return ranges.withColumns({"dataset_version": version, "block_range": bounds}).withColumn(
+        "storage_prefix", F.concat_ws("/", F.lit("cryo"), *folders)
     )
 
 
@@ -47,14 +42,14 @@ def publish_ranges(df: DataFrame, ranges: DataFrame, root: str, bucket_size: int
     """
     spark = df.sparkSession
     planned = plan_publications(ranges)
-    tagged = assign_ranges(
-        df, planned.select("dataset_uuid", "chain_id", "range_start", "range_end", "range", "dataset_version"),
-        ["chain_id"], bucket_size=bucket_size,
-    ).drop("range_start", "range_end")
-    # chain_id also stays in the files: it is a data column, the folder is only an address.
-    out = tagged.select(*[c for c in df.columns if c != "chain_id"], "chain_id", *[c for c in LAYOUT if c != "chain_id"])
+    if set(LAYOUT) & set(df.columns):
+        raise ValueError(f"data columns clash with folder names: {sorted(set(LAYOUT) & set(df.columns))}")
+    address = planned.select("chain_id", "range_start", "range_end", *list(LAYOUT.values())[1:])
+    tagged = assign_ranges(df, address, ["chain_id"], bucket_size=bucket_size)
+    folders = [F.col(column).alias(name) for name, column in LAYOUT.items()]
     (
-        out.hint("rebalance", "range", "dataset_version")
+        tagged.select(*df.columns, *folders)
+        .hint("rebalance", *LAYOUT)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*LAYOUT)
@@ -62,8 +57,12 @@ def publish_ranges(df: DataFrame, ranges: DataFrame, root: str, bucket_size: int
     )
     # Distinct datasets of this call; one path each keeps older datasets out of the listing.
     roots = [
-        f"{root}/cryo/chain_id={r.chain_id}/dataset_uuid={r.dataset_uuid}"
-        for r in tagged.select("chain_id", "dataset_uuid").distinct().collect()
+        path
+        for path in (
+            f"{root}/cryo/chain={r.chain_id}/dataset={r.dataset_uuid}"
+            for r in planned.select("chain_id", "dataset_uuid").distinct().collect()
+        )
+        if path_exists(spark, path)
     ]
     if roots:
         manifests = manifest_rows(planned, list_files(spark, *roots))
@@ -84,9 +83,9 @@ def manifest_rows(planned: DataFrame, files: DataFrame) -> DataFrame:
 
     One row holds at most one range's file names, which the output caps keep at 256.
     """
-    key = F.regexp_extract("path", r"(cryo/chain_id=.*)$", 1)
+    key = F.regexp_extract("path", r"(cryo/chain=.*)$", 1)
     listed = files.select(
-        F.regexp_extract("path", r"/dataset_version=([^/]+)/", 1).alias("dataset_version"), key.alias("path")
+        F.regexp_extract("path", r"/version=([^/]+)/", 1).alias("dataset_version"), key.alias("path")
     )
     document = F.struct(
         F.lit(MANIFEST_VERSION).alias("version"), "dataset_uuid", "dataset_version", "parquet_keys"
@@ -114,7 +113,6 @@ def _manifest_writer(root: str):
         address = root if "://" in root else f"file://{root}"
         store, base = fs.FileSystem.from_uri(address.replace("s3a://", "s3://", 1))
         for row in rows:
-            json.loads(row.body)
             with store.open_output_stream(f"{base}/{row.storage_prefix}/{MANIFEST_NAME}") as out:
                 out.write(row.body.encode("utf-8"))
 
