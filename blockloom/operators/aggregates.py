@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.functions.values import day_of, schema_hash
+from blockloom.session import bounded_side
 
 MONEY = "decimal(38,2)"
 
@@ -105,19 +106,28 @@ def validator_stats(duties: DataFrame, epoch_lookback: int, current_epoch: int |
 def provider_quorum(observations: DataFrame, checks: list[str], min_agreement: int) -> DataFrame:
     """Blocks and fields on which providers disagree.
 
-    ``observations``: chain_id, block_number, provider and the checked fields. Copies of
-    one answer collapse map-side; the lists hold at most one entry per provider.
+    ``observations``: chain_id, block_number, provider and the checked fields. Blocks with
+    any difference are found first by min and max per field; only their answers are spread
+    out by field and value. The lists hold at most one entry per provider and value.
     """
+    block = ["chain_id", "block_number"]
+    differs = F.lit(False)
+    for check in checks:
+        answered = F.count(check)
+        some_missing = (answered > 0) & (answered < F.count(F.lit(1)))
+        differs = differs | F.coalesce(F.min(check) != F.max(check), F.lit(False)) | some_missing
+    suspects = observations.groupBy(*block).agg(differs.alias("_differs")).filter("_differs").select(*block)
     answers = (
-        observations.unpivot(
+        observations.join(bounded_side(suspects), block, "left_semi")
+        .unpivot(
             ["chain_id", "block_number", "provider"],
             [F.col(c).cast("string").alias(c) for c in checks],
             "field",
             "value",
         )
-        .distinct()
         .groupBy("chain_id", "block_number", "field", "value")
-        .agg(F.count(F.lit(1)).alias("votes"), F.sort_array(F.collect_list("provider")).alias("providers"))
+        .agg(F.sort_array(F.collect_set("provider")).alias("providers"))
+        .withColumn("votes", F.size("providers").cast("bigint"))
     )
     entry = F.struct("value", "votes", F.array_join("providers", ",").alias("providers"))
     return (

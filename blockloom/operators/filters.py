@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockloom.session import broadcast_if_bounded
+from blockloom.session import bounded_side, broadcast_if_bounded
 
 
 class FilterError(ValueError):
@@ -90,7 +90,7 @@ def finalized_only(
     if tips is None:
         tips = df.groupBy(chain).agg(F.max(block).alias("tip"))
     limits = tips.select(chain, (F.col("tip") - finality_depth).alias("_limit"))
-    return df.join(broadcast_if_bounded(limits), chain).filter(F.col(block) <= F.col("_limit")).drop("_limit")
+    return df.join(bounded_side(limits), chain).filter(F.col(block) <= F.col("_limit")).drop("_limit")
 
 
 def fresh_only(df: DataFrame, now, max_age_seconds: int, event_time: str = "event_time") -> DataFrame:

@@ -9,27 +9,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.session import bounded_side
+
 # Bucket rows a set of ranges may be spread over, before per-range edges.
-TARGET_BUCKETS = 1_000_000
+TARGET_BUCKETS = 50_000
 _INNER_STEPS = 4096
 
 
-def explode_starts(df: DataFrame, start: Column, end: Column, step: Column, name: str) -> DataFrame:
+def explode_starts(
+    df: DataFrame, start: Column, end: Column, step: Column, name: str, keep_empty: bool = False
+) -> DataFrame:
     """One row per ``start, start + step, ...`` below ``end``.
 
-    Two nested sequences keep every generated array short, however long the range is.
+    Two nested sequences keep every generated array short, however long the range is. With
+    ``keep_empty`` a row with an empty range stays, with null.
     """
-    wide = step * _INNER_STEPS
+    explode = F.explode_outer if keep_empty else F.explode
+    blocks = F.when(F.col("_end") > F.col("_start"), F.sequence("_start", F.col("_end") - 1, "_wide"))
+    block_end = F.least(F.col("_outer") + F.col("_wide"), F.col("_end"))
     return (
-        df.withColumns({"_start": start, "_end": end, "_step": step, "_wide": wide})
-        .filter(F.col("_end") > F.col("_start"))
-        .withColumn("_outer", F.explode(F.sequence("_start", F.col("_end") - 1, "_wide")))
-        .withColumn(
-            name,
-            F.explode(
-                F.sequence("_outer", F.least(F.col("_outer") + F.col("_wide"), F.col("_end")) - 1, "_step")
-            ),
-        )
+        df.withColumns({"_start": start, "_end": end, "_step": step, "_wide": step * _INNER_STEPS})
+        .withColumn("_outer", explode(blocks))
+        .withColumn(name, explode(F.sequence("_outer", block_end - 1, "_step")))
         .drop("_start", "_end", "_step", "_wide", "_outer")
     )
 
@@ -63,4 +64,5 @@ def assign_ranges(
     size = bucket_size or pick_bucket_size(inclusive, "range_start", "_last")
     spread = spread_over_buckets(inclusive, "range_start", "_last", size, "_bucket").drop("_last")
     inside = (F.col(block) >= F.col("range_start")) & (F.col(block) < F.col("range_end"))
-    return df.withColumn("_bucket", bucket_of(block, size)).join(spread, [*keys, "_bucket"]).filter(inside).drop("_bucket")
+    bucketed = df.withColumn("_bucket", bucket_of(block, size))
+    return bucketed.join(bounded_side(spread), [*keys, "_bucket"]).filter(inside).drop("_bucket")

@@ -11,7 +11,7 @@ from blockloom.functions.ids import content_key, parse_partition_key, partition_
 from blockloom.operators.aggregates import latest_heads, range_counts
 from blockloom.operators.filters import edge_where, fresh_only, sample_blocks
 from blockloom.operators.intervals import bucket_of, pick_bucket_size, spread_over_buckets
-from blockloom.session import broadcast_if_bounded, is_bounded
+from blockloom.session import bounded_side, broadcast_if_bounded, is_bounded, materialized
 
 DELIVERY_STATUSES = ("pending", "sending", "retrying", "delivered", "failed")
 
@@ -22,7 +22,7 @@ def enrich_labels(df: DataFrame, labels: DataFrame, address_columns: Iterable[st
     An address with several labels gives one row per label, so no label list is ever
     gathered in one place. Labels are broadcast only when counted small.
     """
-    known = labels.select("address", "label").distinct()
+    known = materialized(labels.select("address", "label").distinct(), "labels")
     small = is_bounded(known)
     for column in address_columns:
         side = known.select(F.col("address").alias(column), F.col("label").alias(f"{column}_label"))
@@ -122,7 +122,7 @@ def invalidated_rows(
     spread = spread_over_buckets(bounds, "first", "last", size, "_bucket")
     rows = df.withColumn("_bucket", bucket_of(block, size)).alias("r")
     hit = (F.col("r._bucket") == F.col("b._bucket")) & F.col(f"r.{block}").between(F.col("b.first"), F.col("b.last"))
-    return rows.join(spread.alias("b"), hit, "left_semi").drop("_bucket")
+    return rows.join(bounded_side(spread).alias("b"), hit, "left_semi").drop("_bucket")
 
 
 def integrity_check(cold: DataFrame, canonical: DataFrame, sample_rate: float | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.operators.intervals import bucket_of
+from blockloom.session import broadcast_if_bounded
 
 BUCKET_SIZE = 100_000
 
@@ -55,9 +56,10 @@ def detect_reorg(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Per chain whose stored hashes differ from the incoming ones.
 
     ``fork_block`` is the first differing number; everything stored from there up to
-    ``old_tip`` is orphaned, which is the invalidated row range.
+    ``old_tip`` is orphaned, which is the invalidated row range. A counted-small batch is
+    broadcast, so the stored blocks are scanned without a shuffle.
     """
-    new = incoming.select("chain_id", "block_number", F.col("block_hash").alias("_new_hash"))
+    new = broadcast_if_bounded(incoming.select("chain_id", "block_number", F.col("block_hash").alias("_new_hash")))
     changed = (
         stored.select("chain_id", "block_number", "block_hash")
         .join(new, ["chain_id", "block_number"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.session import checkpointed
+from blockloom.session import materialized
 
 
 def downstream_closure(edges: DataFrame, changed: DataFrame, max_rounds: int = 10_000) -> DataFrame:
@@ -13,10 +13,11 @@ def downstream_closure(edges: DataFrame, changed: DataFrame, max_rounds: int = 1
 
     ``edges``: src, dst. ``changed``: node. Breadth first: each round joins the edges with
     the nodes reached last, and a node enters once, so diamonds and cycles cost nothing.
-    The reached set is checkpointed per round to keep plans short and survive lost executors.
+    Each round is written to the shared folder, so plans stay short and lost executors do not
+    restart the walk.
     """
     links = edges.select("src", "dst").distinct()
-    frontier = checkpointed(changed.select("node").distinct().withColumn("depth", F.lit(0)))
+    frontier = materialized(changed.select("node").distinct().withColumn("depth", F.lit(0)))
     reached = frontier
     for depth in range(1, max_rounds + 1):
         found = (
@@ -26,7 +27,7 @@ def downstream_closure(edges: DataFrame, changed: DataFrame, max_rounds: int = 1
             .join(reached.select("node"), "node", "left_anti")
             .withColumn("depth", F.lit(depth))
         )
-        frontier = checkpointed(found)
+        frontier = materialized(found, "frontier")
         if frontier.isEmpty():
             return reached
         reached = reached.unionByName(frontier)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from blockloom.operators.filters import read_since
 from blockloom.operators.joins import invalidated_rows, missing_partitions, open_invalidations
-from blockloom.session import checkpointed
+from blockloom.session import materialized
 from blockloom.sinks.append import append_dedupe
 from blockloom.sinks.scopes import commit_log, current_scopes, read_committed, replace_scopes
 
@@ -55,7 +55,7 @@ def reprocess_invalidations(
         stale = invalidated_rows(read_committed(spark, output_table), mine).select("partition_key")
         scopes = hit.unionByName(stale).distinct()
     # Scope names only. Fixed before the commit, which changes what the table shows.
-    names = checkpointed(scopes.select("partition_key"))
+    names = materialized(scopes.select("partition_key"), "scopes")
     scoped = input_df.withColumn("partition_key", scope_of_row).join(names, "partition_key", "left_semi")
     replace_scopes(transform(scoped), output_table, scopes=names)
     downstream = names.select(

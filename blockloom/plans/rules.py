@@ -59,17 +59,20 @@ def rule_events(
     )
 
 
-def sql_rule(
+def evaluate_rule(
     df: DataFrame,
-    sql: str,
+    rule: str | Callable[[DataFrame], DataFrame],
     definition_id: str,
     dataset_uuid: str,
     dataset_version: str,
     now: Column,
     hash_in_key: bool = True,
 ) -> DataFrame:
-    """Events of a read-only SQL rule; an ``event_time`` column in its result is the domain time."""
-    hits = gated_sql(df, sql)
+    """Events of a rule: read-only SQL over ``dataset``, or a function that returns its hits.
+
+    An ``event_time`` column in the hits is the domain time; otherwise it is ``now``.
+    """
+    hits = gated_sql(df, rule) if isinstance(rule, str) else rule(df)
     missing = {"chain_id", "block_number", "block_hash"} - set(hits.columns)
     if missing:
         raise InvalidRuleOutput(f"rule result lacks {sorted(missing)}")
@@ -77,6 +80,11 @@ def sql_rule(
     return rule_events(hits, definition_id, dataset_uuid, dataset_version, time, hash_in_key)
 
 
+def sql_rule(df: DataFrame, sql: str, *args, **options) -> DataFrame:
+    """Events of a SQL rule; see ``evaluate_rule``."""
+    return evaluate_rule(df, sql, *args, **options)
+
+
 def python_rule(df: DataFrame, function: Callable[[Iterable], Iterable], schema: str) -> DataFrame:
     """Row rule in Python: ``function`` maps an iterator of pandas batches of a partition.
 

@@ -53,12 +53,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: cuts lineage and survives lost executors."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+def materialized(df: DataFrame, name: str = "stage") -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    Cuts lineage, survives lost executors and, unlike a checkpoint, is computed only once.
+    The file size also gives the planner a true size for its join choice.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def is_bounded(df: DataFrame, max_rows: int = 100_000) -> bool:
@@ -73,3 +76,8 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     skewed partitions.
     """
     return F.broadcast(df) if is_bounded(df, max_rows) else df
+
+
+def bounded_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """An aggregated join side, computed once, with a broadcast hint if it is small."""
+    return broadcast_if_bounded(materialized(df, "side"), max_rows)

@@ -11,7 +11,7 @@ from blockloom.functions.ids import dataset_version
 from blockloom.operators.intervals import assign_ranges
 from blockloom.operators.sets import keys_per_version
 from blockloom.sinks.append import path_exists
-from blockloom.sinks.files import list_files
+from blockloom.sinks.files import list_files, output_caps
 from blockloom.sources.manifests import MANIFEST_NAME, MANIFEST_VERSION
 
 # Folder names of the version-addressed layout; the range stays visible in every path. They
@@ -19,6 +19,10 @@ from blockloom.sources.manifests import MANIFEST_NAME, MANIFEST_VERSION
 LAYOUT = {"chain": "chain_id", "dataset": "dataset_uuid", "range": "block_range", "version": "dataset_version"}
 
 
+class OutputCapsExceeded(RuntimeError):
+    """A published range has too many or too large files."""
+
+
 def plan_publications(ranges: DataFrame) -> DataFrame:
     """Adds the deterministic version and the prefix of each range.
 
@@ -37,8 +41,8 @@ def publish_ranges(df: DataFrame, ranges: DataFrame, root: str, bucket_size: int
     return the publications to register.
 
     All ranges are written by one job. The version is derived from the range, so writing
-    again replaces the same folder. Ranges without rows are published with no files and get
-    no manifest.
+    again replaces the same folder. A range over the output caps fails before any manifest is
+    written. Ranges without rows are published with no files and get no manifest.
     """
     spark = df.sparkSession
     planned = plan_publications(ranges)
@@ -65,7 +69,11 @@ def publish_ranges(df: DataFrame, ranges: DataFrame, root: str, bucket_size: int
         if path_exists(spark, path)
     ]
     if roots:
-        manifests = manifest_rows(planned, list_files(spark, *roots))
+        files = list_files(spark, *roots).withColumn("range_key", F.regexp_extract("path", r"/version=([^/]+)/", 1))
+        broken = output_caps(files).limit(5).collect()
+        if broken:
+            raise OutputCapsExceeded("; ".join(f"{r.range_key} {r.measure} {r.value} > {r.limit}" for r in broken))
+        manifests = manifest_rows(planned, files)
         manifests.select("storage_prefix", "body").foreachPartition(_manifest_writer(root))
     return planned.select(
         "dataset_uuid",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.functions.checks import canonical_uuid, parse_rfc3339, strict_json
+from blockloom.session import broadcast_if_bounded, materialized
 
 # Fields of an alert event line and their JSON types.
 ALERT_FIELDS = {
@@ -70,18 +71,20 @@ def alert_columns(line: str = "line") -> list[Column]:
 def split_batches(lines: DataFrame, file: str = "file") -> tuple[DataFrame, DataFrame]:
     """``(file, line)`` rows to accepted events and one dead-letter row per rejected file.
 
-    The verdict per file is a map-side-combined count; accepted lines are kept by an anti
-    join against the rejected files, which AQE broadcasts or skew-splits by measured size.
+    The verdict per file is a map-side-combined count, computed once; accepted lines are
+    kept by an anti join against the rejected files, broadcast when counted small, so the
+    lines themselves are not shuffled and a file of any size stays spread out.
     """
     checked = lines.filter(~F.col("line").rlike(r"^\s*$")).withColumn("error", alert_line_error())
-    rejected = (
+    rejected = materialized(
         checked.filter("error IS NOT NULL")
         .groupBy(file)
-        .agg(F.count(F.lit(1)).alias("bad_lines"), F.min("error").alias("error"))
+        .agg(F.count(F.lit(1)).alias("bad_lines"), F.min("error").alias("error")),
+        "rejected",
     )
     good = (
         lines.filter(~F.col("line").rlike(r"^\s*$"))
-        .join(rejected.select(file), file, "left_anti")
+        .join(broadcast_if_bounded(rejected.select(file)), file, "left_anti")
         .select(file, *alert_columns())
     )
     return good, rejected

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from blockloom.operators.filters import fresh_only
 from blockloom.operators.joins import route_alerts
-from blockloom.plans.rules import sql_rule, strict_events
+from blockloom.plans.rules import evaluate_rule, strict_events
 from blockloom.sinks.append import append_dedupe
 from blockloom.streaming.jobs import start_batches
 
@@ -19,7 +19,7 @@ DELIVERY_KEY = ["org_id", "alert_event_id", "channel"]
 
 def alert_evaluate(
     df: DataFrame,
-    sql: str,
+    rule: str | Callable[[DataFrame], DataFrame],
     definition_id: str,
     dataset_uuid: str,
     dataset_version: str,
@@ -30,14 +30,14 @@ def alert_evaluate(
     max_lookback_seconds: int | None = None,
     hash_in_key: bool = True,
 ) -> None:
-    """Run a SQL rule over pinned rows and append its events; a replay adds nothing.
+    """Run a SQL or Python rule over pinned rows and append its events; a replay adds nothing.
 
     With ``max_lookback_seconds`` rows older than that at ``now`` are not evaluated. One
     invalid event fails the batch before anything is written.
     """
     if max_lookback_seconds is not None:
         df = fresh_only(df, now, max_lookback_seconds, time_column or "block_time")
-    events = strict_events(sql_rule(df, sql, definition_id, dataset_uuid, dataset_version, now, hash_in_key))
+    events = strict_events(evaluate_rule(df, rule, definition_id, dataset_uuid, dataset_version, now, hash_in_key))
     append_dedupe(target_path, events, ["dedupe_key"], ["event_time", "chain_id", "block_hash"], batch_id)
 
 

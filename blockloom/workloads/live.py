@@ -80,7 +80,7 @@ def alert_evaluate_query(spark, sf_dir):
     """The rule evaluated twice over the same rows: the second run adds nothing."""
     target = scratch_path(spark, "alerts")
     for batch_id in ("first", "again"):
-        alert_evaluate(priced_blocks(spark, sf_dir), target_path=target, batch_id=batch_id, **rule_arguments())
+        alert_evaluate(priced_blocks(spark, sf_dir), RULE_SQL, target_path=target, batch_id=batch_id, **rule_arguments())
     return read_appended(spark, target)
 
 
@@ -94,7 +94,7 @@ def alert_evaluate_stream_query(spark, sf_dir):
         block_hash("o_orderkey").alias("block_hash"), F.col("o_orderdate").alias("block_time"), F.col("o_totalprice").alias("total"),
     )
     alert_evaluate_stream(
-        stream, "alerts", scratch_path(spark, "offsets"), target_path=target, **{**rule_arguments(), "sql": RULE_SQL}
+        stream, "alerts", scratch_path(spark, "offsets"), rule=RULE_SQL, target_path=target, **rule_arguments()
     ).awaitTermination()
     return read_appended(spark, target)
 

@@ -78,13 +78,13 @@ def priced_blocks(spark, sf_dir):
 
 def rule_arguments():
     return {
-        "sql": RULE_SQL, "definition_id": DEFINITION, "dataset_uuid": DATASET, "dataset_version": VERSION, "now": at(v.NOW),
+        "definition_id": DEFINITION, "dataset_uuid": DATASET, "dataset_version": VERSION, "now": at(v.NOW),
     }
 
 
 @query("sql_rule", with_sql(v.BLOCKS_SQL, select=EVENTS_SQL))
 def sql_rule_query(spark, sf_dir):
-    return ur.sql_rule(priced_blocks(spark, sf_dir), **rule_arguments())
+    return ur.sql_rule(priced_blocks(spark, sf_dir), RULE_SQL, **rule_arguments())
 
 
 def _large_transfers(batches):
