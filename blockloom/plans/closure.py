@@ -16,7 +16,7 @@ def downstream_closure(edges: DataFrame, changed: DataFrame, max_rounds: int = 1
     Each round is written to the shared folder, so plans stay short and lost executors do not
     restart the walk.
     """
-    links = edges.select("src", "dst").distinct()
+    links = materialized(edges.select("src", "dst").distinct(), "links")
     frontier = materialized(changed.select("node").distinct().withColumn("depth", F.lit(0)))
     reached = frontier
     for depth in range(1, max_rounds + 1):

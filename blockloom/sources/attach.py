@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockloom.session import materialized
 from blockloom.sources.manifests import (
     MANIFEST_NAME,
     MAX_MANIFEST_BYTES,
@@ -71,6 +72,48 @@ def pinned_files(
     return [f"{root}/{row.key.lstrip('/')}" for row in keys.collect()]
 
 
+def read_manifests(prefixes: DataFrame, root: str, max_bytes: int = MAX_MANIFEST_BYTES) -> DataFrame:
+    """``storage_prefix, body`` of each prefix, read by the executors; missing or oversized
+    manifests give a null body, which counts as malformed."""
+    address = (root if "://" in root else f"file://{root}").replace("s3a://", "s3://", 1)
+
+    def read(batches):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(address)
+        for pdf in batches:
+            bodies = []
+            for prefix in pdf["storage_prefix"]:
+                path = f"{base}/{prefix.strip('/')}/{MANIFEST_NAME}"
+                info = store.get_file_info(path)
+                fits = info.type == fs.FileType.File and info.size <= max_bytes
+                bodies.append(store.open_input_stream(path).read().decode("utf-8", "replace") if fits else None)
+            yield pdf.assign(body=bodies)
+
+    return prefixes.select("storage_prefix").mapInPandas(read, "storage_prefix string, body string")
+
+
+def attach_versions(
+    publications: DataFrame, root: str, max_objects: int = MAX_MANIFEST_OBJECTS, view: str = DATASET_VIEW
+) -> DataFrame:
+    """Scan the pinned files of many versions as one relation.
+
+    ``publications``: dataset_uuid, dataset_version, storage_prefix (below ``root``). All
+    manifests are read and checked by one job; any broken one refuses the whole set.
+    """
+    spark = publications.sparkSession
+    relative = F.trim(F.replace("storage_prefix", F.lit(root), F.lit("")), F.lit("/"))
+    registry = publications.select(relative.alias("storage_prefix"), "dataset_uuid", "dataset_version")
+    manifests = materialized(parse_manifests(read_manifests(registry, root)), "manifests")
+    broken = manifest_audit(manifests, registry, max_objects).select("rule").distinct().collect()
+    if broken:
+        raise ManifestError("manifest rejected: " + ", ".join(sorted(r.rule for r in broken)))
+    keys = manifests.select(F.explode("parquet_keys").alias("key")).distinct().orderBy("key")
+    df = spark.read.parquet(*[f"{root}/{row.key.lstrip('/')}" for row in keys.collect()])
+    df.createOrReplaceTempView(view)
+    return df
+
+
 def attach_pinned(
     spark: SparkSession,
     root: str,

@@ -29,42 +29,41 @@ def _text(document: Column, name: str, sql_type: str = "string") -> Column:
     return F.try_variant_get(document, f"$.{name}", sql_type)
 
 
-def alert_line_error(line: str = "line") -> Column:
-    """Reason a line is not a valid alert event, or null when it is."""
-    body = F.col(line)
-    document = strict_json(body)
-    names = F.json_object_keys(body)
+def alert_line_error(line: str = "line", document: str = "document") -> Column:
+    """Reason a line is not a valid alert event, or null; ``document`` is its strict JSON."""
+    doc = F.col(document)
+    names = F.map_keys(F.try_variant_get(doc, "$", "map<string,variant>"))
     allowed = F.lit(list(ALERT_FIELDS))
     wrong = F.lit(False)
     for name, kind in ALERT_FIELDS.items():
         if name != "payload":
-            wrong = wrong | ~F.schema_of_variant(_field(document, name)).eqNullSafe(F.lit(kind))
-    payload_shape = F.schema_of_variant(_field(document, "payload"))
+            wrong = wrong | ~F.schema_of_variant(_field(doc, name)).eqNullSafe(F.lit(kind))
+    payload_shape = F.schema_of_variant(_field(doc, "payload"))
     return (
-        F.when(~F.is_valid_utf8(body), "not utf-8")
-        .when(document.isNull(), "not json")
-        .when(names.isNull(), "not an object")
+        F.when(~F.is_valid_utf8(F.col(line)), "not utf-8")
+        .when(doc.isNull(), "not json")
+        .when(~F.schema_of_variant(doc).startswith("OBJECT"), "not an object")
         .when(F.size(F.array_except(names, allowed)) > 0, "unknown field")
         .when(F.size(F.array_except(allowed, names)) > 0, "missing field")
         .when(wrong, "wrong type")
-        .when(canonical_uuid(_text(document, "alert_definition_id")).isNull(), "bad alert_definition_id")
-        .when(parse_rfc3339(_text(document, "event_time")).isNull(), "bad event_time")
+        .when(canonical_uuid(_text(doc, "alert_definition_id")).isNull(), "bad alert_definition_id")
+        .when(parse_rfc3339(_text(doc, "event_time")).isNull(), "bad event_time")
         .when(~F.coalesce(payload_shape.startswith("OBJECT"), F.lit(False)), "payload must be an object")
     )
 
 
-def alert_columns(line: str = "line") -> list[Column]:
+def alert_columns(document: str = "document") -> list[Column]:
     """Typed alert event columns of a valid line."""
-    document = F.try_parse_json(F.col(line))
+    doc = F.col(document)
     return [
-        canonical_uuid(_text(document, "alert_definition_id")).alias("alert_definition_id"),
-        _text(document, "dedupe_key").alias("dedupe_key"),
-        parse_rfc3339(_text(document, "event_time")).alias("event_time"),
-        _text(document, "chain_id", "bigint").alias("chain_id"),
-        _text(document, "block_number", "bigint").alias("block_number"),
-        _text(document, "block_hash").alias("block_hash"),
-        _text(document, "tx_hash").alias("tx_hash"),
-        F.to_json(_field(document, "payload")).alias("payload"),
+        canonical_uuid(_text(doc, "alert_definition_id")).alias("alert_definition_id"),
+        _text(doc, "dedupe_key").alias("dedupe_key"),
+        parse_rfc3339(_text(doc, "event_time")).alias("event_time"),
+        _text(doc, "chain_id", "bigint").alias("chain_id"),
+        _text(doc, "block_number", "bigint").alias("block_number"),
+        _text(doc, "block_hash").alias("block_hash"),
+        _text(doc, "tx_hash").alias("tx_hash"),
+        F.to_json(_field(doc, "payload")).alias("payload"),
     ]
 
 
@@ -75,18 +74,16 @@ def split_batches(lines: DataFrame, file: str = "file") -> tuple[DataFrame, Data
     kept by an anti join against the rejected files, broadcast when counted small, so the
     lines themselves are not shuffled and a file of any size stays spread out.
     """
-    checked = lines.filter(~F.col("line").rlike(r"^\s*$")).withColumn("error", alert_line_error())
-    rejected = materialized(
-        checked.filter("error IS NOT NULL")
+    parsed = lines.filter(~F.col("line").rlike(r"^\s*$")).withColumn("document", strict_json("line"))
+    # Counted, not filtered: a filter on the error would be pushed down and parse every use anew.
+    verdict = (
+        parsed.withColumn("error", alert_line_error())
         .groupBy(file)
-        .agg(F.count(F.lit(1)).alias("bad_lines"), F.min("error").alias("error")),
-        "rejected",
-    )
-    good = (
-        lines.filter(~F.col("line").rlike(r"^\s*$"))
-        .join(broadcast_if_bounded(rejected.select(file)), file, "left_anti")
-        .select(file, *alert_columns())
+        .agg(F.count("error").alias("bad_lines"), F.min("error").alias("error"))
+        .filter("bad_lines > 0")
     )
+    rejected = materialized(verdict, "rejected")
+    good = parsed.join(broadcast_if_bounded(rejected.select(file)), file, "left_anti").select(file, *alert_columns())
     return good, rejected
 
 

@@ -52,7 +52,7 @@ def _follow(spark, sf_dir):
     hot, notes, events = (scratch_path(spark, n) for n in ("hot", "invalidations", "events"))
     stream = folder_stream(spark, old.unionByName(new), "wave")
     running = follow_blocks(
-        stream, "follow", hot, notes, events, scratch_path(spark, "offsets"), "ds", "v1", scope_size=1000
+        stream, "follow", hot, notes, events, scratch_path(spark, "offsets"), "ds", "v1", scope_size=10_000
     )
     running.awaitTermination()
     return hot, notes, events

@@ -14,7 +14,7 @@ from blockloom.sinks.scopes import read_committed, replace_scopes
 from blockloom.workloads import views as v
 from blockloom.workloads.registry import query
 from blockloom.workloads.relational import DAILY_SQL
-from blockloom.workloads.tables import SCOPED_SQL, scoped_blocks
+from blockloom.workloads.tables import SCOPE, SCOPED_SQL, scoped_blocks
 from blockloom.workloads.views import at, table, text, with_sql
 
 DEFINITION = "5c1a0b52-3f56-4c7e-9a51-000000000001"
@@ -238,7 +238,7 @@ def run_incremental_cursor(spark, sf_dir):
 def run_incremental_partition(spark, sf_dir):
     """Half the partitions, then all: the second run only adds what is missing."""
     root, rows = scratch_path(spark, "partitions"), scoped_blocks(spark, sf_dir)
-    half = rows.agg(F.max("block_number")).first()[0] // 2 // 1000 * 1000
+    half = rows.agg(F.max("block_number")).first()[0] // 2 // SCOPE * SCOPE
     incremental.run_incremental("partition", spark, rows.filter(F.col("block_number") < half), _with_flag, root)
     incremental.run_incremental("partition", spark, rows, _with_flag, root)
     return read_committed(spark, root)
@@ -246,20 +246,20 @@ def run_incremental_partition(spark, sf_dir):
 
 @query(
     "run_incremental_full",
-    with_sql(v.BLOCKS_SQL, SCOPED_SQL, select="SELECT *, right(block_hash, 1) AS flag FROM scoped WHERE partition_key <> '0-999'"),
+    with_sql(v.BLOCKS_SQL, SCOPED_SQL, select="SELECT *, right(block_hash, 1) AS flag FROM scoped WHERE partition_key <> '0-4999'"),
 )
 def run_incremental_full(spark, sf_dir):
     root, rows = scratch_path(spark, "full"), scoped_blocks(spark, sf_dir)
     incremental.run_incremental("full", spark, rows, _with_flag, root)
-    incremental.run_incremental("full", spark, rows.filter("partition_key <> '0-999'"), _with_flag, root)
+    incremental.run_incremental("full", spark, rows.filter("partition_key <> '0-4999'"), _with_flag, root)
     return read_committed(spark, root)
 
 
 def _reprocess(spark, sf_dir):
     """Output built from old hashes; the input is then rewritten and one job catches up."""
     root, rows = scratch_path(spark, "reprocess"), v.blocks(spark, sf_dir)
-    start = F.floor(F.col("block_number") / 100) * 100
-    scope = partition_key(start, start + 100)
+    start = F.floor(F.col("block_number") / 2500) * 2500
+    scope = partition_key(start, start + 2500)
     replace_scopes(_with_flag(rows.withColumn("partition_key", scope)), root)
     rewritten = rows.withColumn("block_hash", F.concat("block_hash", F.lit("z")))
     marked, downstream = incremental.reprocess_invalidations(
@@ -270,7 +270,7 @@ def _reprocess(spark, sf_dir):
 
 _HIT_SQL = """open_b AS (SELECT i.* FROM invalidations i JOIN edges e ON i.dataset_uuid = e.dataset_uuid AND job_id = 'job-b'
   WHERE NOT coalesce(list_contains(processed_by, 'job-b'), false)),
-hit AS (SELECT DISTINCT block_number // 100 AS s FROM blocks b WHERE EXISTS (SELECT 1 FROM open_b i WHERE b.block_number BETWEEN i.first AND i.last))"""
+hit AS (SELECT DISTINCT block_number // 2500 AS s FROM blocks b WHERE EXISTS (SELECT 1 FROM open_b i WHERE b.block_number BETWEEN i.first AND i.last))"""
 
 
 @query(
@@ -278,8 +278,8 @@ hit AS (SELECT DISTINCT block_number // 100 AS s FROM blocks b WHERE EXISTS (SEL
     with_sql(
         v.BLOCKS_SQL, v.INVALIDATIONS_SQL, v.EDGES_SQL, _HIT_SQL,
         select="""SELECT chain_id, block_number, CASE WHEN s IS NULL THEN block_hash ELSE block_hash || 'z' END AS block_hash, block_time,
-  (block_number // 100 * 100) || '-' || (block_number // 100 * 100 + 99) AS partition_key, CASE WHEN s IS NULL THEN right(block_hash, 1) ELSE 'z' END AS flag
-FROM blocks LEFT JOIN hit ON s = block_number // 100""",
+  (block_number // 2500 * 2500) || '-' || (block_number // 2500 * 2500 + 2499) AS partition_key, CASE WHEN s IS NULL THEN right(block_hash, 1) ELSE 'z' END AS flag
+FROM blocks LEFT JOIN hit ON s = block_number // 2500""",
     ),
 )
 def reprocess_invalidations_query(spark, sf_dir):
@@ -290,7 +290,7 @@ def reprocess_invalidations_query(spark, sf_dir):
     "downstream_invalidations",
     with_sql(
         v.BLOCKS_SQL, v.INVALIDATIONS_SQL, v.EDGES_SQL, _HIT_SQL,
-        select="SELECT 'out' AS dataset_uuid, 'partition' AS scope, (s * 100) || '-' || (s * 100 + 99) AS partition_key, 'correction' AS reason FROM hit",
+        select="SELECT 'out' AS dataset_uuid, 'partition' AS scope, (s * 2500) || '-' || (s * 2500 + 2499) AS partition_key, 'correction' AS reason FROM hit",
     ),
 )
 def downstream_invalidations(spark, sf_dir):

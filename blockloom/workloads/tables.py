@@ -16,7 +16,7 @@ from blockloom.sinks.export import export_result
 from blockloom.sinks.files import expired_staging, list_files, output_caps
 from blockloom.sinks.publish import publish_ranges
 from blockloom.sinks.scopes import commit_log, current_scopes, read_committed, replace_scope, replace_scopes
-from blockloom.sources.attach import pinned_files
+from blockloom.sources.attach import attach_versions
 from blockloom.workloads import views as v
 from blockloom.workloads.registry import query
 from blockloom.workloads.views import table, text, with_sql
@@ -39,7 +39,7 @@ def append_dedupe_query(spark, sf_dir):
     return read_appended(spark, target)
 
 
-SCOPE = 1000
+SCOPE = 5000
 
 
 def scoped_blocks(spark, sf_dir):
@@ -54,17 +54,17 @@ SCOPED_SQL = f"""scoped AS (SELECT *, (block_number // {SCOPE} * {SCOPE}) || '-'
     "replace_scope",
     with_sql(
         v.BLOCKS_SQL, SCOPED_SQL,
-        select="""SELECT chain_id, block_number, CASE WHEN partition_key = '0-999' THEN 'new' || block_hash ELSE block_hash END AS block_hash, block_time, partition_key
-FROM scoped WHERE partition_key <> '1000-1999'""",
+        select="""SELECT chain_id, block_number, CASE WHEN partition_key = '0-4999' THEN 'new' || block_hash ELSE block_hash END AS block_hash, block_time, partition_key
+FROM scoped WHERE partition_key <> '5000-9999'""",
     ),
 )
 def replace_scope_query(spark, sf_dir):
     """Load all scopes, rewrite the first, empty the second, leave an uncommitted attempt."""
     root, rows = scratch_path(spark, "scopes"), scoped_blocks(spark, sf_dir)
     replace_scopes(rows, root)
-    first = rows.filter("partition_key = '0-999'").withColumn("block_hash", F.concat(F.lit("new"), "block_hash"))
-    replace_scope(first, root, "0-999")
-    replace_scope(rows.limit(0), root, "1000-1999")
+    first = rows.filter("partition_key = '0-4999'").withColumn("block_hash", F.concat(F.lit("new"), "block_hash"))
+    replace_scope(first, root, "0-4999")
+    replace_scope(rows.limit(0), root, "5000-9999")
     rows.withColumn("scope", F.col("partition_key")).write.partitionBy("scope").parquet(f"{root}/data/attempt=a-crashed")
     return read_committed(spark, root)
 
@@ -107,15 +107,11 @@ def _chain_ranges(spark, sf_dir, size=2500):
     ),
 )
 def publish_ranges_query(spark, sf_dir):
-    """Publish twice, then read every version back through its manifest."""
+    """Publish twice, then read every version back through the manifests."""
     root, blocks, ranges = scratch_path(spark, "publish"), v.blocks(spark, sf_dir), _chain_ranges(spark, sf_dir)
     publish_ranges(blocks, ranges, root)
     published = publish_ranges(blocks, ranges, root)
-    paths = []
-    for row in published.collect():
-        prefix = row.storage_prefix[len(root):].strip("/")
-        paths += pinned_files(spark, root, prefix, row.dataset_uuid, row.dataset_version)
-    rows = spark.read.parquet(*paths).withColumn("_path", F.col("_metadata.file_path"))
+    rows = attach_versions(published, root).withColumn("_path", F.col("_metadata.file_path"))
     start = F.regexp_extract("_path", r"/range=(\d+)_", 1).cast("bigint")
     return rows.select("chain_id", "block_number", "block_hash", "block_time", start.alias("range_start"))
 
@@ -204,7 +200,7 @@ def _compacted(spark, sf_dir):
     # The newest scope and the one before: the newest is not wholly final.
     partitions = [f"{s}-{s + SCOPE - 1}" for s in sorted({max(last - SCOPE, 0), last})]
     for partition in partitions:
-        compact_finalized(read_committed(spark, hot), cold, partition, finality_depth=100, chunk_size=200)
+        compact_finalized(read_committed(spark, hot), cold, partition, finality_depth=100, chunk_size=2000)
     return hot, cold, partitions
 
 
@@ -287,7 +283,7 @@ def expired_staging_query(spark, sf_dir):
     """Two committed attempts, of which one is superseded, and one never committed."""
     root, rows = scratch_path(spark, "staging"), scoped_blocks(spark, sf_dir)
     replace_scopes(rows, root)
-    replace_scope(rows.filter("partition_key = '0-999'"), root, "0-999")
+    replace_scope(rows.filter("partition_key = '0-4999'"), root, "0-4999")
     rows.withColumn("scope", F.col("partition_key")).write.partitionBy("scope").parquet(f"{root}/data/attempt=a-crashed")
     later = F.lit(datetime.datetime.now() + datetime.timedelta(days=30))
     expired = expired_staging(list_files(spark, f"{root}/data"), commit_log(spark, root), later)
