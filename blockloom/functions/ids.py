@@ -26,12 +26,17 @@ def uuid5(namespace: str, name) -> Column:
     raw = F.unhex(F.lit(uuid.UUID(namespace).hex))
     digest = F.sha1(F.concat(raw, F.encode(_col(name), "UTF-8")))
     variant = F.lower(F.hex((F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4) + 8))
-    return F.concat_ws(
-        "-",
+    # concat, unlike concat_ws, gives null for a null name.
+    return F.concat(
         F.substring(digest, 1, 8),
+        F.lit("-"),
         F.substring(digest, 9, 4),
-        F.concat(F.lit("5"), F.substring(digest, 14, 3)),
-        F.concat(variant, F.substring(digest, 18, 3)),
+        F.lit("-5"),
+        F.substring(digest, 14, 3),
+        F.lit("-"),
+        variant,
+        F.substring(digest, 18, 3),
+        F.lit("-"),
         F.substring(digest, 21, 12),
     )
 

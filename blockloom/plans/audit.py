@@ -53,8 +53,8 @@ def query_results(runs: DataFrame) -> DataFrame:
 
 
 def accessed_columns(df: DataFrame, dataset: DataFrame) -> list[str]:
-    """Columns of ``dataset`` that the optimized plan of ``df`` still reads."""
-    used = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    """Columns of ``dataset`` that the scans of ``df`` read after column pruning."""
+    used = df._jdf.queryExecution().sparkPlan().collectLeaves()
     names: set[str] = set()
     for i in range(used.size()):
         output = used.apply(i).output()
