@@ -128,7 +128,7 @@ def enrich_labels(spark, sf_dir):
     "combine_offchain",
     with_sql(
         v.TRANSFERS_SQL,
-        select="""SELECT t.*, p_name AS token_name, p_retailprice AS price, round(value / p_retailprice, 6) AS units
+        select="""SELECT t.*, p_name AS token_name, p_retailprice AS price, value / p_retailprice AS units
 FROM transfers t LEFT JOIN part ON token = p_partkey""",
     ),
 )
@@ -137,7 +137,7 @@ def combine_offchain(spark, sf_dir):
         F.col("p_partkey").alias("token"), F.col("p_name").alias("token_name"), F.col("p_retailprice").alias("price")
     )
     return joins.combine_offchain(v.transfers(spark, sf_dir), feed, ["token"]).withColumn(
-        "units", F.round(F.col("value") / F.col("price"), 6)
+        "units", F.col("value") / F.col("price")
     )
 
 
