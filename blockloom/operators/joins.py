@@ -112,7 +112,7 @@ def invalidated_rows(
     highest block of ``df`` so it covers a finite number of buckets.
     """
     bounds = invalidation_bounds(invalidations)
-    if bounds.filter("first IS NULL OR last IS NULL").limit(1).count():
+    if not bounds.filter("first IS NULL OR last IS NULL").isEmpty():
         edge = df.agg(F.min(block).alias("low"), F.max(block).alias("high")).first()
         bounds = bounds.select(
             F.coalesce("first", F.lit(edge.low)).alias("first"), F.coalesce("last", F.lit(edge.high)).alias("last")

@@ -65,8 +65,12 @@ def materialized(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def is_bounded(df: DataFrame, max_rows: int = 100_000) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; counting stops one row later."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether ``df`` has at most ``max_rows`` rows.
+
+    A plain count: it combines per partition and reads no columns, while a limit would send
+    up to ``max_rows`` rows of every partition to one task.
+    """
+    return df.count() <= max_rows
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int = 100_000) -> DataFrame:

@@ -277,18 +277,20 @@ def rollback_query(spark, sf_dir):
 
 @query(
     "expired_staging",
-    """SELECT 'crashed' AS attempt, 1 AS n""",
+    """SELECT 'crashed' AS attempt, (block_number // 5000 * 5000) || '-' || (block_number // 5000 * 5000 + 4999) AS partition_key, count(*) AS row_count
+FROM (SELECT o_orderkey AS block_number FROM orders) GROUP BY ALL""",
 )
 def expired_staging_query(spark, sf_dir):
-    """Two committed attempts, of which one is superseded, and one never committed."""
+    """Rows of expired attempts; of three attempts one is superseded and one was never committed."""
     root, rows = scratch_path(spark, "staging"), scoped_blocks(spark, sf_dir)
     replace_scopes(rows, root)
     replace_scope(rows.filter("partition_key = '0-4999'"), root, "0-4999")
     rows.withColumn("scope", F.col("partition_key")).write.partitionBy("scope").parquet(f"{root}/data/attempt=a-crashed")
     later = F.lit(datetime.datetime.now() + datetime.timedelta(days=30))
     expired = expired_staging(list_files(spark, f"{root}/data"), commit_log(spark, root), later)
-    name = F.regexp_extract("attempt", r"attempt=a-(.*)$", 1)
-    return expired.groupBy(name.alias("attempt")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    found = [row.attempt for row in expired.select("attempt").collect()]
+    lost = spark.read.parquet(*found).withColumn("attempt", F.regexp_extract(F.col("_metadata.file_path"), r"attempt=a-([^/]+)", 1))
+    return lost.groupBy("attempt", "partition_key").agg(F.count(F.lit(1)).alias("row_count"))
 
 
 @query(
