@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from blockloom.llm.exact_dedup import exact_dedup
+from blockloom.llm.near_dedup import near_duplicates
 from blockloom.llm.registry import ORACLES, QUERIES, query
 from blockloom.llm.tables import documents
 
@@ -27,3 +28,8 @@ __all__ = ["ORACLES", "QUERIES"]
 )
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
+
+
+@query("op9_near_dedup")
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), words=3, percent=85)
