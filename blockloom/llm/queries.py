@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from blockloom.llm.exact_dedup import exact_dedup
 from blockloom.llm.near_dedup import near_duplicates
 from blockloom.llm.registry import ORACLES, QUERIES, query
+from blockloom.llm.secret_scan import scan_report
 from blockloom.llm.tables import documents
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -33,3 +34,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_near_dedup")
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), words=3, percent=85)
+
+
+@query("op7_secret_scan")
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_report(documents(spark, sf_dir))
