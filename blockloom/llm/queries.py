@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from blockloom.llm.exact_dedup import exact_dedup
+from blockloom.llm.language_id import held_out, identify, learn_from_documents
 from blockloom.llm.near_dedup import near_duplicates
 from blockloom.llm.registry import ORACLES, QUERIES, query
 from blockloom.llm.secret_scan import scan_report
@@ -39,3 +40,10 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_secret_scan")
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_report(documents(spark, sf_dir))
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = identify(docs.select("doc_id", "text"), learn_from_documents(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "lang_rejected")
