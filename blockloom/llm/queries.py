@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from blockloom.llm.exact_dedup import exact_dedup
 from blockloom.llm.language_id import held_out, identify, learn_from_documents
 from blockloom.llm.near_dedup import near_duplicates
+from blockloom.llm.packing import pack
 from blockloom.llm.registry import ORACLES, QUERIES, query
 from blockloom.llm.secret_scan import scan_report
 from blockloom.llm.tables import documents
@@ -14,6 +15,13 @@ from blockloom.llm.tables import documents
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file, which every machine has with its package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query(
     "op10_exact_dedup",
     r"""
@@ -47,3 +55,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = identify(docs.select("doc_id", "text"), learn_from_documents(docs))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "lang_rejected")
+
+
+@query("op6_best_fit_packing")
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), capacity=2048)
