@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.tables import filled
+from blockloom.llm.tables import filled, unused_name
 
 
 def one_spaced(text: Column) -> Column:
@@ -58,3 +58,20 @@ def exact_dedup(
     first = F.row_number().over(same_row) == 1
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & first
     return members.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+
+
+def first_copies(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    digest: Callable[[Column], Column] = content_hash,
+) -> DataFrame:
+    """One whole row of every class of equal texts: that with the smallest id, nulls last.
+
+    Classes are those of ``exact_dedup``; repeated rows leave one. Columns stay as they are.
+    """
+    text, key, whole = (unused_name(docs, name) for name in ("_text", "_hash", "_row"))
+    rows = docs.withColumn(text, one_spaced(filled(F.col(text_column)))).withColumn(key, digest(F.col(text)))
+    order = F.struct(F.col(id_column).isNull(), F.col(id_column), F.col(text_column))
+    kept = rows.groupBy(key, text).agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), order).alias(whole))
+    return kept.select(f"{whole}.*")

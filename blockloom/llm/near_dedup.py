@@ -18,6 +18,8 @@ from blockloom.session import broadcast_if_bounded, materialized
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 256  # shingles hashed at once, so that a very long text needs no large matrix
 PAIRS = "a long, b long"
+PAIRED_BUCKET = 64  # larger buckets are compared block by block instead of pair by pair
+BLOCK_MEMBERS = 256
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -107,9 +109,9 @@ def near_duplicates(
     Candidates come from banding, so a pair at the threshold is missed with a chance of
     1e-5. Equal sets collapse first. Inside a bucket no hub has to be like everyone: hubs of
     the largest class are compared with members of other classes while that finds links;
-    then what is still outside is compared with all members of other classes. Every pair of
-    a bucket is thus either compared or already in one class, and a bucket of thousands of
-    near copies costs a few comparisons per member.
+    then what is still outside is compared with all members of other classes: pair by pair
+    in small buckets, block by block in large ones, where only links leave a task. Every
+    pair of a bucket is thus either compared or already in one class.
     """
     signed = materialized(
         signatures(docs, id_column, text_column, words, rows, bands_needed(percent / 100, rows)), "signatures"
@@ -118,10 +120,10 @@ def near_duplicates(
     classes = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     firsts = named.join(classes.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"]).dropDuplicates(["set_key"])
     firsts = materialized(firsts.select(F.col("doc_id").alias("rep"), "set_key", "n_shingles", "bands", "signature"), "firsts")
-    banded = firsts.select("rep", F.explode("bands").alias("key"))
+    banded = firsts.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last")
     members = materialized(banded.join(shared.select("key", "hub"), "key"), "members")
-    labels = _linked_labels(docs, firsts, members, id_column, text_column, words, percent)
+    labels = _linked_labels(docs, firsts, members, id_column, text_column, words, percent, rows)
     merged = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component_id")
     )
@@ -131,7 +133,7 @@ def near_duplicates(
     return found.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
-def _linked_labels(docs, firsts, members, id_column, text_column, words, percent) -> DataFrame:
+def _linked_labels(docs, firsts, members, id_column, text_column, words, percent, rows) -> DataFrame:
     """``node, component`` of the representatives that have links."""
     spark = docs.sparkSession
     labels = spark.createDataFrame([], "node long, component long")
@@ -140,19 +142,24 @@ def _linked_labels(docs, firsts, members, id_column, text_column, words, percent
     last = False
     while True:
         pairs = materialized(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = materialized(_verified(docs, firsts, pairs, id_column, text_column, words, percent), "links")
+        links = _verified(docs, firsts, pairs, id_column, text_column, words, percent)
+        if last:
+            links = links.unionByName(_block_links(*blocks, id_column, text_column, words, percent, rows))
+        links = materialized(links, "links")
         tested = tested.unionByName(pairs)
         found = not links.isEmpty()
         if found:
             labels = _relabelled(labels, links)
         if last:
             return labels
-        current = members.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        current = current.select("key", "rep", F.coalesce("component", "rep").alias("label"))
+        current = members.select("key", "band", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+        current = current.select("key", "band", "rep", F.coalesce("component", "rep").alias("label"))
         groups = current.groupBy("key", "label").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep")).alias("pick"))
-        open_keys = groups.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("n", "label", "pick")).alias("top"))
-        outside = current.join(open_keys.filter("k > 1").select("key", "top"), "key").filter("label <> top.label")
-        outside = materialized(outside.select("key", "rep", "label", F.col("top.pick").alias("pick")), "outside")
+        open_keys = groups.groupBy("key").agg(
+            F.count("*").alias("k"), F.sum("n").alias("size"), F.max(F.struct("n", "label", "pick")).alias("top")
+        )
+        outside = current.join(open_keys.filter("k > 1").drop("k"), "key").filter("label <> top.label")
+        outside = materialized(outside.select("key", "band", "rep", "label", "top.pick", "size"), "outside")
         if outside.isEmpty():
             return labels
         if found:
@@ -160,8 +167,9 @@ def _linked_labels(docs, firsts, members, id_column, text_column, words, percent
         else:
             last = True
             other = current.select("key", F.col("rep").alias("x"), F.col("label").alias("other"))
-            across = outside.join(other, "key").filter("label <> other")
+            across = outside.filter(F.col("size") <= PAIRED_BUCKET).join(other, "key").filter("label <> other")
             pairs = _ordered(across.select("x", F.col("rep").alias("y")))
+            blocks = (docs, firsts, current, outside.filter(F.col("size") > PAIRED_BUCKET))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -182,48 +190,104 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialized(moved.unionByName(new), "labels")
 
 
+def _full_sets(docs, firsts, involved, id_column, text_column, words) -> DataFrame:
+    """``id, value``: the sorted set of every representative in ``involved(id)``, as bytes."""
+
+    def as_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            values = [shingle_set(text, words).tobytes() for text in batch["text"]]
+            yield pd.DataFrame({"id": batch["id"], "n": [len(v) // 8 for v in values], "value": values})
+
+    involved = broadcast_if_bounded(materialized(involved.distinct(), "involved"))
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    sets = texts.join(involved, "id", "left_semi").mapInPandas(as_sets, "id long, n long, value binary")
+    # Rows may repeat an id; the representative's own set is the one of its signature row.
+    sets = sets.join(firsts.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n")), ["id", "n"])
+    return materialized(sets.dropDuplicates(["id"]).select("id", "value"), "sets")
+
+
+def _least_agreement(percent: int, minima_count: int) -> float:
+    """Share of equal signature bytes, five deviations under that of a pair at the threshold."""
+    share = percent / 100 + (1 - percent / 100) / 256
+    return share - 5 * math.sqrt(share * (1 - share) / minima_count)
+
+
+def _holds(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _block_links(docs, firsts, current, outside, id_column, text_column, words, percent, rows) -> DataFrame:
+    """Links between ``outside`` and members of other classes in the same large bucket.
+
+    Both sides are cut into blocks of about ``BLOCK_MEMBERS`` and every block of one meets
+    every block of the other as one group of bounded size. Inside it signatures are compared
+    at once, full sets only where these allow a link and the classes have none yet, and only
+    links leave it. A pair is looked at in its first common bucket alone.
+    """
+    if outside.isEmpty():
+        return docs.sparkSession.createDataFrame([], PAIRS)
+    sizes = outside.groupBy("key").agg(
+        F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("left"), F.ceil(F.max("size") / BLOCK_MEMBERS).cast("int").alias("right")
+    )
+    members = current.join(sizes, "key")
+    sets = _full_sets(docs, firsts, members.select(F.col("rep").alias("id")), id_column, text_column, words)
+    data = sets.withColumnRenamed("id", "rep").join(firsts.select("rep", "signature"), "rep")
+
+    def side(part: DataFrame, number: int, own: str, other: str) -> DataFrame:
+        blocks = part.withColumn(own + "_", F.pmod(F.xxhash64("rep"), F.col(own)).cast("int"))
+        blocks = blocks.withColumn(other + "_", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return blocks.select("key", "left_", "right_", "band", "rep", "label", F.lit(number).alias("side"))
+
+    both = side(outside.join(sizes, "key"), 0, "left", "right").unionByName(side(members, 1, "right", "left"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        ones, twos = group[group["side"] == 0], group[group["side"] == 1]
+        out = []
+        if len(ones) and len(twos):
+            band = int(group["band"].iloc[0])
+            signs = np.frombuffer(b"".join(twos["signature"]), np.uint8).reshape(len(twos), -1)
+            ids, labels = twos["rep"].to_numpy(), twos["label"].to_numpy()
+            values = [np.frombuffer(v, np.uint64) for v in twos["value"]]
+            least = _least_agreement(percent, signs.shape[1])
+            for rep, label, sign, value in zip(ones["rep"], ones["label"], ones["signature"], ones["value"]):
+                same = signs == np.frombuffer(sign, np.uint8)
+                first = same.reshape(len(ids), -1, rows).all(axis=2).argmax(axis=1) == band
+                near = np.flatnonzero((same.mean(axis=1) >= least) & first & (labels != label))
+                joined = set()
+                for k in near.tolist():
+                    if labels[k] not in joined and _holds(np.frombuffer(value, np.uint64), values[k], percent):
+                        joined.add(labels[k])
+                        out.append((min(rep, ids[k]), max(rep, ids[k])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return both.join(data, "rep").groupBy("key", "left_", "right_").applyInPandas(compare, PAIRS).distinct()
+
+
 def _verified(docs, firsts, pairs, id_column, text_column, words, percent) -> DataFrame:
     """Pairs that hold on their signatures, within five deviations, and on their full sets."""
-    likeness = percent / 100
 
     def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = []
             for one, two in zip(batch["sa"], batch["sb"]):
-                x, y = np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)
-                share = likeness + (1 - likeness) / 256
-                keep.append((x == y).mean() >= share - 5 * math.sqrt(share * (1 - share) / len(x)))
+                same = np.frombuffer(one, np.uint8) == np.frombuffer(two, np.uint8)
+                keep.append(same.mean() >= _least_agreement(percent, len(same)))
             yield batch.loc[keep, ["a", "b"]]
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = []
-            for one, two in zip(batch["va"], batch["vb"]):
-                x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            sides = zip(batch["va"], batch["vb"])
+            keep = [_holds(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in sides]
             yield batch.loc[keep, ["a", "b"]]
 
-    def as_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = [shingle_set(text, words).tobytes() for text in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "n": [len(v) // 8 for v in values], "value": values})
-
     sized = firsts.select("rep", "n_shingles", "signature")
-    first = sized.toDF("a", "na", "sa")
-    second = sized.toDF("b", "nb", "sb")
-    near_size = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    first, second = sized.toDF("a", "na", "sa"), sized.toDF("b", "nb", "sb")
+    near_size = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     held = pairs.join(second, "b").join(first, "a").filter(near_size).select("a", "b", "sa", "sb")
     held = materialized(held.mapInPandas(likely, PAIRS), "likely")
     if held.isEmpty():
         return held
-    involved = held.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    involved = broadcast_if_bounded(materialized(involved, "involved"))
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    texts = texts.join(involved, "id", "left_semi")
-    sets = texts.mapInPandas(as_sets, "id long, n long, value binary")
-    # Rows may repeat an id; the representative's own set is the one of its signature row.
-    sets = sets.join(firsts.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n")), ["id", "n"])
-    sets = materialized(sets.dropDuplicates(["id"]).select("id", "value"), "sets")
+    sets = _full_sets(docs, firsts, held.select(F.explode(F.array("a", "b")).alias("id")), id_column, text_column, words)
     held = held.join(sets.toDF("b", "vb"), "b").join(sets.toDF("a", "va"), "a").select("a", "b", "va", "vb")
     return held.mapInPandas(exact, PAIRS)
