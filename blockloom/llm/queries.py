@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from blockloom.llm.exact_dedup import exact_dedup
 from blockloom.llm.language_id import held_out, identify, learn_from_documents
 from blockloom.llm.near_dedup import near_duplicates
 from blockloom.llm.packing import pack
+from blockloom.llm.pieces import decode_pieces, encode_pieces
 from blockloom.llm.registry import ORACLES, QUERIES, query
 from blockloom.llm.secret_scan import scan_report
 from blockloom.llm.tables import documents
@@ -60,3 +62,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_best_fit_packing")
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), capacity=2048)
+
+
+@query("op5_piece_encoding")
+def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_file("piece_bpe_32k.model")
+    found = decode_pieces(encode_pieces(documents(spark, sf_dir).select("doc_id", "text"), model), model)
+    return found.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2(F.concat("starts", "ends"), 256).alias("spans_sha256"),
+    )
