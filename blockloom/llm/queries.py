@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm.exact_dedup import exact_dedup
+from blockloom.llm.html_extract import extract_pages
 from blockloom.llm.language_id import held_out, identify, learn_from_documents
 from blockloom.llm.near_dedup import near_duplicates
 from blockloom.llm.packing import pack
 from blockloom.llm.pieces import decode_pieces, encode_pieces
 from blockloom.llm.registry import ORACLES, QUERIES, query
 from blockloom.llm.secret_scan import scan_report
-from blockloom.llm.tables import documents
+from blockloom.llm.tables import documents, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -75,3 +76,8 @@ def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"),
         F.sha2(F.concat("starts", "ends"), 256).alias("spans_sha256"),
     )
+
+
+@query("op8_html_extraction")
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
