@@ -9,6 +9,7 @@ from blockloom.llm.exact_dedup import exact_dedup
 from blockloom.llm.html_extract import extract_pages
 from blockloom.llm.language_id import held_out, identify, learn_from_documents
 from blockloom.llm.near_dedup import near_duplicates
+from blockloom.llm.order_minhash import edit_report
 from blockloom.llm.packing import pack
 from blockloom.llm.pieces import decode_pieces, encode_pieces
 from blockloom.llm.registry import ORACLES, QUERIES, query
@@ -81,3 +82,8 @@ def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_html_extraction")
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op3_order_minhash")
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_report(documents(spark, sf_dir))
