@@ -7,9 +7,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from blockloom.session import materialized
 
@@ -25,6 +26,9 @@ END = b"\0\0\0\0"
 CACHED_WORDS = 800_000
 CACHED_LENGTH = 40
 SHARD_ITEMS = 40_000
+PIECE = pa.schema(
+    [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+)
 
 
 class WordIds:
@@ -93,20 +97,20 @@ def word_ids(tokenizer_path: str) -> WordIds:
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_column: str, text_column: str) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: texts as ids with an end id 0, cut at ``capacity``."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = word_ids(tokenizer_path)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = store.encode(text) + END
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                ids = store.encode(text.as_py()) + END
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield frame.astype({"doc_id": "Int64"})
+            columns = zip(*out) if out else [()] * len(PIECE)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, PIECE.types)], names=PIECE.names)
 
     plain = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return plain.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return plain.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,15 +164,17 @@ def pack(
     pieces = materialized(token_pieces(docs, tokenizer_path, capacity, id_column, text_column), "pieces")
     short = pieces.filter(F.col("length") < capacity)
     shards = max(1, round(short.count() / shard_items))
-    schema = pieces.schema.simpleString()[7:-1].replace(":", " ") + ", sequence_id long, offset long"
+    schema = StructType([*pieces.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
-    def place(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, *[True] * 4], kind="stable")
+    def place(key: tuple, shard: pa.Table) -> pa.Table:
+        order = [("length", "descending"), *[(c, "ascending") for c in ("doc_id", "piece", "start", "ids_crc32")]]
+        shard = shard.drop_columns("_shard").sort_by(order)
         bins, offsets = sum_of_squares(shard["length"].to_numpy(), capacity)
-        return shard.drop(columns="_shard").assign(sequence_id=bins * shards + key[0], offset=offsets)
+        shard = shard.append_column("sequence_id", pa.array(bins * shards + key[0].as_py()))
+        return shard.append_column("offset", pa.array(offsets))
 
     shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards))
-    packed = short.withColumn("_shard", shard).groupBy("_shard").applyInPandas(place, schema)
+    packed = short.withColumn("_shard", shard).groupBy("_shard").applyInArrow(place, schema)
     # Full pieces take negative numbers, which no shard uses.
     alone = -F.monotonically_increasing_id() - 1
     full = pieces.filter(F.col("length") == capacity)
