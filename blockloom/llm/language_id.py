@@ -14,6 +14,7 @@ from blockloom.llm.tables import crc_of_id, unused_name
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BLOCK_BYTES = 4096
+RANK_SALTS = 64
 UNKNOWN = "und"
 
 
@@ -45,8 +46,10 @@ def learn_dictionaries(
         F.col(lang_column).alias("lang"), F.col(text_column).alias("text"), F.xxhash64(order_column, text_column).alias("at")
     ).filter("lang IS NOT NULL AND text IS NOT NULL")
     rows = rows.filter(F.octet_length("text").between(64, sample_bytes))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))
-    chosen = rows.withColumn("nth", rank).filter(F.col("nth") <= sample_docs)
+    chosen = rows.withColumn("salt", F.pmod("at", F.lit(RANK_SALTS)))
+    for keys in (["lang", "salt"], ["lang"]):  # so one language's candidates do not meet at once
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("at", "text"))
+        chosen = chosen.withColumn("nth", rank).filter(F.col("nth") <= sample_docs)
     seen: dict[str, str] = {}
     for row in chosen.orderBy("lang", "nth").select("lang", "text").collect():
         seen.setdefault(row.text, row.lang)

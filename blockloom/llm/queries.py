@@ -14,6 +14,7 @@ from blockloom.llm.packing import pack
 from blockloom.llm.pieces import decode_pieces, encode_pieces
 from blockloom.llm.registry import ORACLES, QUERIES, query
 from blockloom.llm.secret_scan import scan_report
+from blockloom.llm.suffix_dedup import repeated_spans
 from blockloom.llm.tables import documents, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -87,3 +88,8 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_order_minhash")
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_report(documents(spark, sf_dir))
+
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(documents(spark, sf_dir), length=200).drop("spans")
