@@ -8,8 +8,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.llm.components import connected_components
@@ -18,8 +19,9 @@ from blockloom.session import broadcast_if_bounded, materialized
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 256  # shingles hashed at once, so that a very long text needs no large matrix
 PAIRS = "a long, b long"
-PAIRED_BUCKET = 64  # larger buckets are compared block by block instead of pair by pair
+PAIRED_BUCKET = 16  # larger buckets are compared block by block instead of pair by pair
 BLOCK_MEMBERS = 256
+HUBS_TRIED = 3  # per document; what they leave open is compared in full
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -68,11 +70,11 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, words: int, ro
     """
     hashes = universal_hashes(rows * bands)
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text in batch["text"]:
-                values = shingle_set(text, words)
+            for text in batch.column("text"):
+                values = shingle_set(text.as_py(), words)
                 if not len(values):
                     out.append((0, None, None, None))
                     continue
@@ -84,11 +86,12 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, words: int, ro
                 band += np.arange(bands, dtype=np.uint64)
                 key = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
                 out.append((len(values), key, band.view(np.int64), (least >> np.uint64(56)).astype(np.uint8).tobytes()))
-            n, key, band, sign_ = zip(*out) if out else ((), (), (), ())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": n, "set_key": key, "bands": band, "signature": sign_})
+            columns = zip(*out) if out else [()] * 4
+            made = [pa.array(list(v), t) for v, t in zip(columns, (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", "n_shingles", "set_key", "bands", "signature"])
 
     plain = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return plain.mapInPandas(sign, "doc_id long, n_shingles long, set_key binary, bands array<long>, signature binary")
+    return plain.mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, bands array<long>, signature binary")
 
 
 def near_duplicates(
@@ -107,11 +110,11 @@ def near_duplicates(
     a row without an id is left alone: its class is null and it is kept.
 
     Candidates come from banding, so a pair at the threshold is missed with a chance of
-    1e-5. Equal sets collapse first. Inside a bucket no hub has to be like everyone: hubs of
-    the largest class are compared with members of other classes while that finds links;
-    then what is still outside is compared with all members of other classes: pair by pair
-    in small buckets, block by block in large ones, where only links leave a task. Every
-    pair of a bucket is thus either compared or already in one class.
+    1e-5. Equal sets collapse first. Every document is compared with the smallest ids of its
+    buckets; then members of a bucket that are not in its largest class are compared with all
+    its members of other classes: pair by pair in small buckets, block by block in large
+    ones, where only links leave a task. Every pair of a bucket is thus either compared or
+    already in one class.
     """
     signed = materialized(
         signatures(docs, id_column, text_column, words, rows, bands_needed(percent / 100, rows)), "signatures"
@@ -135,41 +138,35 @@ def near_duplicates(
 
 def _linked_labels(docs, firsts, members, id_column, text_column, words, percent, rows) -> DataFrame:
     """``node, component`` of the representatives that have links."""
-    spark = docs.sparkSession
-    labels = spark.createDataFrame([], "node long, component long")
-    tested = spark.createDataFrame([], PAIRS)
-    pairs = members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    last = False
-    while True:
-        pairs = materialized(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = _verified(docs, firsts, pairs, id_column, text_column, words, percent)
-        if last:
-            links = links.unionByName(_block_links(*blocks, id_column, text_column, words, percent, rows))
-        links = materialized(links, "links")
-        tested = tested.unionByName(pairs)
-        found = not links.isEmpty()
-        if found:
-            labels = _relabelled(labels, links)
-        if last:
-            return labels
-        current = members.select("key", "band", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        current = current.select("key", "band", "rep", F.coalesce("component", "rep").alias("label"))
-        groups = current.groupBy("key", "label").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep")).alias("pick"))
-        open_keys = groups.groupBy("key").agg(
-            F.count("*").alias("k"), F.sum("n").alias("size"), F.max(F.struct("n", "label", "pick")).alias("top")
-        )
-        outside = current.join(open_keys.filter("k > 1").drop("k"), "key").filter("label <> top.label")
-        outside = materialized(outside.select("key", "band", "rep", "label", "top.pick", "size"), "outside")
-        if outside.isEmpty():
-            return labels
-        if found:
-            pairs = _ordered(outside.select(F.col("pick").alias("x"), F.col("rep").alias("y")))
-        else:
-            last = True
-            other = current.select("key", F.col("rep").alias("x"), F.col("label").alias("other"))
-            across = outside.filter(F.col("size") <= PAIRED_BUCKET).join(other, "key").filter("label <> other")
-            pairs = _ordered(across.select("x", F.col("rep").alias("y")))
-            blocks = (docs, firsts, current, outside.filter(F.col("size") > PAIRED_BUCKET))
+    verify = (docs, firsts, id_column, text_column, words, percent)
+    pairs = materialized(_to_hubs(members.filter("rep <> hub")), "pairs")
+    links = materialized(_verified(pairs, *verify), "links")
+    labels = _relabelled(docs.sparkSession.createDataFrame([], "node long, component long"), links)
+    current = members.select("key", "band", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    current = current.select("key", "band", "rep", F.coalesce("component", "rep").alias("label"))
+    groups = current.groupBy("key", "label").agg(F.count("*").alias("n"))
+    open_keys = groups.groupBy("key").agg(
+        F.count("*").alias("k"), F.sum("n").alias("size"), F.max_by("label", F.struct("n", "label")).alias("top")
+    )
+    outside = current.join(open_keys.filter("k > 1").drop("k"), "key").filter("label <> top")
+    outside = materialized(outside.select("key", "band", "rep", "label", "size"), "outside")
+    if outside.isEmpty():
+        return labels
+    other = current.select("key", F.col("rep").alias("x"), F.col("label").alias("other"))
+    across = outside.filter(F.col("size") <= PAIRED_BUCKET).join(other, "key").filter("label <> other")
+    across = _ordered(across.select("x", F.col("rep").alias("y"))).distinct().join(pairs, ["a", "b"], "left_anti")
+    found = _verified(materialized(across, "pairs"), *verify)
+    large = outside.filter(F.col("size") > PAIRED_BUCKET)
+    found = found.unionByName(_block_links(large, current, rows, *verify))
+    return _relabelled(labels, materialized(found, "links"))
+
+
+def _to_hubs(rows: DataFrame) -> DataFrame:
+    """Every document with the hubs of most of its buckets; others are left to the full round."""
+    met = rows.groupBy("rep", "hub").agg(F.count("*").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("n"), "hub"))
+    chosen = met.withColumn("nth", nth).filter(F.col("nth") <= HUBS_TRIED)
+    return _ordered(chosen.select(F.col("hub").alias("x"), F.col("rep").alias("y")))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -178,6 +175,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after ``links(a, b)``: components of the old classes, then of their members."""
+    if links.isEmpty():
+        return labels
     ends = links
     for end in ("a", "b"):
         renamed = labels.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
@@ -217,7 +216,7 @@ def _holds(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _block_links(docs, firsts, current, outside, id_column, text_column, words, percent, rows) -> DataFrame:
+def _block_links(outside, current, rows, docs, firsts, id_column, text_column, words, percent) -> DataFrame:
     """Links between ``outside`` and members of other classes in the same large bucket.
 
     Both sides are cut into blocks of about ``BLOCK_MEMBERS`` and every block of one meets
@@ -264,7 +263,7 @@ def _block_links(docs, firsts, current, outside, id_column, text_column, words,
     return both.join(data, "rep").groupBy("key", "left_", "right_").applyInPandas(compare, PAIRS).distinct()
 
 
-def _verified(docs, firsts, pairs, id_column, text_column, words, percent) -> DataFrame:
+def _verified(pairs, docs, firsts, id_column, text_column, words, percent) -> DataFrame:
     """Pairs that hold on their signatures, within five deviations, and on their full sets."""
 
     def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
