@@ -12,6 +12,7 @@ from blockloom.llm.near_dedup import near_duplicates
 from blockloom.llm.order_minhash import edit_report
 from blockloom.llm.packing import pack
 from blockloom.llm.pieces import decode_pieces, encode_pieces
+from blockloom.llm.pitman_yor import score_documents
 from blockloom.llm.registry import ORACLES, QUERIES, query
 from blockloom.llm.secret_scan import scan_report
 from blockloom.llm.suffix_dedup import repeated_spans
@@ -93,3 +94,8 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_suffix_dedup")
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(documents(spark, sf_dir), length=200).drop("spans")
+
+
+@query("op1_pitman_yor")
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir))
