@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 
 import numpy as np
 
 MARK = "▁"
-SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 CACHED_SEGMENTS = 600_000
 CACHED_LENGTH = 40
+NEVER = float("-inf")
 HEAP_FROM = 40  # symbols; shorter stretches are merged by plain search
 
 
@@ -49,7 +50,7 @@ class PieceModel:
     The model must merge pairs by score, fall back to bytes and have no user-defined or
     unused pieces; others are refused. A stretch of text up to a space mark is encoded once
     and kept while there is room: no piece has a mark after another character, so no merge
-    crosses such a place.
+    crosses such a place. The same holds at some punctuation.
     """
 
     def __init__(self, path: str):
@@ -81,6 +82,16 @@ class PieceModel:
             self.mapped_bytes[i] = len(piece.encode())
             self.plain_bytes[i] = self.mapped_bytes[i] - 2 * piece.count(MARK)
         self.known: dict[str, bytes] = {}
+        self.segments = self._segments()
+
+    def _segments(self) -> re.Pattern:
+        """Stretches that no merge leaves: up to a space mark, and up to a mark of punctuation
+        after a letter or digit if no piece has such two characters in a row."""
+        joined = {piece[i + 1] for piece in self.ids for i in range(len(piece) - 1) if piece[i].isalnum()}
+        apart = re.escape("".join(c for c in ".,;:!?" if c not in joined))
+        if not apart:
+            return re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        return re.compile(f"{MARK}*[^{MARK}](?:[^{MARK}{apart}]+|(?<![^\\W_])[{apart}])*|{MARK}+")
 
     def normalised(self, text: str) -> tuple[str, np.ndarray]:
         """Normalised text, and for each of its bytes the source byte where it comes from.
@@ -147,11 +158,11 @@ class PieceModel:
         return ids, origin[stops - self.mapped_bytes[ids]], origin[stops]
 
     def _ids(self, marked: str) -> bytes:
-        segments = SEGMENT.findall(marked)
+        segments = self.segments.findall(marked)
         known, long = self.known, {}
         for segment in set(segments).difference(known):
-            ids = np.array(self._merged(segment), "<u4").tobytes()
-            known[segment] = ids
+            ids = self._merged(segment)
+            known[segment] = ids = struct.pack(f"<{len(ids)}I", *ids)
             if len(segment) > CACHED_LENGTH:
                 long[segment] = ids
         joined = b"".join(map(known.__getitem__, segments))
@@ -169,16 +180,20 @@ class PieceModel:
         return out
 
     def _merge_short(self, parts: list[str]) -> list[str]:
-        scores = self.scores
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if at < 0:
-                return parts
+        best_of = self.scores.get
+        scores = [best_of(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        while scores:
+            best = max(scores)
+            if best == NEVER:
+                break
+            at = scores.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = best_of(parts[at - 1] + parts[at], NEVER)
+            if at < len(scores):
+                scores[at] = best_of(parts[at] + parts[at + 1], NEVER)
+        return parts
 
     def _merge_long(self, parts: list[str]) -> list[str]:
         after = list(range(1, len(parts))) + [-1]

@@ -6,11 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from blockloom.llm.piece_model import PieceModel
 
+ROWS_AT_ONCE = 200  # encoded rows that a task holds; they are several times their texts
+
 _MODELS: dict[str, PieceModel] = {}
 
 
@@ -31,16 +35,19 @@ def encode_pieces(docs: DataFrame, model_path: str, text_column: str = "text") -
     Columns of these names are replaced.
     """
     names = ("ids", "starts", "ends")
-    kept = [c for c in docs.columns if c.lower() not in names]
+    plain = docs.select(*[c for c in docs.columns if c.lower() not in names])
+    schema = StructType([*plain.schema, *[StructField(name, BinaryType()) for name in names]])
 
-    @F.pandas_udf("ids binary, starts binary, ends binary")
-    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(model_path)
-        for batch in texts:
-            yield pd.DataFrame([model.encode(text) for text in batch], columns=list(names))
-
-    found = docs.withColumn("_encoded", encode(F.col(text_column)))
-    return found.select(*kept, *[F.col(f"_encoded.{name}") for name in names])
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                found = zip(*[model.encode(text) for text in part.column(text_column).to_pylist()])
+                columns = [*part.columns, *[pa.array(values, pa.binary()) for values in found]]
+                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, *names])
+
+    return plain.mapInArrow(encode, schema)
 
 
 def decode_pieces(frame: DataFrame, model_path: str, ids_column: str = "ids", to: str = "decoded") -> DataFrame:
