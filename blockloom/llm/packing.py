@@ -127,10 +127,10 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     bins, offsets, made = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
     for i, size in enumerate(lengths.tolist()):
         old, left = count[size:], count[: capacity - size + 1]
-        # Half of (old - 1)**2 - old**2 + (left + 1)**2 - left**2; a full bin leaves no gap.
-        change = np.where(old > 0, 1 - old + left, never)
+        # (old - 1)**2 - old**2 + (left + 1)**2 - left**2; a full bin leaves no gap.
+        change = np.where(old > 0, 2 - 2 * old + 2 * left, never)
         if old[0]:
-            change[0] = -old[0]
+            change[0] = 1 - 2 * old[0]
         at = int(change.argmin())
         if change[at] < never:
             gap = at + size
