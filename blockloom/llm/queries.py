@@ -46,7 +46,38 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
-@query("op9_near_dedup")
+@query(
+    "op9_near_dedup",
+    r"""
+    WITH RECURSIVE parts AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+        FROM documents
+    ),
+    shingles AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 3) - 1], ' ') AS s
+        FROM parts, unnest(range(1, greatest(len(w) - 1, least(len(w) + 1, 2)))) AS r(i)
+    ),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    common AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+        FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+    ),
+    links AS (
+        SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
+        WHERE 100 * k >= 85 * (a.n + b.n - k)
+    ),
+    ends AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    reached(doc_id, other) AS (
+        SELECT doc_id, doc_id FROM parts
+        UNION SELECT r.doc_id, e.y FROM reached r JOIN ends e ON e.x = r.other
+    ),
+    classes AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM classes LEFT JOIN sizes USING (doc_id)
+    """,
+)
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), words=3, percent=85)
 
