@@ -132,21 +132,33 @@ def _string_answers(packed: list[bytes]) -> list[bytes]:
 
 
 class _Anchors:
-    """Anchors of a chunk's texts, joined, and their distinct pairs of buckets."""
+    """Anchors of a chunk's texts, joined, and their distinct pairs of buckets.
 
-    def __init__(self, chunk: Chunk, length: int):
-        self.found = [(i, start, b) for i, text in enumerate(chunk.texts) for start, b in _segments(text, length)]
-        none = [np.empty(0, np.uint64)]
-        grams = np.concatenate([b.grams for _, _, b in self.found] or none)
-        wholes = np.concatenate([b.whole for _, _, b in self.found] or none)
-        self.grams, self.wholes, self.counts, self.sample, self.kind = _sorted_pairs(grams, wholes)
+    Buckets of all strings are let go at once; where they are needed they are made again.
+    """
 
-    def each(self, values: np.ndarray) -> Iterator[tuple[int, int, Buckets, np.ndarray]]:
+    def __init__(self, chunk: Chunk, length: int):
+        self.chunk, self.length, self.found = chunk, length, []
+        grams, wholes = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+        for i, text in enumerate(chunk.texts):
+            for start, buckets in _segments(text, length):
+                self.found.append((i, start, buckets.first, buckets.last))
+                grams.append(buckets.grams)
+                wholes.append(buckets.whole)
+        pairs = _sorted_pairs(np.concatenate(grams), np.concatenate(wholes))
+        self.grams, self.wholes, self.counts, self.sample, self.kind = pairs
+
+    def each(self, values: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Text, start, first and last string of the anchors of a segment, and their values."""
         at = 0
-        for i, start, buckets in self.found:
-            stop = at + len(buckets.first)
-            yield i, start, buckets, values[at:stop]
-            at = stop
+        for i, start, first, last in self.found:
+            yield i, start, first, last, values[at : at + len(first)]
+            at += len(first)
+
+    def strings(self, i: int, start: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        content = np.frombuffer(self.chunk.texts[i], np.uint8)
+        buckets = Buckets(content[start : start + SEGMENT + self.length - 1], self.length)
+        return buckets.strings[at], buckets.checks[at]
 
 
 def _read(one: np.ndarray, parts: int, answers: dict, kind: int, unpack) -> np.ndarray:
@@ -178,12 +190,14 @@ def _spread(anchors: _Anchors, status: np.ndarray):
     chosen = np.zeros(len(anchors.kind), bool)
     chosen[anchors.sample[(status & SPREAD) > 0]] = True
     texts, starts, strings, checks = [], [], [], []
-    for i, start, buckets, mine in anchors.each(chosen):
-        at = _ranges(buckets.first[mine], buckets.last[mine])
-        texts.append(np.full(len(at), i))
-        starts.append(at + start)
-        strings.append(buckets.strings[at])
-        checks.append(buckets.checks[at])
+    for i, start, first, last, mine in anchors.each(chosen):
+        if mine.any():
+            at = _ranges(first[mine], last[mine])
+            one, two = anchors.strings(i, start, at)
+            texts.append(np.full(len(at), i))
+            starts.append(at + start)
+            strings.append(one)
+            checks.append(two)
     if not texts:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 2
     return tuple(map(np.concatenate, (texts, starts, strings, checks)))
@@ -233,8 +247,8 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
             np.add.at(marks[i], at, 1)
             np.add.at(marks[i], till, -1)
 
-        for i, start, buckets, full in anchors.each(((status & REPEATED) > 0)[anchors.kind]):
-            mark(i, buckets.first[full] + start, buckets.last[full] + start + length)
+        for i, start, first, last, full in anchors.each(((status & REPEATED) > 0)[anchors.kind]):
+            mark(i, first[full] + start, last[full] + start + length)
         hit_texts, hit_starts = texts[repeated], starts[repeated]
         bounds = np.flatnonzero(np.diff(hit_texts)) + 1
         for group_texts, group_starts in zip(np.split(hit_texts, bounds), np.split(hit_starts, bounds)):
