@@ -113,21 +113,28 @@ def chunked(
     return made.filter(F.col("kind") == TEXTS).select("chunk", "ids", "sizes", "content"), made.filter(F.col("kind") == KEYS)
 
 
-def answered(keys: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-    """``chunk, part, content``: ``answer`` of all packed keys of a part, one for each chunk."""
+def answered(keys: DataFrame, answer: Callable[[list[bytes]], list[bytes]], parts: int) -> DataFrame:
+    """``chunk, part, content``: ``answer`` of all packed keys of a part, one for each chunk.
+
+    There are as many partitions as ``parts``, so that a task's share does not depend on the
+    size of the input.
+    """
 
     def reply(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
         return pa.table({"chunk": table["chunk"], "part": table["part"], "content": pa.array(answer(table["content"].to_pylist()), pa.binary())})
 
-    rows = keys.select("chunk", "part", "content")
+    rows = keys.select("chunk", "part", "content").repartition(parts, "part")
     return rows.groupBy("part").applyInArrow(reply, "chunk long, part int, content binary")
 
 
-def with_answers(texts: DataFrame, answers: DataFrame, work: Callable[[int, Chunk, dict], pa.Table], schema: str) -> DataFrame:
+def with_answers(
+    texts: DataFrame, answers: DataFrame, work: Callable[[int, Chunk, dict], pa.Table], schema: str, partitions: int
+) -> DataFrame:
     """``work(number, chunk, answers by kind and part)`` for every chunk.
 
     ``answers`` has ``kind, chunk, part, content``; kinds and parts without a row are absent.
+    Both sides are dealt to ``partitions``, a number that should follow the bytes of text.
     """
 
     def run(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
@@ -137,4 +144,6 @@ def with_answers(texts: DataFrame, answers: DataFrame, work: Callable[[int, Chun
         }
         return work(key[0].as_py(), Chunk.of(texts), found)
 
-    return texts.groupBy("chunk").cogroup(answers.select("chunk", "kind", "part", "content").groupBy("chunk")).applyInArrow(run, schema)
+    left = texts.repartition(partitions, "chunk").groupBy("chunk")
+    right = answers.select("chunk", "kind", "part", "content").repartition(partitions, "chunk").groupBy("chunk")
+    return left.cogroup(right).applyInArrow(run, schema)

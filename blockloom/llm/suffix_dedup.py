@@ -266,10 +266,10 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
         return pa.table([pa.array(list(v), t) for v, t in zip(zip(*rows), types)], names=list(names))
 
     texts, keys = chunked(docs, id_column, text_column, anchor_keys)
-    anchors = materialized(answered(keys, _anchor_answers).withColumn("kind", F.lit(0)), "anchors")
+    anchors = materialized(answered(keys, _anchor_answers, parts).withColumn("kind", F.lit(0)), "anchors")
     # A chunk without keys, of short texts, still has to meet its texts.
     nothing = texts.select("chunk", F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("content"), F.lit(-1).alias("kind"))
-    strings = with_answers(texts, anchors, string_keys, "chunk long, part int, content binary")
-    strings = answered(strings, _string_answers).withColumn("kind", F.lit(1))
+    strings = with_answers(texts, anchors, string_keys, "chunk long, part int, content binary", parts)
+    strings = answered(strings, _string_answers, parts).withColumn("kind", F.lit(1))
     everything = anchors.unionByName(strings).unionByName(nothing)
-    return with_answers(texts, everything, remove, RESULT)
+    return with_answers(texts, everything, remove, RESULT, parts)
