@@ -109,9 +109,17 @@ def partition_key(range_start, range_end) -> Column:
     return F.concat(_col(range_start).cast("string"), F.lit("-"), (_col(range_end) - 1).cast("string"))
 
 
+KEY_PATTERN = r"^(?:(\d+)_)?(\d+)-(\d+)$"
+
+
 def parse_partition_key(key) -> tuple[Column, Column]:
-    """Inclusive ``start-last`` text to end-exclusive ``(start, end)``; malformed gives null."""
-    pattern = r"^(\d+)-(\d+)$"
-    first = F.regexp_extract(_col(key), pattern, 1).try_cast("bigint")
-    last = F.regexp_extract(_col(key), pattern, 2).try_cast("bigint")
+    """Inclusive ``start-last`` text, with or without a chain in front, to end-exclusive
+    ``(start, end)``; malformed gives null."""
+    first = F.regexp_extract(_col(key), KEY_PATTERN, 2).try_cast("bigint")
+    last = F.regexp_extract(_col(key), KEY_PATTERN, 3).try_cast("bigint")
     return first, last + 1
+
+
+def chain_of_key(key) -> Column:
+    """Chain of a ``chain_start-last`` key; null for other keys."""
+    return F.regexp_extract(_col(key), KEY_PATTERN, 1).try_cast("bigint")

@@ -66,13 +66,18 @@ def row_range(df: DataFrame, row_filter: Mapping[str, Mapping[str, int]]) -> Dat
 def read_since(
     df: DataFrame, cursor_column: str, cursor, where: Mapping | None = None, allow: Iterable[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
-    """``(rows above the cursor that match, one-row next_cursor)``.
+    """``(rows above the cursor that match, one-row next_cursor)``; no cursor reads everything.
 
-    The next cursor ignores ``where``: it advances even when no row matches.
+    The next cursor is found first, by a job of its own, and the rows end at it: what a live
+    table gains later belongs to the next read. It ignores ``where``, so it advances even
+    when no row matches. Rows without a cursor value are never read.
     """
-    newer = df.filter(F.col(cursor_column) > F.lit(cursor))
-    next_cursor = newer.agg(F.coalesce(F.max(cursor_column), F.lit(cursor)).alias("next_cursor"))
-    return edge_where(newer, where or {}, allow), next_cursor
+    column, kind = F.col(cursor_column), df.schema[cursor_column].dataType
+    newer = df.filter(column.isNotNull() if cursor is None else column > F.lit(cursor))
+    top = newer.agg(F.max(cursor_column)).first()[0]
+    last = F.lit(cursor if top is None else top).cast(kind)
+    rows = newer.limit(0) if top is None else newer.filter(column <= last)
+    return edge_where(rows, where or {}, allow), df.sparkSession.range(1).select(last.alias("next_cursor"))
 
 
 def finalized_only(
@@ -125,6 +130,28 @@ def visible_rows(df: DataFrame, org_id, user_id, memberships: DataFrame) -> Data
     )
 
 
+def visible_to(df: DataFrame, principals: DataFrame, memberships: DataFrame) -> DataFrame:
+    """Rows with every ``reader`` of ``principals(org_id, user_id)`` who may read them.
+
+    A row's visibility is of one kind, so the kinds are joined apart, each by equality:
+    org rows by org, private rows by org and creator, role rows by org and role. Columns of
+    ``df`` as for ``visible_rows``, with ``reader`` added.
+    """
+    readers = principals.select("org_id", F.col("user_id").alias("reader")).distinct()
+    roles = (
+        memberships.select("org_id", F.col("user_id").alias("reader"), F.concat(F.lit("role:"), "role_slug").alias("visibility"))
+        .distinct()
+        .join(readers, ["org_id", "reader"], "left_semi")
+    )
+    own = readers.withColumn("user_id", F.col("reader"))
+    parts = [
+        df.filter(F.col("visibility") == "org").join(readers, "org_id"),
+        df.filter(F.col("visibility") == "private").join(own, ["org_id", "user_id"]),
+        df.filter(F.col("visibility").startswith("role:")).join(roles, ["org_id", "visibility"]),
+    ]
+    return reduce(DataFrame.unionByName, [part.select(*df.columns, "reader") for part in parts])
+
+
 def sample_blocks(df: DataFrame, sample_rate: float, block: str = "block_number") -> DataFrame:
     """Deterministic sample: a block is in or out by its hash, on every run and table."""
     if not 0 <= sample_rate <= 1:

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.functions.ids import content_key, parse_partition_key, partition_key
+from blockloom.functions.ids import chain_of_key, content_key, parse_partition_key, partition_key
 from blockloom.operators.aggregates import latest_heads, range_counts
 from blockloom.operators.filters import edge_where, fresh_only, sample_blocks
 from blockloom.operators.intervals import bucket_of, pick_bucket_size, spread_over_buckets
 from blockloom.session import bounded_side, broadcast_if_bounded, is_bounded, materialized
 
+LOWEST, HIGHEST = -(2**63), 2**63 - 1
+FEW_BOUNDS = 100  # merged ranges that are written out as predicates
+
 DELIVERY_STATUSES = ("pending", "sending", "retrying", "delivered", "failed")
 
 
@@ -88,43 +92,99 @@ def missing_partitions(
     return upstream.join(downstream.select(*keys), list(keys), "left_anti")
 
 
-def invalidation_bounds(invalidations: DataFrame) -> DataFrame:
-    """Distinct inclusive ``first, last`` bounds of partition and row-range invalidations."""
-    first, end = parse_partition_key("partition_key")
+def usable_invalidations(
+    invalidations: DataFrame, dataset_uuid: str | None = None, dataset_version: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``(invalidations with bounds, the others)`` of a dataset, or of all.
+
+    The first have inclusive ``first, last`` and ``chain`` added; a null bound is open and a
+    null chain means every chain. A partition key may carry its chain (``1_0-999``); a row
+    filter takes it from ``chain_id`` if the table has that column. The others have a scope
+    or key that names no rows. A null dataset version stands for every version.
+    """
+    rows = invalidations
+    if dataset_uuid is not None:
+        rows = rows.filter(F.col("dataset_uuid") == dataset_uuid)
+    if dataset_version is not None:
+        rows = rows.filter(F.coalesce(F.col("dataset_version") == dataset_version, F.lit(True)))
+    start, end = parse_partition_key("partition_key")
     by_key = F.col("scope") == "partition"
-    return (
-        invalidations.filter(F.col("scope").isin("partition", "row_range"))
-        .select(
-            F.when(by_key, first).otherwise(F.col("row_filter.gte")).alias("first"),
-            F.when(by_key, end - 1).otherwise(F.col("row_filter.lte")).alias("last"),
-        )
-        .filter("first IS NOT NULL OR last IS NOT NULL")
-        .distinct()
+    own_chain = F.col("chain_id").cast("bigint") if "chain_id" in rows.columns else F.lit(None).cast("bigint")
+    judged = rows.withColumns(
+        {
+            "first": F.when(by_key, start).otherwise(F.col("row_filter.gte")),
+            "last": F.when(by_key, end - 1).otherwise(F.col("row_filter.lte")),
+            "chain": F.when(by_key, F.coalesce(chain_of_key("partition_key"), own_chain)).otherwise(own_chain),
+        }
     )
+    bounded = F.col("scope").isin("partition", "row_range") & (F.col("first").isNotNull() | F.col("last").isNotNull())
+    usable = F.coalesce(bounded, F.lit(False))
+    return judged.filter(usable), judged.filter(~usable).select(*rows.columns)
+
+
+def invalidation_bounds(usable: DataFrame) -> DataFrame:
+    """``chain, first, last`` of usable invalidations, overlapping and touching ones merged."""
+    spans = usable.select(
+        "chain", F.coalesce("first", F.lit(LOWEST)).alias("first"), F.coalesce("last", F.lit(HIGHEST)).alias("last")
+    )
+    spans = spans.filter("last >= first").distinct()
+    before = Window.partitionBy("chain").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("chain").orderBy("first", "last")
+    reach = F.max("last").over(before)
+    starts = spans.withColumn("_new", (reach.isNull() | (F.col("first") - 1 > reach)).cast("int"))
+    grouped = starts.withColumn("_group", F.sum("_new").over(ahead)).groupBy("chain", "_group")
+    return grouped.agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_group")
 
 
 def invalidated_rows(
-    df: DataFrame, invalidations: DataFrame, block: str = "block_number", bucket_size: int | None = None
+    df: DataFrame,
+    invalidations: DataFrame,
+    block: str = "block_number",
+    bucket_size: int | None = None,
+    chain: str = "chain_id",
+    dataset_uuid: str | None = None,
+    dataset_version: str | None = None,
 ) -> DataFrame:
     """Rows hit by any of the given invalidations; each row comes once.
 
-    The semi join runs on block buckets. An open-ended bound is closed with the lowest or
-    highest block of ``df`` so it covers a finite number of buckets.
+    Give ``dataset_uuid`` and ``dataset_version`` of ``df`` when the invalidations are of
+    several datasets. Merged bounds that are few become plain range predicates, which reach
+    the scan; more are joined on block buckets, below the overall range, which does too.
+    Invalidations without bounds hit nothing; ``usable_invalidations`` tells them.
     """
-    bounds = invalidation_bounds(invalidations)
-    if not bounds.filter("first IS NULL OR last IS NULL").isEmpty():
+    usable, _ = usable_invalidations(invalidations, dataset_uuid, dataset_version)
+    bounds = materialized(invalidation_bounds(usable), "bounds")
+    count, low, high, chained = bounds.agg(F.count("*"), F.min("first"), F.max("last"), F.count("chain")).first()
+    if not count:
+        return df.limit(0)
+    if chained and chain not in df.columns:
+        raise ValueError(f"invalidations name chains, but the rows have no column {chain}")
+    number = F.col(block)
+    if count <= FEW_BOUNDS:
+        return df.filter(reduce(lambda a, b: a | b, [_within(number, F.col(chain) if chained else None, r) for r in bounds.collect()]))
+    if low == LOWEST or high == HIGHEST:
         edge = df.agg(F.min(block).alias("low"), F.max(block).alias("high")).first()
-        bounds = bounds.select(
-            F.coalesce("first", F.lit(edge.low)).alias("first"), F.coalesce("last", F.lit(edge.high)).alias("last")
-        )
-    bounds = bounds.filter(F.col("last") >= F.col("first"))
+        if edge.low is None:
+            return df.limit(0)
+        low, high = max(low, edge.low), min(high, edge.high)
+        bounds = bounds.select("chain", F.greatest("first", F.lit(low)).alias("first"), F.least("last", F.lit(high)).alias("last"))
+        bounds = bounds.filter("last >= first")
     size = bucket_size or pick_bucket_size(bounds, "first", "last")
     spread = spread_over_buckets(bounds, "first", "last", size, "_bucket")
-    rows = df.withColumn("_bucket", bucket_of(block, size)).alias("r")
+    rows = df.filter(number.between(low, high)).withColumn("_bucket", bucket_of(block, size)).alias("r")
     hit = (F.col("r._bucket") == F.col("b._bucket")) & F.col(f"r.{block}").between(F.col("b.first"), F.col("b.last"))
+    if chained:
+        hit &= F.coalesce(F.col("b.chain") == F.col(f"r.{chain}"), F.col("b.chain").isNull())
     return rows.join(bounded_side(spread).alias("b"), hit, "left_semi").drop("_bucket")
 
 
+def _within(number: Column, chain: Column | None, bound) -> Column:
+    terms = [] if bound.chain is None else [chain == bound.chain]
+    terms += [] if bound.first == LOWEST else [number >= bound.first]
+    terms += [] if bound.last == HIGHEST else [number <= bound.last]
+    return reduce(lambda a, b: a & b, terms, F.lit(True)) if terms else number.isNotNull()
+
+
 def integrity_check(cold: DataFrame, canonical: DataFrame, sample_rate: float | None = None) -> DataFrame:
     """Stored block hashes against canonical ones: match, mismatch or missing on a side.
 
@@ -167,14 +227,32 @@ def integrity_check(cold: DataFrame, canonical: DataFrame, sample_rate: float |
     )
 
 
-def recompaction_requests(checked: DataFrame, partition_size: int) -> DataFrame:
-    """Partition invalidations for every block range that holds a failed check."""
+def recompaction_requests(
+    checked: DataFrame, partition_size: int, dataset_uuid: str | None = None, dataset_version: str | None = None
+) -> DataFrame:
+    """Partition invalidations for every block range that holds a failed check.
+
+    They carry all columns of an invalidation, so they can be appended to the ledger and
+    reprocessed. The id follows from the dataset, the range and what failed in it, so the
+    same findings give the same request and new findings a new one.
+    """
     start = bucket_of("block_number", partition_size) * partition_size
-    return (
-        checked.filter(F.col("status") != "match")
-        .groupBy("chain_id", partition_key(start, start + partition_size).alias("partition_key"))
-        .agg(F.count(F.lit(1)).alias("bad_blocks"))
-        .select("chain_id", F.lit("partition").alias("scope"), "partition_key", F.lit("correction").alias("reason"), "bad_blocks")
+    finding = F.xxhash64("block_number", "cold_hash", "canonical_hash", "status")
+    key = partition_key(start, start + partition_size)
+    found = checked.filter(F.col("status") != "match").groupBy("chain_id", key.alias("partition_key"))
+    requests = found.agg(F.count(F.lit(1)).alias("bad_blocks"), F.bit_xor(finding).alias("_found"))
+    dataset, version = F.lit(dataset_uuid).cast("string"), F.lit(dataset_version).cast("string")
+    return requests.select(
+        content_key(dataset.alias("d"), version.alias("v"), "chain_id", "partition_key", "bad_blocks", "_found").alias("id"),
+        dataset.alias("dataset_uuid"),
+        version.alias("dataset_version"),
+        "chain_id",
+        F.lit("partition").alias("scope"),
+        "partition_key",
+        F.lit(None).cast("struct<gte:bigint,lte:bigint>").alias("row_filter"),
+        F.lit("correction").alias("reason"),
+        F.array().cast("array<string>").alias("processed_by"),
+        "bad_blocks",
     )
 
 

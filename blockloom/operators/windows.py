@@ -74,13 +74,21 @@ def detect_reorg(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
-def reorg_invalidations(reorgs: DataFrame, dataset_uuid: str, dataset_version: str) -> DataFrame:
-    """Row-range invalidations for detected reorgs, with a deterministic id."""
-    event = F.to_json(F.struct("chain_id", "fork_block", "old_tip", "new_tip"))
+def reorg_invalidations(
+    reorgs: DataFrame, dataset_uuid: str, dataset_version: str, commit_id: str | None = None
+) -> DataFrame:
+    """Row-range invalidations for detected reorgs, with a deterministic id.
+
+    ``commit_id`` names the update that saw the reorg. With it the id of a replayed update
+    stays, while a later reorg between the same tips is an invalidation of its own.
+    """
+    seen = [] if commit_id is None else [F.lit(commit_id).alias("commit_id")]
+    event = F.to_json(F.struct("chain_id", "fork_block", "old_tip", "new_tip", *seen))
     return reorgs.select(
         F.sha2(F.concat_ws(":", F.lit(dataset_uuid), F.lit(dataset_version), event), 256).alias("id"),
         F.lit(dataset_uuid).alias("dataset_uuid"),
         F.lit(dataset_version).alias("dataset_version"),
+        "chain_id",
         F.lit("row_range").alias("scope"),
         F.lit(None).cast("string").alias("partition_key"),
         F.struct(F.col("fork_block").alias("gte"), F.col("old_tip").alias("lte")).alias("row_filter"),

@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.session import materialized
 
+ROUNDS_JOINED = 8
+
 
-def downstream_closure(edges: DataFrame, changed: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def downstream_closure(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """Every dependent of the changed nodes with its distance, the changed ones at 0.
 
     ``edges``: src, dst. ``changed``: node. Breadth first: each round joins the edges with
     the nodes reached last, and a node enters once, so diamonds and cycles cost nothing.
     Each round is written to the shared folder, so plans stay short and lost executors do not
-    restart the walk.
+    restart the walk. The nodes reached so far are written together every few rounds, so a
+    round does not read one folder for each before it. The walk ends when a round finds
+    nothing, which any finite graph comes to.
     """
     links = materialized(edges.select("src", "dst").distinct(), "links")
     frontier = materialized(changed.select("node").distinct().withColumn("depth", F.lit(0)))
     reached = frontier
-    for depth in range(1, max_rounds + 1):
+    for depth in itertools.count(1):
         found = (
             links.join(frontier.select(F.col("node").alias("src")), "src")
             .select(F.col("dst").alias("node"))
@@ -31,4 +37,5 @@ def downstream_closure(edges: DataFrame, changed: DataFrame, max_rounds: int = 1
         if frontier.isEmpty():
             return reached
         reached = reached.unionByName(frontier)
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+        if depth % ROUNDS_JOINED == 0:
+            reached = materialized(reached, "reached")

@@ -7,8 +7,9 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockloom.functions.ids import parse_partition_key
 from blockloom.operators.filters import read_since
-from blockloom.operators.joins import invalidated_rows, missing_partitions, open_invalidations
+from blockloom.operators.joins import invalidated_rows, missing_partitions, open_invalidations, usable_invalidations
 from blockloom.session import materialized
 from blockloom.sinks.append import append_dedupe
 from blockloom.sinks.scopes import commit_log, current_scopes, read_committed, replace_scopes
@@ -46,8 +47,14 @@ def reprocess_invalidations(
     recomputed as a whole and replaced in one commit. Returns ``(invalidations with this
     job marked, downstream invalidations of the replaced scopes)``; both are to be written
     after the commit. ``scope_of_row`` maps a row to its output partition key.
+
+    An invalidation that names no rows stays open and unmarked. Downstream ids follow from
+    the invalidations that were applied, so a replay gives the same ids and a later
+    correction of the same scope new ones. Where all scopes are block ranges, the input is
+    read within their range only.
     """
-    mine = open_invalidations(invalidations, edges.filter(F.col("job_id") == job_id))
+    open_ones = open_invalidations(invalidations, edges.filter(F.col("job_id") == job_id))
+    mine = materialized(usable_invalidations(open_ones)[0].drop("first", "last", "chain"), "invalidations")
     hit = invalidated_rows(input_df, mine).select(scope_of_row.alias("partition_key"))
     if commit_log(spark, output_table).isEmpty():
         scopes = hit.distinct()
@@ -56,10 +63,12 @@ def reprocess_invalidations(
         scopes = hit.unionByName(stale).distinct()
     # Scope names only. Fixed before the commit, which changes what the table shows.
     names = materialized(scopes.select("partition_key"), "scopes")
-    scoped = input_df.withColumn("partition_key", scope_of_row).join(names, "partition_key", "left_semi")
-    replace_scopes(transform(scoped), output_table, scopes=names)
+    scoped = _within_scopes(input_df, names).withColumn("partition_key", scope_of_row)
+    replace_scopes(transform(scoped.join(names, "partition_key", "left_semi")), output_table, scopes=names)
+    applied = mine.agg(F.count("id"), F.sum(F.xxhash64("id").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("id"))).first()
+    source = ":".join(map(str, applied))
     downstream = names.select(
-        F.sha2(F.concat_ws(":", F.lit(output_uuid), F.lit(output_version), "partition_key"), 256).alias("id"),
+        F.sha2(F.concat_ws(":", F.lit(output_uuid), F.lit(output_version), "partition_key", F.lit(source)), 256).alias("id"),
         F.lit(output_uuid).alias("dataset_uuid"),
         F.lit(output_version).alias("dataset_version"),
         F.lit("partition").alias("scope"),
@@ -71,6 +80,15 @@ def reprocess_invalidations(
     return mark_processed(invalidations, mine.select("id", "job_id")), downstream
 
 
+def _within_scopes(df: DataFrame, names: DataFrame, block: str = "block_number") -> DataFrame:
+    """``df`` within the block range of all scopes, if every name is a block range."""
+    first, end = parse_partition_key("partition_key")
+    low, high, unknown = names.agg(F.min(first), F.max(end), F.count_if(first.isNull() | end.isNull())).first()
+    if unknown or low is None or block not in df.columns:
+        return df
+    return df.filter(F.col(block).between(low, high - 1))
+
+
 def run_cursor(
     df: DataFrame,
     cursor_column: str,

@@ -16,9 +16,26 @@ from blockloom.sources.attach import DATASET_VIEW
 DEFAULT_LIMIT = 1000
 MAX_LIMIT = 10_000
 
-# Functions that run arbitrary code or reveal the host rather than the dataset.
-FORBIDDEN_FUNCTIONS = frozenset(
-    ["reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length"]
+# What the parser and the analyzer produce for queries that only compute. Anything else is
+# refused: commands, writes, and nodes whose names are only known after evaluation.
+QUERY_NODES = frozenset(
+    """
+    Aggregate AsOfJoin CTERelationDef CTERelationRef CollectMetrics Deduplicate Distinct Except Expand Filter Generate
+    GlobalLimit Intersect Join LateralJoin LocalLimit LocalRelation Offset OneRowRelation$ OneRowRelation PipeOperator Pivot Project Range
+    ResolvedHint Sample Sort SubqueryAlias Union UnionLoop UnionLoopRef Unpivot UnresolvedHaving UnresolvedHint
+    UnresolvedInlineTable UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedTableValuedFunction UnresolvedTVFAliases
+    UnresolvedWith View Window WithCTE WithWindowDefinition
+    """.split()
+)
+# Leaves that hold no table: constants, number ranges and the query's own common tables.
+FREE_LEAVES = frozenset(["OneRowRelation", "OneRowRelation$", "LocalRelation", "Range", "CTERelationRef", "UnionLoopRef"])
+# Expressions that run code of others, or reveal the host rather than the dataset.
+FORBIDDEN_EXPRESSIONS = frozenset(
+    """
+    CallMethodViaReflection TryReflect InputFileName InputFileBlockStart InputFileBlockLength ScalaUDF PythonUDF PythonUDAF
+    PythonUDTF UnresolvedPolymorphicPythonUDTF HiveSimpleUDF HiveGenericUDF HiveGenericUDTF HiveUDAFFunction ScalaAggregator
+    ScalaUDAF TypedScalarSubquery CurrentUser FunctionTableSubqueryArgumentExpression
+    """.split()
 )
 ALLOWED_TABLE_FUNCTIONS = frozenset(
     ["range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple"]
@@ -44,93 +61,106 @@ def _items(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())]
 
 
+def _kind(node) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _subplans(jvm, expression) -> list:
+    """Plans inside an expression and below it, with every expression checked."""
+    holder, plans, pending = jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.expressions.PlanExpression"), [], [expression]
+    while pending:
+        node = pending.pop()
+        kind = _kind(node)
+        if kind in FORBIDDEN_EXPRESSIONS or "UnresolvedIdentifier" in kind:
+            raise QueryRejected(f"expression not allowed: {kind}")
+        if kind == "UnresolvedFunction" and node.nameParts().size() != 1:
+            raise QueryRejected(f"function not allowed: {'.'.join(_items(node.nameParts()))}")
+        if holder.isInstance(node):
+            plans.append(node.plan())
+        pending.extend(_items(node.children()))
+    return plans
+
+
 def check_read_only(spark: SparkSession, sql: str, relation: str = DATASET_VIEW) -> None:
-    """Reject anything but one query over ``relation`` and its own CTEs.
+    """Reject anything but one query over ``relation`` and its own common tables.
 
-    The statement is parsed by the session's own parser; the resulting plan is inspected,
-    not the text, so a URL in a literal is fine and reading a file is not.
+    The statement is parsed by the session's own parser and nothing is run. Only kinds of
+    nodes that queries consist of pass, and a relation must be ``relation`` or a common table
+    in its scope: one defined before, or the same one under RECURSIVE.
     """
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as error:
         raise QueryRejected(f"not a single valid statement: {type(error).__name__}") from error
-    _inspect(spark, plan, {relation.lower()})
-
-
-def _inspect(spark: SparkSession, root, visible: set[str]) -> None:
-    jvm = spark.sparkContext._jvm
-    logical = jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan")
-    command = jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
-    pending = [(root, visible)]
+    pending = [(plan, frozenset([relation.lower()]))]
     while pending:
         node, names = pending.pop()
-        kind = node.getClass().getSimpleName()
-        if logical.isInstance(node):
-            if command.isInstance(node) or kind.startswith(("InsertInto", "Create", "Unresolved") ) and kind not in _PARSED_QUERY_NODES:
-                raise QueryRejected(f"statement not allowed: {kind}")
-            if kind == "UnresolvedWith":
-                names = set(names)
-                for cte in _items(node.cteRelations()):
-                    # A recursive CTE sees itself; later CTEs see earlier ones.
-                    names.add(cte.productElement(0).lower())
-                    pending.append((cte.productElement(1), names))
-            elif kind == "UnresolvedRelation":
-                parts = [p.lower() for p in _items(node.multipartIdentifier())]
-                if len(parts) != 1 or parts[0] not in names:
-                    raise QueryRejected(f"relation not allowed: {'.'.join(parts)}")
-            elif kind == "UnresolvedTableValuedFunction":
-                function = ".".join(_items(node.name())).lower()
-                if function not in ALLOWED_TABLE_FUNCTIONS:
-                    raise QueryRejected(f"table function not allowed: {function}")
-            pending.extend((e, names) for e in _items(node.expressions()))
-        else:
-            if kind in ("UnresolvedFunction", "UnresolvedGenerator"):
-                parts = _items(node.nameParts()) if kind == "UnresolvedFunction" else [node.name().unquotedString()]
-                if len(parts) != 1 or parts[0].lower() in FORBIDDEN_FUNCTIONS:
-                    raise QueryRejected(f"function not allowed: {'.'.join(parts)}")
-            if hasattr(node, "plan") and _is_subquery(jvm, node):
-                pending.append((node.plan(), names))
+        kind = _kind(node)
+        if kind not in QUERY_NODES:
+            raise QueryRejected(f"statement not allowed: {kind}")
+        if kind == "UnresolvedWith":
+            for common in _items(node.cteRelations()):
+                own = common.productElement(0).lower()
+                pending.append((common.productElement(1), names | {own} if node.allowRecursion() else names))
+                names = names | {own}
+        elif kind == "UnresolvedRelation":
+            parts = [p.lower() for p in _items(node.multipartIdentifier())]
+            if len(parts) != 1 or parts[0] not in names:
+                raise QueryRejected(f"relation not allowed: {'.'.join(parts)}")
+        elif kind == "UnresolvedTableValuedFunction":
+            function = ".".join(_items(node.name())).lower()
+            if function not in ALLOWED_TABLE_FUNCTIONS:
+                raise QueryRejected(f"table function not allowed: {function}")
+        for expression in _items(node.expressions()):
+            pending.extend((p, names) for p in _subplans(spark.sparkContext._jvm, expression))
         pending.extend((child, names) for child in _items(node.children()))
 
 
-# Node kinds the parser produces for queries although they match a rejected prefix.
-_PARSED_QUERY_NODES = frozenset(
-    [
-        "UnresolvedRelation",
-        "UnresolvedWith",
-        "UnresolvedHaving",
-        "UnresolvedHint",
-        "UnresolvedInlineTable",
-        "UnresolvedSubqueryColumnAliases",
-        "UnresolvedTableValuedFunction",
-        "UnresolvedTVFAliases",
-        "UnresolvedOrderBy",
-    ]
-)
+def _check_analyzed(spark: SparkSession, plan, dataset) -> None:
+    """Every leaf of the analyzed plan must be a constant or a leaf of the dataset."""
+    own, pending = [leaf.canonicalized() for leaf in _items(dataset.collectLeaves())], [plan]
+    if plan.canonicalized().equals(dataset.canonicalized()):
+        return
+    while pending:
+        node = pending.pop()
+        kind, children = _kind(node), _items(node.children())
+        if kind == "SubqueryAlias" and any(_same(child, dataset) for child in children):
+            continue  # the dataset itself, which may be any plan
+        if not children and kind not in FREE_LEAVES and node.canonicalized() not in own:
+            raise QueryRejected(f"relation not allowed: {kind}")
+        for expression in _items(node.expressions()):
+            pending.extend(_subplans(spark.sparkContext._jvm, expression))
+        pending.extend(children)
 
 
-def _is_subquery(jvm, node) -> bool:
-    kind = jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.expressions.PlanExpression")
-    return kind.isInstance(node)
+def _same(node, dataset) -> bool:
+    return node.canonicalized().equals(dataset.canonicalized())
 
 
 def gated_sql(df: DataFrame, sql: str, relation: str = DATASET_VIEW) -> DataFrame:
     """``sql`` over ``df`` exposed as ``relation``, after the read-only check.
 
-    The returned plan is analyzed, so it stays pinned to ``df`` when the view is gone.
+    Each call has a session of its own, with the settings of ``df``'s and nothing else: no
+    views, no registered functions, so calls on several threads do not meet and names of
+    the caller's session do not exist. The analyzed plan is checked again, so whatever a
+    name resolved to, only ``df`` is read.
     """
     spark = df.sparkSession
     check_read_only(spark, sql, relation)
-    before = spark.conf.get("spark.sql.runSQLOnFiles", "true")
-    spark.conf.set("spark.sql.runSQLOnFiles", "false")
-    df.createOrReplaceTempView(relation)
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.runSQLOnFiles", "false")
+    plan = df._jdf.queryExecution().analyzed()
+    rows = spark.sparkContext._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, plan)
+    rows.createOrReplaceTempView(relation)
     try:
-        return spark.sql(sql)
+        result = own.sql(sql)
     except (AnalysisException, ParseException) as error:
         raise QueryRejected(str(error).splitlines()[0]) from error
-    finally:
-        spark.catalog.dropTempView(relation)
-        spark.conf.set("spark.sql.runSQLOnFiles", before)
+    _check_analyzed(own, result._jdf.queryExecution().analyzed(), rows.queryExecution().analyzed())
+    return result
 
 
 def run_query(df: DataFrame, sql: str, limit: int | None = None) -> QueryResult:

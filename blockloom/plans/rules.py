@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.functions.checks import canonical_uuid, is_json_object
-from blockloom.functions.ids import alert_key, tx_hash
+from blockloom.functions.ids import alert_key
 from blockloom.plans.query import gated_sql
 
 EVENT_COLUMNS = [
@@ -37,8 +39,11 @@ def rule_events(
 ) -> DataFrame:
     """``(chain_id, block_number, block_hash)`` rows to alert events.
 
-    The key depends only on the rule, the dataset version and the block, never on the
-    attempt. With ``hash_in_key`` a reorged block raises a new event.
+    The key depends only on the rule, the dataset version and the block, and on the
+    transaction where the rule names one, never on the attempt. With ``hash_in_key`` a
+    reorged block raises a new event. A rule's own ``tx_hash`` and ``payload`` (JSON object
+    text) are kept; without them the transaction is empty and the payload says where the
+    block is from. A ``severity`` of the rule is added to its payload's fields.
     """
     payload = F.to_json(
         F.struct(
@@ -47,6 +52,15 @@ def rule_events(
     )
     definition, version = F.lit(definition_id), F.lit(dataset_version)
     key = alert_key(definition, version, "block_number", "block_hash" if hash_in_key else None)
+    if "payload" in hits.columns:
+        payload = F.coalesce(F.col("payload").cast("string"), payload)
+    if "severity" in hits.columns:
+        merged = _merged_object(F.to_json(F.struct("severity")), payload)
+        payload = F.when(F.col("severity").isNull(), payload).otherwise(merged)
+    tx_hash = F.lit("")
+    if "tx_hash" in hits.columns:
+        tx_hash = F.coalesce("tx_hash", tx_hash)
+        key = F.when(tx_hash == "", key).otherwise(F.concat_ws(":", key, tx_hash))
     return hits.select(
         definition.alias("alert_definition_id"),
         key.alias("dedupe_key"),
@@ -54,11 +68,18 @@ def rule_events(
         F.col("chain_id").cast("bigint").alias("chain_id"),
         F.col("block_number").cast("bigint").alias("block_number"),
         "block_hash",
-        tx_hash("block_number").alias("tx_hash"),
+        tx_hash.alias("tx_hash"),
         payload.alias("payload"),
     )
 
 
+def _merged_object(first: Column, second: Column) -> Column:
+    """Two JSON objects as one; an empty second leaves the first."""
+    rest = F.regexp_extract(second, r"(?s)^\s*\{(.*)\}\s*$", 1)
+    both = F.concat(first.substr(F.lit(1), F.length(first) - 1), F.lit(","), rest, F.lit("}"))
+    return F.when(F.trim(rest) == "", first).otherwise(both)
+
+
 def evaluate_rule(
     df: DataFrame,
     rule: str | Callable[[DataFrame], DataFrame],
@@ -93,16 +114,36 @@ def python_rule(df: DataFrame, function: Callable[[Iterable], Iterable], schema:
     return df.mapInPandas(function, schema)
 
 
-def python_group_rule(df: DataFrame, keys: list[str], function: Callable, schema: str, max_group_rows: int) -> DataFrame:
-    """Per-key rule in Python for keys of a proven size.
+def python_group_rule(df: DataFrame, keys: list[str], function: Callable, schema: str) -> DataFrame:
+    """Per-key rule in Python: ``function(key, frames)`` yields pandas frames.
 
-    pandas needs a whole group in memory, so the largest group is counted first and a
-    larger one is refused; ``python_rule`` or built-in aggregates take any size.
+    ``frames`` iterates over pieces of the key's rows, so a key may have any number of them:
+    the rows are dealt and sorted by key and stream through a task, which holds one batch.
+    A function that does not need all pieces may stop early. The order inside a key is open;
+    ``sorted_group_rule`` fixes it.
     """
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest > max_group_rows:
-        raise ValueError(f"a group has {largest} rows, more than the allowed {max_group_rows}")
-    return df.groupBy(*keys).applyInPandas(function, schema)
+    return sorted_group_rule(df, keys, [], function, schema)
+
+
+def sorted_group_rule(
+    df: DataFrame, keys: list[str], order_within: list, function: Callable, schema: str
+) -> DataFrame:
+    """``python_group_rule`` with the rows of a key in the order of ``order_within``."""
+
+    def run(batches: Iterable) -> Iterable:
+        def pieces():
+            for batch in batches:
+                # One number per run of equal keys; the batch is sorted by them.
+                marks = batch[keys].ne(batch[keys].shift()) & ~(batch[keys].isna() & batch[keys].shift().isna())
+                for _, piece in batch.groupby(marks.any(axis=1).cumsum(), sort=False):
+                    first = piece[keys].iloc[0]
+                    yield tuple(None if missing else value for value, missing in zip(first, first.isna())), piece
+
+        for key, found in itertools.groupby(pieces(), key=lambda pair: pair[0]):
+            yield from function(key, (piece.reset_index(drop=True) for _, piece in found))
+
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order_within)
+    return dealt.mapInPandas(run, schema)
 
 
 def event_error() -> Column:

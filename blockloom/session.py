@@ -64,13 +64,19 @@ def materialized(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def is_bounded(df: DataFrame, max_rows: int = 100_000) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows.
+MAX_BROADCAST_BYTES = 64 << 20
 
-    A plain count: it combines per partition and reads no columns, while a limit would send
-    up to ``max_rows`` rows of every partition to one task.
+
+def is_bounded(df: DataFrame, max_rows: int = 100_000, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows and, written out, ``max_bytes`` bytes.
+
+    One aggregate that combines per partition, while a limit would send up to ``max_rows``
+    rows of every partition to one task. Rows are measured as JSON, which for few rows of
+    long texts or lists is what matters.
     """
-    return df.count() <= max_rows
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))
+    rows, length = df.agg(F.count("*"), size).first()
+    return rows <= max_rows and (length or 0) <= max_bytes
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int = 100_000) -> DataFrame:

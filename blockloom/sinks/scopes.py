@@ -26,6 +26,10 @@ COMMIT_SCHEMA = (
 )
 
 
+# Partition keys and slugs: what Spark writes as a folder name without escaping it.
+SCOPE_NAME = r"^[A-Za-z0-9_.,@+~ -]+$"
+
+
 def commit_log(spark: SparkSession, table: str) -> DataFrame:
     path = f"{table}/commits"
     if not path_exists(spark, path):
@@ -51,8 +55,10 @@ def replace_scopes(
     commit_id: str | None = None,
     max_records_per_file: int = 0,
 ) -> int:
-    """Replace every scope in ``df`` (or in ``scopes``, which may hold emptied ones) at once.
+    """Replace every scope in ``df`` and in ``scopes``, which may hold emptied ones, at once.
 
+    Rows of ``df`` in further scopes replace those scopes too; none is left without a
+    pointer. A null scope, or a name that is no plain folder name, fails before the commit.
     Returns the commit sequence number. ``rebalance`` splits a scope that holds most rows
     over several tasks and files instead of one.
     """
@@ -72,7 +78,12 @@ def replace_scopes(
     )
     if scopes is not None:
         wanted = scopes.select(F.col(scope_column).cast("string").alias("scope")).distinct()
-        written = wanted.join(written, "scope", "left").fillna(0, ["row_count"])
+        written = written.unionByName(wanted.withColumn("row_count", F.lit(0).cast("bigint")))
+        written = written.groupBy("scope").agg(F.sum("row_count").alias("row_count"))
+    # Before the commit, so a name that could not be read back never becomes visible.
+    bad = written.filter(F.coalesce(~F.col("scope").rlike(SCOPE_NAME), F.lit(True))).select("scope").head()
+    if bad is not None:
+        raise ValueError(f"scope name not usable as a folder: {bad.scope!r}")
     last = commit_log(spark, table).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
     pointers = written.select(
         F.lit(last + 1).cast("bigint").alias("seq"),
@@ -117,7 +128,7 @@ def read_committed(
     pinned = pointers.filter("location IS NOT NULL").select("scope", "location").collect()
     if not pinned:
         return spark.createDataFrame([], schema)
-    paths = [f"{row.location}/scope={_escape(row.scope)}" for row in pinned]
+    paths = [f"{row.location}/scope={row.scope}" for row in pinned]
     parts = [T.StructField("attempt", T.StringType()), T.StructField("scope", T.StringType())]
     return (
         spark.read.schema(T.StructType([*schema.fields, *parts]))
@@ -127,13 +138,6 @@ def read_committed(
     )
 
 
-def _escape(value: str) -> str:
-    # Scope names are partition keys or slugs; anything Spark would escape is refused.
-    if not value or any(c in value for c in '"#%\'*/:=?\\{}[]^') or not value.isprintable():
-        raise ValueError(f"scope name not usable as a folder: {value!r}")
-    return value
-
-
 def partition_versions(spark: SparkSession, table: str, dataset_uuid: str, dataset_version: str) -> DataFrame:
     """Current materialization metadata of every scope."""
     return current_scopes(spark, table).select(

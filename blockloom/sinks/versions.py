@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VERSION_FIELDS = ["dataset_uuid", "storage_prefix", "storage_glob", "config_hash", "range_start", "range_end"]
@@ -69,15 +69,14 @@ def cutover(history: DataFrame, staged: DataFrame) -> DataFrame:
 
 
 def rollback(history: DataFrame, dag_name: str) -> DataFrame:
-    """The set before the current one as a new set on top; nothing when there is none."""
+    """The set before the current one as a new set on top; nothing when there is none.
+
+    Both numbers come from partial maxima, so the history of a DAG is never gathered.
+    """
     mine = history.filter(F.col("dag_name") == dag_name)
-    whole = Window.partitionBy("dag_name")
-    return (
-        mine.withColumn("_top", F.max("seq").over(whole))
-        .filter(F.col("seq") < F.col("_top"))
-        .withColumn("_before", F.max("seq").over(whole))
-        .filter(F.col("seq") == F.col("_before"))
-        .select(
-            (F.col("_top") + 1).cast("bigint").alias("seq"), "dag_name", "dag_version", "dataset_uuid", "dataset_version"
-        )
+    top = mine.agg(F.max("seq")).first()[0]
+    before = None if top is None else mine.filter(F.col("seq") < top).agg(F.max("seq")).first()[0]
+    chosen = mine.limit(0) if before is None else mine.filter(F.col("seq") == before)
+    return chosen.select(
+        F.lit(0 if top is None else top + 1).cast("bigint").alias("seq"), "dag_name", "dag_version", "dataset_uuid", "dataset_version"
     )

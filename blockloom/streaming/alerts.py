@@ -76,21 +76,18 @@ def dedupe_stream(
     stream_name: str,
     keys: list[str],
     order_by: list,
-    event_time: str,
-    delay: str,
     target_path: str,
     checkpoint: str,
     interval: str | None = None,
 ) -> StreamingQuery:
     """At-least-once events to a table with one row per key.
 
-    Duplicates that arrive within ``delay`` are dropped from bounded state; later ones are
-    caught by the append, which gives the exact guarantee.
+    The append alone decides, over the whole table: a key that is first seen late is kept
+    like any other, and of the rows of a batch the first by ``order_by`` is. No state is
+    held, so nothing depends on how late an event may be.
     """
-    timed = stream.withColumn("_event_time", F.col(event_time).cast("timestamp"))
-    unique = timed.withWatermark("_event_time", delay).dropDuplicatesWithinWatermark(keys).drop("_event_time")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         append_dedupe(target_path, batch, keys, order_by, f"{stream_name}-{batch_id}")
 
-    return start_batches(unique, handle, checkpoint, interval)
+    return start_batches(stream, handle, checkpoint, interval)

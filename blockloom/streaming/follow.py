@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from blockloom.operators.intervals import bucket_of
-from blockloom.operators.windows import canonical_blocks, detect_reorg, reorg_invalidations
+from blockloom.operators.windows import detect_reorg, first_rows, reorg_invalidations
+from blockloom.session import materialized
 from blockloom.sinks.append import append_dedupe
 from blockloom.sinks.compact import scope_block_range
 from blockloom.sinks.scopes import commit_log, current_scopes, read_committed, replace_scopes
@@ -44,8 +46,14 @@ def apply_blocks(
     dataset_version: str,
     scope_size: int,
     threshold_blocks: int | None = None,
+    row_key: Sequence[str] = (),
 ) -> None:
-    """Merge one batch of observed blocks into the hot table, exactly once per ``commit_id``.
+    """Merge one batch of observed blocks, or of rows inside blocks, exactly once per ``commit_id``.
+
+    ``row_key`` are the columns that tell the rows of one block apart, such as ``log_index``.
+    Which hash a block has is decided for the block as a whole: the latest ``seen_at`` wins,
+    in the batch and against the table, so a late redelivery of an abandoned block changes
+    nothing. ``seen_at`` is kept in the table for that.
 
     Order: detected reorgs are stored next to the table, then data and pointers are
     committed, then invalidations and the cursor event go out. A replay of a committed
@@ -55,15 +63,14 @@ def apply_blocks(
     pending = f"{hot_table}/pending/{commit_id}"
     log = commit_log(spark, hot_table)
     if log.filter(F.col("commit_id") == commit_id).isEmpty():
-        blocks = (
-            canonical_blocks(batch).drop("seen_at").withColumn("partition_key", hot_scope(scope_size))
-        ).persist(StorageLevel.MEMORY_AND_DISK)
-        _commit_blocks(blocks, log.isEmpty(), commit_id, hot_table, pending)
-        blocks.unpersist()
+        rows = batch.join(_latest(batch).drop("seen_at"), [*BLOCK, "block_hash"], "left_semi")
+        rows = first_rows(rows, [*BLOCK, *row_key], [F.desc("seen_at")]).withColumn("partition_key", hot_scope(scope_size))
+        rows = materialized(rows, "batch")
+        _commit_blocks(rows, log.isEmpty(), commit_id, hot_table, pending, row_key)
     reorgs = spark.read.schema(_REORG_SCHEMA).parquet(pending)
     append_dedupe(
         invalidation_path,
-        reorg_invalidations(reorgs.filter("fork_block IS NOT NULL"), dataset_uuid, dataset_version),
+        reorg_invalidations(reorgs.filter("fork_block IS NOT NULL"), dataset_uuid, dataset_version, commit_id),
         ["id"],
         ["source_event"],
         commit_id,
@@ -82,19 +89,33 @@ def apply_blocks(
 _REORG_SCHEMA = "chain_id bigint, new_tip bigint, fork_block bigint, old_tip bigint, changed_blocks bigint"
 
 
-def _commit_blocks(blocks: DataFrame, is_first: bool, commit_id: str, hot_table: str, pending: str) -> None:
-    spark = blocks.sparkSession
-    tips = blocks.groupBy("chain_id").agg(F.max("block_number").alias("new_tip"))
-    touched = blocks.select("partition_key").distinct()
+def _latest(rows: DataFrame) -> DataFrame:
+    """Hash of every block: the one seen last, ties by the hash itself."""
+    newest = rows.groupBy(*BLOCK).agg(F.max(F.struct("seen_at", "block_hash")).alias("_newest"))
+    return newest.select(*BLOCK, "_newest.block_hash", "_newest.seen_at")
+
+
+def _commit_blocks(
+    rows: DataFrame, is_first: bool, commit_id: str, hot_table: str, pending: str, row_key: Sequence[str]
+) -> None:
+    spark = rows.sparkSession
     none = F.lit(None).cast("bigint")
     if is_first:
+        tips = rows.groupBy("chain_id").agg(F.max("block_number").alias("new_tip"))
         notes = tips.select("chain_id", "new_tip", *[none.alias(c) for c in ("fork_block", "old_tip", "changed_blocks")])
         notes.write.mode("overwrite").parquet(pending)
-        replace_scopes(blocks, hot_table, commit_id=commit_id)
+        replace_scopes(rows, hot_table, commit_id=commit_id)
         return
     # Scope names of one micro-batch; stored data is read for these scopes only.
-    names = [row.partition_key for row in touched.collect()]
+    names = [row.partition_key for row in rows.select("partition_key").distinct().collect()]
     stored = read_committed(spark, hot_table, names)
+    known = _latest(stored).select(*BLOCK, F.col("block_hash").alias("_hash"), F.struct("seen_at", "block_hash").alias("_seen"))
+    outdated = (F.col("block_hash") != F.col("_hash")) & (F.struct("seen_at", "block_hash") < F.col("_seen"))
+    rows = rows.join(known, BLOCK, "left").filter(~F.coalesce(outdated, F.lit(False))).select(*rows.columns)
+    rows = materialized(rows, "news")
+    tips = rows.groupBy("chain_id").agg(F.max("block_number").alias("new_tip"))
+    touched = rows.select("partition_key").distinct()
+    blocks = rows.select(*BLOCK, "block_hash").distinct()
     reorgs = (
         detect_reorg(stored, blocks)
         .select("chain_id", "fork_block", "changed_blocks")
@@ -116,14 +137,17 @@ def _commit_blocks(blocks: DataFrame, is_first: bool, commit_id: str, hot_table:
     )
     affected = touched.unionByName(orphaned).distinct()
     affected_names = [row.partition_key for row in affected.collect()]
+    if not affected_names:  # a batch of outdated rows only: an empty commit keeps its replay short
+        replace_scopes(rows, hot_table, commit_id=commit_id)
+        return
     on_old_branch = F.coalesce(F.col("block_number").between(F.col("fork_block"), F.col("old_tip")), F.lit(False))
     kept = (
         read_committed(spark, hot_table, affected_names)
         .join(notes.select("chain_id", "fork_block", "old_tip"), "chain_id", "left")
         .filter(~on_old_branch)
-        .select(*blocks.columns)
+        .select(*rows.columns)
     )
-    replace_scopes(hot_cold_union(blocks, kept, BLOCK), hot_table, scopes=affected, commit_id=commit_id)
+    replace_scopes(hot_cold_union(rows, kept, [*BLOCK, *row_key]), hot_table, scopes=affected, commit_id=commit_id)
 
 
 def follow_blocks(
@@ -138,9 +162,12 @@ def follow_blocks(
     scope_size: int = 100_000,
     threshold_blocks: int | None = None,
     interval: str | None = None,
+    row_key: Sequence[str] = (),
 ) -> StreamingQuery:
     """Blocks (chain_id, block_number, block_hash, ..., seen_at) into the hot table.
 
+    With ``row_key``, logs or transactions: several rows per block, told apart by these columns.
+
     ``stream_name`` names the checkpoint: with a new checkpoint, use a new name. A cursor
     event goes out per update, or per ``threshold_blocks`` blocks when set.
     """
@@ -149,7 +176,7 @@ def follow_blocks(
         if not batch.isEmpty():
             apply_blocks(
                 batch, f"{stream_name}-{batch_id}", hot_table, invalidation_path, event_path,
-                dataset_uuid, dataset_version, scope_size, threshold_blocks,
+                dataset_uuid, dataset_version, scope_size, threshold_blocks, row_key,
             )
 
     return start_batches(stream, handle, checkpoint, interval)

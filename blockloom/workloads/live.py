@@ -17,62 +17,93 @@ from blockloom.workloads.rules import EVENTS_SQL, RULE_SQL, priced_blocks, rule_
 from blockloom.workloads.views import as_alerts, at, table, text, with_sql
 
 
-def table_stream(spark, sf_dir, name):
-    """One benchmark table as a stream of files."""
-    schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-
-
-def folder_stream(spark, df, parts_by):
-    """``df`` written as one folder per part, read back one file per micro-batch in that order."""
-    path = scratch_path(spark, "stream")
-    for value in [r[0] for r in df.select(parts_by).distinct().orderBy(parts_by).collect()]:
-        df.filter(F.col(parts_by) == value).drop(parts_by).coalesce(1).write.mode("append").parquet(path)
-    schema = df.drop(parts_by).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-# Blocks arrive in two waves: the old branch, then, for blocks from 3/4 of the tip on, a
-# new branch that is ten blocks shorter.
+def drained_in_waves(spark, df, wave, start):
+    """``df`` arriving in the order of ``wave``, a small integer column: each wave is written,
+    then the stream over all that is written resumes from its checkpoint and drains it.
+
+    So a wave is a micro-batch whatever the number of its files, and state and
+    de-duplication work across batches. ``start(stream)`` starts the query.
+    """
+    path, schema = scratch_path(spark, "stream"), df.drop(wave).schema
+    for value in [row[0] for row in df.select(wave).distinct().orderBy(wave).collect()]:
+        df.filter(F.col(wave) == value).drop(wave).write.mode("append").parquet(path)
+        start(spark.readStream.schema(schema).parquet(path)).awaitTermination()
+
+
+# Blocks arrive in four waves: the old branch; a new branch from 3/4 of the tip on that is ten
+# blocks shorter; the old hashes of the first ten of these again, seen before the new ones;
+# and the old branch once more from there on, seen later than all.
 _FOLLOW_SQL = """cut AS (SELECT max(block_number) * 3 // 4 AS fork, max(block_number) AS top FROM blocks),
 tips AS (SELECT b.chain_id, min(block_number) FILTER (block_number >= fork AND block_number <= top - 10) AS fork_block, max(block_number) AS old_tip,
   max(block_number) FILTER (block_number <= top - 10) AS new_tip FROM blocks b, cut GROUP BY b.chain_id),
-kept AS (SELECT b.chain_id, block_number, CASE WHEN block_number >= fork_block THEN 'new' || block_hash ELSE block_hash END AS block_hash, block_time
+kept AS (SELECT b.chain_id, block_number, block_hash, block_time, CAST(CASE WHEN block_number >= fork_block THEN 4 ELSE 1 END AS INTEGER) AS seen_at
   FROM blocks b JOIN tips t ON b.chain_id = t.chain_id, cut WHERE block_number < fork_block OR block_number <= top - 10)"""
 
 
-def _follow(spark, sf_dir):
-    blocks = v.blocks(spark, sf_dir)
-    top = blocks.agg(F.max("block_number")).first()[0]
-    number = F.col("block_number")
-    old = blocks.withColumns({"seen_at": F.lit(1), "wave": F.lit(1)})
-    new = blocks.filter((number >= top * 3 // 4) & (number <= top - 10)).withColumns(
-        {"block_hash": F.concat(F.lit("new"), "block_hash"), "seen_at": F.lit(2), "wave": F.lit(2)}
+def _waves(rows, top, hashed="block_hash"):
+    number, fresh = F.col("block_number"), F.concat(F.lit("new"), hashed)
+    branch = rows.filter((number >= top * 3 // 4) & (number <= top - 10))
+    return (
+        rows.withColumns({"seen_at": F.lit(1), "wave": F.lit(1)})
+        .unionByName(branch.withColumns({hashed: fresh, "seen_at": F.lit(3), "wave": F.lit(2)}))
+        .unionByName(branch.filter(number < top * 3 // 4 + 10).withColumns({"seen_at": F.lit(2), "wave": F.lit(3)}))
+        .unionByName(branch.withColumns({"seen_at": F.lit(4), "wave": F.lit(4)}))
     )
-    hot, notes, events = (scratch_path(spark, n) for n in ("hot", "invalidations", "events"))
-    stream = folder_stream(spark, old.unionByName(new), "wave")
-    running = follow_blocks(
-        stream, "follow", hot, notes, events, scratch_path(spark, "offsets"), "ds", "v1", scope_size=10_000
+
+
+def _follow(spark, rows, top, row_key=()):
+    hot, notes, events, offsets = (scratch_path(spark, n) for n in ("hot", "invalidations", "events", "offsets"))
+    drained_in_waves(
+        spark, _waves(rows, top), "wave",
+        lambda stream: follow_blocks(
+            stream, "follow", hot, notes, events, offsets, "ds", "v1", scope_size=10_000, row_key=row_key
+        ),
     )
-    running.awaitTermination()
     return hot, notes, events
 
 
+def _followed_blocks(spark, sf_dir):
+    blocks = v.blocks(spark, sf_dir)
+    return _follow(spark, blocks, blocks.agg(F.max("block_number")).first()[0])
+
+
 @query("follow_blocks", with_sql(v.BLOCKS_SQL, _FOLLOW_SQL, select="SELECT * FROM kept"))
 def follow_blocks_query(spark, sf_dir):
-    return read_committed(spark, _follow(spark, sf_dir)[0]).drop("partition_key")
+    return read_committed(spark, _followed_blocks(spark, sf_dir)[0]).drop("partition_key")
+
+
+# Every block has the line items of an order as its logs, told apart by all they have.
+@query(
+    "follow_logs",
+    with_sql(
+        v.BLOCKS_SQL, _FOLLOW_SQL,
+        select="""SELECT DISTINCT chain_id, block_number, block_hash, seen_at, l_linenumber AS log_index, l_partkey AS token
+FROM kept JOIN lineitem ON l_orderkey = block_number""",
+    ),
+)
+def follow_logs_query(spark, sf_dir):
+    blocks = v.blocks(spark, sf_dir)
+    logs = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("block_number"), F.col("l_linenumber").alias("log_index"), F.col("l_partkey").alias("token")
+    )
+    rows = blocks.select("chain_id", "block_number", "block_hash").join(logs.distinct(), "block_number")
+    top = blocks.agg(F.max("block_number")).first()[0]
+    return read_committed(spark, _follow(spark, rows, top, ("log_index", "token"))[0]).drop("partition_key")
 
 
+# The second wave and the fourth are reorgs of their own; the third changes nothing.
 @query(
     "follow_invalidations",
     with_sql(
         v.BLOCKS_SQL, _FOLLOW_SQL,
-        select="SELECT 'ds' AS dataset_uuid, 'row_range' AS scope, fork_block AS gte, old_tip AS lte, 'reorg' AS reason FROM tips WHERE fork_block IS NOT NULL",
+        select="""SELECT 'ds' AS dataset_uuid, 'v1' AS dataset_version, chain_id, 'row_range' AS scope, fork_block AS gte, tip AS lte, 'reorg' AS reason,
+  sha256('ds:v1:{"chain_id":' || chain_id || ',"fork_block":' || fork_block || ',"old_tip":' || tip || ',"new_tip":' || new_tip || ',"commit_id":"follow-' || batch || '"}') AS id
+FROM (SELECT *, old_tip AS tip, 1 AS batch FROM tips UNION ALL SELECT *, new_tip, 3 FROM tips) WHERE fork_block IS NOT NULL""",
     ),
 )
 def follow_invalidations(spark, sf_dir):
-    rows = read_appended(spark, _follow(spark, sf_dir)[1])
-    return rows.select("dataset_uuid", "scope", "row_filter.gte", "row_filter.lte", "reason")
+    rows = read_appended(spark, _followed_blocks(spark, sf_dir)[1])
+    return rows.select("id", "dataset_uuid", "dataset_version", "chain_id", "scope", "row_filter.gte", "row_filter.lte", "reason")
 
 
 @query("alert_evaluate", with_sql(v.BLOCKS_SQL, select=EVENTS_SQL))
@@ -88,35 +119,51 @@ def alert_evaluate_query(spark, sf_dir):
 def alert_evaluate_stream_query(spark, sf_dir):
     from blockloom.functions.ids import block_hash
 
-    target = scratch_path(spark, "alerts")
-    stream = table_stream(spark, sf_dir, "orders").select(
+    target, offsets = scratch_path(spark, "alerts"), scratch_path(spark, "offsets")
+    updates = table(spark, sf_dir, "orders").select(
         (F.col("o_custkey") % 3).alias("chain_id"), F.col("o_orderkey").alias("block_number"),
         block_hash("o_orderkey").alias("block_hash"), F.col("o_orderdate").alias("block_time"), F.col("o_totalprice").alias("total"),
+        (F.col("o_orderkey") % 3).alias("wave"),
+    )
+    again = updates.filter("wave = 0").withColumn("wave", F.lit(3).cast("bigint"))  # a redelivery
+    drained_in_waves(
+        spark, updates.unionByName(again), "wave",
+        lambda stream: alert_evaluate_stream(stream, "alerts", offsets, rule=RULE_SQL, target_path=target, **rule_arguments()),
     )
-    alert_evaluate_stream(
-        stream, "alerts", scratch_path(spark, "offsets"), rule=RULE_SQL, target_path=target, **rule_arguments()
-    ).awaitTermination()
     return read_appended(spark, target)
 
 
 @query("alert_route_stream", with_sql(v.ALERTS_SQL, v.DEFINITIONS_SQL, ROUTED_SQL, select="SELECT * FROM routed"))
 def alert_route_stream_query(spark, sf_dir):
-    target = scratch_path(spark, "deliveries")
-    alert_route_stream(
-        as_alerts(table_stream(spark, sf_dir, "events")), "route", lambda: v.definitions(spark, sf_dir), target,
-        scratch_path(spark, "offsets"), at(v.NOW), 10 * 86400, ROUTE_WHERE,
-    ).awaitTermination()
+    target, offsets = scratch_path(spark, "deliveries"), scratch_path(spark, "offsets")
+    events = table(spark, sf_dir, "events").withColumn("wave", F.col("event_id") % 3)
+    again = events.filter("wave = 1").withColumn("wave", F.lit(3).cast("bigint"))
+    drained_in_waves(
+        spark, events.unionByName(again), "wave",
+        lambda stream: alert_route_stream(
+            as_alerts(stream), "route", lambda: v.definitions(spark, sf_dir), target, offsets, at(v.NOW), 10 * 86400, ROUTE_WHERE
+        ),
+    )
     return read_appended(spark, target)
 
 
-@query("dedupe_stream", "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem")
+# Keys come again in later waves, and waves do not follow the dates, so first-seen rows are late.
+_DEDUPE_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+
+
+@query(
+    "dedupe_stream",
+    f"""SELECT * FROM lineitem QUALIFY row_number() OVER (
+  PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey % 4, {', '.join(_DEDUPE_ORDER)}) = 1""",
+)
 def dedupe_stream_query(spark, sf_dir):
-    target = scratch_path(spark, "dedupe")
-    dedupe_stream(
-        table_stream(spark, sf_dir, "lineitem"), "dedupe", ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_suppkey"],
-        "l_shipdate", "1 day", target, scratch_path(spark, "offsets"),
-    ).awaitTermination()
-    return read_appended(spark, target).select("l_orderkey", "l_linenumber")
+    target, offsets = scratch_path(spark, "dedupe"), scratch_path(spark, "offsets")
+    rows = table(spark, sf_dir, "lineitem").withColumn("wave", F.col("l_partkey") % 4)
+    drained_in_waves(
+        spark, rows, "wave",
+        lambda stream: dedupe_stream(stream, "dedupe", ["l_orderkey", "l_linenumber"], _DEDUPE_ORDER, target, offsets),
+    )
+    return read_appended(spark, target)
 
 
 # Deliveries are events with a recorded attempt; each got one to three further outcomes.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from blockloom.operators import aggregates, filters, joins, sets, windows
@@ -70,8 +71,28 @@ SELECT * FROM rows WHERE org_id = 'org-1' AND (visibility = 'org' OR (visibility
   OR visibility IN (SELECT 'role:' || role_slug FROM memberships WHERE org_id = 'org-1' AND user_id = 'user-6'))"""
 
 
+@query(
+    "visible_to",
+    _VISIBLE_SQL.replace(
+        "SELECT * FROM rows WHERE org_id = 'org-1' AND (visibility = 'org' OR (visibility = 'private' AND user_id = 'user-6')\n"
+        "  OR visibility IN (SELECT 'role:' || role_slug FROM memberships WHERE org_id = 'org-1' AND user_id = 'user-6'))",
+        """, principals AS (SELECT DISTINCT org_id, user_id AS reader FROM memberships)
+SELECT r.*, reader FROM rows r JOIN principals p ON r.org_id = p.org_id WHERE visibility = 'org' OR (visibility = 'private' AND r.user_id = reader)
+  OR EXISTS (SELECT 1 FROM memberships m WHERE m.org_id = r.org_id AND m.user_id = reader AND visibility = 'role:' || role_slug)""",
+    ),
+)
+def visible_to(spark, sf_dir):
+    rows, memberships = _visibility(spark, sf_dir)
+    return filters.visible_to(rows, memberships.select("org_id", "user_id"), memberships)
+
+
 @query("visible_rows", _VISIBLE_SQL)
 def visible_rows(spark, sf_dir):
+    rows, memberships = _visibility(spark, sf_dir)
+    return filters.visible_rows(rows, "org-1", "user-6", memberships)
+
+
+def _visibility(spark, sf_dir):
     segment, key = F.col("c_mktsegment"), F.col("s_suppkey")
     rows = table(spark, sf_dir, "customer").select(
         "c_custkey",
@@ -87,7 +108,7 @@ def visible_rows(spark, sf_dir):
     memberships = table(spark, sf_dir, "supplier").select(
         text("org-", key % 5).alias("org_id"), text("r", key % 3).alias("role_slug"), text("user-", key % 10).alias("user_id")
     )
-    return filters.visible_rows(rows, "org-1", "user-6", memberships)
+    return rows, memberships
 
 
 @query(
@@ -232,12 +253,15 @@ def integrity_check(spark, sf_dir):
     "recompaction_requests",
     with_sql(
         v.BLOCKS_SQL, _CHECKED_SQL,
-        select="""SELECT chain_id, 'partition' AS scope, (block_number // 50 * 50) || '-' || (block_number // 50 * 50 + 49) AS partition_key,
-  'correction' AS reason, count(*) AS bad_blocks FROM checked WHERE status <> 'match' GROUP BY ALL""",
+        select="""SELECT 'ds' AS dataset_uuid, 'v1' AS dataset_version, chain_id, 'partition' AS scope,
+  (block_number // 50 * 50) || '-' || (block_number // 50 * 50 + 49) AS partition_key, 'correction' AS reason, count(*) AS bad_blocks,
+  0 AS processed, 1 AS same_id FROM checked WHERE status <> 'match' GROUP BY ALL""",
     ),
 )
 def recompaction_requests(spark, sf_dir):
-    return joins.recompaction_requests(_checked(spark, sf_dir), 50)
+    found = joins.recompaction_requests(_checked(spark, sf_dir), 50, "ds", "v1")
+    same = F.count("*").over(Window.partitionBy("id"))  # ids are hashes that SQL cannot make; each must be one row's
+    return found.withColumns({"processed": F.size("processed_by"), "same_id": same}).drop("id", "row_filter", "processed_by")
 
 
 @query("orphan_refs", "SELECT * FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)")
@@ -417,7 +441,14 @@ def query_histogram(spark, sf_dir):
     return aggregates.histogram(v.runs(spark, sf_dir), "duration_ms", 0, 20000, 20)
 
 
-@query("query_quantiles")
+@query(
+    "query_quantiles",
+    with_sql(
+        v.RUNS_SQL,
+        select="""SELECT org_id, quantile_cont(duration_ms, 0.5) AS p50, quantile_cont(duration_ms, 0.95) AS p95, quantile_cont(duration_ms, 0.99) AS p99
+FROM runs GROUP BY org_id""",
+    ),
+)
 def query_quantiles(spark, sf_dir):
     return aggregates.quantiles(v.runs(spark, sf_dir), ["org_id"], "duration_ms")
 

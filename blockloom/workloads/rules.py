@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from blockloom.functions.ids import partition_key
 from blockloom.plans import audit, incremental
 from blockloom.plans import rules as ur
-from blockloom.plans.query import encode_result, gated_sql, run_query
+from blockloom.plans.query import encode_result, run_query
 from blockloom.session import scratch_path
 from blockloom.sinks.append import read_appended
 from blockloom.sinks.scopes import read_committed, replace_scopes
@@ -22,14 +22,13 @@ DATASET = "5c1a0b52-3f56-4c7e-9a51-000000000002"
 VERSION = "5c1a0b52-3f56-4c7e-9a51-000000000003"
 
 
-@query("run_query", DAILY_SQL)
+@query("run_query", f"SELECT epoch_us(day) AS day, tx_count, total_value FROM ({DAILY_SQL})")
 def run_query_query(spark, sf_dir):
-    """The daily summary as user SQL through the read-only gate."""
-    return gated_sql(
-        v.transfers(spark, sf_dir),
-        """SELECT CAST(date_trunc('day', ts) AS timestamp_ntz) AS day, count(*) AS tx_count,
-  CAST(sum(CAST(value AS decimal(18, 2))) AS double) AS total_value FROM dataset GROUP BY 1""",
-    )
+    """The daily summary as user SQL: gated, capped (there are fewer days) and encoded."""
+    sql = """SELECT CAST(date_trunc('day', ts) AS timestamp_ntz) AS day, count(*) AS tx_count,
+  CAST(sum(CAST(value AS decimal(18, 2))) AS double) AS total_value FROM dataset GROUP BY 1"""
+    result = run_query(v.transfers(spark, sf_dir), sql, limit=10_000)
+    return spark.createDataFrame(result.rows, "day bigint, tx_count bigint, total_value double")
 
 
 @query(
@@ -65,7 +64,7 @@ def encode_result_query(spark, sf_dir):
 
 
 EVENTS_SQL = f"""SELECT '{DEFINITION}' AS alert_definition_id, 'alert_eval:{DEFINITION}:{VERSION}:' || block_number || ':' || block_hash AS dedupe_key,
-  block_time AS event_time, chain_id, block_number, block_hash, printf('0xtx%016x', block_number) AS tx_hash,
+  block_time AS event_time, chain_id, block_number, block_hash, '' AS tx_hash,
   '{{"dataset_uuid":"{DATASET}","dataset_version":"{VERSION}","block_hash":"' || block_hash || '"}}' AS payload
 FROM blocks JOIN orders ON o_orderkey = block_number WHERE o_totalprice > 400000"""
 RULE_SQL = "SELECT chain_id, block_number, block_hash, block_time AS event_time FROM dataset WHERE total > 400000"
@@ -87,6 +86,22 @@ def sql_rule_query(spark, sf_dir):
     return ur.sql_rule(priced_blocks(spark, sf_dir), RULE_SQL, **rule_arguments())
 
 
+@query(
+    "sql_rule_own_payload",
+    with_sql(
+        v.BLOCKS_SQL,
+        select=f"""SELECT '{DEFINITION}' AS alert_definition_id, 'alert_eval:{DEFINITION}:{VERSION}:' || block_number || ':' || block_hash || ':0xt' || block_number AS dedupe_key,
+  TIMESTAMP '{v.NOW}' AS event_time, chain_id, block_number, block_hash, '0xt' || block_number AS tx_hash,
+  '{{"severity":"high","total":' || CAST(floor(o_totalprice) AS BIGINT) || '}}' AS payload
+FROM blocks JOIN orders ON o_orderkey = block_number WHERE o_totalprice > 400000""",
+    ),
+)
+def sql_rule_own_payload(spark, sf_dir):
+    sql = """SELECT chain_id, block_number, block_hash, '0xt' || block_number AS tx_hash, 'high' AS severity,
+  '{"total":' || CAST(floor(total) AS bigint) || '}' AS payload FROM dataset WHERE total > 400000"""
+    return ur.sql_rule(priced_blocks(spark, sf_dir), sql, **rule_arguments())
+
+
 def _large_transfers(batches):
     for pdf in batches:
         hit = pdf[pdf["value"] > 90000]
@@ -103,11 +118,15 @@ def python_rule_query(spark, sf_dir):
     return ur.python_rule(v.transfers(spark, sf_dir), _large_transfers, schema)
 
 
-def _longest_run(key, pdf):
+def _longest_run(key, pieces):
     import pandas as pd
 
-    days = pdf.sort_values(["o_orderdate", "o_orderkey"])["o_orderdate"].diff().dt.days.fillna(0)
-    return pd.DataFrame({"o_custkey": [key[0]], "orders": [len(pdf)], "longest_pause": [int(days.max())]})
+    count, longest, last = 0, 0, None
+    for piece in pieces:
+        dates = piece["o_orderdate"]
+        pauses = [0 if last is None else (dates.iloc[0] - last).days, *dates.diff().dt.days.iloc[1:]]
+        count, longest, last = count + len(piece), max(longest, int(max(pauses))), dates.iloc[-1]
+    yield pd.DataFrame({"o_custkey": [key[0]], "orders": [count], "longest_pause": [longest]})
 
 
 @query(
@@ -117,7 +136,8 @@ def _longest_run(key, pdf):
 )
 def python_group_rule_query(spark, sf_dir):
     schema = "o_custkey bigint, orders bigint, longest_pause bigint"
-    return ur.python_group_rule(table(spark, sf_dir, "orders"), ["o_custkey"], _longest_run, schema, max_group_rows=100_000)
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    return ur.sorted_group_rule(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], _longest_run, schema)
 
 
 # Rule output with invalid rows, one kind per residue.

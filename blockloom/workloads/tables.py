@@ -15,7 +15,7 @@ from blockloom.sinks.compact import compact_finalized, purge_range
 from blockloom.sinks.export import export_result
 from blockloom.sinks.files import expired_staging, list_files, output_caps
 from blockloom.sinks.publish import publish_ranges
-from blockloom.sinks.scopes import commit_log, current_scopes, read_committed, replace_scope, replace_scopes
+from blockloom.sinks.scopes import commit_log, partition_versions, read_committed, replace_scope, replace_scopes
 from blockloom.sources.attach import attach_versions
 from blockloom.workloads import views as v
 from blockloom.workloads.registry import query
@@ -195,20 +195,28 @@ def export_result_query(spark, sf_dir):
 def _compacted(spark, sf_dir):
     hot, cold = scratch_path(spark, "hot"), scratch_path(spark, "cold")
     replace_scopes(scoped_blocks(spark, sf_dir), hot)
-    top = read_committed(spark, hot).agg(F.max("block_number")).first()[0]
-    last = int(top) // SCOPE * SCOPE
-    # The newest scope and the one before: the newest is not wholly final.
-    partitions = [f"{s}-{s + SCOPE - 1}" for s in sorted({max(last - SCOPE, 0), last})]
+    top = int(read_committed(spark, hot).agg(F.max("block_number")).first()[0])
+    # Every scope, the newest alone and the others together: one partition may span many.
+    last = top // SCOPE * SCOPE
+    partitions = [f"0-{last - 1}"] * (last > 0) + [f"{last}-{last + SCOPE - 1}"]
     for partition in partitions:
         compact_finalized(read_committed(spark, hot), cold, partition, finality_depth=100, chunk_size=2000)
     return hot, cold, partitions
 
 
 _FINAL_SQL = f"""final AS (SELECT s.* FROM scoped s JOIN (SELECT chain_id, max(block_number) AS tip FROM blocks GROUP BY chain_id) t ON s.chain_id = t.chain_id
-  WHERE block_number <= tip - 100 AND block_number >= (SELECT greatest(max(block_number) // {SCOPE} * {SCOPE} - {SCOPE}, 0) FROM blocks))"""
+  WHERE block_number <= tip - 100)"""
 
 
-@query("compact_finalized", with_sql(v.BLOCKS_SQL, SCOPED_SQL, _FINAL_SQL, select="SELECT * FROM final"))
+@query(
+    "compact_finalized",
+    with_sql(
+        v.BLOCKS_SQL, SCOPED_SQL, _FINAL_SQL,
+        select=f"""SELECT chain_id, block_number, block_hash, block_time,
+  CASE WHEN block_number < last THEN '0-' || (last - 1) ELSE last || '-' || (last + {SCOPE} - 1) END AS partition_key
+FROM final, (SELECT max(block_number) // {SCOPE} * {SCOPE} AS last FROM blocks)""",
+    ),
+)
 def compact_finalized_query(spark, sf_dir):
     _, cold, _ = _compacted(spark, sf_dir)
     return read_committed(spark, cold)
@@ -295,10 +303,16 @@ def expired_staging_query(spark, sf_dir):
 
 @query(
     "partition_versions",
-    with_sql(v.BLOCKS_SQL, SCOPED_SQL, select="SELECT partition_key, count(*) AS row_count, 2 AS seq FROM scoped GROUP BY partition_key"),
+    with_sql(
+        v.BLOCKS_SQL, SCOPED_SQL,
+        select="""SELECT 'ds' AS dataset_uuid, 'v1' AS dataset_version, partition_key, 'cfg' AS config_hash, true AS placed, count(*) AS row_count,
+  sha256('chain_id:bigint,block_number:bigint,block_hash:string,block_time:timestamp_ntz,partition_key:string') AS schema_hash FROM scoped GROUP BY partition_key""",
+    ),
 )
 def partition_versions_query(spark, sf_dir):
     root, rows = scratch_path(spark, "pointers"), scoped_blocks(spark, sf_dir)
     replace_scopes(rows, root)
-    replace_scopes(rows, root)
-    return current_scopes(spark, root).select(F.col("scope").alias("partition_key"), "row_count", F.col("seq").cast("int"))
+    replace_scopes(rows, root, config_hash="cfg")
+    # Folder and time differ from run to run; both must be there.
+    placed = F.col("location").isNotNull() & F.col("materialized_at").isNotNull()
+    return partition_versions(spark, root, "ds", "v1").withColumn("placed", placed).drop("location", "materialized_at")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from blockloom.operators import filters, joins, windows
-from blockloom.session import broadcast_if_bounded
+from blockloom.session import broadcast_if_bounded, is_bounded
 from blockloom.workloads import views as v
 
 QUERIES = entry.queries()
@@ -42,6 +42,22 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "GreaterThanOrEqual(o_orderkey,10)" in text and "ReadSchema: struct<o_orderkey:bigint>" in text
 
 
+def test_invalidation_bounds_reach_the_scan(spark, monkeypatch):
+    schema = "scope string, partition_key string, row_filter struct<gte:bigint,lte:bigint>"
+    invalid = spark.createDataFrame([("partition", "10-20", None), ("row_range", None, (500, 600))], schema)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    text = plan(joins.invalidated_rows(v.blocks(spark, SF_DIR), invalid))
+    assert "GreaterThanOrEqual(o_orderkey,10)" in text and "LessThanOrEqual(o_orderkey,600)" in text and "Join" not in text
+    monkeypatch.setattr(joins, "FEW_BOUNDS", 1)
+    text = plan(joins.invalidated_rows(v.blocks(spark, SF_DIR), invalid))
+    assert "GreaterThanOrEqual(o_orderkey,10)" in text and "LessThanOrEqual(o_orderkey,600)" in text and "LeftSemi" in text
+
+
+def test_wide_rows_are_not_broadcast(spark):
+    wide = spark.range(10).selectExpr("id", "repeat('x', 1000) AS text")
+    assert is_bounded(wide, 100) and not is_bounded(wide, 100, max_bytes=5000) and not is_bounded(wide, 5)
+
+
 def test_broadcast_needs_a_counted_bound(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

@@ -1,4 +1,6 @@
 import datetime
+import json
+from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
 
 import pytest
@@ -8,17 +10,18 @@ from blockloom.plans import rules as ur
 from blockloom.plans.audit import accessed_columns, audit_row
 from blockloom.plans.query import QueryRejected, clamp_limit, encode_result, gated_sql, run_query
 
+# Own rows: three alerts on two chains.
 ALERTS = [
-    ("alert_definition_1", "dedupe-001", 0, 1, 100, "0xblockhash001", "0xtxhash001", '{"severity":"low","msg":"fixture-1"}'),
-    ("alert_definition_1", "dedupe-002", 1, 1, 101, "0xblockhash002", "0xtxhash002", '{"severity":"medium","msg":"fixture-2"}'),
-    ("alert_definition_2", "dedupe-003", 2, 10, 202, "0xblockhash003", "0xtxhash003", '{"severity":"high","msg":"fixture-3"}'),
+    ("large-transfer", "k-17", 5, 1, 7001, "0xaa17", "0xbb17", '{"wei":17}'),
+    ("large-transfer", "k-23", 9, 1, 7002, "0xaa23", "0xbb23", '{"wei":23}'),
+    ("stalled-chain", "k-42", 13, 137, 88, "0xaa42", "", "{}"),
 ]
 
 
 @pytest.fixture(scope="module")
 def alerts(spark):
-    start = datetime.datetime(2025, 1, 1)
-    rows = [(a, b, start + datetime.timedelta(seconds=c), *rest) for a, b, c, *rest in ALERTS]
+    start = datetime.datetime(2024, 3, 5, 12)
+    rows = [(a, b, start + datetime.timedelta(minutes=c), *rest) for a, b, c, *rest in ALERTS]
     return spark.createDataFrame(
         rows,
         "alert_definition_id string, dedupe_key string, event_time timestamp_ntz, chain_id bigint, block_number bigint, "
@@ -29,98 +32,142 @@ def alerts(spark):
 @pytest.mark.parametrize(
     "sql",
     [
-        "SELECT 1",
-        "SELECT 1;",
-        "SELECT ';'",
-        "SELECT 'https://example.com/x.parquet'",
-        "SELECT 1; -- trailing comment",
-        "/* leading */ SELECT 1",
-        "WITH t AS (SELECT 1) SELECT * FROM t",
-        "SELECT dedupe_key FROM dataset ORDER BY dedupe_key",
-        "WITH a AS (SELECT * FROM dataset), b AS (SELECT * FROM a) SELECT count(*) FROM b JOIN dataset USING (dedupe_key)",
-        "SELECT * FROM dataset WHERE block_number > (SELECT avg(block_number) FROM dataset)",
-        "SELECT chain_id, count(*) FROM dataset GROUP BY chain_id HAVING count(*) > 1",
-        "SELECT row_number() OVER (PARTITION BY chain_id ORDER BY block_number) FROM dataset",
-        "SELECT x FROM dataset LATERAL VIEW explode(array(1, 2)) t AS x",
-        "SELECT * FROM VALUES (1), (2) AS v(a)",
-        "SELECT chain_id FROM dataset UNION ALL SELECT id FROM range(3)",
-        "SELECT chain_id, block_number FROM dataset ORDER BY 2 LIMIT 2",
-        "SELECT d.* FROM (SELECT * FROM dataset) d",
-        "FROM dataset SELECT chain_id",
+        "VALUES (1, 'a'), (2, 'b')",
+        "SELECT chain_id + 1 AS next FROM dataset WHERE chain_id IN (1, 137) AND payload LIKE '%wei%'",
+        "SELECT 'SELECT * FROM parquet.`/x`' AS quoted, \"a;b\" AS text FROM dataset -- FROM secret",
+        "FROM dataset |> WHERE chain_id = 1 |> AGGREGATE count(*) AS n",
+        "FROM dataset d SELECT d.chain_id, d.block_number",
+        "SELECT * FROM dataset TABLESAMPLE (50 PERCENT)",
+        "SELECT * FROM (SELECT chain_id, block_number FROM dataset) PIVOT (count(block_number) FOR chain_id IN (1, 137))",
+        "SELECT * FROM (SELECT chain_id, block_number FROM dataset) UNPIVOT (value FOR name IN (chain_id, block_number))",
+        "SELECT chain_id, block_number, count(*) FROM dataset GROUP BY GROUPING SETS ((chain_id), (block_number), ())",
+        "SELECT chain_id, count(*) AS n FROM dataset GROUP BY ALL HAVING n > 1 ORDER BY ALL",
+        "SELECT a.dedupe_key FROM dataset a LEFT ANTI JOIN dataset b ON a.chain_id < b.chain_id",
+        "SELECT d.chain_id, n FROM dataset d, LATERAL (SELECT d.block_number * 2 AS n)",
+        "SELECT chain_id FROM dataset EXCEPT ALL SELECT 1 INTERSECT SELECT 137",
+        "SELECT sum(block_number) OVER w FROM dataset WINDOW w AS (PARTITION BY chain_id ORDER BY event_time)",
+        "WITH one AS (WITH two AS (SELECT chain_id FROM dataset) SELECT * FROM two) SELECT max(chain_id) FROM one",
+        "WITH one AS (SELECT chain_id FROM dataset), two AS (SELECT * FROM one) SELECT * FROM two JOIN one USING (chain_id)",
+        "WITH dataset AS (SELECT chain_id FROM dataset) SELECT * FROM dataset",
+        "WITH RECURSIVE up(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM up WHERE n < 5) SELECT sum(n) FROM up",
+        "SELECT (SELECT max(block_number) FROM dataset i WHERE i.chain_id = o.chain_id) FROM dataset o",
+        "SELECT pos, col FROM posexplode(array('x', 'y'))",
+        "SELECT key FROM dataset LATERAL VIEW OUTER explode(map('k', 1)) AS key, value",
+        "SELECT transform(array(1, 2), x -> x + chain_id) FROM dataset LIMIT 2 OFFSET 1",
+        "SELECT /*+ BROADCAST(b) */ count(*) FROM dataset a JOIN dataset b USING (chain_id)",
+        "SELECT DISTINCT get_json_object(payload, '$.wei') FROM dataset",
+        "SELECT * FROM range(2, 5)",
     ],
 )
 def test_gate_accepts(alerts, sql):
     gated_sql(alerts, sql).collect()
 
 
-@pytest.mark.parametrize(
-    "sql",
-    [
-        "SELECT 1; SELECT 2",
-        "SELECT 1; /* ok */ SELECT 2",
-        "UPDATE t SET x = 1",
-        "CREATE TABLE t(x INT)",
-        "CREATE TEMP VIEW v AS SELECT 1",
-        "DELETE FROM t",
-        "DROP TABLE t",
-        "INSERT INTO t SELECT 1",
-        "INSERT OVERWRITE DIRECTORY '/tmp/x' USING parquet SELECT 1",
-        "FROM dataset INSERT INTO t SELECT *",
-        "INSTALL httpfs",
-        "LOAD httpfs",
-        "LOAD DATA INPATH 'x' INTO TABLE t",
-        "ATTACH 'db.duckdb' AS other",
-        "SET spark.sql.ansi.enabled=false",
-        "RESET",
-        "ADD JAR 'x.jar'",
-        "CACHE TABLE dataset",
-        "REFRESH TABLE dataset",
-        "USE default",
-        "SHOW TABLES",
-        "DESCRIBE dataset",
-        "EXPLAIN SELECT 1",
-        "DECLARE x INT",
-        "EXECUTE IMMEDIATE 'SELECT 1'",
-        "BEGIN SELECT 1; END",
-        "SELECT * FROM read_csv('data')",
-        "SELECT * FROM read_parquet('x')",
-        "SELECT * FROM read_files('x')",
-        "SELECT * FROM 'local.csv'",
-        "SELECT * FROM dataset, 'local.csv'",
-        "SELECT * FROM csv.`/etc/passwd`",
-        "SELECT * FROM parquet.`/tmp/x`",
-        "SELECT * FROM dataset JOIN text.`/etc/passwd` ON true",
-        "SELECT (SELECT max(value) FROM text.`/etc/passwd`)",
-        "SELECT * FROM dataset WHERE EXISTS (SELECT 1 FROM other)",
-        "SELECT * FROM dataset WHERE chain_id IN (SELECT x FROM other)",
-        "WITH t AS (SELECT * FROM other) SELECT * FROM t",
-        "SELECT * FROM other",
-        "SELECT * FROM default.dataset",
-        "SELECT reflect('java.lang.System', 'getenv', 'HOME')",
-        "SELECT java_method('java.lang.System', 'getenv', 'HOME')",
-        "SELECT try_reflect('java.lang.System', 'getenv', 'HOME')",
-        "SELECT count(*) FROM dataset WHERE reflect('java.lang.System', 'exit', 1) IS NULL",
-        "SELECT input_file_name() FROM dataset",
-        "SELECT system.builtin.reflect('java.lang.System', 'getenv', 'HOME')",
-        "TABLE other",
-        "SELECT getenv('HOME')",
-    ],
-)
-def test_gate_rejects(alerts, sql):
-    with pytest.raises(QueryRejected):
-        gated_sql(alerts, sql)
+def test_gate_reads_the_dataset_itself(alerts):
+    assert gated_sql(alerts, "SELECT count(*) AS n FROM dataset a JOIN dataset b ON a.chain_id = b.chain_id").first().n == 5
+    counted = alerts.groupBy("chain_id").count()
+    joined = "SELECT max(a.count) AS n FROM dataset a JOIN dataset b ON a.chain_id >= b.chain_id"
+    assert gated_sql(counted, joined).first().n == 2
+
+
+# Each tries to leave the dataset, to run something, or to hide what it names.
+REJECTED = [
+    "SELECT chain_id FROM dataset; SELECT 1",
+    "SELECT * FROM secret",
+    "TABLE secret",
+    "SELECT * FROM IDENTIFIER('secret')",
+    "SELECT * FROM IDENTIFIER('se' || 'cret')",
+    "SELECT (SELECT max(word) FROM IDENTIFIER('secret'))",
+    "SELECT * FROM dataset WHERE EXISTS (TABLE secret)",
+    "SELECT * FROM dataset WHERE dedupe_key NOT IN (SELECT word FROM secret)",
+    "SELECT array(1, 2)[(SELECT count(*) FROM secret)]",
+    "SELECT * FROM dataset d, LATERAL (SELECT word FROM secret)",
+    "WITH secret AS (SELECT * FROM secret) SELECT * FROM secret",
+    "WITH a AS (SELECT * FROM secret), secret AS (SELECT 1 x) SELECT * FROM a",
+    "WITH a AS (WITH b AS (SELECT * FROM secret) SELECT * FROM b) SELECT * FROM a",
+    "WITH a AS (WITH secret AS (SELECT 1) SELECT * FROM secret) SELECT * FROM secret",
+    "WITH RECURSIVE r AS (SELECT word FROM secret UNION ALL SELECT word FROM r WHERE false) SELECT * FROM r",
+    "FROM secret |> SELECT word",
+    "FROM dataset |> JOIN secret ON true",
+    "FROM dataset |> UNION ALL (SELECT * FROM secret)",
+    "SELECT * FROM default.secret",
+    "SELECT * FROM global_temp.shared",
+    "SELECT * FROM spark_catalog.default.dataset",
+    "SELECT * FROM json.`/proc/self/environ`",
+    "SELECT * FROM dataset NATURAL JOIN binaryFile.`/etc/hostname`",
+    "SELECT IDENTIFIER('input_file_name')() FROM dataset",
+    "SELECT input_file_block_start() FROM dataset",
+    "SELECT java_method('java.lang.Runtime', 'getRuntime')",
+    "SELECT try_reflect('java.lang.System', 'getProperty', 'user.home') FROM dataset",
+    "SELECT builtin.reflect('java.lang.System', 'lineSeparator')",
+    "SELECT twice(chain_id) FROM dataset",
+    "SELECT system.session.twice(1)",
+    "SELECT * FROM python_worker_logs()",
+    "SELECT * FROM secret_rows(1)",
+    "CREATE OR REPLACE TEMPORARY VIEW mine AS SELECT * FROM dataset",
+    "CREATE TEMPORARY FUNCTION f AS 'x.Y'",
+    "MERGE INTO t USING dataset ON true WHEN MATCHED THEN DELETE",
+    "FROM dataset INSERT OVERWRITE TABLE t SELECT chain_id",
+    "INSERT OVERWRITE LOCAL DIRECTORY '/tmp/out' USING json SELECT * FROM dataset",
+    "ALTER TABLE t RENAME TO u",
+    "TRUNCATE TABLE t",
+    "ANALYZE TABLE t COMPUTE STATISTICS",
+    "SET VAR x = 1",
+    "CLEAR CACHE",
+    "LIST FILES",
+    "SHOW FUNCTIONS",
+    "DESCRIBE QUERY SELECT * FROM dataset",
+    "EXPLAIN FORMATTED SELECT 1",
+    "EXECUTE IMMEDIATE 'TABLE secret'",
+    "BEGIN DECLARE n INT; SELECT n; END",
+    "CALL system.anything()",
+    "SELECT nothing_known(1)",
+    "SELEC 1",
+    "",
+]
+
+
+@pytest.mark.parametrize("sql", REJECTED)
+def test_gate_rejects(spark, alerts, sql):
+    spark.createDataFrame([("hidden",)], "word string").createOrReplaceTempView("secret")
+    spark.createDataFrame([("hidden",)], "word string").createOrReplaceGlobalTempView("shared")
+    spark.udf.register("twice", lambda n: 2 * n, "bigint")
+    try:
+        with pytest.raises(QueryRejected):
+            gated_sql(alerts, sql)
+    finally:
+        spark.catalog.dropTempView("secret")
+        spark.catalog.dropGlobalTempView("shared")
+
+
+def test_threads_do_not_meet(spark):
+    def ask(n):
+        own = spark.range(n).selectExpr("id", f"{n} AS mark")
+        return [gated_sql(own, "SELECT count(*) AS n, max(mark) AS m FROM dataset").first() for _ in range(4)]
+
+    with ThreadPoolExecutor(4) as pool:
+        for n, rows in zip((3, 5, 7, 11), pool.map(ask, (3, 5, 7, 11))):
+            assert all((r.n, r.m) == (n, n) for r in rows)
 
 
 def test_view_is_gone_and_result_stays_pinned(spark, alerts):
+    spark.catalog.dropTempView("dataset")
     result = gated_sql(alerts, "SELECT count(*) AS n FROM dataset")
     assert not spark.catalog.tableExists("dataset")
     assert result.first().n == 3
     assert spark.conf.get("spark.sql.runSQLOnFiles") == "true"
 
 
+def test_a_view_of_the_same_name_is_left_alone(spark, alerts):
+    spark.range(1).createOrReplaceTempView("dataset")
+    assert gated_sql(alerts, "SELECT count(*) AS n FROM dataset").first().n == 3
+    assert spark.table("dataset").count() == 1
+    spark.catalog.dropTempView("dataset")
+
+
 def test_run_query_fixture(alerts):
     result = run_query(alerts, "SELECT dedupe_key FROM dataset ORDER BY dedupe_key")
-    assert [r[0] for r in result.rows] == ["dedupe-001", "dedupe-002", "dedupe-003"] and not result.truncated
+    assert [r[0] for r in result.rows] == ["k-17", "k-23", "k-42"] and not result.truncated
     assert result.columns == [("dedupe_key", "string")]
 
 
@@ -170,10 +217,44 @@ def test_sql_rule_keys_and_validation(spark, alerts):
         ur.validate_events(events.withColumn("extra", F.lit(1)))
 
 
-def test_python_group_rule_refuses_large_groups(spark):
-    df = spark.range(20).selectExpr("id % 2 AS k", "id")
-    with pytest.raises(ValueError, match="10 rows"):
-        ur.python_group_rule(df, ["k"], lambda key, pdf: pdf, "k bigint, id bigint", max_group_rows=9)
+def test_rule_keeps_its_own_transaction_and_payload(spark):
+    blocks = spark.createDataFrame(
+        [(1, 5, "0x5", "0xt", '{"a":1}', "high"), (1, 6, "0x6", None, None, None), (1, 7, "0x7", "0xu", "{ }", "low")],
+        "chain_id bigint, block_number bigint, block_hash string, tx_hash string, payload string, severity string",
+    )
+    rows = ur.sql_rule(blocks, "SELECT * FROM dataset", "d", "u", "v", F.lit(datetime.datetime(2025, 1, 1))).orderBy("block_number").collect()
+    assert [r.tx_hash for r in rows] == ["0xt", "", "0xu"]
+    assert [json.loads(r.payload) for r in rows] == [
+        {"severity": "high", "a": 1}, {"dataset_uuid": "u", "dataset_version": "v", "block_hash": "0x6"}, {"severity": "low"},
+    ]
+    assert [r.dedupe_key for r in rows] == ["alert_eval:d:v:5:0x5:0xt", "alert_eval:d:v:6:0x6", "alert_eval:d:v:7:0x7:0xu"]
+
+
+def test_group_rule_streams_groups_of_any_size(spark):
+    import pandas as pd
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(200).selectExpr("if(id % 10 = 9, null, cast(id % 3 as string)) AS k", "id % 2 AS j", "id")
+
+        def span(key, pieces):
+            sizes, ids = [], []
+            for piece in pieces:
+                sizes.append(len(piece))
+                ids += piece["id"].tolist()
+            assert ids == sorted(ids) and max(sizes) <= 7
+            yield pd.DataFrame({"k": [key[0]], "j": [key[1]], "n": [len(ids)], "last": [ids[-1]]})
+
+        got = ur.sorted_group_rule(df, ["k", "j"], ["id"], span, "k string, j bigint, n bigint, last bigint").collect()
+        want = df.groupBy("k", "j").agg(F.count("*"), F.max("id")).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, want)))
+
+        def first_only(key, pieces):
+            yield next(pieces).head(1)
+
+        assert ur.python_group_rule(df, ["j"], first_only, df.schema.simpleString()[7:-1].replace(":", " ")).count() == 2
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_audit_row(spark, alerts):

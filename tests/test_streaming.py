@@ -88,11 +88,55 @@ def test_dedupe_stream_across_batches(spark, folder):
         part = spark.createDataFrame(rows[day * 10 : day * 10 + 10], "k int, n int, ts timestamp_ntz")
         part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = spark.readStream.schema("k int, n int, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    # Copies are further apart than the delay: only the append can catch them.
-    dedupe_stream(stream, "s", ["k"], ["n"], "ts", "1 hour", f"{folder}/out", f"{folder}/offsets").awaitTermination()
+    dedupe_stream(stream, "s", ["k"], ["n"], f"{folder}/out", f"{folder}/offsets").awaitTermination()
     assert sorted(r.k for r in read_appended(spark, f"{folder}/out").collect()) == list(range(10))
 
 
+def test_dedupe_stream_keeps_late_first_rows_and_orders_a_batch(spark, folder):
+    """Late first-seen keys stay; of a batch's copies the first by the given order does."""
+    batches = [[("a", 10, "x"), ("a", 10, "w")], [("b", 11, "x"), ("a", 9, "late copy")], [("c", 1, "late"), ("c", 1, "early"), ("b", 0, "y")]]
+    for n, rows in enumerate(batches):
+        part = spark.createDataFrame(rows, "k string, day int, payload string")
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(part.schema).parquet(f"{folder}/in")
+        dedupe_stream(stream, "s", ["k"], ["day", "payload"], f"{folder}/out", f"{folder}/offsets").awaitTermination()
+    got = sorted(tuple(r) for r in read_appended(spark, f"{folder}/out").collect())
+    assert got == [("a", 10, "w"), ("b", 11, "x"), ("c", 1, "early")]
+
+
+def test_outdated_redelivery_changes_nothing(spark, folder):
+    apply(spark, folder, observed(spark, range(10), "a", 1), "s-0")
+    apply(spark, folder, observed(spark, range(5, 10), "b", 3), "s-1")
+    apply(spark, folder, observed(spark, range(5, 10), "a", 2), "s-2")
+    assert table(spark, folder) == {(1, n): f"a{n}" for n in range(5)} | {(1, n): f"b{n}" for n in range(5, 10)}
+    apply(spark, folder, observed(spark, range(5, 10), "a", 2), "s-2")
+    assert read_appended(spark, f"{folder}/inv").count() == 1
+
+
+def test_every_reorg_has_an_invalidation_of_its_own(spark, folder):
+    for n, branch in enumerate("abab"):
+        apply(spark, folder, observed(spark, range(3, 6) if n else range(6), branch, n), f"s-{n}")
+    rows = read_appended(spark, f"{folder}/inv").collect()
+    assert [tuple(r.row_filter) for r in rows] == [(3, 5)] * 3 and len({r.id for r in rows}) == 3
+    assert {r.chain_id for r in rows} == {1}
+
+
+def test_logs_of_a_block_are_kept_apart(spark, folder):
+    def logs(block, branch, numbers, seen_at):
+        rows = [(1, block, f"{branch}{block}", n, seen_at) for n in numbers]
+        return spark.createDataFrame(rows, "chain_id bigint, block_number bigint, block_hash string, log_index int, seen_at int")
+
+    def stored():
+        return sorted((r.block_number, r.block_hash, r.log_index) for r in read_committed(spark, f"{folder}/hot").collect())
+
+    first = logs(1, "a", [0, 1, 2], 1).unionByName(logs(2, "a", [0, 1], 1)).unionByName(logs(2, "a", [1], 2))
+    apply(spark, folder, first, "s-0", row_key=["log_index"])
+    apply(spark, folder, logs(1, "a", [2, 3], 2), "s-1", row_key=["log_index"])
+    assert stored() == [(1, "a1", n) for n in range(4)] + [(2, "a2", 0), (2, "a2", 1)]
+    apply(spark, folder, logs(2, "b", [0], 3).unionByName(logs(2, "a", [5], 2)), "s-2", row_key=["log_index"])
+    assert stored() == [(1, "a1", n) for n in range(4)] + [(2, "b2", 0)]
+
+
 def evaluate(blocks, folder, batch_id, rule="SELECT chain_id, block_number, block_hash FROM dataset", **options):
     now = F.lit(datetime.datetime(2025, 1, 2)).cast("timestamp_ntz")
     alert_evaluate(blocks, rule, UUID, UUID, "v1", now, f"{folder}/alerts", batch_id, **options)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from blockloom.operators import filters, joins
 from blockloom.operators.windows import block_gaps, detect_reorg
 from blockloom.plans import incremental
+from blockloom.plans.closure import downstream_closure
 from blockloom.sinks import versions
 from blockloom.sinks.append import append_dedupe, read_appended
 from blockloom.sinks.compact import compact_finalized, purge_range
@@ -308,6 +309,22 @@ def test_cursor_advances_when_filter_matches_nothing(spark):
     rows, cursor = filters.read_since(df, "n", 3, {"severity": "critical"}, ["severity"])
     assert rows.count() == 0 and cursor.first().next_cursor == 9
     assert filters.read_since(df, "n", 9)[1].first().next_cursor == 9
+    rows, cursor = filters.read_since(df, "n", None)
+    assert rows.count() == 2 and cursor.first().next_cursor == 9 and cursor.schema["next_cursor"].dataType == df.schema["n"].dataType
+    empty, none = filters.read_since(df.limit(0), "n", None)
+    assert empty.count() == 0 and none.first().next_cursor is None
+
+
+def test_rows_that_arrive_after_the_cursor_was_fixed_wait(spark, folder):
+    df = spark.createDataFrame([(1,), (5,)], "n bigint")
+    df.write.parquet(f"{folder}/live")
+    rows, cursor = filters.read_since(spark.read.parquet(f"{folder}/live"), "n", 0)
+    spark.createDataFrame([(7,)], "n bigint").write.mode("append").parquet(f"{folder}/live")
+    seen = sorted(r.n for r in rows.select("n").collect())
+    assert seen == [1, 5] and cursor.first().next_cursor == 5
+    spark.catalog.refreshByPath(f"{folder}/live")
+    later, cursor = filters.read_since(spark.read.parquet(f"{folder}/live"), "n", 5)
+    assert [r.n for r in later.collect()] == [7] and cursor.first().next_cursor == 7
 
 
 def test_invalidated_rows_equal_brute_force(spark):
@@ -327,6 +344,73 @@ def test_invalidated_rows_equal_brute_force(spark):
     assert joins.invalidated_rows(df, spark.createDataFrame([], schema)).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 100])
+def test_invalidations_of_chains_and_datasets(spark, monkeypatch, few):
+    monkeypatch.setattr(joins, "FEW_BOUNDS", few)
+    schema = "id string, dataset_uuid string, dataset_version string, chain_id bigint, scope string, partition_key string, row_filter struct<gte:bigint,lte:bigint>"
+    rows = [
+        ("chain key", "d", "v1", None, "partition", "1_0-4", None),
+        ("every chain", "d", None, None, "row_range", None, (8, 9)),
+        ("own chain", "d", "v1", 2, "row_range", None, (2, 3)),
+        ("open", "d", "v1", 2, "row_range", None, (18, None)),
+        ("other version", "d", "v0", None, "partition", "12-13", None),
+        ("other dataset", "e", "v1", None, "row_range", None, (0, 99)),
+        ("no range", "d", "v1", None, "partition", "weekly", None),
+        ("no bounds", "d", "v1", None, "row_range", None, None),
+        ("unknown scope", "d", "v1", None, "table", None, (0, 5)),
+    ]
+    invalid = spark.createDataFrame(rows, schema)
+    df = blocks(spark, [(c, n, "x") for c in (1, 2) for n in range(20)])
+    hit = joins.invalidated_rows(df, invalid, dataset_uuid="d", dataset_version="v1")
+    want = [(1, n) for n in (0, 1, 2, 3, 4, 8, 9)] + [(2, n) for n in (2, 3, 8, 9, 18, 19)]
+    assert keys(hit, "chain_id", "block_number") == want
+    usable, others = joins.usable_invalidations(invalid, "d", "v1")
+    assert sorted(r.id for r in others.collect()) == ["no bounds", "no range", "unknown scope"]
+    assert usable.count() == 4 and others.columns == invalid.columns
+    with pytest.raises(ValueError):
+        joins.invalidated_rows(df.drop("chain_id"), invalid)
+
+
+def test_bounds_are_merged_per_chain(spark):
+    usable = spark.createDataFrame([(1, 0, 5), (1, 6, 9), (1, 20, None), (1, 30, 40), (2, 3, 4), (None, None, 2)], "chain bigint, first bigint, last bigint")
+    got = sorted(((r.chain or 0), r.first, r.last) for r in joins.invalidation_bounds(usable).collect())
+    assert got == [(0, joins.LOWEST, 2), (1, 0, 9), (1, 20, joins.HIGHEST), (2, 3, 4)]
+
+
+def test_recompaction_requests_can_be_reprocessed(spark):
+    checked = spark.createDataFrame([(1, 3, "a", "b", "mismatch"), (1, 4, "a", "a", "match"), (2, 17, None, "c", "missing_cold")],
+                                    "chain_id bigint, block_number bigint, cold_hash string, canonical_hash string, status string")
+    requests = joins.recompaction_requests(checked, 10, "d", "v")
+    df = blocks(spark, [(c, n, "x") for c in (1, 2) for n in range(30)])
+    hit = joins.invalidated_rows(df, requests, dataset_uuid="d", dataset_version="v")
+    assert keys(hit, "chain_id", "block_number") == [(1, n) for n in range(10)] + [(2, n) for n in range(10, 20)]
+    again = joins.recompaction_requests(checked.filter("block_number < 10"), 10, "d", "v")
+    assert {r.id for r in again.collect()} < {r.id for r in requests.collect()}
+
+
+def test_rows_outside_the_given_scopes_are_not_lost(spark, folder):
+    replace_scopes(scoped(spark, [(1, "a"), (11, "a")]), folder)
+    only = spark.createDataFrame([("0-9",)], "partition_key string")
+    moved = spark.createDataFrame([(1, 12, "b", "10-19")], "chain_id bigint, block_number bigint, block_hash string, partition_key string")
+    replace_scopes(moved, folder, scopes=only)
+    assert [(r.block_number, r.block_hash) for r in read_committed(spark, folder).collect()] == [(12, "b")]
+
+
+@pytest.mark.parametrize("name", ["a:b", "", None, "x/y", "k=v"])
+def test_bad_scope_names_fail_before_the_commit(spark, folder, name):
+    good = scoped(spark, [(1, "a")])
+    replace_scopes(good, folder)
+    with pytest.raises(ValueError):
+        replace_scopes(good.withColumn("partition_key", F.lit(name).cast("string")), folder)
+    assert read_committed(spark, folder).count() == 1 and commit_log(spark, folder).count() == 1
+
+
+def test_closure_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(n, n + 1) for n in range(19)] + [(19, 0)], "src int, dst int")
+    got = downstream_closure(edges, spark.createDataFrame([(0,)], "node int"))
+    assert sorted(map(tuple, got.collect())) == [(n, n) for n in range(20)]
+
+
 def test_integrity_check_with_copies(spark):
     cold = blocks(spark, [(1, 1, "a"), (1, 1, "a"), (1, 2, "b"), (1, 2, "x"), (1, 3, None), (1, 5, "e")])
     canonical = blocks(spark, [(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (1, 4, "d")])
@@ -369,6 +453,12 @@ def test_reprocess_replaces_only_hit_scopes(spark, folder):
     assert keys(downstream, "partition_key") == [("10-19",)]
     assert sorted((r.id, tuple(r.processed_by)) for r in marked.collect()) == [("i1", ("j",)), ("i2", ("j",))]
     assert joins.open_invalidations(marked, edges.filter("job_id = 'j'")).count() == 0
+    # A later correction of the same scope is another invalidation; one that names no rows stays open.
+    later = spark.createDataFrame([("i3", "d", "partition", "10-19", None, None), ("i4", "d", "partition", "weekly", None, None)], schema)
+    again = incremental.reprocess_invalidations(spark, later, edges, "j", fresh, lambda d: d, folder, "out", "v", scope)
+    assert keys(again[1], "partition_key") == keys(downstream, "partition_key")
+    assert not {r.id for r in again[1].collect()} & {r.id for r in downstream.collect()}
+    assert sorted((r.id, tuple(r.processed_by)) for r in again[0].collect()) == [("i3", ("j",)), ("i4", ())]
 
 
 def test_run_incremental_rejects_unknown_mode(spark):
