@@ -22,8 +22,12 @@ def one_spaced(text: Column) -> Column:
 
 
 def content_hash(text: Column) -> Column:
-    """128-bit hash of a text as 16 bytes."""
-    return F.unhex(F.md5(text))
+    """128-bit hash of a text as 16 bytes.
+
+    Never null, and said so: else the join would test the keys for null below the shuffle,
+    which computes the text once more for every test.
+    """
+    return F.coalesce(F.unhex(F.md5(text)), F.lit(b""))
 
 
 def exact_dedup(
@@ -46,7 +50,7 @@ def exact_dedup(
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), one_spaced(filled(F.col(text_column))).alias("_text"))
     rows = rows.withColumn("_hash", digest(F.col("_text")))
-    sha = F.sha2("_text", 256).alias("text_sha256")
+    sha = F.coalesce(F.sha2("_text", 256), F.lit("")).alias("text_sha256")
     classes = (
         rows.groupBy("_hash", "_text")
         .agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
