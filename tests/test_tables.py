@@ -108,6 +108,27 @@ def test_publish_pins_and_replays(spark, folder):
         attach_pinned(spark, folder, prefix, UUID, "other-version")
 
 
+def test_readers_survive_publications_that_fail_or_repeat(spark, folder, monkeypatch):
+    import functools
+
+    import blockloom.sinks.publish as module
+
+    data, ranges, published = publish(spark, folder)
+    pinned = attach_versions(published, folder)
+    files = set(glob.glob(f"{folder}/cryo/**/*.parquet", recursive=True))
+    publish_ranges(data, ranges, folder)
+    assert set(glob.glob(f"{folder}/cryo/**/*.parquet", recursive=True)) == files  # complete versions are left alone
+    more = blocks(spark, [(1, n, "y") for n in range(100, 110)])
+    later = spark.createDataFrame([(UUID, 1, 100, 110, "cfg")], ranges.schema)
+    with monkeypatch.context() as patch:
+        patch.setattr(module, "output_caps", functools.partial(output_caps, max_files=0))
+        with pytest.raises(OutputCapsExceeded):
+            publish_ranges(more, later, folder)
+    assert keys(pinned, "block_number") == keys(attach_versions(published, folder), "block_number") == [(n,) for n in range(25)]
+    found = publish_ranges(more, later, folder)
+    assert keys(attach_versions(found, folder), "block_number") == [(n,) for n in range(100, 110)]
+
+
 def test_registration_of_the_same_publication_is_one_row(spark, folder):
     _, _, published = publish(spark, folder)
     empty = spark.createDataFrame([], published.schema)
