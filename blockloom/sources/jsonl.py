@@ -70,20 +70,18 @@ def alert_columns(document: str = "document") -> list[Column]:
 def split_batches(lines: DataFrame, file: str = "file") -> tuple[DataFrame, DataFrame]:
     """``(file, line)`` rows to accepted events and one dead-letter row per rejected file.
 
-    The verdict per file is a map-side-combined count, computed once; accepted lines are
-    kept by an anti join against the rejected files, broadcast when counted small, so the
-    lines themselves are not shuffled and a file of any size stays spread out.
+    Every line is parsed once, into its error or its typed columns, which are written to the
+    shared folder. The verdict per file is a map-side-combined count over these; accepted
+    lines are kept by an anti join against the rejected files, broadcast when counted small,
+    so the lines themselves are not shuffled and a file of any size stays spread out.
     """
     parsed = lines.filter(~F.col("line").rlike(r"^\s*$")).withColumn("document", strict_json("line"))
-    # Counted, not filtered: a filter on the error would be pushed down and parse every use anew.
-    verdict = (
-        parsed.withColumn("error", alert_line_error())
-        .groupBy(file)
-        .agg(F.count("error").alias("bad_lines"), F.min("error").alias("error"))
-        .filter("bad_lines > 0")
-    )
-    rejected = materialized(verdict, "rejected")
-    good = parsed.join(broadcast_if_bounded(rejected.select(file)), file, "left_anti").select(file, *alert_columns())
+    judged = parsed.withColumn("error", alert_line_error())
+    typed = [F.when(F.col("error").isNull(), c).alias(name) for name, c in zip(ALERT_FIELDS, alert_columns())]
+    judged = materialized(judged.select(file, "error", *typed), "judged")
+    verdict = judged.groupBy(file).agg(F.count("error").alias("bad_lines"), F.min("error").alias("error"))
+    rejected = materialized(verdict.filter("bad_lines > 0"), "rejected")
+    good = judged.join(broadcast_if_bounded(rejected.select(file)), file, "left_anti").select(file, *ALERT_FIELDS)
     return good, rejected
 
 
