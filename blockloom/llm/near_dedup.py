@@ -66,7 +66,8 @@ def bands_needed(similarity: float, rows: int, miss: float = 1e-5) -> int:
 def signatures(docs: DataFrame, id_column: str, text_column: str, words: int, rows: int, bands: int) -> DataFrame:
     """``doc_id, n_shingles, set_key, bands, signature``; a row without words has null keys.
 
-    ``set_key`` is a 128-bit hash of the whole set, ``signature`` one byte of every minimum.
+    ``set_key`` is a 128-bit hash of the whole set, ``signature`` the lowest byte of every
+    minimum: the highest is 0 for most minima of a long text, whatever the text.
     """
     hashes = universal_hashes(rows * bands)
 
@@ -85,7 +86,7 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, words: int, ro
                     band ^= band >> np.uint64(31)
                 band += np.arange(bands, dtype=np.uint64)
                 key = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
-                out.append((len(values), key, band.view(np.int64), (least >> np.uint64(56)).astype(np.uint8).tobytes()))
+                out.append((len(values), key, band.view(np.int64), least.astype(np.uint8).tobytes()))
             columns = zip(*out) if out else [()] * 4
             made = [pa.array(list(v), t) for v, t in zip(columns, (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", "n_shingles", "set_key", "bands", "signature"])
@@ -110,7 +111,7 @@ def near_duplicates(
     a row without an id is left alone: its class is null and it is kept.
 
     Candidates come from banding, so a pair at the threshold is missed with a chance of
-    1e-5. Equal sets collapse first. Every document is compared with the smallest ids of its
+    1e-5, and must agree on its signatures, which fails with some 1e-8. Equal sets collapse first. Every document is compared with the smallest ids of its
     buckets; then members of a bucket that are not in its largest class are compared with all
     its members of other classes: pair by pair in small buckets, block by block in large
     ones, where only links leave a task. Every pair of a bucket is thus either compared or
@@ -123,7 +124,7 @@ def near_duplicates(
     classes = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     firsts = named.join(classes.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"]).dropDuplicates(["set_key"])
     firsts = materialized(firsts.select(F.col("doc_id").alias("rep"), "set_key", "n_shingles", "bands", "signature"), "firsts")
-    banded = firsts.select("rep", F.posexplode("bands").alias("band", "key"))
+    banded = firsts.select("rep", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last")
     members = materialized(banded.join(shared.select("key", "hub"), "key"), "members")
     labels = _linked_labels(docs, firsts, members, id_column, text_column, words, percent, rows)
@@ -142,14 +143,14 @@ def _linked_labels(docs, firsts, members, id_column, text_column, words, percent
     pairs = materialized(_to_hubs(members.filter("rep <> hub")), "pairs")
     links = materialized(_verified(pairs, *verify), "links")
     labels = _relabelled(docs.sparkSession.createDataFrame([], "node long, component long"), links)
-    current = members.select("key", "band", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    current = current.select("key", "band", "rep", F.coalesce("component", "rep").alias("label"))
+    current = members.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    current = current.select("key", "rep", F.coalesce("component", "rep").alias("label"))
     groups = current.groupBy("key", "label").agg(F.count("*").alias("n"))
     open_keys = groups.groupBy("key").agg(
         F.count("*").alias("k"), F.sum("n").alias("size"), F.max_by("label", F.struct("n", "label")).alias("top")
     )
     outside = current.join(open_keys.filter("k > 1").drop("k"), "key").filter("label <> top")
-    outside = materialized(outside.select("key", "band", "rep", "label", "size"), "outside")
+    outside = materialized(outside.select("key", "rep", "label", "size"), "outside")
     if outside.isEmpty():
         return labels
     other = current.select("key", F.col("rep").alias("x"), F.col("label").alias("other"))
@@ -157,7 +158,7 @@ def _linked_labels(docs, firsts, members, id_column, text_column, words, percent
     across = _ordered(across.select("x", F.col("rep").alias("y"))).distinct().join(pairs, ["a", "b"], "left_anti")
     found = _verified(materialized(across, "pairs"), *verify)
     large = outside.filter(F.col("size") > PAIRED_BUCKET)
-    found = found.unionByName(_block_links(large, current, rows, *verify))
+    found = found.unionByName(_block_links(large, current, *verify))
     return _relabelled(labels, materialized(found, "links"))
 
 
@@ -206,9 +207,12 @@ def _full_sets(docs, firsts, involved, id_column, text_column, words) -> DataFra
 
 
 def _least_agreement(percent: int, minima_count: int) -> float:
-    """Share of equal signature bytes, five deviations under that of a pair at the threshold."""
+    """Share of equal signature bytes, six deviations under that of a pair at the threshold.
+
+    Such a pair is under it with a chance of some 1e-8.
+    """
     share = percent / 100 + (1 - percent / 100) / 256
-    return share - 5 * math.sqrt(share * (1 - share) / minima_count)
+    return share - 6 * math.sqrt(share * (1 - share) / minima_count)
 
 
 def _holds(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -216,13 +220,14 @@ def _holds(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _block_links(outside, current, rows, docs, firsts, id_column, text_column, words, percent) -> DataFrame:
+def _block_links(outside, current, docs, firsts, id_column, text_column, words, percent) -> DataFrame:
     """Links between ``outside`` and members of other classes in the same large bucket.
 
     Both sides are cut into blocks of about ``BLOCK_MEMBERS`` and every block of one meets
     every block of the other as one group of bounded size. Inside it signatures are compared
     at once, full sets only where these allow a link and the classes have none yet, and only
-    links leave it. A pair is looked at in its first common bucket alone.
+    links leave it. A pair is looked at in its first common bucket alone, the first by the keys
+    of its bands.
     """
     if outside.isEmpty():
         return docs.sparkSession.createDataFrame([], PAIRS)
@@ -231,12 +236,12 @@ def _block_links(outside, current, rows, docs, firsts, id_column, text_column, w
     )
     members = current.join(sizes, "key")
     sets = _full_sets(docs, firsts, members.select(F.col("rep").alias("id")), id_column, text_column, words)
-    data = sets.withColumnRenamed("id", "rep").join(firsts.select("rep", "signature"), "rep")
+    data = sets.withColumnRenamed("id", "rep").join(firsts.select("rep", "bands", "signature"), "rep")
 
     def side(part: DataFrame, number: int, own: str, other: str) -> DataFrame:
         blocks = part.withColumn(own + "_", F.pmod(F.xxhash64("rep"), F.col(own)).cast("int"))
         blocks = blocks.withColumn(other + "_", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        return blocks.select("key", "left_", "right_", "band", "rep", "label", F.lit(number).alias("side"))
+        return blocks.select("key", "left_", "right_", "rep", "label", F.lit(number).alias("side"))
 
     both = side(outside.join(sizes, "key"), 0, "left", "right").unionByName(side(members, 1, "right", "left"))
 
@@ -244,14 +249,14 @@ def _block_links(outside, current, rows, docs, firsts, id_column, text_column, w
         ones, twos = group[group["side"] == 0], group[group["side"] == 1]
         out = []
         if len(ones) and len(twos):
-            band = int(group["band"].iloc[0])
+            key, keys = group["key"].iloc[0], np.stack(twos["bands"].to_list())
             signs = np.frombuffer(b"".join(twos["signature"]), np.uint8).reshape(len(twos), -1)
             ids, labels = twos["rep"].to_numpy(), twos["label"].to_numpy()
             values = [np.frombuffer(v, np.uint64) for v in twos["value"]]
             least = _least_agreement(percent, signs.shape[1])
-            for rep, label, sign, value in zip(ones["rep"], ones["label"], ones["signature"], ones["value"]):
+            for rep, label, bands, sign, value in zip(*(ones[c] for c in ("rep", "label", "bands", "signature", "value"))):
                 same = signs == np.frombuffer(sign, np.uint8)
-                first = same.reshape(len(ids), -1, rows).all(axis=2).argmax(axis=1) == band
+                first = bands[(keys == bands).argmax(axis=1)] == key
                 near = np.flatnonzero((same.mean(axis=1) >= least) & first & (labels != label))
                 joined = set()
                 for k in near.tolist():
@@ -264,7 +269,7 @@ def _block_links(outside, current, rows, docs, firsts, id_column, text_column, w
 
 
 def _verified(pairs, docs, firsts, id_column, text_column, words, percent) -> DataFrame:
-    """Pairs that hold on their signatures, within five deviations, and on their full sets."""
+    """Pairs that hold on their signatures, within six deviations, and on their full sets."""
 
     def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

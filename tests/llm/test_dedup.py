@@ -96,6 +96,28 @@ def test_near_duplicate_query_equals_brute_force(spark):
     assert got == near_brute(rows, 3, 85)
 
 
+def test_large_buckets_of_long_texts_compare_members_outside_the_top_class(spark, monkeypatch):
+    monkeypatch.setattr(near, "HUBS_TRIED", 0)  # so that blocks alone have to find the links
+    monkeypatch.setattr(near, "PAIRED_BUCKET", 1)
+    rng, rows = random.Random(8), []
+
+    def changed(parts, spots):
+        parts = list(parts)
+        for at in rng.sample(range(0, len(parts), 5), spots):
+            parts[at] = f"w{rng.random()}"
+        return parts
+
+    for k in range(5):  # a class of 20 whose texts are near two others that are linked only to each other
+        base = [f"v{rng.random()}" for _ in range(1200)]
+        one = changed(base, 60)
+        texts = [changed(base, 1) for _ in range(20)] + [one, changed(one, 24)]
+        rows += [(100 * k + i, " ".join(parts)) for i, parts in enumerate(texts)]
+    want = near_brute(rows, 3, 85)
+    assert [want[100 * k + 21] for k in range(5)] == [100 * k + 20 for k in range(5)]
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=3, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_bands_keep_the_miss_small():
     for share in (0.8, 0.85, 0.95):
         assert (1 - share**8) ** near.bands_needed(share, 8) <= 1e-5
