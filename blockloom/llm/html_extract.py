@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm.min_cut import Cut
-from blockloom.llm.page_blocks import Block, blocks_of
+from blockloom.llm.page_blocks import Block, blocks_of, free_wrappers
 
 UNIT = 1000  # capacities are whole thousandths
 
@@ -61,6 +61,7 @@ def label_blocks(blocks: list[Block], texts: list[str], weights: Weights) -> lis
     same parent, the more strongly the nearer they are in the document tree.
     """
     words = [len(text.split()) for text in texts]
+    free_wrappers(blocks, words)
     sizes: dict[int, int] = {}
     for block, n in zip(blocks, words):
         if block.article is not None and not block.apart:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -25,6 +27,8 @@ APART_NAMES = frozenset(
     " sponsored subscribe subscription survey teaser toolbar topbar widget widgets alert alerts toast".split()
 )
 HEADER_NAMES = frozenset(("header", "head", "top"))
+#: What follows one of these in a name tells how a page is laid out: ``no-sidebar``, ``has-widgets``.
+LAYOUT_PARTS = frozenset(("no", "has", "with", "without"))
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -35,18 +39,27 @@ class Element:
     apart: bool = False
     header: bool = False
     silent: bool = False
+    by_name: bool = False  # apart or header by no more than its names or the tag form
 
 
 @dataclass
 class Block:
     path: tuple[int, ...]
-    apart: bool
-    header: bool
+    marked: tuple[Element, ...]  # apart or header, outermost first
     article: int | None
     heading: bool
+    main: bool = False  # the article is a main element
     text: list[str] = field(default_factory=list)
     linked: int = 0
 
+    @property
+    def apart(self) -> bool:
+        return any(e.apart for e in self.marked)
+
+    @property
+    def header(self) -> bool:
+        return any(e.header and e.tag not in INLINE for e in self.marked)
+
 
 class Blocks(HTMLParser):
     """Blocks in page order; character references are decoded, silent elements left out."""
@@ -106,23 +119,27 @@ class Blocks(HTMLParser):
 
     def _block(self) -> Block:
         boxes = [e for e in self.stack if e.tag not in INLINE]
-        article = next((e.number for e in boxes if e.tag in ("article", "main")), None)
+        article = next((e for e in boxes if e.tag in ("article", "main")), None)
         heads = any(e.tag in ("h1", "h2", "h3", "h4", "h5", "h6") for e in boxes[-1:])
-        return Block(tuple(e.number for e in boxes), any(e.apart for e in self.stack), any(e.header for e in boxes), article, heads)
+        return Block(tuple(e.number for e in boxes), tuple(e for e in self.stack if e.apart or e.header), article and article.number, heads, bool(article) and article.tag == "main")
 
     def _judge(self, element: Element, attrs: dict) -> None:
         names = set()
         for key in ("class", "id"):
-            names |= {part.lower() for part in NAME_PART.findall(attrs.get(key) or "")}
+            for name in (attrs.get(key) or "").split():
+                parts = [part.lower() for part in NAME_PART.findall(name)]
+                names |= set(itertools.takewhile(lambda part: part not in LAYOUT_PARTS, parts))
         role = (attrs.get("role") or "").lower()
         if element.tag not in ("html", "body", "article", "main") or role in APART_ROLES:
             element.apart = element.tag in APART or role in APART_ROLES or bool(names & APART_NAMES)
             element.header = element.tag == "header" or bool(names & HEADER_NAMES)
+            element.by_name = element.tag not in (APART - {"form"}) | {"header"} and (role not in APART_ROLES or role == "form")
         elif element.tag == "article":  # readers' comments are often articles of their own
             element.apart = bool(names & {"comment", "comments", "reply", "related", "teaser", "promo", "sponsored", "ad"})
+            element.by_name = element.apart
         style = (attrs.get("style") or "").replace(" ", "").lower()
         if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
-            element.apart = True
+            element.apart, element.by_name = True, False
 
     def _close(self, tags: tuple[str, ...], walls) -> None:
         """End the nearest open element of ``tags`` unless one of ``walls`` stands before it."""
@@ -147,3 +164,43 @@ def blocks_of(html: str | None) -> list[Block]:
     parser.feed(html or "")
     parser.close()
     return parser.done
+
+
+def free_wrappers(blocks: list[Block], words: list[int]) -> None:
+    """Take the marks off page wrappers: elements marked by name that hold the main text.
+
+    From the outermost on, an element is a wrapper if ``main`` lies in it, or the page's
+    largest article and that has more running words than all text without marks, or most of
+    the running words of the page and four times those without marks. The last two also need
+    ten times the words of any article without marks, so a long discussion beside the
+    article stays apart. Running words are those outside links and elements that are marked
+    by more than a name.
+    """
+    running = [n - min(n, b.linked) if all(e.by_name for e in b.marked) else 0 for b, n in zip(blocks, words)]
+    marks, inside, elements = [len(b.marked) for b in blocks], {}, {}
+    articles, plain, plain_articles = Counter(), 0, Counter()
+    for i, block in enumerate(blocks):
+        for e in block.marked:
+            if e.by_name:
+                elements[e.number] = e
+                inside.setdefault(e.number, []).append(i)
+        if block.article is not None and all(e.number < block.article for e in block.marked):
+            articles[block.article] += running[i]
+        if not marks[i]:
+            plain += running[i]
+            plain_articles[block.article] += running[i]
+    largest, total = max(articles.values(), default=0), sum(running)
+    for number in sorted(elements):
+        mass = sum(running[i] for i in inside[number])
+        held = {blocks[i].article for i in inside[number] if (blocks[i].article or 0) > number}
+        article = max((articles[a] for a in held), default=0)
+        rival = max((n for a, n in plain_articles.items() if a is not None), default=0)
+        main = any(running[i] and blocks[i].main and blocks[i].article > number for i in inside[number])
+        most = 2 * mass > total and mass > 4 * plain or article == largest and article > plain
+        if main or most and mass > 10 * rival:
+            elements[number].apart = elements[number].header = False
+            for i in inside[number]:
+                marks[i] -= 1
+                if not marks[i]:
+                    plain += running[i]
+                    plain_articles[blocks[i].article] += running[i]

@@ -163,6 +163,30 @@ def test_main_text_of_a_page():
     )
 
 
+def test_main_text_in_page_wrappers():
+    long_page = PAGE.replace("<p>Short.</p>", "<p>" + "A long paragraph of the story. " * 20 + "</p>")
+    want, _, _ = main_text(long_page)
+    assert len(want.split()) > 120
+    for wrapper in (
+        '<div class="site no-sidebar">', '<div id="content" class="has-widgets">', '<section id="legal">', '<div class="share layout">',
+        "<form>", '<div id="top">', '<div class="widgets"><form class="promo">',
+    ):
+        tag = re.findall(r"<(\w+)", wrapper)
+        ends = "".join(f"</{t}>" for t in reversed(tag))
+        page = long_page.replace("<form>", "<div class=subscribe>").replace("</form>", "</div>")
+        around = page.replace("<body>", "<body>" + wrapper).replace("</body>", ends + "</body>")
+        inner = page.replace('<div id="content">', wrapper + '<div id="content">').replace("<li>Two</ul></div>", "<li>Two</ul></div>" + ends)
+        article = inner.replace('<div id="content">', "<article>").replace("<li>Two</ul></div>", "<li>Two</ul></article>")
+        for html in (around, inner, article, article.replace("article>", "main>")):
+            assert main_text(html)[0] == want, (wrapper, html)
+
+
+def test_a_long_discussion_stays_apart():
+    said = "<article><p>" + "I do not think so at all. " * 60 + "</p></article>"
+    page = "<body><article><p>" + "The story goes on and on. " * 30 + "</p></article><section id=comments>" + said + "</section></body>"
+    assert main_text(page)[0] == ("The story goes on and on. " * 30).strip()
+
+
 def test_main_text_of_odd_pages(spark):
     odd = [None, "", "<", "<p>a<p>b<script>x</script", "<" * 500, "plain words only", "<div>" * 2000 + "deep words"]
     assert [main_text(html)[0] for html in odd] == ["", "", "<", "a b", "<" * 500, "plain words only", "deep words"]
