@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.llm.tables import crc_of_id, unused_name
+from blockloom.session import broadcast_if_bounded, materialized
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BLOCK_BYTES = 4096
 RANK_SALTS = 64
+SHORT_BYTES = 64
 UNKNOWN = "und"
 
 
@@ -34,33 +36,52 @@ def learn_dictionaries(
 ) -> dict[str, bytes]:
     """Raw-content dictionary of every language with labelled rows.
 
-    The sample has a stated bound: at most ``sample_docs`` whole texts of at most
-    ``sample_bytes`` bytes per language, those with the smallest hash of ``order_column``,
-    and the last ``dictionary_bytes`` of their joined letters. The rank is limited in every
-    map task, so no language is gathered in one task. Repeated texts count once, and a text
-    that the other half of the sample takes for another language is left out as mislabelled.
-    Rows without language or text, and languages without a letter in their sample, teach
-    nothing.
+    The sample has a stated bound: at most ``sample_docs`` distinct texts per language, those
+    with the smallest hash, of each at most ``sample_bytes`` bytes of letters from its middle,
+    and the last ``dictionary_bytes`` of their joined letters. Texts of any length may teach;
+    those under ``SHORT_BYTES`` bytes fill the places that longer ones leave. Copies are
+    brought together before the rank, which sees hashes alone and is limited in every map
+    task, so no language is gathered in one task. A text that the other half of the sample
+    takes for another language is left out as mislabelled, unless that half has less than
+    ``BLOCK_BYTES`` of the text's own language to judge by. Rows without language or letters,
+    and languages with fewer than the 8 bytes of letters a dictionary needs, teach nothing.
+    ``order_column`` is not used; copies would differ in it.
     """
-    rows = labelled.select(
-        F.col(lang_column).alias("lang"), F.col(text_column).alias("text"), F.xxhash64(order_column, text_column).alias("at")
-    ).filter("lang IS NOT NULL AND text IS NOT NULL")
-    rows = rows.filter(F.octet_length("text").between(64, sample_bytes))
-    chosen = rows.withColumn("salt", F.pmod("at", F.lit(RANK_SALTS)))
+    rows = labelled.select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("at"))
+    rows = rows.filter("lang IS NOT NULL").filter(F.col("text").rlike(r"\p{L}"))
+    chosen = rows.select("lang", "at", (F.octet_length("text") < SHORT_BYTES).alias("short")).dropDuplicates(["lang", "at"])
+    chosen = chosen.withColumn("salt", F.pmod("at", F.lit(RANK_SALTS)))
     for keys in (["lang", "salt"], ["lang"]):  # so one language's candidates do not meet at once
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("at", "text"))
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("short", "at"))
         chosen = chosen.withColumn("nth", rank).filter(F.col("nth") <= sample_docs)
+    chosen = broadcast_if_bounded(materialized(chosen.select("lang", "at", "nth"), "chosen"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(text=[_middle(text, sample_bytes) for text in batch["text"]])
+
+    pieces = rows.join(chosen, ["lang", "at"]).select("lang", "at", "nth", "text")
+    pieces = pieces.mapInPandas(cut, "lang string, at long, nth int, text string").dropDuplicates(["lang", "at"])
     seen: dict[str, str] = {}
-    for row in chosen.orderBy("lang", "nth").select("lang", "text").collect():
+    for row in pieces.orderBy("lang", "nth").select("lang", "text").collect():
         seen.setdefault(row.text, row.lang)
     halves = list(seen.items())[::2], list(seen.items())[1::2]
     trusted = []
     for own, other in (halves, halves[::-1]):
-        judge = Compressors(_joined(other, dictionary_bytes), level=3)
-        trusted += [(text, lang) for text, lang in own if lang not in judge.langs or judge.best(text)[0] == lang]
+        known = _joined(other, dictionary_bytes)
+        judge = Compressors(known, level=3)
+        thin = {lang for _, lang in own if len(known.get(lang, b"")) < BLOCK_BYTES}
+        trusted += [(text, lang) for text, lang in own if lang in thin or judge.best(text)[0] == lang]
     return _joined(trusted, dictionary_bytes)
 
 
+def _middle(text: str, size: int) -> str:
+    """At most ``size`` bytes from the middle of a text's letters."""
+    letters = words_only(text)
+    start = max(0, (len(letters) - size) // 2)
+    return letters[start : start + size].decode("utf-8", "ignore")
+
+
 def _joined(sample: list[tuple[str, str]], dictionary_bytes: int) -> dict[str, bytes]:
     parts: dict[str, list[bytes]] = {}
     for text, lang in sample:

@@ -110,6 +110,26 @@ def test_language_ignores_labels_of_what_it_predicts(spark):
     assert language_id.learn_from_documents(docs) == language_id.learn_from_documents(blind)
 
 
+def test_language_of_only_long_or_short_texts_and_of_many_copies(spark):
+    def texts(letters, count, size):
+        rng = random.Random(letters)
+        stock = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(60)]
+        return [" ".join(rng.choice(stock) for _ in range(size)) for _ in range(count)]
+
+    copied = texts("moprst", 40, 60)
+    labelled = [("long", t) for t in texts("abcde", 6, 3000)] + [("short", t) for t in texts("fghij", 30, 3)]
+    labelled += [("copied", t) for t in [copied[0]] * 2000 + copied]
+    rows = [(k, t, lang) for k, (lang, t) in enumerate(labelled)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    known = language_id.learn_dictionaries(docs)
+    assert set(known) == {"long", "short", "copied"}
+    assert len(known["copied"]) > 0.8 * len(" ".join(copied))  # some may be left out as mislabelled
+    assert 6 * 4000 < len(known["long"]) <= 6 * 4097
+    found = language_id.identify(docs, known).filter("lang <> 'copied'").collect()
+    right = [r.lang for r in found if r.lang_pred == r.lang]
+    assert right.count("long") == 6 and right.count("short") > 20
+
+
 def test_language_of_odd_rows(spark, odd_docs, no_docs, odd_rows):
     known = {"en": b"the of and that with from this " * 20, "de": b"der die und nicht ein eine das " * 20}
     found = language_id.identify(odd_docs, known)
