@@ -9,8 +9,10 @@ import struct
 import numpy as np
 
 MARK = "▁"
-CACHED_SEGMENTS = 600_000
+CACHED_BYTES = 40 << 20  # of segments and their ids that a worker keeps, with what Python adds
+ENTRY_BYTES = 230
 CACHED_LENGTH = 40
+SLICE_CHARS = 1 << 18  # of a text whose segments are listed at once
 NEVER = float("-inf")
 HEAP_FROM = 40  # symbols; shorter stretches are merged by plain search
 
@@ -49,7 +51,7 @@ class PieceModel:
 
     The model must merge pairs by score, fall back to bytes and have no user-defined or
     unused pieces; others are refused. A stretch of text up to a space mark is encoded once
-    and kept while there is room: no piece has a mark after another character, so no merge
+    and kept while there is room, counted in bytes: no piece has a mark after another character, so no merge
     crosses such a place. The same holds at some punctuation.
     """
 
@@ -82,7 +84,9 @@ class PieceModel:
             self.mapped_bytes[i] = len(piece.encode())
             self.plain_bytes[i] = self.mapped_bytes[i] - 2 * piece.count(MARK)
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.segments = self._segments()
+        self.cuts = re.compile(f"(?<=[^{MARK}]){MARK}")
 
     def _segments(self) -> re.Pattern:
         """Stretches that no merge leaves: up to a space mark, and up to a mark of punctuation
@@ -134,8 +138,8 @@ class PieceModel:
         span one byte each when the text is taken over as it is, else the whole source of it.
         """
         text = text or ""
-        if len(self.known) > CACHED_SEGMENTS:
-            self.known = {}
+        if self.held > CACHED_BYTES:
+            self.known, self.held = {}, 0
         if self.map.units or self.squeeze or not self.escape or MARK in text:
             ids, starts, ends = self._mapped(text)
         else:
@@ -158,6 +162,17 @@ class PieceModel:
         return ids, origin[stops - self.mapped_bytes[ids]], origin[stops]
 
     def _ids(self, marked: str) -> bytes:
+        """Ids of a normalised text; a long one is cut before space marks that follow another
+        character, where a segment ends in any case."""
+        out, at = [], 0
+        while at < len(marked):
+            cut = self.cuts.search(marked, at + SLICE_CHARS)
+            stop = cut.start() if cut else len(marked)
+            out.append(self._slice_ids(marked[at:stop]))
+            at = stop
+        return b"".join(out)
+
+    def _slice_ids(self, marked: str) -> bytes:
         segments = self.segments.findall(marked)
         known, long = self.known, {}
         for segment in set(segments).difference(known):
@@ -165,6 +180,8 @@ class PieceModel:
             known[segment] = ids = struct.pack(f"<{len(ids)}I", *ids)
             if len(segment) > CACHED_LENGTH:
                 long[segment] = ids
+            else:
+                self.held += ENTRY_BYTES + len(ids)
         joined = b"".join(map(known.__getitem__, segments))
         for segment in long:
             del known[segment]

@@ -13,7 +13,7 @@ from blockloom.llm.manifest import merkle_manifest
 from blockloom.llm.near_dedup import near_duplicates
 from blockloom.llm.order_minhash import edit_report
 from blockloom.llm.packing import pack
-from blockloom.llm.pieces import decode_pieces, encode_pieces
+from blockloom.llm.pieces import encode_and_decode
 from blockloom.llm.pitman_yor import score_documents
 from blockloom.llm.registry import ORACLES, QUERIES, query
 from blockloom.llm.secret_scan import scan_report
@@ -105,7 +105,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_piece_encoding")
 def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_file("piece_bpe_32k.model")
-    found = decode_pieces(encode_pieces(documents(spark, sf_dir).select("doc_id", "text"), model), model)
+    found = encode_and_decode(documents(spark, sf_dir), model)
     return found.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

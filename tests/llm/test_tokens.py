@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -18,7 +19,8 @@ from tokenizers import Tokenizer
 from blockloom.llm import order_minhash as omh
 from blockloom.llm.packing import pack, sum_of_squares, word_ids
 from blockloom.llm.piece_model import CharacterMap, PieceModel
-from blockloom.llm.pieces import decode_pieces, encode_pieces
+from blockloom.llm import piece_model, pieces
+from blockloom.llm.pieces import decode_pieces, encode_and_decode, encode_pieces
 from blockloom.llm.queries import QUERIES
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -73,6 +75,33 @@ def test_encoding_columns(spark, odd_docs, no_docs, odd_rows, library):
     assert encode_pieces(no_docs, PIECES).count() == 0
 
 
+def test_one_pass_gives_the_columns_of_both(odd_docs, no_docs, monkeypatch):
+    clashing = odd_docs.withColumns({"ids": F.lit("old"), "decoded": F.lit(1), "starts": F.lit(2)})
+    monkeypatch.setattr(pieces, "BYTES_AT_ONCE", 500)
+    names = ["doc_id", "ids", "starts", "ends", "decoded"]
+    found = encode_and_decode(clashing, PIECES)
+    want = decode_pieces(encode_pieces(odd_docs, PIECES), PIECES).select(*names)
+    assert found.columns == names
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    assert encode_and_decode(no_docs, PIECES).count() == 0
+
+
+def test_slices_and_a_small_store_change_nothing(library, monkeypatch):
+    monkeypatch.setattr(piece_model, "SLICE_CHARS", 5)
+    monkeypatch.setattr(piece_model, "CACHED_BYTES", 3000)
+    model = PieceModel(PIECES)
+    for text in [*random_texts(800, 31, 60), "  a   b ▁▁ c" * 50, "x" * 3000]:
+        assert np.frombuffer(model.encode(text)[0], "<u4").tolist() == library.encode(text, add_bos=True, add_eos=True)
+        assert model.held <= 3000 + 230 * len(text) + 4 * len(text) + 40
+
+
+def test_batches_are_cut_by_bytes():
+    batch = pa.record_batch({"text": pa.array(["aa", None, "", "bbb", "c" * 50, "d", "é"])})
+    parts = [part.column("text").to_pylist() for part in pieces.parts_by_bytes(batch, "text", 5)]
+    assert parts == [["aa", None, "", "bbb"], ["c" * 50], ["d", "é"]]
+    assert list(pieces.parts_by_bytes(batch.slice(0, 0), "text", 5)) == []
+
+
 def test_encoding_query(spark, library):
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in QUERIES["op5_piece_encoding"](spark, SF_DIR).collect()}
     for row in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect():
