@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +13,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.chunks import answered, number_of_parts
+from blockloom.llm.chunks import number_of_parts
 from blockloom.llm.tables import filled
 from blockloom.session import materialized
 
-CHUNK_TOKENS = 1_500_000
-OPEN_TOKENS = 3_000_000  # of all languages that a task gathers at once
+CHUNK_TOKENS = 1_000_000
+OPEN_TOKENS = 2_000_000  # of all languages that a task gathers at once
 SLICE_BYTES = 1 << 20
 PART_BYTES = 32 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -26,10 +27,10 @@ BREAK = 0  # number of the token that ends a piece
 # One byte for each kind of separator; words hold neither spaces nor line ends after it.
 MARKS = b".,;:!?\x0b\x0c\r"
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + MARKS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(MARKS))
-CONTENT, KEYS, COUNTS = 0, 1, 2
+CONTENT, KEYS, CHECKS, PHRASES, TEXTS = range(5)
 ROWS = (
     "kind int, chunk long, part int, lang string, size long, words binary, tokens binary, content binary,"
-    " phrases array<string>, counts array<long>"
+    " phrases array<string>, numbers array<long>"
 )
 ARROW = pa.schema(
     [
@@ -42,7 +43,7 @@ ARROW = pa.schema(
         ("tokens", pa.binary()),
         ("content", pa.binary()),
         ("phrases", pa.list_(pa.string())),
-        ("counts", pa.list_(pa.int64())),
+        ("numbers", pa.list_(pa.int64())),
     ]
 )
 
@@ -113,21 +114,20 @@ class Stretch:
         flat = both.ravel()
         return Stretch(self.lang, [b"\n", *[self.words[i] for i in used.tolist()]], flat[flat >= 0])
 
-    def phrases(self, at: np.ndarray, size: int, prints: np.ndarray) -> tuple[list[str], list[int]]:
-        """Phrases of ``size`` words at the places ``at``, and how often each is there.
-
-        Places are told apart by fingerprint and every place is compared with the first one
-        of its fingerprint, word by word; if any differs, words themselves tell them apart.
-        """
-        _, first, owner = np.unique(prints[at], return_index=True, return_inverse=True)
-        starts = at[first]
-        if any((self.tokens[at + k] != self.tokens[starts[owner] + k]).any() for k in range(size)):
-            windows = np.stack([self.tokens[at + k] for k in range(size)], axis=1)
-            _, first, owner = np.unique(windows, axis=0, return_index=True, return_inverse=True)
-            starts = at[first]
-        times = np.bincount(owner.ravel(), minlength=len(starts))
+    def texts(self, starts: np.ndarray, size: int) -> list[str]:
+        """The phrases of ``size`` words that begin at ``starts``."""
         windows = np.stack([self.tokens[starts + k] for k in range(size)], axis=1).tolist()
-        return [b" ".join([self.words[i] for i in window]).decode() for window in windows], times.tolist()
+        return [b" ".join([self.words[i] for i in window]).decode() for window in windows]
+
+    def counted(self, at: np.ndarray, size: int) -> tuple[list[str], list[int]]:
+        """Distinct phrases at the places ``at``, told apart by their words, and how often each is there."""
+        windows = np.stack([self.tokens[at + k] for k in range(size)], axis=1)
+        _, first, times = np.unique(windows, axis=0, return_index=True, return_counts=True)
+        return self.texts(at[first], size), times.tolist()
+
+    def agree(self, at: np.ndarray, size: int, starts: np.ndarray) -> bool:
+        """Whether the words at each place are those at the place of ``starts`` beside it."""
+        return not any((self.tokens[at + k] != self.tokens[starts + k]).any() for k in range(size))
 
 
 def slices(text: str) -> Iterator[bytes]:
@@ -177,39 +177,114 @@ def _edges(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)]))
 
 
+def _packed(keys: np.ndarray, times: np.ndarray) -> bytes:
+    """Sorted keys and counts; differences are small and their high bytes alike, so they shrink."""
+    steps = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(steps + times.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(content: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(content), np.uint8)
+    count = len(planes) // 12
+    steps = np.ascontiguousarray(planes[: 8 * count].reshape(8, count).T).view(np.uint64).ravel()
+    times = np.ascontiguousarray(planes[8 * count :].reshape(4, count).T).view(np.uint32).ravel()
+    return np.cumsum(steps, dtype=np.uint64), times
+
+
 def _key_rows(chunk: int, keys: np.ndarray, times: np.ndarray, parts: int) -> Iterator[list]:
     edges = _edges(keys, parts).tolist()
     for part, (a, b) in enumerate(zip(edges, edges[1:])):
         if a < b:
-            content = keys[a:b].tobytes() + times[a:b].astype(np.uint32).tobytes()
-            yield [KEYS, chunk, part, None, None, None, None, content, None, None]
+            yield [KEYS, chunk, part, None, None, None, None, _packed(keys[a:b], times[a:b]), None, None]
 
 
-def _flags(keys: np.ndarray, parts: int, answers: dict[int, bytes]) -> np.ndarray:
-    """Which of the sorted keys are frequent, put together from the answers of the parts."""
+def _flags(keys: np.ndarray, parts: int, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the sorted keys are frequent, and which this stretch is to name, put together
+    from the answers of the parts."""
     edges = _edges(keys, parts).tolist()
     found = [
-        np.unpackbits(np.frombuffer(answers[part], np.uint8), count=b - a).astype(bool)
+        np.unpackbits(np.frombuffer(answers[part], np.uint8)).reshape(2, -1)[:, : b - a].astype(bool)
         for part, (a, b) in enumerate(zip(edges, edges[1:]))
         if a < b
     ]
-    return np.concatenate(found) if found else np.zeros(0, bool)
+    both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), bool)
+    return both[0], both[1]
+
 
+def _answered(keys: DataFrame, min_count: int, parts: int) -> DataFrame:
+    """``chunk, part, content, keys, totals``: for each stretch and part the frequent and the
+    owned keys as bits, in the order of ``_key_rows``.
+
+    The first stretch with a frequent key owns it: it will name the phrase. The row of the
+    first stretch also has all frequent keys of the part and their totals.
+    """
 
-def _frequent(min_count: int) -> Callable[[list[bytes]], list[bytes]]:
-    def answer(contents: list[bytes]) -> list[bytes]:
-        """For each chunk's keys of this part a bit: whether all chunks have enough of it."""
-        sizes = [len(c) // 12 for c in contents]
-        keys = np.concatenate([np.frombuffer(c, np.uint64, n) for c, n in zip(contents, sizes)])
-        times = np.concatenate([np.frombuffer(c, np.uint32, n, 8 * n) for c, n in zip(contents, sizes)])
-        order = np.argsort(keys, kind="stable")
+    def answer(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")
+        found = [_unpacked(content) for content in table["content"].to_pylist()]
+        sizes = [len(keys) for keys, _ in found]
+        keys, times = (np.concatenate(values) for values in zip(*found))
+        order = np.argsort(keys, kind="stable")  # so the first of equal keys is of the first stretch
         first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
-        enough = np.add.reduceat(times[order].astype(np.int64), first) >= min_count
-        flags = np.empty(len(keys), bool)
-        flags[order] = np.repeat(enough, np.diff(np.append(first, len(keys))))
-        return [np.packbits(part).tobytes() for part in np.split(flags, np.cumsum(sizes)[:-1])]
+        totals = np.add.reduceat(times[order].astype(np.int64), first)
+        enough = totals >= min_count
+        flags = np.zeros((2, len(keys)), bool)
+        flags[0, order] = np.repeat(enough, np.diff(np.append(first, len(keys))))
+        flags[1, order[first[enough]]] = True
+        ends = np.cumsum(sizes)
+        bits = []
+        for a, b in zip([0, *ends.tolist()], ends.tolist()):
+            room = np.zeros((2, -(-(b - a) // 8) * 8), bool)
+            room[:, : b - a] = flags[:, a:b]
+            bits.append(np.packbits(room).tobytes())
+        rest = [None] * (len(sizes) - 1)
+        return pa.table(
+            {
+                "chunk": table["chunk"],
+                "part": table["part"],
+                "content": pa.array(bits, pa.binary()),
+                "keys": pa.array([keys[order[first[enough]]].view(np.int64), *rest], pa.list_(pa.int64())),
+                "totals": pa.array([totals[enough], *rest], pa.list_(pa.int64())),
+            }
+        )
+
+    rows = keys.select("chunk", "part", "content").repartition(parts, "part")
+    schema = "chunk long, part int, content binary, keys array<long>, totals array<long>"
+    return materialized(rows.groupBy("part").applyInArrow(answer, schema), "answers")
 
-    return answer
+
+def _collisions(checks: DataFrame, parts: int) -> DataFrame:
+    """``size, key`` of frequent fingerprints whose phrases differ between stretches.
+
+    A check of words holds the words themselves. One of longer n-grams holds the fingerprints
+    of all words but the last, and of the last, which differ if the phrases do, once those
+    shorter ones are known not to collide.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        sizes, out = table["size"].to_pylist(), []
+        for size in set(sizes):
+            seen: dict[int, object] = {}
+            whole = [(row, own) for row, own in zip(table["content"].to_pylist(), sizes) if own == size]
+            if size == 1:
+                for row, _ in whole:
+                    plain = zstandard.ZstdDecompressor().decompress(row)
+                    count = int.from_bytes(plain[:8], "little")
+                    words = plain[8 + 8 * count :].split(b"\n")
+                    for key, word in zip(np.frombuffer(plain, np.uint64, count, 8).tolist(), words):
+                        if seen.setdefault(key, word) != word:
+                            out.append((size, key))
+                continue
+            rows = np.concatenate([np.frombuffer(row, np.uint64).reshape(3, -1) for row, _ in whole], axis=1)
+            rows = rows[:, np.lexsort(rows[::-1])]
+            same = rows[0, 1:] == rows[0, :-1]
+            differ = same & (rows[1:, 1:] != rows[1:, :-1]).any(axis=0)
+            out += [(size, key) for key in rows[0, 1:][differ].tolist()]
+        keys = np.array([key for _, key in out], np.uint64).view(np.int64)
+        return pa.table({"size": pa.array([size for size, _ in out], pa.int64()), "key": pa.array(keys)})
+
+    rows = checks.select("part", "size", "content").repartition(parts, "part")
+    return rows.groupBy("part").applyInArrow(compare, "size long, key long")
 
 
 def _chunked(docs: DataFrame, lang_column: str, text_column: str, parts: int, bits: int) -> DataFrame:
@@ -248,7 +323,7 @@ def _chunked(docs: DataFrame, lang_column: str, text_column: str, parts: int, bi
     return materialized(plain.mapInArrow(gather, ROWS), "stretches")
 
 
-def _next_round(made: DataFrame, parts: int, min_count: int, work: Callable, name: str) -> DataFrame:
+def _next_round(made: DataFrame, answers: DataFrame, parts: int, work: Callable, name: str) -> DataFrame:
     """``work(chunk, stretch, answers by part)`` gives the rows of the next round."""
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
@@ -256,14 +331,87 @@ def _next_round(made: DataFrame, parts: int, min_count: int, work: Callable, nam
         rows = [row for text in texts.to_pylist() for row in work(text["chunk"], Stretch.of(text), found)]
         return pa.Table.from_batches(map(_batch, rows), ARROW)
 
-    keys = made.filter(F.col("kind") == KEYS)
-    answers = materialized(answered(keys, _frequent(min_count), parts), "answers")
     texts = made.filter(F.col("kind") == CONTENT).select("chunk", "lang", "words", "tokens")
     left = texts.repartition(parts, "chunk").groupBy("chunk")
-    right = answers.repartition(parts, "chunk").groupBy("chunk")
+    right = answers.select("chunk", "part", "content").repartition(parts, "chunk").groupBy("chunk")
     return materialized(left.cogroup(right).applyInArrow(run, ROWS), name)
 
 
+class Rounds:
+    """What a stretch does with the answers of each round."""
+
+    def __init__(self, parts: int, longest: int, bits: int, by_text: bool):
+        self.parts, self.bits, self.by_text = parts, bits, by_text
+        self.long = list(range(3, longest + 1))
+
+    def _named(self, chunk: int, stretch: Stretch, sizes: list[int], wanted: list[np.ndarray], answers: dict) -> tuple[list[np.ndarray], list]:
+        """Places of frequent n-grams by size, and the rows that name and check their phrases."""
+        shorter = [] if sizes[0] == 1 else [1, *([] if sizes[0] == 2 else [2])]
+        prints = dict(zip([*shorter, *sizes], stretch.fingerprints([*shorter, *sizes], self.bits)))
+        keys, _, owners = _keys([prints[size] for size in sizes], wanted)
+        frequent, owned = _flags(keys, self.parts, answers)
+        found, rows = [], []
+        for size, places, owner in zip(sizes, wanted, owners):
+            at = np.flatnonzero(places)[frequent[owner]]
+            found.append(at)
+            if not len(at):
+                continue
+            if self.by_text:
+                rows.append([TEXTS, chunk, None, stretch.lang, size, None, None, None, *stretch.counted(at, size)])
+                continue
+            numbers, first, inverse = np.unique(owner[frequent[owner]], return_index=True, return_inverse=True)
+            starts = at[first]
+            if not stretch.agree(at, size, starts[inverse.ravel()]):
+                # Two phrases of this stretch share a fingerprint, as a check that fits none says.
+                rows.append([CHECKS, chunk, -1, None, size, None, None, b"", None, None])
+                continue
+            own = owned[numbers]
+            if own.any():
+                names = keys[numbers[own]].view(np.int64).tolist()
+                rows.append([PHRASES, chunk, None, stretch.lang, size, None, None, None, stretch.texts(starts[own], size), names])
+            edges = _edges(keys[numbers], self.parts).tolist()
+            for part, (a, b) in enumerate(zip(edges, edges[1:])):
+                if a < b:
+                    mine, places = keys[numbers[a:b]], starts[a:b]
+                    if size == 1:
+                        words = b"\n".join([stretch.words[i] for i in stretch.tokens[places].tolist()])
+                        content = (b - a).to_bytes(8, "little") + mine.tobytes() + words
+                        content = zstandard.ZstdCompressor(level=1).compress(content)
+                    else:
+                        content = np.stack([mine, prints[size - 1][places], prints[1][places + size - 1]]).tobytes()
+                    rows.append([CHECKS, chunk, part, None, size, None, None, content, None, None])
+        return found, rows
+
+    def after_words(self, chunk: int, stretch: Stretch, answers: dict[int, bytes]) -> Iterator[list]:
+        (at,), rows = self._named(chunk, stretch, [1], [stretch.tokens != BREAK], answers)
+        yield from rows
+        good = np.zeros(len(stretch.tokens), bool)
+        good[at] = True
+        rest = stretch.linked(_runs(good, 2))
+        if len(rest.tokens):
+            keys, times, _ = _keys(rest.fingerprints([2], self.bits), [_runs(rest.tokens != BREAK, 2)])
+            yield rest.row(chunk)
+            yield from _key_rows(chunk, keys, times, self.parts)
+
+    def after_pairs(self, chunk: int, stretch: Stretch, answers: dict[int, bytes]) -> Iterator[list]:
+        pairs = _runs(stretch.tokens != BREAK, 2)
+        (at,), rows = self._named(chunk, stretch, [2], [pairs], answers)
+        yield from rows
+        good = np.zeros(len(pairs), bool)
+        good[at] = True
+        rest = stretch.linked(good)
+        if self.long and len(rest.tokens) > 2:
+            places = [_runs(rest.tokens != BREAK, n) for n in self.long]
+            keys, times, _ = _keys(rest.fingerprints(self.long, self.bits), places)
+            if len(keys):
+                yield rest.row(chunk)
+                yield from _key_rows(chunk, keys, times, self.parts)
+
+    def after_long(self, chunk: int, stretch: Stretch, answers: dict[int, bytes]) -> Iterator[list]:
+        places = [_runs(stretch.tokens != BREAK, n) for n in self.long]
+        yield from self._named(chunk, stretch, self.long, places, answers)[1]
+
+
 def phrase_counts(
     docs: DataFrame,
     min_count: int = 100,
@@ -276,65 +424,44 @@ def phrase_counts(
     times in its language, words joined by spaces, and ``lang, n`` of all words.
 
     Stretches of tokens send each distinct n-gram fingerprint once, with its count, to the
-    part that owns it; the part answers whether all stretches together have enough. Words go
-    first, then pairs of frequent words, then longer n-grams whose pairs are all frequent. A
-    fingerprint never counts less than a phrase that has it, so nothing frequent is lost. Only
-    n-grams with a frequent fingerprint become phrases; a stretch compares their places word
-    by word, and phrases are summed by their text, which undoes collisions between stretches.
+    part that owns it; the part answers whether all stretches together have enough, and
+    which stretch is to name the phrase. Words go first, then pairs of frequent words, then
+    longer n-grams whose pairs are all frequent. A fingerprint never counts less than a
+    phrase that has it, so nothing frequent is lost.
+
+    Frequent fingerprints are verified: within a stretch all places by their words, between
+    stretches words by their text and longer n-grams by their shorter ones. Should any collide,
+    stretches hand over all their frequent phrases as texts, which are summed as such.
     """
     parts = number_of_parts(docs, text_column, PART_BYTES)
-    long = list(range(3, longest + 1))
-
-    def emit(chunk: int, stretch: Stretch, size: int, prints: np.ndarray, at: np.ndarray) -> Iterator[list]:
-        if len(at):
-            yield [COUNTS, chunk, None, stretch.lang, None, None, None, None, *stretch.phrases(at, size, prints)]
-
-    def after_words(chunk: int, stretch: Stretch, answers: dict[int, bytes]) -> Iterator[list]:
-        prints = stretch.fingerprints([1], bits)
-        wanted = stretch.tokens != BREAK
-        keys, _, (owner,) = _keys(prints, [wanted])
-        good = np.zeros(len(wanted), bool)
-        good[wanted] = _flags(keys, parts, answers)[owner]
-        yield from emit(chunk, stretch, 1, prints[0], np.flatnonzero(good))
-        rest = stretch.linked(_runs(good, 2))
-        if len(rest.tokens):
-            pairs = _runs(rest.tokens != BREAK, 2)
-            keys, times, _ = _keys(rest.fingerprints([2], bits), [pairs])
-            yield rest.row(chunk)
-            yield from _key_rows(chunk, keys, times, parts)
-
-    def after_pairs(chunk: int, stretch: Stretch, answers: dict[int, bytes]) -> Iterator[list]:
-        prints = stretch.fingerprints([2], bits)
-        wanted = _runs(stretch.tokens != BREAK, 2)
-        keys, _, (owner,) = _keys(prints, [wanted])
-        good = np.zeros(len(wanted), bool)
-        good[wanted] = _flags(keys, parts, answers)[owner]
-        yield from emit(chunk, stretch, 2, prints[0], np.flatnonzero(good))
-        rest = stretch.linked(good)
-        if long and len(rest.tokens) > 2:
-            keys, times, _ = _keys(rest.fingerprints(long, bits), [_runs(rest.tokens != BREAK, n) for n in long])
-            yield rest.row(chunk)
-            yield from _key_rows(chunk, keys, times, parts)
-
-    def after_long(chunk: int, stretch: Stretch, answers: dict[int, bytes]) -> Iterator[list]:
-        prints = stretch.fingerprints(long, bits)
-        wanted = [_runs(stretch.tokens != BREAK, n) for n in long]
-        keys, _, owners = _keys(prints, wanted)
-        flags = _flags(keys, parts, answers)
-        for size, own, places, owner in zip(long, prints, wanted, owners):
-            yield from emit(chunk, stretch, size, own, np.flatnonzero(places)[flags[owner]])
-
-    rounds = [_chunked(docs, lang_column, text_column, parts, bits)]
-    steps = [("pairs", after_words), ("long", after_pairs), ("phrases", after_long)][: min(longest, 3)]
-    for name, work in steps:
-        rounds.append(_next_round(rounds[-1], parts, min_count, work, name))
-    totals = rounds[0].filter(F.col("kind") == CONTENT).groupBy("lang").agg(F.sum("size").alias("n"))
-    found = [made.filter(F.col("kind") == COUNTS).select("lang", "phrases", "counts") for made in rounds[1:]]
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.unionByName(more)
-    rows = rows.select("lang", F.explode(F.arrays_zip("phrases", "counts")).alias("p"))
-    summed = rows.groupBy("lang", F.col("p.phrases").alias("phrase")).agg(F.sum("p.counts").alias("a"))
+    first = _chunked(docs, lang_column, text_column, parts, bits)
+    totals = first.filter(F.col("kind") == CONTENT).groupBy("lang").agg(F.sum("size").alias("n"))
+    answers: list[DataFrame] = []
+
+    def run(by_text: bool) -> list[DataFrame]:
+        work = Rounds(parts, longest, bits, by_text)
+        steps = [("pairs", work.after_words), ("long", work.after_pairs), ("phrases", work.after_long)]
+        made = [first]
+        for k, (name, step) in enumerate(steps[: min(longest, 3)]):
+            if k == len(answers):
+                answers.append(_answered(made[-1].filter(F.col("kind") == KEYS), min_count, parts))
+            made.append(_next_round(made[-1], answers[k], parts, step, name))
+        return made[1:]
+
+    def listed(made: list[DataFrame], kind: int) -> DataFrame:
+        rows = [m.filter(F.col("kind") == kind).select("lang", "size", "part", "content", "phrases", "numbers") for m in made]
+        return reduce(DataFrame.unionByName, rows)
+
+    made = run(by_text=False)
+    if _collisions(listed(made, CHECKS).filter("part >= 0"), parts).isEmpty() and listed(made, CHECKS).filter("part < 0").isEmpty():
+        # Sizes over two share a round, so their fingerprints share its totals.
+        named = listed(made, PHRASES).select("lang", F.least("size", F.lit(3)).alias("round"), F.explode(F.arrays_zip("phrases", "numbers")).alias("p"))
+        named = named.select("lang", "round", F.col("p.phrases").alias("phrase"), F.col("p.numbers").alias("key"))
+        sums = [a.select(F.lit(k + 1).cast("long").alias("round"), F.explode(F.arrays_zip("keys", "totals")).alias("p")) for k, a in enumerate(answers)]
+        sums = reduce(DataFrame.unionByName, sums).select("round", F.col("p.keys").alias("key"), F.col("p.totals").alias("a"))
+        return materialized(named.join(sums, ["round", "key"]).select("lang", "phrase", "a"), "frequent"), totals
+    texts = listed(run(by_text=True), TEXTS).select("lang", F.explode(F.arrays_zip("phrases", "numbers")).alias("p"))
+    summed = texts.groupBy("lang", F.col("p.phrases").alias("phrase")).agg(F.sum("p.numbers").alias("a"))
     return materialized(summed.filter(F.col("a") >= min_count), "frequent"), totals
 
 
