@@ -42,7 +42,7 @@ def purge_range(spark: SparkSession, hot_table: str, partition: str, cold_table:
     """
     first, last = _bounds(partition)
     _, scope_first, scope_last = scope_block_range(F.col("scope"))
-    overlaps = (scope_first <= last) & (scope_last >= first) & F.col("location").isNotNull()
+    overlaps = (scope_first <= last) & (scope_last >= first) & (F.col("row_count") > 0)
     hit = current_scopes(spark, hot_table).filter(overlaps).select(F.col("scope").alias("partition_key"))
     rows = read_committed(spark, hot_table, [row.partition_key for row in hit.collect()])
     inside = F.col("block_number").between(first, last)

@@ -1,10 +1,20 @@
 """Tables made of committed scopes: data first, then one small pointer file.
 
-Layout: ``<table>/data/attempt=<id>/scope=<key>/*.parquet`` and ``<table>/commits/*.parquet``.
+Layout of a table::
+
+    data/attempt=<id>/scope=<key>/*.parquet   rows, written once
+    commits/segment=<k>/*.parquet             pointers, one file per commit
+    snapshots/segment=<k>/                    pointers that count before segment k
+    writers/segment=<k>/                      commit ids before segment k, as runs of numbers
+    schemas/<hash>/                           each schema once
+
 A write goes to a new attempt folder; the commit is one pointer file with the rows of all
-replaced scopes, renamed into place by the Spark committer, so they become visible together.
-Readers take the newest pointer of each scope and never see an uncommitted attempt. Files
-are written once and committed files are never touched.
+changed scopes, renamed into place by the Spark committer, so they become visible together.
+A pointer replaces its scope, or extends it: it drops the stored rows from ``cut_from`` on and
+adds its own, so a scope is a stack of pieces until it is replaced again. Readers take the
+newest snapshot and the segments after it, a bounded number of files whatever the number
+of commits, and never see an uncommitted attempt. Committed files are never touched. A
+table has one writer at a time.
 """
 
 from __future__ import annotations
@@ -13,7 +23,7 @@ import json
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,84 +31,287 @@ from blockloom.functions.values import schema_hash
 from blockloom.sinks.append import path_exists
 
 COMMIT_SCHEMA = (
-    "seq bigint, commit_id string, scope string, location string, row_count bigint, "
-    "schema_json string, schema_hash string, config_hash string, committed_at timestamp"
+    "seq bigint, commit_id string, scope string, location string, row_count bigint, cut_column string, cut_from bigint, "
+    "depth int, schema_hash string, config_hash string, committed_at timestamp"
 )
-
+WRITER_SCHEMA = "series string, first bigint, last bigint"
 
 # Partition keys and slugs: what Spark writes as a folder name without escaping it.
 SCOPE_NAME = r"^[A-Za-z0-9_.,@+~ -]+$"
+SEGMENT = 32  # commits between two snapshots
+MERGE_DEPTH = 16  # pieces on top of each other before a scope is written whole again
+LOWEST = -(1 << 63)
+_OWN_ID = "^a-[0-9a-f]{32}$"  # ids made here are never replayed
+_NUMBERED = r"^(.*?)(0|[1-9][0-9]{0,17})$"
+_MANY_CUTS = 64
+
+
+def _folders(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the folders ``<prefix><number>`` in ``path``, ascending; only names are read."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(target):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(target)]
+    return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit())
+
+
+def _read(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths)
 
 
 def commit_log(spark: SparkSession, table: str) -> DataFrame:
+    """Every pointer ever committed. For audits; readers use ``recent_log``."""
     path = f"{table}/commits"
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], COMMIT_SCHEMA)
-    return spark.read.schema(COMMIT_SCHEMA).parquet(path)
+    return _read(spark, COMMIT_SCHEMA, *([path] if path_exists(spark, path) else []))
+
+
+def _newest_snapshot(spark: SparkSession, table: str, as_of: int | None = None) -> int:
+    """Segment of the newest complete snapshot that is not past ``as_of``; 0 without one."""
+    for segment in reversed(_folders(spark, f"{table}/snapshots", "segment=")):
+        in_time = as_of is None or segment * SEGMENT <= as_of
+        if in_time and path_exists(spark, f"{table}/writers/segment={segment}/_SUCCESS"):
+            return segment
+    return 0
+
+
+def _segment_paths(spark: SparkSession, table: str, first: int, as_of: int | None = None) -> list[str]:
+    segments = [s for s in _folders(spark, f"{table}/commits", "segment=") if s >= first]
+    return [f"{table}/commits/segment={s}" for s in segments if as_of is None or s * SEGMENT < as_of]
+
+
+def recent_log(spark: SparkSession, table: str, as_of: int | None = None) -> DataFrame:
+    """The pointers that count, and perhaps some that no longer do: a snapshot and what came after.
+
+    At most ``SEGMENT`` commit files and one snapshot are opened, for any ``as_of`` too.
+    """
+    newest = _newest_snapshot(spark, table, as_of)
+    snapshot = [f"{table}/snapshots/segment={newest}"] if newest else []
+    log = _read(spark, COMMIT_SCHEMA, *snapshot, *_segment_paths(spark, table, newest, as_of))
+    return log if as_of is None else log.filter(F.col("seq") <= as_of)
+
+
+def is_committed(spark: SparkSession, table: str, commit_id: str) -> bool:
+    """Whether a commit of this id is in the table, however long ago."""
+    newest = _newest_snapshot(spark, table)
+    tail = _read(spark, COMMIT_SCHEMA, *_segment_paths(spark, table, newest))
+    if not tail.filter(F.col("commit_id") == commit_id).isEmpty():
+        return True
+    if not newest:
+        return False
+    series, number = spark.range(1).select(*_numbered(F.lit(commit_id))).first()
+    known = _read(spark, WRITER_SCHEMA, f"{table}/writers/segment={newest}").filter(F.col("series") == series)
+    inside = F.col("first").isNull() if number is None else F.lit(number).between(F.col("first"), F.col("last"))
+    return not known.filter(inside).isEmpty()
+
+
+def _numbered(commit_id: Column) -> tuple[Column, Column]:
+    """An id without its last number, and that number; null if it ends in none."""
+    number = F.regexp_extract(commit_id, _NUMBERED, 2).try_cast("bigint")
+    return F.when(number.isNotNull(), F.regexp_extract(commit_id, _NUMBERED, 1)).otherwise(commit_id).alias("series"), number.alias("number")
+
+
+def _counting(log: DataFrame) -> DataFrame:
+    """Pointers from the last replacement of each scope on; earlier ones never matter again."""
+    whole = Window.partitionBy("scope")
+    replaced = F.max(F.when(F.col("cut_from").isNull(), F.col("seq"))).over(whole)
+    kept = log.filter("scope IS NOT NULL").withColumn("_from", replaced)
+    return kept.filter(F.col("_from").isNull() | (F.col("seq") >= F.col("_from"))).drop("_from")
+
+
+def _snapshot(spark: SparkSession, table: str, segment: int) -> None:
+    """Store what counts before ``segment``; one that was interrupted is written again."""
+    newest = _newest_snapshot(spark, table)
+    if newest >= segment:
+        return
+    _counting(recent_log(spark, table)).write.mode("overwrite").parquet(f"{table}/snapshots/segment={segment}")
+    tail = _read(spark, COMMIT_SCHEMA, *_segment_paths(spark, table, newest))
+    series, number = _numbered(F.col("commit_id"))
+    new = tail.filter(~F.col("commit_id").rlike(_OWN_ID)).select(series, number).distinct()
+    spans = new.select("series", F.col("number").alias("first"), F.col("number").alias("last"))
+    if newest:
+        spans = spans.unionByName(_read(spark, WRITER_SCHEMA, f"{table}/writers/segment={newest}"))
+    # Runs of consecutive numbers become one row, so a stream takes one whatever its length.
+    order = Window.partitionBy("series").orderBy("first")
+    reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.when(reach.isNull() | (F.col("first") > reach + 1), 1).otherwise(0)
+    runs = spans.withColumn("_new", starts).withColumn("_run", F.sum("_new").over(order))
+    merged = runs.groupBy("series", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    merged.select("series", "first", "last").write.mode("overwrite").parquet(f"{table}/writers/segment={segment}")
 
 
 def current_scopes(spark: SparkSession, table: str, as_of: int | None = None) -> DataFrame:
-    """Newest pointer per scope; ``as_of`` reads the table as it was at that commit."""
-    log = commit_log(spark, table)
-    if as_of is not None:
-        log = log.filter(F.col("seq") <= as_of)
+    """Newest pointer per scope; ``as_of`` reads the table as it was at that commit.
+
+    ``row_count`` is that of the whole scope. ``location`` is where the last rows went.
+    """
+    log = recent_log(spark, table, as_of).filter("scope IS NOT NULL")
     newest = F.max_by(F.struct(*[c for c in log.columns if c != "scope"]), "seq")
     return log.groupBy("scope").agg(newest.alias("_newest")).select("scope", "_newest.*")
 
 
-def replace_scopes(
-    df: DataFrame,
-    table: str,
-    scope_column: str = "partition_key",
-    scopes: DataFrame | None = None,
-    config_hash: str | None = None,
-    commit_id: str | None = None,
-    max_records_per_file: int = 0,
-) -> int:
-    """Replace every scope in ``df`` and in ``scopes``, which may hold emptied ones, at once.
+def live_pieces(spark: SparkSession, table: str, as_of: int | None = None) -> DataFrame:
+    """``scope, location, cut_column, below`` of the pieces that hold live rows.
 
-    Rows of ``df`` in further scopes replace those scopes too; none is left without a
-    pointer. A null scope, or a name that is no plain folder name, fails before the commit.
-    Returns the commit sequence number. ``rebalance`` splits a scope that holds most rows
-    over several tasks and files instead of one.
+    Rows of a piece count where its cut column is under ``below``, or all if that is null: it
+    is the lowest cut of the pointers after it.
     """
+    later = Window.partitionBy("scope").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    cut = F.coalesce("cut_from", F.lit(LOWEST))
+    pieces = _counting(recent_log(spark, table, as_of)).withColumn("below", F.min(cut).over(later))
+    columns = pieces.withColumn("cut_column", F.max("cut_column").over(Window.partitionBy("scope")))
+    live = columns.filter(F.col("location").isNotNull() & (F.col("below").isNull() | (F.col("below") > cut)))
+    return live.select("scope", "location", "cut_column", "below")
+
+
+def _store_schema(df: DataFrame, table: str) -> None:
+    """The schema as one text, under the hash that pointers carry."""
     spark = df.sparkSession
-    attempt = f"a-{uuid.uuid4().hex}"
-    location = f"{table}/data/attempt={attempt}"
+    name = spark.range(1).select(schema_hash(df)).first()[0]
+    path = f"{table}/schemas/{name}"
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        spark.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def _write(df: DataFrame, table: str, scope_column: str, max_records_per_file: int = 0) -> tuple[str, DataFrame]:
+    """Rows in a new attempt folder; its place and the rows written by scope."""
+    spark = df.sparkSession
+    location = f"{table}/data/attempt=a-{uuid.uuid4().hex}"
     writer = df.withColumn("scope", F.col(scope_column).cast("string")).hint("rebalance", "scope").write
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
     writer.partitionBy("scope").parquet(location)
-
     written = (
         spark.read.schema(T.StructType([*df.schema.fields, T.StructField("scope", T.StringType())]))
         .parquet(location)
         .groupBy("scope")
-        .agg(F.count(F.lit(1)).alias("row_count"))
+        .agg(F.count(F.lit(1)).alias("_written"))
     )
-    if scopes is not None:
-        wanted = scopes.select(F.col(scope_column).cast("string").alias("scope")).distinct()
-        written = written.unionByName(wanted.withColumn("row_count", F.lit(0).cast("bigint")))
-        written = written.groupBy("scope").agg(F.sum("row_count").alias("row_count"))
+    return location, written
+
+
+def _commit(df: DataFrame, table: str, location: str, pointers: DataFrame, commit_id: str | None, config_hash: str | None) -> int:
+    """Make ``pointers(scope, _written, row_count, cut_column, cut_from, depth)`` visible together."""
+    spark = df.sparkSession
+    pointers = pointers.persist()
     # Before the commit, so a name that could not be read back never becomes visible.
-    bad = written.filter(F.coalesce(~F.col("scope").rlike(SCOPE_NAME), F.lit(True))).select("scope").head()
+    bad = pointers.filter(F.coalesce(~F.col("scope").rlike(SCOPE_NAME), F.lit(True))).select("scope").head()
     if bad is not None:
+        pointers.unpersist()
         raise ValueError(f"scope name not usable as a folder: {bad.scope!r}")
-    last = commit_log(spark, table).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-    pointers = written.select(
-        F.lit(last + 1).cast("bigint").alias("seq"),
-        F.lit(commit_id or attempt).alias("commit_id"),
+    seq = recent_log(spark, table).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
+    segment = (seq - 1) // SEGMENT
+    if segment:
+        _snapshot(spark, table, segment)
+    _store_schema(df, table)
+    if pointers.isEmpty():  # a commit that changes nothing is still known by its id
+        nothing = "CAST(NULL AS string) AS scope, 0L AS _written, 0L AS row_count, CAST(NULL AS string) AS cut_column"
+        pointers = spark.range(1).selectExpr(*nothing.split(", "), "CAST(NULL AS bigint) AS cut_from", "0 AS depth")
+    rows = pointers.select(
+        F.lit(seq).cast("bigint").alias("seq"),
+        F.lit(commit_id or location.rsplit("=", 1)[1]).alias("commit_id"),
         "scope",
-        F.when(F.col("row_count") > 0, F.lit(location)).alias("location"),
+        F.when(F.col("_written") > 0, F.lit(location)).alias("location"),
         F.col("row_count").cast("bigint"),
-        F.lit(df.schema.json()).alias("schema_json"),
+        "cut_column",
+        F.col("cut_from").cast("bigint"),
+        F.col("depth").cast("int"),
         schema_hash(df).alias("schema_hash"),
         F.lit(config_hash).cast("string").alias("config_hash"),
         F.current_timestamp().alias("committed_at"),
     )
-    # One file makes the flip atomic; it holds one row per replaced scope, never data.
-    pointers.coalesce(1).write.mode("append").parquet(f"{table}/commits")
-    return last + 1
+    # One file makes the flip atomic; it holds one row per changed scope, never data.
+    rows.coalesce(1).write.mode("append").parquet(f"{table}/commits/segment={segment}")
+    pointers.unpersist()
+    return seq
+
+
+def replace_scopes(
+    df: DataFrame,
+    table: str,
+    scope_column: str = "partition_key",
+    scopes: DataFrame | None = None,
+    config_hash: str | None = None,
+    commit_id: str | None = None,
+    max_records_per_file: int = 0,
+) -> int:
+    """Replace every scope in ``df`` and in ``scopes``, which may hold emptied ones, at once.
+
+    Rows of ``df`` in further scopes replace those scopes too; none is left without a
+    pointer. A null scope, or a name that is no plain folder name, fails before the commit.
+    Returns the commit sequence number. ``rebalance`` splits a scope that holds most rows
+    over several tasks and files instead of one.
+    """
+    location, written = _write(df, table, scope_column, max_records_per_file)
+    if scopes is not None:
+        wanted = scopes.select(F.col(scope_column).cast("string").alias("scope")).distinct()
+        written = written.unionByName(wanted.withColumn("_written", F.lit(0).cast("bigint")))
+        written = written.groupBy("scope").agg(F.sum("_written").alias("_written"))
+    none = F.lit(None)
+    pointers = written.select(
+        "scope", "_written", F.col("_written").alias("row_count"), none.cast("string").alias("cut_column"),
+        none.cast("bigint").alias("cut_from"), F.lit(0).alias("depth"),
+    )
+    return _commit(df, table, location, pointers, commit_id, config_hash)
+
+
+def extend_scopes(
+    df: DataFrame,
+    table: str,
+    cuts: DataFrame,
+    cut_column: str,
+    scope_column: str = "partition_key",
+    config_hash: str | None = None,
+    commit_id: str | None = None,
+    merge_depth: int = MERGE_DEPTH,
+) -> int:
+    """In every scope of ``cuts(scope_column, cut_from)`` drop the stored rows whose ``cut_column``
+    is ``cut_from`` or higher, and add the rows of ``df``, at once.
+
+    ``df`` must hold rows of those scopes only, and none under the cut. Only ``df`` is written,
+    except that a scope with ``merge_depth`` pieces is written whole again. ``cuts`` has one
+    row per changed scope, which comes to the driver as a pointer does.
+    """
+    spark = df.sparkSession
+    names = [row.scope for row in cuts.select(F.col(scope_column).cast("string").alias("scope")).collect()]
+    cuts = cuts.select(F.col(scope_column).cast("string").alias("scope"), F.col("cut_from").cast("bigint"))
+    known = current_scopes(spark, table).filter(F.col("scope").isin(*names)) if names else current_scopes(spark, table).limit(0)
+    known = known.select("scope", F.col("row_count").alias("_old"), F.col("depth").alias("_depth"))
+    full = [row.scope for row in known.filter(F.col("_depth") + 1 >= merge_depth).select("scope").collect()]
+    rows = df
+    if full:
+        below = read_committed(spark, table, full).withColumn("_scope", F.col(scope_column).cast("string"))
+        below = below.join(F.broadcast(cuts.withColumnRenamed("scope", "_scope")), "_scope")
+        rows = df.unionByName(below.filter(F.col(cut_column) < F.col("cut_from")).select(*df.columns))
+    location, written = _write(rows, table, scope_column)
+    changed = cuts.join(written, "scope", "left").join(known, "scope", "left").join(_above(spark, table, names, cuts, cut_column, scope_column), "scope", "left")
+    merged = F.col("scope").isin(*full) if full else F.lit(False)
+    added = F.coalesce("_written", F.lit(0))
+    left = F.coalesce("_old", F.lit(0)) - F.coalesce("_dropped", F.lit(0))
+    pointers = changed.select(
+        "scope",
+        added.alias("_written"),
+        F.when(merged, added).otherwise(left + added).alias("row_count"),
+        F.when(~merged, F.lit(cut_column)).alias("cut_column"),
+        F.when(~merged, F.col("cut_from")).alias("cut_from"),
+        F.when(merged, 0).otherwise(F.coalesce("_depth", F.lit(0)) + 1).alias("depth"),
+    )
+    return _commit(df, table, location, pointers, commit_id, config_hash)
+
+
+def _above(spark: SparkSession, table: str, names: list[str], cuts: DataFrame, cut_column: str, scope_column: str) -> DataFrame:
+    """``scope, _dropped``: stored rows at or over the cut of their scope."""
+    if not path_exists(spark, f"{table}/commits"):
+        return spark.createDataFrame([], "scope string, _dropped bigint")
+    stored = read_committed(spark, table, names)
+    lowest = cuts.agg(F.min("cut_from")).first()[0]
+    if lowest is not None:
+        stored = stored.filter(F.col(cut_column) >= lowest)
+    stored = stored.select(F.col(scope_column).cast("string").alias("scope"), F.col(cut_column).alias("_at"))
+    over = stored.join(F.broadcast(cuts), "scope").filter(F.col("_at") >= F.col("cut_from"))
+    return over.groupBy("scope").agg(F.count("*").alias("_dropped"))
 
 
 def replace_scope(df: DataFrame, table: str, scope: str, config_hash: str | None = None, **options) -> int:
@@ -109,33 +322,53 @@ def replace_scope(df: DataFrame, table: str, scope: str, config_hash: str | None
     return replace_scopes(tagged, table, scopes=only, config_hash=config_hash, **options)
 
 
+def _current_schema(spark: SparkSession, table: str) -> T.StructType:
+    newest = recent_log(spark, table).agg(F.max_by("schema_hash", "seq")).first()[0]
+    if newest is None:
+        raise FileNotFoundError(f"no commit in {table}")
+    return T.StructType.fromJson(json.loads(spark.read.text(f"{table}/schemas/{newest}", wholetext=True).first()[0]))
+
+
 def read_committed(
     spark: SparkSession, table: str, scopes: Iterable[str] | None = None, as_of: int | None = None
 ) -> DataFrame:
     """Committed rows, optionally of some scopes only.
 
-    The pointer rows (one per scope) are pinned here, as any file index is; rows are read
-    by the executors. A superseded scope inside a still-used attempt is pruned as a
-    partition, without opening its files.
+    The pointer rows (a bounded number per scope) are pinned here, as any file index is;
+    rows are read by the executors. A superseded scope inside a still-used attempt is pruned
+    as a partition, without opening its files; of a piece that was cut only rows under the
+    cut come out.
     """
-    pointers = current_scopes(spark, table, as_of)
+    pieces = live_pieces(spark, table, as_of)
     if scopes is not None:
-        pointers = pointers.filter(F.col("scope").isin(*scopes)) if scopes else pointers.limit(0)
-    newest = commit_log(spark, table).agg(F.max_by("schema_json", "seq")).first()[0]
-    if newest is None:
-        raise FileNotFoundError(f"no commit in {table}")
-    schema = T.StructType.fromJson(json.loads(newest))
-    pinned = pointers.filter("location IS NOT NULL").select("scope", "location").collect()
+        pieces = pieces.filter(F.col("scope").isin(*scopes)) if scopes else pieces.limit(0)
+    schema = _current_schema(spark, table)
+    pinned = pieces.collect()
     if not pinned:
         return spark.createDataFrame([], schema)
     paths = [f"{row.location}/scope={row.scope}" for row in pinned]
     parts = [T.StructField("attempt", T.StringType()), T.StructField("scope", T.StringType())]
-    return (
-        spark.read.schema(T.StructType([*schema.fields, *parts]))
-        .option("basePath", f"{table}/data")
-        .parquet(*paths)
-        .select(*schema.names)
+    rows = (
+        spark.read.schema(T.StructType([*schema.fields, *parts])).option("basePath", f"{table}/data").parquet(*paths)
     )
+    cut = [row for row in pinned if row.below is not None]
+    if cut:
+        rows = _under_cuts(spark, rows, cut)
+    return rows.select(*schema.names)
+
+
+def _under_cuts(spark: SparkSession, rows: DataFrame, cut: list) -> DataFrame:
+    """``rows`` without those at or over the cut of their piece; few cuts are plain predicates."""
+    column = F.col(cut[0].cut_column)
+    attempt = [(row.location.rsplit("attempt=", 1)[1], row.scope, row.below) for row in cut]
+    if len(attempt) <= _MANY_CUTS:
+        for name, scope, below in attempt:
+            gone = (F.col("attempt") == name) & (F.col("scope") == scope) & (column >= below)
+            rows = rows.filter(~F.coalesce(gone, F.lit(False)))
+        return rows
+    bounds = spark.createDataFrame(attempt, "attempt string, scope string, _below bigint")
+    met = rows.join(F.broadcast(bounds), ["attempt", "scope"], "left")
+    return met.filter(F.col("_below").isNull() | column.isNull() | (column < F.col("_below"))).drop("_below")
 
 
 def partition_versions(spark: SparkSession, table: str, dataset_uuid: str, dataset_version: str) -> DataFrame:

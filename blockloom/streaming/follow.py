@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from blockloom.operators.intervals import bucket_of
-from blockloom.operators.windows import detect_reorg, first_rows, reorg_invalidations
+from blockloom.operators.windows import first_rows, reorg_invalidations
 from blockloom.session import materialized
-from blockloom.sinks.append import append_dedupe
+from blockloom.sinks.append import append_dedupe, path_exists
 from blockloom.sinks.compact import scope_block_range
-from blockloom.sinks.scopes import commit_log, current_scopes, read_committed, replace_scopes
+from blockloom.sinks.scopes import current_scopes, extend_scopes, is_committed, read_committed, replace_scopes
 from blockloom.sources.unify import hot_cold_union
 from blockloom.streaming.jobs import start_batches
 
@@ -55,18 +55,20 @@ def apply_blocks(
     in the batch and against the table, so a late redelivery of an abandoned block changes
     nothing. ``seen_at`` is kept in the table for that.
 
+    New blocks are appended to their scope as a piece of its own; only blocks from the lowest
+    changed one on are written again. Stored rows are read between the batch's lowest and
+    highest block alone, which file statistics turn into skipped files.
+
     Order: detected reorgs are stored next to the table, then data and pointers are
     committed, then invalidations and the cursor event go out. A replay of a committed
     batch only repeats the last step, from what was stored.
     """
     spark = batch.sparkSession
     pending = f"{hot_table}/pending/{commit_id}"
-    log = commit_log(spark, hot_table)
-    if log.filter(F.col("commit_id") == commit_id).isEmpty():
+    if not is_committed(spark, hot_table, commit_id):
         rows = batch.join(_latest(batch).drop("seen_at"), [*BLOCK, "block_hash"], "left_semi")
         rows = first_rows(rows, [*BLOCK, *row_key], [F.desc("seen_at")]).withColumn("partition_key", hot_scope(scope_size))
-        rows = materialized(rows, "batch")
-        _commit_blocks(rows, log.isEmpty(), commit_id, hot_table, pending, row_key)
+        _commit_blocks(rows, commit_id, hot_table, pending, row_key, batch.select("chain_id", "block_number", hot_scope(scope_size).alias("partition_key")))
     reorgs = spark.read.schema(_REORG_SCHEMA).parquet(pending)
     append_dedupe(
         invalidation_path,
@@ -96,58 +98,67 @@ def _latest(rows: DataFrame) -> DataFrame:
 
 
 def _commit_blocks(
-    rows: DataFrame, is_first: bool, commit_id: str, hot_table: str, pending: str, row_key: Sequence[str]
+    rows: DataFrame, commit_id: str, hot_table: str, pending: str, row_key: Sequence[str], observed: DataFrame
 ) -> None:
     spark = rows.sparkSession
-    none = F.lit(None).cast("bigint")
-    if is_first:
-        tips = rows.groupBy("chain_id").agg(F.max("block_number").alias("new_tip"))
-        notes = tips.select("chain_id", "new_tip", *[none.alias(c) for c in ("fork_block", "old_tip", "changed_blocks")])
-        notes.write.mode("overwrite").parquet(pending)
-        replace_scopes(rows, hot_table, commit_id=commit_id)
-        return
-    # Scope names of one micro-batch; stored data is read for these scopes only.
-    names = [row.partition_key for row in rows.select("partition_key").distinct().collect()]
-    stored = read_committed(spark, hot_table, names)
+    # Scopes and the block range of one micro-batch; stored data is read for these only.
+    reach = observed.groupBy("partition_key").agg(F.min("block_number").alias("low"), F.max("block_number").alias("high")).collect()
+    names = [row.partition_key for row in reach]
+    if is_new(spark, hot_table):
+        stored = spark.createDataFrame([], rows.schema)
+        old_tips = spark.createDataFrame([], "chain_id bigint, old_tip bigint")
+    else:
+        low, high = min(row.low for row in reach), max(row.high for row in reach)
+        stored = read_committed(spark, hot_table, names).filter(F.col("block_number").between(low, high))
+        old_tips = _stored_tips(spark, hot_table)
     known = _latest(stored).select(*BLOCK, F.col("block_hash").alias("_hash"), F.struct("seen_at", "block_hash").alias("_seen"))
     outdated = (F.col("block_hash") != F.col("_hash")) & (F.struct("seen_at", "block_hash") < F.col("_seen"))
-    rows = rows.join(known, BLOCK, "left").filter(~F.coalesce(outdated, F.lit(False))).select(*rows.columns)
-    rows = materialized(rows, "news")
-    tips = rows.groupBy("chain_id").agg(F.max("block_number").alias("new_tip"))
-    touched = rows.select("partition_key").distinct()
-    blocks = rows.select(*BLOCK, "block_hash").distinct()
-    reorgs = (
-        detect_reorg(stored, blocks)
-        .select("chain_id", "fork_block", "changed_blocks")
-        .join(_stored_tips(spark, hot_table), "chain_id")
+    changed = F.col("_hash").isNotNull() & (F.col("block_hash") != F.col("_hash"))
+    news = rows.join(known, BLOCK, "left").filter(~F.coalesce(outdated, F.lit(False)))
+    news = materialized(news.withColumn("_changed", changed).select(*rows.columns, "_changed"), "news")
+    # The fork of a chain is its lowest block whose stored hash differs; everything stored
+    # from there to the old tip is orphaned, also in later scopes.
+    tips = news.groupBy("chain_id").agg(
+        F.max("block_number").alias("new_tip"),
+        F.min(F.when(F.col("_changed"), F.col("block_number"))).alias("fork_block"),
+        F.nullif(F.count_distinct(F.when(F.col("_changed"), F.col("block_number"))), F.lit(0)).alias("changed_blocks"),
     )
-    notes = tips.join(reorgs, "chain_id", "left").select("chain_id", "new_tip", "fork_block", "old_tip", "changed_blocks")
-    notes.write.mode("overwrite").parquet(pending)
-    notes = spark.read.schema(_REORG_SCHEMA).parquet(pending).filter("fork_block IS NOT NULL")
+    notes = tips.join(old_tips, "chain_id", "left").withColumn("old_tip", F.when(F.col("fork_block").isNotNull(), F.col("old_tip")))
+    notes.select("chain_id", "new_tip", "fork_block", "old_tip", "changed_blocks").coalesce(1).write.mode("overwrite").parquet(pending)
+    reorgs = spark.read.schema(_REORG_SCHEMA).parquet(pending).filter("fork_block IS NOT NULL")
+    cuts = _cuts(spark, hot_table, news, reorgs)
+    on_old_branch = F.coalesce(F.col("block_number").between(F.col("fork_block"), F.col("old_tip")), F.lit(False))
+    touched = [row.partition_key for row in cuts]
+    fresh = news.drop("_changed")
+    if not touched:  # a batch of outdated rows only: an empty commit keeps its replay short
+        replace_scopes(fresh, hot_table, commit_id=commit_id)
+        return
+    cut = spark.createDataFrame([tuple(row) for row in cuts], "partition_key string, cut_from bigint")
+    if not is_new(spark, hot_table):
+        kept = read_committed(spark, hot_table, touched).filter(F.col("block_number") >= min(row.cut_from for row in cuts))
+        kept = kept.join(F.broadcast(cut), "partition_key").filter(F.col("block_number") >= F.col("cut_from"))
+        kept = kept.join(F.broadcast(reorgs.select("chain_id", "fork_block", "old_tip")), "chain_id", "left")
+        kept = kept.filter(~on_old_branch).select(*fresh.columns)
+        fresh = hot_cold_union(fresh, kept, [*BLOCK, *row_key])
+    extend_scopes(fresh, hot_table, cut, "block_number", commit_id=commit_id)
+
 
-    # Everything stored from the fork to the old tip is orphaned, also in later scopes.
+def is_new(spark, hot_table: str) -> bool:
+    return not path_exists(spark, f"{hot_table}/commits")
+
+
+def _cuts(spark, hot_table: str, news: DataFrame, reorgs: DataFrame) -> list:
+    """``partition_key, cut_from``: the lowest block of every scope that changes."""
+    own = news.groupBy("partition_key").agg(F.min("block_number").alias("cut_from"))
     chain, first, last = scope_block_range(F.col("scope"))
+    stored = current_scopes(spark, hot_table).filter("row_count > 0")
+    stored = stored.select(chain.alias("chain_id"), first.alias("_first"), last.alias("_last"), F.col("scope").alias("partition_key"))
     orphaned = (
-        current_scopes(spark, hot_table)
-        .filter("row_count > 0")
-        .select(chain.alias("chain_id"), first.alias("_first"), last.alias("_last"), F.col("scope").alias("partition_key"))
-        .join(notes, "chain_id")
+        stored.join(F.broadcast(reorgs), "chain_id")
         .filter((F.col("_last") >= F.col("fork_block")) & (F.col("_first") <= F.col("old_tip")))
-        .select("partition_key")
-    )
-    affected = touched.unionByName(orphaned).distinct()
-    affected_names = [row.partition_key for row in affected.collect()]
-    if not affected_names:  # a batch of outdated rows only: an empty commit keeps its replay short
-        replace_scopes(rows, hot_table, commit_id=commit_id)
-        return
-    on_old_branch = F.coalesce(F.col("block_number").between(F.col("fork_block"), F.col("old_tip")), F.lit(False))
-    kept = (
-        read_committed(spark, hot_table, affected_names)
-        .join(notes.select("chain_id", "fork_block", "old_tip"), "chain_id", "left")
-        .filter(~on_old_branch)
-        .select(*rows.columns)
+        .select("partition_key", F.greatest("_first", "fork_block").alias("cut_from"))
     )
-    replace_scopes(hot_cold_union(rows, kept, [*BLOCK, *row_key]), hot_table, scopes=affected, commit_id=commit_id)
+    return own.unionByName(orphaned).groupBy("partition_key").agg(F.min("cut_from").alias("cut_from")).collect()
 
 
 def follow_blocks(
@@ -173,7 +184,7 @@ def follow_blocks(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
+        if not batch.isEmpty():  # an interval may pass without a block
             apply_blocks(
                 batch, f"{stream_name}-{batch_id}", hot_table, invalidation_path, event_path,
                 dataset_uuid, dataset_version, scope_size, threshold_blocks, row_key,
