@@ -25,6 +25,15 @@ def read_appended(spark: SparkSession, target_path: str) -> DataFrame:
     return spark.read.parquet(target_path).drop(BATCH_COLUMN)
 
 
+def append_batch(df: DataFrame, target_path: str, batch_id: str) -> None:
+    """Rows into the folder of their batch; a replay overwrites what it wrote before.
+
+    For rows that no other batch can bring; the target is not read.
+    """
+    writer = df.withColumn(BATCH_COLUMN, F.lit(batch_id)).write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy(BATCH_COLUMN).parquet(target_path)
+
+
 def append_dedupe(
     target_path: str,
     batch: DataFrame,
@@ -58,11 +67,5 @@ def append_dedupe(
         probe = F.broadcast(batch_keys) if is_bounded(first) else batch_keys
         taken = existing.select(*keys).join(probe, keys, "left_semi")
         fresh = first.join(taken, keys, "left_anti")
-    (
-        fresh.withColumn(BATCH_COLUMN, F.lit(batch_id))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(BATCH_COLUMN)
-        .parquet(target_path)
-    )
+    append_batch(fresh, target_path, batch_id)
     first.unpersist()

@@ -10,6 +10,8 @@ from blockloom.sinks.scopes import read_committed
 from blockloom.streaming.alerts import alert_evaluate, alert_evaluate_stream, alert_route_stream, dedupe_stream
 from blockloom.streaming.deliveries import delivery_outcomes
 from blockloom.streaming.follow import follow_blocks
+from blockloom.streaming.liveliness import liveliness_stream
+from blockloom.streaming.ranges import range_aggregate_stream
 from blockloom.workloads import views as v
 from blockloom.workloads.registry import query
 from blockloom.workloads.relational import ROUTE_WHERE, ROUTED_SQL
@@ -199,3 +201,104 @@ def delivery_outcomes_query(spark, sf_dir):
     )
     once = delivery_outcomes(rows, outcomes)
     return delivery_outcomes(once, outcomes).drop("provider_message_id")
+
+
+# Cursors are the transfers of a supplier in five waves: three shares in an order of their own,
+# a redelivery of the first, and once more the lowest cursors of all.
+_CURSORS_SQL = """cursors AS (SELECT l_suppkey AS stream_key, l_orderkey AS cursor, CAST(l_partkey % 3 AS INTEGER) AS wave FROM lineitem),
+started AS (SELECT stream_key, min(cursor) FILTER (wave = (SELECT min(wave) FROM cursors x WHERE x.stream_key = c.stream_key)) // 64 * 64 AS s,
+  max(cursor) AS high FROM cursors c GROUP BY stream_key),
+full_ranges AS (SELECT stream_key, s, greatest((high + 1 - s) // 64, 0) AS n FROM started)"""
+
+
+def _aggregated(spark, sf_dir):
+    state, events, offsets = (scratch_path(spark, n) for n in ("state", "events", "offsets"))
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("stream_key"), F.col("l_orderkey").alias("cursor"), (F.col("l_partkey") % 3).cast("int").alias("wave")
+    )
+    again = rows.filter("wave = 0").withColumn("wave", F.lit(3))
+    low = rows.groupBy("stream_key").agg(F.min("cursor").alias("cursor")).withColumn("wave", F.lit(4))
+    drained_in_waves(
+        spark, rows.unionByName(again).unionByName(low), "wave",
+        lambda stream: range_aggregate_stream(stream, "ranges", 64, state, events, offsets, buckets=4),
+    )
+    return state, events
+
+
+@query(
+    "range_aggregate_stream",
+    with_sql(
+        _CURSORS_SQL,
+        select="""SELECT stream_key, (s + i * 64) || '-' || (s + i * 64 + 63) AS partition_key, s + i * 64 AS start, s + i * 64 + 63 AS "end"
+FROM full_ranges, unnest(range(0, n)) AS u(i)""",
+    ),
+)
+def range_aggregate_stream_query(spark, sf_dir):
+    return read_appended(spark, _aggregated(spark, sf_dir)[1])
+
+
+@query(
+    "range_aggregate_stream_state",
+    with_sql(_CURSORS_SQL, select="SELECT stream_key, s + n * 64 AS last_emitted_end FROM full_ranges"),
+)
+def range_aggregate_stream_state(spark, sf_dir):
+    return read_committed(spark, _aggregated(spark, sf_dir)[0]).drop("partition_key")
+
+
+# A block a minute. Half of the blocks arrive, then silence for two ticks, then the rest but
+# for chain 2, and last those of chain 2 with old blocks once more. A tick ends each wave.
+_TICKS_SQL = """timed AS (SELECT chain_id, block_number, TIMESTAMP '2024-01-01' + to_minutes(CAST(block_number AS INTEGER)) AS block_time,
+    CASE WHEN block_number <= half THEN 1 WHEN chain_id <> 2 THEN 4 ELSE 5 END AS wave, half, top
+  FROM blocks, (SELECT max(block_number) // 2 AS half, max(block_number) AS top FROM blocks)),
+ticks AS (SELECT w, TIMESTAMP '2024-01-01' + to_minutes(CAST(CASE w WHEN 1 THEN half + 1 WHEN 2 THEN half + 600 WHEN 3 THEN half + 4320 ELSE top + w + 4320 END AS INTEGER)) AS judged_at
+  FROM (SELECT any_value(half) AS half, any_value(top) AS top FROM timed), unnest([1, 2, 3, 4, 5]) AS u(w)),
+judged AS (SELECT w, chain_id, judged_at, max(block_number) AS last_block, max(block_time + to_minutes(CASE WHEN wave > 1 THEN 4320 ELSE 0 END)) AS last_block_time
+  FROM ticks JOIN timed ON wave <= w GROUP BY w, chain_id, judged_at),
+gaps AS (SELECT *, date_diff('millisecond', last_block_time, judged_at) AS gap_ms FROM judged),
+events AS (SELECT chain_id, judged_at, last_block, last_block_time, gap_ms, w,
+  CASE WHEN gap_ms <= 7200000 THEN 'ok' WHEN gap_ms < 86400000 THEN 'degraded' ELSE 'stalled' END AS status FROM gaps)"""
+
+
+def _ticked(spark, sf_dir, changes_only=False):
+    state, events, offsets = (scratch_path(spark, n) for n in ("state", "events", "offsets"))
+    blocks, number = v.blocks(spark, sf_dir).select("chain_id", "block_number"), F.col("block_number")
+    top = blocks.agg(F.max("block_number")).first()[0]
+    half = top // 2
+
+    def minutes(count):
+        return at("2024-01-01") + F.make_dt_interval(mins=count.cast("int"))
+
+    wave = F.when(number <= half, 1).when(F.col("chain_id") != 2, 4).otherwise(5)
+    rows = blocks.withColumn("wave", wave).withColumn("block_time", minutes(number + F.when(F.col("wave") > 1, 4320).otherwise(0)))
+    again = rows.filter((F.col("wave") == 1) & (number % 2 == 0)).withColumn("wave", F.lit(5))
+    rows = rows.unionByName(again).withColumn("at", F.lit(None).cast("timestamp_ntz"))
+    moments = [(1, half + 1), (2, half + 600), (3, half + 4320), (4, top + 4 + 4320), (5, top + 5 + 4320)]
+    ticks = spark.createDataFrame(moments, "wave int, n long").select(
+        *[F.lit(None).cast(k).alias(c) for c, k in (("chain_id", "bigint"), ("block_number", "bigint"), ("block_time", "timestamp_ntz"))],
+        minutes(F.col("n")).alias("at"), "wave",
+    )
+    drained_in_waves(
+        spark, rows.unionByName(ticks), "wave",
+        lambda stream: liveliness_stream(
+            stream.filter("at IS NULL"), stream.filter("at IS NOT NULL").select("at"), "live", state, events, offsets,
+            7_200_000, 86_400_000, changes_only,
+        ),
+    )
+    return read_appended(spark, events)
+
+
+@query("liveliness_stream", with_sql(v.BLOCKS_SQL, _TICKS_SQL, select="SELECT chain_id, judged_at, last_block, last_block_time, gap_ms, status FROM events"))
+def liveliness_stream_query(spark, sf_dir):
+    return _ticked(spark, sf_dir)
+
+
+@query(
+    "liveliness_changes",
+    with_sql(
+        v.BLOCKS_SQL, _TICKS_SQL,
+        select="""SELECT chain_id, judged_at, last_block, last_block_time, gap_ms, status FROM events
+QUALIFY status IS DISTINCT FROM lag(status) OVER (PARTITION BY chain_id ORDER BY w)""",
+    ),
+)
+def liveliness_changes(spark, sf_dir):
+    return _ticked(spark, sf_dir, changes_only=True)
