@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.functions.ids import chain_of_key, content_key, parse_partition_key, partition_key
 from blockloom.operators.aggregates import latest_heads, range_counts
 from blockloom.operators.filters import edge_where, fresh_only, sample_blocks
-from blockloom.operators.intervals import bucket_of, pick_bucket_size, spread_over_buckets
+from blockloom.operators.intervals import HIGHEST, LOWEST, bucket_of, in_spans, merged_spans, pick_bucket_size, spread_over_buckets
 from blockloom.session import bounded_side, broadcast_if_bounded, is_bounded, materialized
 
-LOWEST, HIGHEST = -(2**63), 2**63 - 1
 FEW_BOUNDS = 100  # merged ranges that are written out as predicates
 
 DELIVERY_STATUSES = ("pending", "sending", "retrying", "delivered", "failed")
@@ -122,18 +120,12 @@ def usable_invalidations(
     return judged.filter(usable), judged.filter(~usable).select(*rows.columns)
 
 
-def invalidation_bounds(usable: DataFrame) -> DataFrame:
+def invalidation_bounds(usable: DataFrame, rows_a_part: int = 500_000) -> DataFrame:
     """``chain, first, last`` of usable invalidations, overlapping and touching ones merged."""
     spans = usable.select(
         "chain", F.coalesce("first", F.lit(LOWEST)).alias("first"), F.coalesce("last", F.lit(HIGHEST)).alias("last")
     )
-    spans = spans.filter("last >= first").distinct()
-    before = Window.partitionBy("chain").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy("chain").orderBy("first", "last")
-    reach = F.max("last").over(before)
-    starts = spans.withColumn("_new", (reach.isNull() | (F.col("first") - 1 > reach)).cast("int"))
-    grouped = starts.withColumn("_group", F.sum("_new").over(ahead)).groupBy("chain", "_group")
-    return grouped.agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_group")
+    return merged_spans(spans.filter("last >= first"), "chain", rows_a_part)
 
 
 def invalidated_rows(
@@ -161,7 +153,7 @@ def invalidated_rows(
         raise ValueError(f"invalidations name chains, but the rows have no column {chain}")
     number = F.col(block)
     if count <= FEW_BOUNDS:
-        return df.filter(reduce(lambda a, b: a | b, [_within(number, F.col(chain) if chained else None, r) for r in bounds.collect()]))
+        return df.filter(in_spans(number, F.col(chain) if chained else None, bounds.collect()))
     if low == LOWEST or high == HIGHEST:
         edge = df.agg(F.min(block).alias("low"), F.max(block).alias("high")).first()
         if edge.low is None:
@@ -178,13 +170,6 @@ def invalidated_rows(
     return rows.join(bounded_side(spread).alias("b"), hit, "left_semi").drop("_bucket")
 
 
-def _within(number: Column, chain: Column | None, bound) -> Column:
-    terms = [] if bound.chain is None else [chain == bound.chain]
-    terms += [] if bound.first == LOWEST else [number >= bound.first]
-    terms += [] if bound.last == HIGHEST else [number <= bound.last]
-    return reduce(lambda a, b: a & b, terms, F.lit(True)) if terms else number.isNotNull()
-
-
 def integrity_check(cold: DataFrame, canonical: DataFrame, sample_rate: float | None = None) -> DataFrame:
     """Stored block hashes against canonical ones: match, mismatch or missing on a side.
 

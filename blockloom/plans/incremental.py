@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.functions.ids import parse_partition_key
+from blockloom.functions.ids import chain_of_key, parse_partition_key
 from blockloom.operators.filters import read_since
-from blockloom.operators.joins import invalidated_rows, missing_partitions, open_invalidations, usable_invalidations
+from blockloom.operators.intervals import few_spans, in_spans, merged_spans
+from blockloom.operators.joins import FEW_BOUNDS, invalidated_rows, missing_partitions, open_invalidations, usable_invalidations
 from blockloom.session import materialized
 from blockloom.sinks.append import append_dedupe
 from blockloom.sinks.scopes import commit_log, current_scopes, read_committed, replace_scopes
@@ -80,13 +81,22 @@ def reprocess_invalidations(
     return mark_processed(invalidations, mine.select("id", "job_id")), downstream
 
 
-def _within_scopes(df: DataFrame, names: DataFrame, block: str = "block_number") -> DataFrame:
-    """``df`` within the block range of all scopes, if every name is a block range."""
+def _within_scopes(df: DataFrame, names: DataFrame, block: str = "block_number", chain: str = "chain_id") -> DataFrame:
+    """``df`` within the block ranges of the scopes, if every name is a block range.
+
+    Names become ranges per chain, merged; up to ``FEW_BOUNDS`` of them are predicates that
+    the scan sees one by one, so scopes far apart do not open what lies between. More are
+    joined with their neighbours, which only reads more.
+    """
     first, end = parse_partition_key("partition_key")
-    low, high, unknown = names.agg(F.min(first), F.max(end), F.count_if(first.isNull() | end.isNull())).first()
-    if unknown or low is None or block not in df.columns:
+    own = chain_of_key("partition_key") if chain in df.columns else F.lit(None).cast("bigint")
+    spans = names.select(own.alias("chain"), first.alias("first"), (end - 1).alias("last"))
+    count, unknown = names.agg(F.count("*"), F.count_if(first.isNull() | end.isNull())).first()
+    if unknown or not count or block not in df.columns:
         return df
-    return df.filter(F.col(block).between(low, high - 1))
+    merged = materialized(merged_spans(spans, "chain"), "spans")
+    merged = few_spans(merged, FEW_BOUNDS)
+    return df.filter(in_spans(F.col(block), F.col(chain) if chain in df.columns else None, merged.collect()))
 
 
 def run_cursor(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,43 @@ def list_files(spark: SparkSession, *paths: str, glob: str = "*.parquet") -> Dat
     )
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """``root`` with the scheme of the file system that Spark's own writers use for it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    address = path.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()
+    return address.replace("file:/", "file:///", 1) if address.startswith("file:/") and not address.startswith("file://") else address
+
+
+def store_of(address: str):
+    """The file system of a qualified path and the path in it, for use by executors."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(address.replace("s3a://", "s3://", 1))
+
+
+def list_folders(folders: DataFrame, address: str, column: str = "storage_prefix", suffix: str = ".parquet") -> DataFrame:
+    """path (below ``address``), length and modificationTime of the files in each folder.
+
+    Executors list the folders, each by itself; nothing else below ``address`` is looked at and
+    the driver sees no name. Folders that do not exist have no rows.
+    """
+
+    def listed(batches: Iterable) -> Iterable:
+        import pandas as pd
+        from pyarrow import fs
+
+        store, base = store_of(address)
+        for batch in batches:
+            rows = []
+            for folder in batch[column]:
+                found = store.get_file_info(fs.FileSelector(f"{base}/{folder}", allow_not_found=True))
+                rows += [(f"{folder}/{info.base_name}", info.size, info.mtime) for info in found if info.base_name.endswith(suffix)]
+            yield pd.DataFrame(rows, columns=["path", "length", "modificationTime"])
+
+    return folders.select(column).mapInPandas(listed, "path string, length bigint, modificationTime timestamp")
+
+
 def output_caps(
     files: DataFrame,
     group: str = "range_key",

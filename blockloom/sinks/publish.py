@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.functions.ids import dataset_version
 from blockloom.operators.intervals import assign_ranges
 from blockloom.operators.sets import keys_per_version
 from blockloom.session import materialized
-from blockloom.sinks.append import path_exists
-from blockloom.sinks.files import list_files, output_caps
+from blockloom.sinks.files import list_folders, output_caps, qualified, store_of
 from blockloom.sources.manifests import MANIFEST_NAME, MANIFEST_VERSION
 
 # Folder names of the version-addressed layout; the range stays visible in every path. They
@@ -43,7 +42,8 @@ def publish_ranges(df: DataFrame, ranges: DataFrame, root: str, bucket_size: int
 
     All ranges are written by one job, beside what is there: nothing that a reader has
     pinned is touched. A version that has its manifest is complete, so publishing it again
-    writes nothing. The output caps hold for the files of this call; a range over them fails
+    writes nothing. Only the folders of versions to write are listed, by the executors, so a
+    call costs as much as it publishes, whatever the dataset holds. The output caps hold for the files of this call; a range over them fails
     before any manifest is written, and its files stay unseen, since only manifests name
     files. Ranges without rows are published with no files and get no manifest.
     """
@@ -51,19 +51,17 @@ def publish_ranges(df: DataFrame, ranges: DataFrame, root: str, bucket_size: int
     planned = plan_publications(ranges)
     if set(LAYOUT) & set(df.columns):
         raise ValueError(f"data columns clash with folder names: {sorted(set(LAYOUT) & set(df.columns))}")
-    prefix = F.concat(F.lit(f"{root}/cryo/chain="), F.col("chain_id").cast("string"), F.lit("/dataset="), "dataset_uuid")
-    # One path for each dataset of this call keeps other datasets out of the listings.
-    roots = [row.path for row in planned.select(prefix.alias("path")).distinct().collect()]
     version = F.regexp_extract("path", r"/version=([^/]+)/", 1)
-    address = _qualified(spark, root)
+    address = qualified(spark, root)
     todo = materialized(planned.mapInPandas(_without_manifest(address), planned.schema), "ranges")
-    before = materialized(_listed(spark, roots), "files")
+    # What earlier calls that failed left in the folders of this call's versions.
+    before = materialized(list_folders(todo, address), "files")
     spans = todo.select("chain_id", "range_start", "range_end", *list(LAYOUT.values())[1:])
     tagged = assign_ranges(df, spans, ["chain_id"], bucket_size=bucket_size)
     folders = [F.col(column).alias(name) for name, column in LAYOUT.items()]
     written = tagged.select(*df.columns, *folders).hint("rebalance", *LAYOUT)
     written.write.mode("append").partitionBy(*LAYOUT).parquet(f"{root}/cryo")
-    files = _listed(spark, roots).join(before.select("path"), "path", "left_anti")
+    files = list_folders(todo, address).join(before.select("path"), "path", "left_anti")
     files = materialized(files.withColumn("range_key", version), "files")
     broken = output_caps(files).limit(5).collect()
     if broken:
@@ -107,33 +105,11 @@ def manifest_rows(planned: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def _listed(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """Data files of those roots that exist; none gives no rows."""
-    there = [path for path in roots if path_exists(spark, path)]
-    if not there:
-        return spark.createDataFrame([], "path string, length bigint, modificationTime timestamp")
-    return list_files(spark, *there)
-
-
-def _qualified(spark: SparkSession, root: str) -> str:
-    """``root`` with the scheme of the file system that Spark's own writers use for it."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    address = path.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()
-    return address.replace("file:/", "file:///", 1) if address.startswith("file:/") and not address.startswith("file://") else address
-
-
-def _store(root: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(root.replace("s3a://", "s3://", 1))
-
-
 def _without_manifest(root: str):
     """Keeps the ranges that have no manifest yet; Spark's listings hide such file names."""
 
     def keep(batches: Iterable) -> Iterable:
-        store, base = _store(root)
+        store, base = store_of(root)
         for batch in batches:
             found = store.get_file_info([f"{base}/{prefix}/{MANIFEST_NAME}" for prefix in batch["storage_prefix"]])
             yield batch[[info.type.name == "NotFound" for info in found]]
@@ -145,7 +121,7 @@ def _manifest_writer(root: str):
     """Writes ``_manifest.json`` files from the executors; Spark's writers cannot name files."""
 
     def write(rows: Iterable) -> None:
-        store, base = _store(root)
+        store, base = store_of(root)
         for row in rows:
             with store.open_output_stream(f"{base}/{row.storage_prefix}/{MANIFEST_NAME}") as out:
                 out.write(row.body.encode("utf-8"))

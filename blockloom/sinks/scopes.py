@@ -19,20 +19,21 @@ table has one writer at a time.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockloom.functions.values import schema_hash
-from blockloom.sinks.append import path_exists
+from blockloom.sinks.append import child_names, path_exists
 
 COMMIT_SCHEMA = (
     "seq bigint, commit_id string, scope string, location string, row_count bigint, cut_column string, cut_from bigint, "
-    "depth int, schema_hash string, config_hash string, committed_at timestamp"
+    "high bigint, depth int, schema_hash string, config_hash string, committed_at timestamp"
 )
 WRITER_SCHEMA = "series string, first bigint, last bigint"
 
@@ -47,13 +48,9 @@ _MANY_CUTS = 64
 
 
 def _folders(spark: SparkSession, path: str, prefix: str) -> list[int]:
-    """Numbers of the folders ``<prefix><number>`` in ``path``, ascending; only names are read."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(target):
-        return []
-    names = [status.getPath().getName() for status in files.listStatus(target)]
-    return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit())
+    """Numbers of the folders ``<prefix><number>`` in ``path``, ascending."""
+    names = [name[len(prefix) :] for name in child_names(spark, path) if name.startswith(prefix)]
+    return sorted(int(name) for name in names if name.isdigit())
 
 
 def _read(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
@@ -166,49 +163,55 @@ def live_pieces(spark: SparkSession, table: str, as_of: int | None = None) -> Da
     return live.select("scope", "location", "cut_column", "below")
 
 
-def _store_schema(df: DataFrame, table: str) -> None:
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
+def _schema_hash(schema: T.StructType) -> str:
+    """What ``functions.values.schema_hash`` gives for rows of this schema."""
+    return hashlib.sha256(",".join(f"{f.name}:{f.dataType.simpleString()}" for f in schema.fields).encode()).hexdigest()
+
+
+def _store_schema(df: DataFrame, table: str) -> str:
     """The schema as one text, under the hash that pointers carry."""
-    spark = df.sparkSession
-    name = spark.range(1).select(schema_hash(df)).first()[0]
+    name = _schema_hash(df.schema)
     path = f"{table}/schemas/{name}"
-    if not path_exists(spark, f"{path}/_SUCCESS"):
-        spark.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    if not path_exists(df.sparkSession, f"{path}/_SUCCESS"):
+        text = df.sparkSession.createDataFrame([(df.schema.json(),)], "value string")
+        text.coalesce(1).write.mode("overwrite").text(path)
+    return name
+
 
+def _stored_schema(spark: SparkSession, table: str, name: str) -> T.StructType:
+    """Schemas never change under their hash, so a session reads each once."""
+    path = f"{table}/schemas/{name}"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = T.StructType.fromJson(json.loads(spark.read.text(path, wholetext=True).first()[0]))
+    return _SCHEMAS[path]
 
-def _write(df: DataFrame, table: str, scope_column: str, max_records_per_file: int = 0) -> tuple[str, DataFrame]:
-    """Rows in a new attempt folder; its place and the rows written by scope."""
+
+def _write(
+    df: DataFrame, table: str, scope_column: str, max_records_per_file: int = 0, cut_column: str | None = None
+) -> tuple[str, DataFrame]:
+    """Rows in a new attempt folder; its place, and rows and highest cut value written by scope."""
     spark = df.sparkSession
     location = f"{table}/data/attempt=a-{uuid.uuid4().hex}"
     writer = df.withColumn("scope", F.col(scope_column).cast("string")).hint("rebalance", "scope").write
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
     writer.partitionBy("scope").parquet(location)
-    written = (
-        spark.read.schema(T.StructType([*df.schema.fields, T.StructField("scope", T.StringType())]))
-        .parquet(location)
-        .groupBy("scope")
-        .agg(F.count(F.lit(1)).alias("_written"))
-    )
-    return location, written
+    written = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("scope", T.StringType())])).parquet(location)
+    high = F.max(F.col(cut_column).cast("bigint")) if cut_column else F.lit(None).cast("bigint")
+    return location, written.groupBy("scope").agg(F.count(F.lit(1)).alias("_written"), high.alias("_high"))
 
 
 def _commit(df: DataFrame, table: str, location: str, pointers: DataFrame, commit_id: str | None, config_hash: str | None) -> int:
-    """Make ``pointers(scope, _written, row_count, cut_column, cut_from, depth)`` visible together."""
+    """Make ``pointers(scope, _written, row_count, cut_column, cut_from, high, depth)`` visible together."""
     spark = df.sparkSession
-    pointers = pointers.persist()
-    # Before the commit, so a name that could not be read back never becomes visible.
-    bad = pointers.filter(F.coalesce(~F.col("scope").rlike(SCOPE_NAME), F.lit(True))).select("scope").head()
-    if bad is not None:
-        pointers.unpersist()
-        raise ValueError(f"scope name not usable as a folder: {bad.scope!r}")
     seq = recent_log(spark, table).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
     segment = (seq - 1) // SEGMENT
     if segment:
         _snapshot(spark, table, segment)
-    _store_schema(df, table)
-    if pointers.isEmpty():  # a commit that changes nothing is still known by its id
-        nothing = "CAST(NULL AS string) AS scope, 0L AS _written, 0L AS row_count, CAST(NULL AS string) AS cut_column"
-        pointers = spark.range(1).selectExpr(*nothing.split(", "), "CAST(NULL AS bigint) AS cut_from", "0 AS depth")
+    name = _store_schema(df, table)
     rows = pointers.select(
         F.lit(seq).cast("bigint").alias("seq"),
         F.lit(commit_id or location.rsplit("=", 1)[1]).alias("commit_id"),
@@ -217,17 +220,27 @@ def _commit(df: DataFrame, table: str, location: str, pointers: DataFrame, commi
         F.col("row_count").cast("bigint"),
         "cut_column",
         F.col("cut_from").cast("bigint"),
+        F.col("high").cast("bigint"),
         F.col("depth").cast("int"),
-        schema_hash(df).alias("schema_hash"),
+        F.lit(name).alias("schema_hash"),
         F.lit(config_hash).cast("string").alias("config_hash"),
         F.current_timestamp().alias("committed_at"),
     )
     # One file makes the flip atomic; it holds one row per changed scope, never data.
     rows.coalesce(1).write.mode("append").parquet(f"{table}/commits/segment={segment}")
-    pointers.unpersist()
     return seq
 
 
+_POINTER = "scope string, _written bigint, row_count bigint, cut_column string, cut_from bigint, high bigint, depth int"
+
+
+def _check_names(found: Iterable[str | None]) -> None:
+    """Before a commit, so a name that could not be read back never becomes visible."""
+    for name in found:
+        if name is None or not re.match(SCOPE_NAME, name):
+            raise ValueError(f"scope name not usable as a folder: {name!r}")
+
+
 def replace_scopes(
     df: DataFrame,
     table: str,
@@ -247,71 +260,92 @@ def replace_scopes(
     location, written = _write(df, table, scope_column, max_records_per_file)
     if scopes is not None:
         wanted = scopes.select(F.col(scope_column).cast("string").alias("scope")).distinct()
-        written = written.unionByName(wanted.withColumn("_written", F.lit(0).cast("bigint")))
+        written = written.select("scope", "_written").unionByName(wanted.withColumn("_written", F.lit(0).cast("bigint")))
         written = written.groupBy("scope").agg(F.sum("_written").alias("_written"))
-    none = F.lit(None)
+    none = F.lit(None).cast("bigint")
     pointers = written.select(
-        "scope", "_written", F.col("_written").alias("row_count"), none.cast("string").alias("cut_column"),
-        none.cast("bigint").alias("cut_from"), F.lit(0).alias("depth"),
-    )
-    return _commit(df, table, location, pointers, commit_id, config_hash)
+        "scope", "_written", F.col("_written").alias("row_count"), F.lit(None).cast("string").alias("cut_column"),
+        none.alias("cut_from"), none.alias("high"), F.lit(0).alias("depth"),
+    ).persist()
+    poor = F.coalesce(~F.col("scope").rlike(SCOPE_NAME), F.lit(True))
+    count, bad = pointers.agg(F.count("*"), F.min(F.when(poor, F.struct("scope")))).first()
+    if bad is not None:
+        pointers.unpersist()
+        _check_names([bad.scope])
+    if not count:  # a commit that changes nothing is still known by its id
+        pointers = df.sparkSession.createDataFrame([(None, 0, 0, None, None, None, 0)], _POINTER)
+    seq = _commit(df, table, location, pointers, commit_id, config_hash)
+    pointers.unpersist()
+    return seq
 
 
 def extend_scopes(
     df: DataFrame,
     table: str,
-    cuts: DataFrame,
+    cuts: Mapping[str, int],
     cut_column: str,
     scope_column: str = "partition_key",
     config_hash: str | None = None,
     commit_id: str | None = None,
     merge_depth: int = MERGE_DEPTH,
 ) -> int:
-    """In every scope of ``cuts(scope_column, cut_from)`` drop the stored rows whose ``cut_column``
-    is ``cut_from`` or higher, and add the rows of ``df``, at once.
+    """In every scope of ``cuts`` drop the stored rows whose ``cut_column`` is at or over the cut,
+    and add the rows of ``df``, at once.
 
     ``df`` must hold rows of those scopes only, and none under the cut. Only ``df`` is written,
-    except that a scope with ``merge_depth`` pieces is written whole again. ``cuts`` has one
-    row per changed scope, which comes to the driver as a pointer does.
+    except that a scope with ``merge_depth`` pieces is written whole again. ``cuts`` names the
+    changed scopes, as pointers do. Stored rows are counted only where a cut meets them.
     """
-    spark = df.sparkSession
-    names = [row.scope for row in cuts.select(F.col(scope_column).cast("string").alias("scope")).collect()]
-    cuts = cuts.select(F.col(scope_column).cast("string").alias("scope"), F.col("cut_from").cast("bigint"))
-    known = current_scopes(spark, table).filter(F.col("scope").isin(*names)) if names else current_scopes(spark, table).limit(0)
-    known = known.select("scope", F.col("row_count").alias("_old"), F.col("depth").alias("_depth"))
-    full = [row.scope for row in known.filter(F.col("_depth") + 1 >= merge_depth).select("scope").collect()]
-    rows = df
+    spark, names = df.sparkSession, list(cuts)
+    _check_names(names)
+    known = {}
+    if path_exists(spark, f"{table}/commits") and names:
+        rows = current_scopes(spark, table).filter(F.col("scope").isin(*names))
+        known = {row.scope: row for row in rows.select("scope", "row_count", "depth", "high").collect()}
+    full = [name for name in names if name in known and known[name].depth + 1 >= merge_depth]
+    met = [n for n in names if n in known and known[n].row_count and (known[n].high is None or known[n].high >= cuts[n])]
+    dropped = {}
+    over = _over_cuts(spark, table, {n: cuts[n] for n in met if n not in full}, cut_column, scope_column)
+    if over is not None:
+        dropped = {row[0]: row[1] for row in over.groupBy(F.col(scope_column).cast("string")).count().collect()}
     if full:
-        below = read_committed(spark, table, full).withColumn("_scope", F.col(scope_column).cast("string"))
-        below = below.join(F.broadcast(cuts.withColumnRenamed("scope", "_scope")), "_scope")
-        rows = df.unionByName(below.filter(F.col(cut_column) < F.col("cut_from")).select(*df.columns))
-    location, written = _write(rows, table, scope_column)
-    changed = cuts.join(written, "scope", "left").join(known, "scope", "left").join(_above(spark, table, names, cuts, cut_column, scope_column), "scope", "left")
-    merged = F.col("scope").isin(*full) if full else F.lit(False)
-    added = F.coalesce("_written", F.lit(0))
-    left = F.coalesce("_old", F.lit(0)) - F.coalesce("_dropped", F.lit(0))
-    pointers = changed.select(
-        "scope",
-        added.alias("_written"),
-        F.when(merged, added).otherwise(left + added).alias("row_count"),
-        F.when(~merged, F.lit(cut_column)).alias("cut_column"),
-        F.when(~merged, F.col("cut_from")).alias("cut_from"),
-        F.when(merged, 0).otherwise(F.coalesce("_depth", F.lit(0)) + 1).alias("depth"),
-    )
-    return _commit(df, table, location, pointers, commit_id, config_hash)
-
-
-def _above(spark: SparkSession, table: str, names: list[str], cuts: DataFrame, cut_column: str, scope_column: str) -> DataFrame:
-    """``scope, _dropped``: stored rows at or over the cut of their scope."""
-    if not path_exists(spark, f"{table}/commits"):
-        return spark.createDataFrame([], "scope string, _dropped bigint")
-    stored = read_committed(spark, table, names)
-    lowest = cuts.agg(F.min("cut_from")).first()[0]
-    if lowest is not None:
-        stored = stored.filter(F.col(cut_column) >= lowest)
-    stored = stored.select(F.col(scope_column).cast("string").alias("scope"), F.col(cut_column).alias("_at"))
-    over = stored.join(F.broadcast(cuts), "scope").filter(F.col("_at") >= F.col("cut_from"))
-    return over.groupBy("scope").agg(F.count("*").alias("_dropped"))
+        stored = read_committed(spark, table, full)
+        bounds = spark.createDataFrame([(n, cuts[n]) for n in full], "_scope string, _cut bigint")
+        under = stored.join(F.broadcast(bounds), stored[scope_column].cast("string") == F.col("_scope"))
+        df = df.unionByName(under.filter(F.col(cut_column) < F.col("_cut")).select(*df.columns))
+    location, written = _write(df, table, scope_column, cut_column=cut_column)
+    added = {row.scope: row for row in written.collect()}
+    _check_names(added)
+    if not added.keys() <= cuts.keys():
+        raise ValueError(f"rows outside the changed scopes: {sorted(added.keys() - cuts.keys())[:3]}")
+    pointers = []
+    for name in names:
+        count, high = (added[name]._written, added[name]._high) if name in added else (0, None)
+        if name in full:
+            pointers.append((name, count, count, None, None, high, 0))
+            continue
+        old = known.get(name)
+        left = old.row_count - dropped.get(name, 0) if old else 0
+        if high is None and left and old.high is not None and old.high < cuts[name]:
+            high = old.high
+        pointers.append((name, count, left + count, cut_column, cuts[name], high, old.depth + 1 if old else 0))
+    frame = spark.createDataFrame(pointers or [(None, 0, 0, None, None, None, 0)], _POINTER)
+    return _commit(df, table, location, frame, commit_id, config_hash)
+
+
+def _over_cuts(
+    spark: SparkSession, table: str, cuts: Mapping[str, int], cut_column: str, scope_column: str
+) -> DataFrame | None:
+    """Stored rows at or over the cut of their scope; None if no scope is given.
+
+    The lowest cut is a plain predicate that skips files; the cuts of each scope follow.
+    """
+    if not cuts:
+        return None
+    stored = read_committed(spark, table, list(cuts)).filter(F.col(cut_column) >= min(cuts.values()))
+    bounds = spark.createDataFrame(list(cuts.items()), "_scope string, _cut bigint")
+    met = stored.join(F.broadcast(bounds), stored[scope_column].cast("string") == F.col("_scope"))
+    return met.filter(F.col(cut_column) >= F.col("_cut")).drop("_scope", "_cut")
 
 
 def replace_scope(df: DataFrame, table: str, scope: str, config_hash: str | None = None, **options) -> int:
@@ -322,11 +356,11 @@ def replace_scope(df: DataFrame, table: str, scope: str, config_hash: str | None
     return replace_scopes(tagged, table, scopes=only, config_hash=config_hash, **options)
 
 
-def _current_schema(spark: SparkSession, table: str) -> T.StructType:
-    newest = recent_log(spark, table).agg(F.max_by("schema_hash", "seq")).first()[0]
+def _current_schema(spark: SparkSession, table: str, as_of: int | None = None) -> T.StructType:
+    newest = recent_log(spark, table, as_of).agg(F.max_by("schema_hash", "seq")).first()[0]
     if newest is None:
         raise FileNotFoundError(f"no commit in {table}")
-    return T.StructType.fromJson(json.loads(spark.read.text(f"{table}/schemas/{newest}", wholetext=True).first()[0]))
+    return _stored_schema(spark, table, newest)
 
 
 def read_committed(

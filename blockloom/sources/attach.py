@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.session import materialized
+from blockloom.sinks.files import qualified, store_of
 from blockloom.sources.manifests import (
     MANIFEST_NAME,
     MAX_MANIFEST_BYTES,
@@ -73,43 +74,65 @@ def pinned_files(
 
 
 def read_manifests(prefixes: DataFrame, root: str, max_bytes: int = MAX_MANIFEST_BYTES) -> DataFrame:
-    """``storage_prefix, body`` of each prefix, read by the executors; missing or oversized
-    manifests give a null body, which counts as malformed."""
-    address = (root if "://" in root else f"file://{root}").replace("s3a://", "s3://", 1)
+    """``storage_prefix, body, oversized`` of each prefix, read by the executors.
+
+    A missing manifest has a null body, which counts as malformed; one over ``max_bytes`` is
+    not read and told apart. ``root`` is resolved as Spark resolves it, so executors read the
+    file system that Spark writes to.
+    """
+    address = qualified(prefixes.sparkSession, root)
 
     def read(batches):
         from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(address)
+        store, base = store_of(address)
         for pdf in batches:
-            bodies = []
+            bodies, large = [], []
             for prefix in pdf["storage_prefix"]:
                 path = f"{base}/{prefix.strip('/')}/{MANIFEST_NAME}"
                 info = store.get_file_info(path)
-                fits = info.type == fs.FileType.File and info.size <= max_bytes
-                bodies.append(store.open_input_stream(path).read().decode("utf-8", "replace") if fits else None)
-            yield pdf.assign(body=bodies)
+                there = info.type == fs.FileType.File
+                large.append(there and info.size > max_bytes)
+                bodies.append(store.open_input_stream(path).read().decode("utf-8", "replace") if there and not large[-1] else None)
+            yield pdf.assign(body=bodies, oversized=large)
 
-    return prefixes.select("storage_prefix").mapInPandas(read, "storage_prefix string, body string")
+    return prefixes.select("storage_prefix").mapInPandas(read, "storage_prefix string, body string, oversized boolean")
 
 
 def attach_versions(
-    publications: DataFrame, root: str, max_objects: int = MAX_MANIFEST_OBJECTS, view: str = DATASET_VIEW
+    publications: DataFrame,
+    root: str,
+    max_objects: int = MAX_MANIFEST_OBJECTS,
+    view: str = DATASET_VIEW,
+    max_bytes: int = MAX_MANIFEST_BYTES,
+    first: int | None = None,
+    last: int | None = None,
 ) -> DataFrame:
     """Scan the pinned files of many versions as one relation.
 
     ``publications``: dataset_uuid, dataset_version, storage_prefix (below ``root``). All
     manifests are read and checked by one job; any broken one refuses the whole set.
+
+    With ``first`` or ``last`` (inclusive blocks) only publications whose ``range_start`` and
+    ``range_end`` (exclusive) meet them count: the manifests and files of others are never
+    opened. Rows inside a met range are not filtered.
     """
     spark = publications.sparkSession
+    if first is not None:
+        publications = publications.filter(F.col("range_end") > first)
+    if last is not None:
+        publications = publications.filter(F.col("range_start") <= last)
     relative = F.trim(F.replace("storage_prefix", F.lit(root), F.lit("")), F.lit("/"))
     registry = publications.select(relative.alias("storage_prefix"), "dataset_uuid", "dataset_version")
-    manifests = materialized(parse_manifests(read_manifests(registry, root)), "manifests")
+    manifests = materialized(parse_manifests(read_manifests(registry, root, max_bytes)), "manifests")
     broken = manifest_audit(manifests, registry, max_objects).select("rule").distinct().collect()
     if broken:
         raise ManifestError("manifest rejected: " + ", ".join(sorted(r.rule for r in broken)))
     keys = manifests.select(F.explode("parquet_keys").alias("key")).distinct().orderBy("key")
-    df = spark.read.parquet(*[f"{root}/{row.key.lstrip('/')}" for row in keys.collect()])
+    names = [f"{root}/{row.key.lstrip('/')}" for row in keys.collect()]
+    if not names:
+        raise ManifestError("no publication meets the range")
+    df = spark.read.parquet(*names)
     df.createOrReplaceTempView(view)
     return df
 

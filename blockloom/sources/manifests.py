@@ -70,11 +70,12 @@ def manifest_audit(
     """One row per broken rule of every manifest; key rules give one row per offending key.
 
     ``manifests``: storage_prefix (where it was found), version, dataset_uuid,
-    dataset_version, parquet_keys and optionally malformed. ``registry``: storage_prefix,
+    dataset_version, parquet_keys and optionally malformed and oversized. ``registry``: storage_prefix,
     dataset_uuid, dataset_version. All rules run in one pass over the joined rows.
     """
-    if "malformed" not in manifests.columns:
-        manifests = manifests.withColumn("malformed", F.lit(False))
+    for flag in ("malformed", "oversized"):
+        if flag not in manifests.columns:
+            manifests = manifests.withColumn(flag, F.lit(False))
     known = registry.select(
         "storage_prefix",
         F.col("dataset_uuid").alias("_uuid"),
@@ -87,7 +88,8 @@ def manifest_audit(
         F.col("_version")
     )
     whole = F.array(
-        _violation(F.col("malformed"), "malformed", no_key),
+        _violation(F.col("oversized"), "oversized", no_key),
+        _violation(F.col("malformed") & ~F.col("oversized"), "malformed", no_key),
         _violation(F.col("version") != MANIFEST_VERSION, "unsupported_version", no_key),
         _violation(~registered, "registry_mismatch", no_key),
         _violation(count == 0, "no_objects", no_key),

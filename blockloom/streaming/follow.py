@@ -11,9 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from blockloom.operators.intervals import bucket_of
 from blockloom.operators.windows import first_rows, reorg_invalidations
 from blockloom.session import materialized
-from blockloom.sinks.append import append_dedupe, path_exists
+from blockloom.sinks.append import append_batch, append_dedupe, path_exists
 from blockloom.sinks.compact import scope_block_range
-from blockloom.sinks.scopes import current_scopes, extend_scopes, is_committed, read_committed, replace_scopes
+from blockloom.sinks.scopes import current_scopes, extend_scopes, is_committed, read_committed
 from blockloom.sources.unify import hot_cold_union
 from blockloom.streaming.jobs import start_batches
 
@@ -28,12 +28,20 @@ def hot_scope(scope_size: int) -> Column:
 
 
 def _stored_tips(spark, hot_table: str) -> DataFrame:
-    """Highest stored block per chain, read from the last non-empty scope of each chain only."""
-    pointers = current_scopes(spark, hot_table).filter("row_count > 0")
+    """``chain_id, old_tip``: the highest stored block per chain, from the pointers.
+
+    Only a last scope whose pointer does not know it is read.
+    """
     chain, first, _ = scope_block_range(F.col("scope"))
-    last = pointers.groupBy(chain.alias("chain")).agg(F.max_by("scope", first).alias("scope"))
-    names = [row.scope for row in last.select("scope").collect()]
-    return read_committed(spark, hot_table, names).groupBy("chain_id").agg(F.max("block_number").alias("old_tip"))
+    pointers = current_scopes(spark, hot_table).filter("row_count > 0")
+    last = pointers.groupBy(chain.alias("chain_id")).agg(F.max_by(F.struct("scope", "high"), first).alias("_last"))
+    last = last.select("chain_id", "_last.scope", "_last.high")
+    unknown = [row.scope for row in last.filter("high IS NULL").select("scope").collect()]
+    tips = last.filter("high IS NOT NULL").select("chain_id", F.col("high").alias("old_tip"))
+    if not unknown:
+        return tips
+    read = read_committed(spark, hot_table, unknown).groupBy("chain_id").agg(F.max("block_number").alias("old_tip"))
+    return tips.unionByName(read)
 
 
 def apply_blocks(
@@ -68,15 +76,12 @@ def apply_blocks(
     if not is_committed(spark, hot_table, commit_id):
         rows = batch.join(_latest(batch).drop("seen_at"), [*BLOCK, "block_hash"], "left_semi")
         rows = first_rows(rows, [*BLOCK, *row_key], [F.desc("seen_at")]).withColumn("partition_key", hot_scope(scope_size))
-        _commit_blocks(rows, commit_id, hot_table, pending, row_key, batch.select("chain_id", "block_number", hot_scope(scope_size).alias("partition_key")))
+        observed = batch.select("chain_id", "block_number", hot_scope(scope_size).alias("partition_key"))
+        _commit_blocks(rows, commit_id, hot_table, pending, row_key, observed)
     reorgs = spark.read.schema(_REORG_SCHEMA).parquet(pending)
-    append_dedupe(
-        invalidation_path,
-        reorg_invalidations(reorgs.filter("fork_block IS NOT NULL"), dataset_uuid, dataset_version, commit_id),
-        ["id"],
-        ["source_event"],
-        commit_id,
-    )
+    # Ids of invalidations hold the commit id, so no other batch can bring them.
+    found = reorg_invalidations(reorgs.filter("fork_block IS NOT NULL"), dataset_uuid, dataset_version, commit_id)
+    append_batch(found, invalidation_path, commit_id)
     step = threshold_blocks or 1
     cursor = F.floor((F.col("new_tip") + 1) / F.lit(step)).cast("bigint") * step - 1
     events = reorgs.select(
@@ -104,11 +109,12 @@ def _commit_blocks(
     # Scopes and the block range of one micro-batch; stored data is read for these only.
     reach = observed.groupBy("partition_key").agg(F.min("block_number").alias("low"), F.max("block_number").alias("high")).collect()
     names = [row.partition_key for row in reach]
-    if is_new(spark, hot_table):
+    first = not path_exists(spark, f"{hot_table}/commits")
+    if first:
         stored = spark.createDataFrame([], rows.schema)
         old_tips = spark.createDataFrame([], "chain_id bigint, old_tip bigint")
     else:
-        low, high = min(row.low for row in reach), max(row.high for row in reach)
+        low, high = min((row.low for row in reach), default=0), max((row.high for row in reach), default=-1)
         stored = read_committed(spark, hot_table, names).filter(F.col("block_number").between(low, high))
         old_tips = _stored_tips(spark, hot_table)
     known = _latest(stored).select(*BLOCK, F.col("block_hash").alias("_hash"), F.struct("seen_at", "block_hash").alias("_seen"))
@@ -126,39 +132,35 @@ def _commit_blocks(
     notes = tips.join(old_tips, "chain_id", "left").withColumn("old_tip", F.when(F.col("fork_block").isNotNull(), F.col("old_tip")))
     notes.select("chain_id", "new_tip", "fork_block", "old_tip", "changed_blocks").coalesce(1).write.mode("overwrite").parquet(pending)
     reorgs = spark.read.schema(_REORG_SCHEMA).parquet(pending).filter("fork_block IS NOT NULL")
-    cuts = _cuts(spark, hot_table, news, reorgs)
-    on_old_branch = F.coalesce(F.col("block_number").between(F.col("fork_block"), F.col("old_tip")), F.lit(False))
-    touched = [row.partition_key for row in cuts]
-    fresh = news.drop("_changed")
-    if not touched:  # a batch of outdated rows only: an empty commit keeps its replay short
-        replace_scopes(fresh, hot_table, commit_id=commit_id)
-        return
-    cut = spark.createDataFrame([tuple(row) for row in cuts], "partition_key string, cut_from bigint")
-    if not is_new(spark, hot_table):
-        kept = read_committed(spark, hot_table, touched).filter(F.col("block_number") >= min(row.cut_from for row in cuts))
-        kept = kept.join(F.broadcast(cut), "partition_key").filter(F.col("block_number") >= F.col("cut_from"))
-        kept = kept.join(F.broadcast(reorgs.select("chain_id", "fork_block", "old_tip")), "chain_id", "left")
-        kept = kept.filter(~on_old_branch).select(*fresh.columns)
+    lows = news.groupBy("partition_key").agg(F.min("block_number").alias("low")).collect()
+    cuts = {row.partition_key: row.low for row in lows}
+    fresh, stored_cuts = news.drop("_changed"), {}
+    if not first:
+        for row in _orphaned(spark, hot_table, reorgs).collect():  # scope names on the old branches
+            cuts[row.partition_key] = min(row.cut_from, cuts.get(row.partition_key, row.cut_from))
+        pointers = current_scopes(spark, hot_table).filter(F.col("scope").isin(*cuts) & (F.col("row_count") > 0)) if cuts else None
+        known_high = {row.scope: row.high for row in pointers.select("scope", "high").collect()} if cuts else {}
+        stored_cuts = {n: cuts[n] for n, high in known_high.items() if high is None or high >= cuts[n]}
+    if stored_cuts:  # else all blocks are new ones at the end of their scopes
+        stored = read_committed(spark, hot_table, list(stored_cuts)).filter(F.col("block_number") >= min(stored_cuts.values()))
+        bounds = spark.createDataFrame(list(stored_cuts.items()), "partition_key string, _cut bigint")
+        kept = stored.join(F.broadcast(bounds), "partition_key").filter(F.col("block_number") >= F.col("_cut"))
+        kept = kept.join(reorgs.select("chain_id", "fork_block", "old_tip"), "chain_id", "left")
+        on_old_branch = F.col("block_number").between(F.col("fork_block"), F.col("old_tip"))
+        kept = kept.filter(~F.coalesce(on_old_branch, F.lit(False))).select(*fresh.columns)
         fresh = hot_cold_union(fresh, kept, [*BLOCK, *row_key])
-    extend_scopes(fresh, hot_table, cut, "block_number", commit_id=commit_id)
-
+    # A batch of outdated rows only has no cuts: an empty commit keeps its replay short.
+    extend_scopes(fresh, hot_table, cuts, "block_number", commit_id=commit_id)
 
-def is_new(spark, hot_table: str) -> bool:
-    return not path_exists(spark, f"{hot_table}/commits")
 
-
-def _cuts(spark, hot_table: str, news: DataFrame, reorgs: DataFrame) -> list:
-    """``partition_key, cut_from``: the lowest block of every scope that changes."""
-    own = news.groupBy("partition_key").agg(F.min("block_number").alias("cut_from"))
+def _orphaned(spark, hot_table: str, reorgs: DataFrame) -> DataFrame:
+    """``partition_key, cut_from`` of the stored scopes that a reorg reaches."""
     chain, first, last = scope_block_range(F.col("scope"))
     stored = current_scopes(spark, hot_table).filter("row_count > 0")
     stored = stored.select(chain.alias("chain_id"), first.alias("_first"), last.alias("_last"), F.col("scope").alias("partition_key"))
-    orphaned = (
-        stored.join(F.broadcast(reorgs), "chain_id")
-        .filter((F.col("_last") >= F.col("fork_block")) & (F.col("_first") <= F.col("old_tip")))
-        .select("partition_key", F.greatest("_first", "fork_block").alias("cut_from"))
-    )
-    return own.unionByName(orphaned).groupBy("partition_key").agg(F.min("cut_from").alias("cut_from")).collect()
+    reached = (F.col("_last") >= F.col("fork_block")) & (F.col("_first") <= F.col("old_tip"))
+    cut = F.greatest("_first", "fork_block").alias("cut_from")
+    return stored.join(reorgs, "chain_id").filter(reached).select("partition_key", cut)
 
 
 def follow_blocks(
