@@ -13,39 +13,53 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.chunks import number_of_parts
 from blockloom.llm.tables import filled
 from blockloom.session import materialized
 
 CHUNK_TOKENS = 1_000_000
 OPEN_TOKENS = 2_000_000  # of all languages that a task gathers at once
 SLICE_BYTES = 1 << 20
-PART_BYTES = 32 << 20
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+PART_TOKENS = 5_000_000  # of the corpus for each part of the fingerprints
+SPARE_BITS = 6  # of short fingerprints, over those that number all tokens
+#: Odd bases of the fingerprints and of the second ones that check them.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+MIX = np.uint64(BASES[0])
 BREAK = 0  # number of the token that ends a piece
 # One byte for each kind of separator; words hold neither spaces nor line ends after it.
 MARKS = b".,;:!?\x0b\x0c\r"
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + MARKS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(MARKS))
-CONTENT, KEYS, CHECKS, PHRASES, TEXTS = range(5)
-ROWS = (
-    "kind int, chunk long, part int, lang string, size long, words binary, tokens binary, content binary,"
-    " phrases array<string>, numbers array<long>"
-)
+CONTENT, PHRASES, TEXTS, CLASH = range(4)
+ROWS = "kind int, chunk long, lang string, size long, words binary, tokens binary, phrases array<string>, numbers array<long>"
 ARROW = pa.schema(
     [
         ("kind", pa.int32()),
         ("chunk", pa.int64()),
-        ("part", pa.int32()),
         ("lang", pa.string()),
         ("size", pa.int64()),
         ("words", pa.binary()),
         ("tokens", pa.binary()),
-        ("content", pa.binary()),
         ("phrases", pa.list_(pa.string())),
         ("numbers", pa.list_(pa.int64())),
     ]
 )
+KEYS = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("content", pa.binary())])
+
+
+def _shrunk(*arrays: np.ndarray) -> bytes:
+    """Arrays of equal length as planes of bytes, compressed."""
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(planes))
+
+
+def _grown(content: bytes, *types: str) -> list[np.ndarray]:
+    data, at, out = zstandard.ZstdDecompressor().decompress(content), 0, []
+    kinds = [np.dtype(t) for t in types]
+    count = len(data) // sum(k.itemsize for k in kinds)
+    for kind in kinds:
+        planes = np.frombuffer(data, np.uint8, count * kind.itemsize, at).reshape(kind.itemsize, count)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(count))
+        at += count * kind.itemsize
+    return out
 
 
 class Vocabulary(dict):
@@ -66,27 +80,34 @@ class Stretch:
         self.lang, self.words, self.tokens = lang, words, tokens
 
     def row(self, chunk: int) -> list:
-        packed = [zstandard.ZstdCompressor(level=1).compress(v) for v in (b"\n".join(self.words[1:]), self.tokens.tobytes())]
-        size = int((self.tokens != BREAK).sum())
-        return [CONTENT, chunk, None, self.lang, size, *packed, None, None, None]
+        """As a row; words are numbered by how often they occur, which shrinks the tokens."""
+        times = np.bincount(self.tokens, minlength=len(self.words))
+        order = np.concatenate(([BREAK], 1 + np.argsort(-times[1:], kind="stable")))
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order))
+        words = zstandard.ZstdCompressor(level=3).compress(b"\n".join([self.words[i] for i in order[1:].tolist()]))
+        size = int(len(self.tokens) - times[BREAK])
+        return [CONTENT, chunk, self.lang, size, words, _shrunk(place[self.tokens]), None, None]
 
     @staticmethod
     def of(row: dict) -> Stretch:
-        words, tokens = (zstandard.ZstdDecompressor().decompress(row[name]) for name in ("words", "tokens"))
-        return Stretch(row["lang"], [b"\n", *(words.split(b"\n") if words else [])], np.frombuffer(tokens, np.int32))
+        words = zstandard.ZstdDecompressor().decompress(row["words"])
+        (tokens,) = _grown(row["tokens"], "<u4")
+        return Stretch(row["lang"], [b"\n", *(words.split(b"\n") if words else [])], tokens.astype(np.int32))
 
-    def fingerprints(self, sizes: list[int], bits: int) -> list[np.ndarray]:
+    def fingerprints(self, sizes: list[int], bits: int = 64, second: bool = False) -> list[np.ndarray]:
         """For each size the fingerprint of the n-gram that starts at every token.
 
-        Prefix sums of ``hash(word) * BASE**place`` give the polynomial of any window as one
+        Prefix sums of ``hash(word) * base**place`` give the polynomial of any window as one
         difference, divided by the power of its first place. All is modulo 2**64, where the
-        base has an inverse; hashes of words hold the language. Less than 64 ``bits`` make
-        fingerprints collide, for tests.
+        base has an inverse; hashes of words hold the language. Only the highest ``bits`` are
+        kept. ``second`` gives fingerprints from other hashes and another base.
         """
-        seed = xxhash.xxh3_64_intdigest(self.lang.encode())
+        seed, base = xxhash.xxh3_64_intdigest(self.lang.encode(), int(second)), BASES[second]
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))
         count = len(self.tokens)
-        powers, back = np.full(count, BASE), np.full(count, BACK)
+        powers = np.full(count, np.uint64(base))
+        back = np.full(count, np.uint64(pow(base, -1, 1 << 64)))
         if count:
             powers[0] = back[0] = 1
         np.cumprod(powers, out=powers)
@@ -94,8 +115,9 @@ class Stretch:
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes[self.tokens] * powers, dtype=np.uint64)))
         out = []
         for size in sizes:
-            value = (sums[size:] - sums[: max(0, count + 1 - size)]) * back[: max(0, count + 1 - size)] + np.uint64(size)
-            value = (value ^ (value >> np.uint64(32))) * BASE
+            starts = max(0, count + 1 - size)
+            value = (sums[size:] - sums[:starts]) * back[:starts] + np.uint64(size)
+            value = (value ^ (value >> np.uint64(32))) * MIX
             value ^= value >> np.uint64(29)
             out.append(value >> np.uint64(64 - bits) << np.uint64(64 - bits))
         return out
@@ -164,146 +186,124 @@ def _runs(good: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _keys(prints: list[np.ndarray], wanted: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Sorted distinct fingerprints at the wanted places, their counts, and each place's own."""
-    chosen = [p[w] for p, w in zip(prints, wanted)]
-    keys, owner, times = np.unique(np.concatenate(chosen), return_inverse=True, return_counts=True)
-    return keys, times, np.split(owner.ravel(), np.cumsum([len(c) for c in chosen])[:-1])
-
-
 def _edges(keys: np.ndarray, parts: int) -> np.ndarray:
     """Where each part begins in sorted keys; a part owns a range of the 64-bit numbers."""
     bounds = np.array([(p << 64) // parts for p in range(1, parts)], np.uint64)
     return np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)]))
 
 
-def _packed(keys: np.ndarray, times: np.ndarray) -> bytes:
-    """Sorted keys and counts; differences are small and their high bytes alike, so they shrink."""
-    steps = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(steps + times.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
-
+class Keys:
+    """Distinct fingerprints of a stretch's n-grams of some sizes, sorted, with their counts.
 
-def _unpacked(content: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(content), np.uint8)
-    count = len(planes) // 12
-    steps = np.ascontiguousarray(planes[: 8 * count].reshape(8, count).T).view(np.uint64).ravel()
-    times = np.ascontiguousarray(planes[8 * count :].reshape(4, count).T).view(np.uint32).ravel()
-    return np.cumsum(steps, dtype=np.uint64), times
-
-
-def _key_rows(chunk: int, keys: np.ndarray, times: np.ndarray, parts: int) -> Iterator[list]:
-    edges = _edges(keys, parts).tolist()
-    for part, (a, b) in enumerate(zip(edges, edges[1:])):
-        if a < b:
-            yield [KEYS, chunk, part, None, None, None, None, _packed(keys[a:b], times[a:b]), None, None]
-
-
-def _flags(keys: np.ndarray, parts: int, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the sorted keys are frequent, and which this stretch is to name, put together
-    from the answers of the parts."""
-    edges = _edges(keys, parts).tolist()
-    found = [
-        np.unpackbits(np.frombuffer(answers[part], np.uint8)).reshape(2, -1)[:, : b - a].astype(bool)
-        for part, (a, b) in enumerate(zip(edges, edges[1:]))
-        if a < b
-    ]
-    both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), bool)
-    return both[0], both[1]
-
-
-def _answered(keys: DataFrame, min_count: int, parts: int) -> DataFrame:
-    """``chunk, part, content, keys, totals``: for each stretch and part the frequent and the
-    owned keys as bits, in the order of ``_key_rows``.
+    ``checked`` ones carry a second fingerprint, of the first place where each occurs.
+    """
 
-    The first stretch with a frequent key owns it: it will name the phrase. The row of the
-    first stretch also has all frequent keys of the part and their totals.
+    def __init__(self, stretch: Stretch, sizes: list[int], bits: int, checked: bool):
+        self.stretch, self.sizes, self.bits, self.checked = stretch, sizes, bits, checked
+        words = stretch.tokens != BREAK
+        self.places = [np.flatnonzero(_runs(words, size)) for size in sizes]
+        prints = [p[at] for p, at in zip(stretch.fingerprints(sizes, bits), self.places)]
+        self.keys, self.first, owner, self.times = np.unique(
+            np.concatenate(prints), return_index=True, return_inverse=True, return_counts=True
+        )
+        self.owners = np.split(owner.ravel(), np.cumsum([len(p) for p in prints])[:-1])
+
+    def messages(self, chunk: int, parts: int) -> Iterator[pa.RecordBatch]:
+        """For each part its keys as steps, their counts and checks."""
+        checks = np.zeros(len(self.keys), np.uint64)
+        if self.checked:
+            second = self.stretch.fingerprints(self.sizes, second=True)
+            checks = np.concatenate([p[at] for p, at in zip(second, self.places)])[self.first]
+        edges, shift = _edges(self.keys, parts).tolist(), np.uint64(64 - self.bits)
+        for part, (a, b) in enumerate(zip(edges, edges[1:])):
+            if a < b:
+                steps = np.diff(self.keys[a:b] >> shift, prepend=np.uint64(0))
+                arrays = [steps, self.times[a:b].astype("<u4"), *([checks[a:b]] if self.checked else [])]
+                yield pa.RecordBatch.from_pydict({"chunk": [chunk], "part": [part], "content": [_shrunk(*arrays)]}, KEYS)
+
+    def answered(self, parts: int, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are frequent, and which this stretch is to name, from the parts' answers."""
+        edges = _edges(self.keys, parts).tolist()
+        found = [
+            np.unpackbits(np.frombuffer(answers[part], np.uint8)).reshape(2, -1)[:, : b - a].astype(bool)
+            for part, (a, b) in enumerate(zip(edges, edges[1:]))
+            if a < b
+        ]
+        both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), bool)
+        return both[0], both[1]
+
+
+def _answers(made: DataFrame, sizes: list[int], parts: int, min_count: int, bits: int, checked: bool) -> DataFrame:
+    """``chunk, part, content, keys, totals, clashes``: for each stretch and part the frequent and
+    the owned keys as bits, in the order in which they were sent.
+
+    Stretches of ``made`` send their keys to the parts; only the answers are written. The
+    first stretch with a frequent key owns it: it will name the phrase. The row of the first
+    stretch of a part has all its frequent keys, their totals, and the number of those whose
+    checks differ between stretches.
     """
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                yield from Keys(Stretch.of(row), sizes, bits, checked).messages(row["chunk"], parts)
+
     def answer(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
-        found = [_unpacked(content) for content in table["content"].to_pylist()]
-        sizes = [len(keys) for keys, _ in found]
-        keys, times = (np.concatenate(values) for values in zip(*found))
+        types = ("<u8", "<u4", "<u8") if checked else ("<u8", "<u4")
+        found = [_grown(content, *types) for content in table["content"].to_pylist()]
+        sent = [len(steps) for steps, *_ in found]
+        keys = np.concatenate([np.cumsum(steps, dtype=np.uint64) for steps, *_ in found])
         order = np.argsort(keys, kind="stable")  # so the first of equal keys is of the first stretch
-        first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
-        totals = np.add.reduceat(times[order].astype(np.int64), first)
+        keys = keys[order]
+        first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+        lengths = np.diff(np.append(first, len(keys)))
+        totals = np.add.reduceat(np.concatenate([f[1] for f in found])[order].astype(np.int64), first)
         enough = totals >= min_count
+        clashes = 0
+        if checked:
+            checks = np.concatenate([f[2] for f in found])[order]
+            clashes = int((enough & np.logical_or.reduceat(checks != np.repeat(checks[first], lengths), first)).sum())
         flags = np.zeros((2, len(keys)), bool)
-        flags[0, order] = np.repeat(enough, np.diff(np.append(first, len(keys))))
+        flags[0, order] = np.repeat(enough, lengths)
         flags[1, order[first[enough]]] = True
-        ends = np.cumsum(sizes)
-        bits = []
-        for a, b in zip([0, *ends.tolist()], ends.tolist()):
+        ends, bits_of = np.cumsum(sent).tolist(), []
+        for a, b in zip([0, *ends], ends):
             room = np.zeros((2, -(-(b - a) // 8) * 8), bool)
             room[:, : b - a] = flags[:, a:b]
-            bits.append(np.packbits(room).tobytes())
-        rest = [None] * (len(sizes) - 1)
+            bits_of.append(np.packbits(room).tobytes())
+        rest = [None] * (len(sent) - 1)
+        named = [(keys[first[enough]] << np.uint64(64 - bits)).view(np.int64), totals[enough]] if checked else [None, None]
         return pa.table(
             {
                 "chunk": table["chunk"],
                 "part": table["part"],
-                "content": pa.array(bits, pa.binary()),
-                "keys": pa.array([keys[order[first[enough]]].view(np.int64), *rest], pa.list_(pa.int64())),
-                "totals": pa.array([totals[enough], *rest], pa.list_(pa.int64())),
+                "content": pa.array(bits_of, pa.binary()),
+                "keys": pa.array([named[0], *rest], pa.list_(pa.int64())),
+                "totals": pa.array([named[1], *rest], pa.list_(pa.int64())),
+                "clashes": pa.array([clashes, *rest], pa.int64()),
             }
         )
 
-    rows = keys.select("chunk", "part", "content").repartition(parts, "part")
-    schema = "chunk long, part int, content binary, keys array<long>, totals array<long>"
-    return materialized(rows.groupBy("part").applyInArrow(answer, schema), "answers")
-
-
-def _collisions(checks: DataFrame, parts: int) -> DataFrame:
-    """``size, key`` of frequent fingerprints whose phrases differ between stretches.
-
-    A check of words holds the words themselves. One of longer n-grams holds the fingerprints
-    of all words but the last, and of the last, which differ if the phrases do, once those
-    shorter ones are known not to collide.
-    """
-
-    def compare(table: pa.Table) -> pa.Table:
-        sizes, out = table["size"].to_pylist(), []
-        for size in set(sizes):
-            seen: dict[int, object] = {}
-            whole = [(row, own) for row, own in zip(table["content"].to_pylist(), sizes) if own == size]
-            if size == 1:
-                for row, _ in whole:
-                    plain = zstandard.ZstdDecompressor().decompress(row)
-                    count = int.from_bytes(plain[:8], "little")
-                    words = plain[8 + 8 * count :].split(b"\n")
-                    for key, word in zip(np.frombuffer(plain, np.uint64, count, 8).tolist(), words):
-                        if seen.setdefault(key, word) != word:
-                            out.append((size, key))
-                continue
-            rows = np.concatenate([np.frombuffer(row, np.uint64).reshape(3, -1) for row, _ in whole], axis=1)
-            rows = rows[:, np.lexsort(rows[::-1])]
-            same = rows[0, 1:] == rows[0, :-1]
-            differ = same & (rows[1:, 1:] != rows[1:, :-1]).any(axis=0)
-            out += [(size, key) for key in rows[0, 1:][differ].tolist()]
-        keys = np.array([key for _, key in out], np.uint64).view(np.int64)
-        return pa.table({"size": pa.array([size for size, _ in out], pa.int64()), "key": pa.array(keys)})
-
-    rows = checks.select("part", "size", "content").repartition(parts, "part")
-    return rows.groupBy("part").applyInArrow(compare, "size long, key long")
+    rows = made.filter(F.col("kind") == CONTENT).select("chunk", "lang", "words", "tokens")
+    sent = rows.mapInArrow(send, "chunk long, part int, content binary").repartition(parts, "part")
+    schema = "chunk long, part int, content binary, keys array<long>, totals array<long>, clashes long"
+    return materialized(sent.groupBy("part").applyInArrow(answer, schema), "answers")
 
 
-def _chunked(docs: DataFrame, lang_column: str, text_column: str, parts: int, bits: int) -> DataFrame:
-    """Stretches of one language each, and their keys of single words, by part."""
+def _stretches(docs: DataFrame, lang_column: str, text_column: str) -> DataFrame:
+    """Rows of stretches of one language each, written once to the shared folder."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, open_, total = (TaskContext.get().partitionId() << 32) - 1, {}, 0
 
-        def finish(lang: str) -> Iterator[pa.RecordBatch]:
+        def finish(lang: str) -> pa.RecordBatch:
             nonlocal number, total
             numbers, pieces, size = open_.pop(lang)
             total -= size
             number += 1
-            stretch = Stretch(lang, list(numbers), np.concatenate(pieces))
-            yield _batch(stretch.row(number))
-            wanted = stretch.tokens != BREAK
-            keys, times, _ = _keys(stretch.fingerprints([1], bits), [wanted])
-            for row in _key_rows(number, keys, times, parts):
-                yield _batch(row)
+            return _batch(Stretch(lang, list(numbers), np.concatenate(pieces)).row(number))
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
@@ -313,11 +313,11 @@ def _chunked(docs: DataFrame, lang_column: str, text_column: str, parts: int, bi
                     own[2] += len(own[1][-1])
                     total += len(own[1][-1])
                     if own[2] > CHUNK_TOKENS and plain.endswith(b"\n"):
-                        yield from finish(lang)
+                        yield finish(lang)
                 while total > OPEN_TOKENS:
-                    yield from finish(max(open_, key=lambda name: open_[name][2]))
+                    yield finish(max(open_, key=lambda name: open_[name][2]))
         for lang in list(open_):
-            yield from finish(lang)
+            yield finish(lang)
 
     plain = docs.select(F.coalesce(F.col(lang_column), F.lit("und")).alias("lang"), filled(text_column).alias("text"))
     return materialized(plain.mapInArrow(gather, ROWS), "stretches")
@@ -340,76 +340,52 @@ def _next_round(made: DataFrame, answers: DataFrame, parts: int, work: Callable,
 class Rounds:
     """What a stretch does with the answers of each round."""
 
-    def __init__(self, parts: int, longest: int, bits: int, by_text: bool):
-        self.parts, self.bits, self.by_text = parts, bits, by_text
-        self.long = list(range(3, longest + 1))
-
-    def _named(self, chunk: int, stretch: Stretch, sizes: list[int], wanted: list[np.ndarray], answers: dict) -> tuple[list[np.ndarray], list]:
-        """Places of frequent n-grams by size, and the rows that name and check their phrases."""
-        shorter = [] if sizes[0] == 1 else [1, *([] if sizes[0] == 2 else [2])]
-        prints = dict(zip([*shorter, *sizes], stretch.fingerprints([*shorter, *sizes], self.bits)))
-        keys, _, owners = _keys([prints[size] for size in sizes], wanted)
-        frequent, owned = _flags(keys, self.parts, answers)
-        found, rows = [], []
-        for size, places, owner in zip(sizes, wanted, owners):
-            at = np.flatnonzero(places)[frequent[owner]]
-            found.append(at)
+    def __init__(self, parts: int, longest: int, bits: int, pair_bits: int, by_text: bool):
+        self.parts, self.bits, self.pair_bits, self.by_text = parts, bits, pair_bits, by_text
+        self.long = list(range(2, longest + 1))
+
+    def _named(self, chunk: int, keys: Keys, answers: dict[int, bytes]) -> tuple[np.ndarray, list]:
+        """Frequent places, of the last size, and the rows that name the phrases this stretch owns."""
+        frequent, owned = keys.answered(self.parts, answers)
+        stretch, at, rows = keys.stretch, np.zeros(0, np.int64), []
+        for size, places, owner in zip(keys.sizes, keys.places, keys.owners):
+            good = frequent[owner]
+            at = places[good]
             if not len(at):
                 continue
             if self.by_text:
-                rows.append([TEXTS, chunk, None, stretch.lang, size, None, None, None, *stretch.counted(at, size)])
+                rows.append([TEXTS, chunk, stretch.lang, size, None, None, *stretch.counted(at, size)])
                 continue
-            numbers, first, inverse = np.unique(owner[frequent[owner]], return_index=True, return_inverse=True)
+            numbers, first, inverse = np.unique(owner[good], return_index=True, return_inverse=True)
             starts = at[first]
             if not stretch.agree(at, size, starts[inverse.ravel()]):
-                # Two phrases of this stretch share a fingerprint, as a check that fits none says.
-                rows.append([CHECKS, chunk, -1, None, size, None, None, b"", None, None])
-                continue
-            own = owned[numbers]
-            if own.any():
-                names = keys[numbers[own]].view(np.int64).tolist()
-                rows.append([PHRASES, chunk, None, stretch.lang, size, None, None, None, stretch.texts(starts[own], size), names])
-            edges = _edges(keys[numbers], self.parts).tolist()
-            for part, (a, b) in enumerate(zip(edges, edges[1:])):
-                if a < b:
-                    mine, places = keys[numbers[a:b]], starts[a:b]
-                    if size == 1:
-                        words = b"\n".join([stretch.words[i] for i in stretch.tokens[places].tolist()])
-                        content = (b - a).to_bytes(8, "little") + mine.tobytes() + words
-                        content = zstandard.ZstdCompressor(level=1).compress(content)
-                    else:
-                        content = np.stack([mine, prints[size - 1][places], prints[1][places + size - 1]]).tobytes()
-                    rows.append([CHECKS, chunk, part, None, size, None, None, content, None, None])
-        return found, rows
+                rows.append([CLASH, chunk, None, size, None, None, None, None])
+            mine = owned[numbers]
+            if mine.any():
+                names = keys.keys[numbers[mine]].view(np.int64).tolist()
+                rows.append([PHRASES, chunk, stretch.lang, size, None, None, stretch.texts(starts[mine], size), names])
+        return at, rows
 
     def after_words(self, chunk: int, stretch: Stretch, answers: dict[int, bytes]) -> Iterator[list]:
-        (at,), rows = self._named(chunk, stretch, [1], [stretch.tokens != BREAK], answers)
+        at, rows = self._named(chunk, Keys(stretch, [1], self.bits, True), answers)
         yield from rows
-        good = np.zeros(len(stretch.tokens), bool)
-        good[at] = True
-        rest = stretch.linked(_runs(good, 2))
-        if len(rest.tokens):
-            keys, times, _ = _keys(rest.fingerprints([2], self.bits), [_runs(rest.tokens != BREAK, 2)])
-            yield rest.row(chunk)
-            yield from _key_rows(chunk, keys, times, self.parts)
+        yield from self._rest(chunk, stretch, at, 2)
 
     def after_pairs(self, chunk: int, stretch: Stretch, answers: dict[int, bytes]) -> Iterator[list]:
-        pairs = _runs(stretch.tokens != BREAK, 2)
-        (at,), rows = self._named(chunk, stretch, [2], [pairs], answers)
-        yield from rows
-        good = np.zeros(len(pairs), bool)
+        keys = Keys(stretch, [2], self.pair_bits, False)
+        frequent, _ = keys.answered(self.parts, answers)
+        yield from self._rest(chunk, stretch, keys.places[0][frequent[keys.owners[0]]], 1)
+
+    def _rest(self, chunk: int, stretch: Stretch, at: np.ndarray, size: int) -> Iterator[list]:
+        """The tokens between which frequent places lie, ``size`` of them in a row, if any."""
+        good = np.zeros(len(stretch.tokens), bool)
         good[at] = True
-        rest = stretch.linked(good)
-        if self.long and len(rest.tokens) > 2:
-            places = [_runs(rest.tokens != BREAK, n) for n in self.long]
-            keys, times, _ = _keys(rest.fingerprints(self.long, self.bits), places)
-            if len(keys):
-                yield rest.row(chunk)
-                yield from _key_rows(chunk, keys, times, self.parts)
+        rest = stretch.linked(_runs(good, size))
+        if self.long and len(rest.tokens):
+            yield rest.row(chunk)
 
     def after_long(self, chunk: int, stretch: Stretch, answers: dict[int, bytes]) -> Iterator[list]:
-        places = [_runs(stretch.tokens != BREAK, n) for n in self.long]
-        yield from self._named(chunk, stretch, self.long, places, answers)[1]
+        yield from self._named(chunk, Keys(stretch, self.long, self.bits, True), answers)[1]
 
 
 def phrase_counts(
@@ -425,41 +401,43 @@ def phrase_counts(
 
     Stretches of tokens send each distinct n-gram fingerprint once, with its count, to the
     part that owns it; the part answers whether all stretches together have enough, and
-    which stretch is to name the phrase. Words go first, then pairs of frequent words, then
-    longer n-grams whose pairs are all frequent. A fingerprint never counts less than a
-    phrase that has it, so nothing frequent is lost.
+    which stretch is to name the phrase. Words go first, then pairs of frequent words under
+    short fingerprints, which only thin the text, then all n-grams whose pairs were left. A
+    fingerprint never counts less than a phrase that has it, so nothing frequent is lost.
 
-    Frequent fingerprints are verified: within a stretch all places by their words, between
-    stretches words by their text and longer n-grams by their shorter ones. Should any collide,
-    stretches hand over all their frequent phrases as texts, which are summed as such.
+    Frequent fingerprints are verified: all places within a stretch by their words, places of
+    different stretches by second fingerprints of their words. Should any collide, stretches
+    hand over all their frequent phrases as texts, which are summed as such.
     """
-    parts = number_of_parts(docs, text_column, PART_BYTES)
-    first = _chunked(docs, lang_column, text_column, parts, bits)
+    first = _stretches(docs, lang_column, text_column)
     totals = first.filter(F.col("kind") == CONTENT).groupBy("lang").agg(F.sum("size").alias("n"))
+    tokens = first.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    parts = max(1, -(-tokens // PART_TOKENS))
+    pair_bits = min(bits, tokens.bit_length() + SPARE_BITS)
+    long = list(range(2, longest + 1))
+    asked = [([1], bits, True), ([2], pair_bits, False), (long, bits, True)][: 3 if long else 1]
     answers: list[DataFrame] = []
 
     def run(by_text: bool) -> list[DataFrame]:
-        work = Rounds(parts, longest, bits, by_text)
-        steps = [("pairs", work.after_words), ("long", work.after_pairs), ("phrases", work.after_long)]
-        made = [first]
-        for k, (name, step) in enumerate(steps[: min(longest, 3)]):
+        work = Rounds(parts, longest, bits, pair_bits, by_text)
+        steps, made = [("words", work.after_words), ("pairs", work.after_pairs), ("phrases", work.after_long)], [first]
+        for k, (sizes, width, checked) in enumerate(asked):
             if k == len(answers):
-                answers.append(_answered(made[-1].filter(F.col("kind") == KEYS), min_count, parts))
-            made.append(_next_round(made[-1], answers[k], parts, step, name))
+                answers.append(_answers(made[-1], sizes, parts, min_count, width, checked))
+            made.append(_next_round(made[-1], answers[k], parts, steps[k][1], steps[k][0]))
         return made[1:]
 
     def listed(made: list[DataFrame], kind: int) -> DataFrame:
-        rows = [m.filter(F.col("kind") == kind).select("lang", "size", "part", "content", "phrases", "numbers") for m in made]
-        return reduce(DataFrame.unionByName, rows)
+        return reduce(DataFrame.unionByName, [m.filter(F.col("kind") == kind).select("lang", "size", "phrases", "numbers") for m in made])
 
     made = run(by_text=False)
-    if _collisions(listed(made, CHECKS).filter("part >= 0"), parts).isEmpty() and listed(made, CHECKS).filter("part < 0").isEmpty():
-        # Sizes over two share a round, so their fingerprints share its totals.
-        named = listed(made, PHRASES).select("lang", F.least("size", F.lit(3)).alias("round"), F.explode(F.arrays_zip("phrases", "numbers")).alias("p"))
-        named = named.select("lang", "round", F.col("p.phrases").alias("phrase"), F.col("p.numbers").alias("key"))
-        sums = [a.select(F.lit(k + 1).cast("long").alias("round"), F.explode(F.arrays_zip("keys", "totals")).alias("p")) for k, a in enumerate(answers)]
-        sums = reduce(DataFrame.unionByName, sums).select("round", F.col("p.keys").alias("key"), F.col("p.totals").alias("a"))
-        return materialized(named.join(sums, ["round", "key"]).select("lang", "phrase", "a"), "frequent"), totals
+    clashes = reduce(DataFrame.unionByName, [a.select("clashes") for a in answers]).agg(F.sum("clashes")).first()[0]
+    if not clashes and listed(made, CLASH).isEmpty():
+        named = listed(made, PHRASES).select("lang", (F.col("size") > 1).alias("long"), F.explode(F.arrays_zip("phrases", "numbers")).alias("p"))
+        named = named.select("lang", "long", F.col("p.phrases").alias("phrase"), F.col("p.numbers").alias("key"))
+        sums = [a.select(F.lit(k > 0).alias("long"), F.explode(F.arrays_zip("keys", "totals")).alias("p")) for k, a in enumerate(answers)]
+        sums = reduce(DataFrame.unionByName, sums).select("long", F.col("p.keys").alias("key"), F.col("p.totals").alias("a"))
+        return materialized(named.join(sums, ["long", "key"]).select("lang", "phrase", "a"), "frequent"), totals
     texts = listed(run(by_text=True), TEXTS).select("lang", F.explode(F.arrays_zip("phrases", "numbers")).alias("p"))
     summed = texts.groupBy("lang", F.col("p.phrases").alias("phrase")).agg(F.sum("p.numbers").alias("a"))
     return materialized(summed.filter(F.col("a") >= min_count), "frequent"), totals
