@@ -9,7 +9,7 @@ import struct
 import numpy as np
 
 MARK = "▁"
-CACHED_BYTES = 40 << 20  # of segments and their ids that a worker keeps, with what Python adds
+CACHED_BYTES = 120 << 20  # of segments and their ids that a worker keeps, with what Python adds
 ENTRY_BYTES = 230
 CACHED_LENGTH = 40
 SLICE_CHARS = 1 << 18  # of a text whose segments are listed at once
