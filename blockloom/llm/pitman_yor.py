@@ -10,7 +10,6 @@ for; parts of pairs draw the seats of their pairs and ask anew with their new ta
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ from blockloom.session import materialized
 CHUNK_BYTES = 8 << 20
 PART_BYTES = 16 << 20
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
-SHORT = np.uint64(24)  # bits dropped from a word's hash where it is part of a pair
+SHORT = np.uint64(16)  # bits dropped from a word's hash where it is part of a pair
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MESSAGES = "kind string, chunk long, part int, content binary"
 SCHEMA = pa.schema([("kind", pa.string()), ("chunk", pa.int64()), ("part", pa.int32()), ("content", pa.binary())])
@@ -299,7 +298,7 @@ def score_documents(
 
     Discounts come from the numbers of pairs and words seen once and twice. Null text is
     empty and has its end alone; repeated rows are texts of their own; null ids are learned
-    from. Words are told apart by 64-bit hashes in counts and by 40 bits in pairs. Counts of
+    from. Words are told apart by 64-bit hashes in counts and by 48 bits in pairs. Counts of
     pairs and words are sent once per chunk and kept in as many parts as the input needs.
     """
     parts = number_of_parts(docs, text_column, PART_BYTES)

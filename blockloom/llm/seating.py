@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
-EXACT_CUSTOMERS = 4096
+EXACT_CUSTOMERS = 4096  # up to here Stirling numbers come from their recursion, beyond from closed forms
 MATRIX = 1 << 21
+TERMS = 120  # of the series; beyond, its terms are under 1e-16 of the largest
+DIGITS = 19.0  # natural logarithm of the cancellation that the series may have
+GRID = 400
+WINDOW = 20_000  # numbers of tables that are looked at one by one
+FAR = 40.0  # natural logarithm under the top from which a number of tables is out of reach
 
 
 def stirling_rows(counts: np.ndarray, discount: float):
@@ -26,6 +33,103 @@ def stirling_rows(counts: np.ndarray, discount: float):
         row, n = longer, n + 1
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function of positive numbers."""
+    x = np.asarray(x, np.float64)
+    y, shift = x + 8, np.zeros_like(x)
+    for k in range(8):
+        shift += np.log(x + k)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+
+
+def log_stirling(n: int, tables: np.ndarray, discount: float) -> np.ndarray:
+    """Logarithms of generalised Stirling numbers of many customers, for any numbers of tables.
+
+    ``n! / (t! d**t)`` times the coefficient of ``z**n`` in ``(1 - (1 - z)**d)**t``. While t is
+    of the order of ``n**d``, that is a finite sum of gamma functions whose terms fall quickly;
+    beyond, where they cancel, a saddle point, shifted to meet the sum where it takes over.
+    """
+    t = np.asarray(tables, np.float64)
+    scaled = t / n**discount
+    power = 1 / (1 - discount)
+    decay = (1 - discount) * discount ** (discount * power)
+    by_sum = 2 * scaled + decay * scaled**power < DIGITS
+    out = np.empty(len(t))
+    out[by_sum] = _by_series(n, t[by_sum], discount)
+    rest = ~by_sum
+    if rest.any():
+        edge = _last_by_sum(n, discount, power, decay)
+        meet = np.array([edge], np.float64)
+        shift = _by_series(n, meet, discount) - _by_saddle(n, meet, discount) if edge > 1 else 0.0
+        out[rest] = _by_saddle(n, t[rest], discount) + shift * (edge / t[rest])
+    return out
+
+
+def _last_by_sum(n: int, discount: float, power: float, decay: float) -> int:
+    low, high = 1, n
+    while low < high:
+        middle = (low + high + 1) // 2
+        x = middle / n**discount
+        low, high = (middle, high) if 2 * x + decay * x**power < DIGITS else (low, middle - 1)
+    return low
+
+
+def _by_series(n: int, t: np.ndarray, discount: float) -> np.ndarray:
+    if not len(t):
+        return t
+    j = np.arange(1, TERMS + 1, dtype=np.float64)
+    j = j[discount * j < n]
+    sign = np.where(j % 2 == 1, 1.0, -1.0) * np.sin(np.pi * discount * j)
+    size = log_gamma(1 + discount * j) + log_gamma(n - discount * j) - math.log(math.pi) - log_gamma(np.array([n + 1.0]))
+    size = size - log_gamma(j + 1)
+    more = t[:, None] - j[None, :]
+    ways = np.where(more >= 0, log_gamma(t + 1)[:, None] - log_gamma(np.maximum(more, 0) + 1), -np.inf)
+    terms = size[None, :] + ways
+    top = terms.max(axis=1)
+    total = (sign[None, :] * np.exp(terms - top[:, None])).sum(axis=1)
+    coefficient = np.log(np.maximum(total, 1e-300)) + top
+    return coefficient + log_gamma(np.array([n + 1.0])) - log_gamma(t + 1) - t * math.log(discount)
+
+
+def _by_saddle(n: int, t: np.ndarray, discount: float) -> np.ndarray:
+    """The coefficient by a Gaussian around the saddle, in the logarithm of ``1 - z``."""
+    d = discount
+    low, high = np.full(len(t), -700.0), np.full(len(t), -1e-12)
+    for _ in range(80):
+        middle = (low + high) / 2
+        slope = np.log(t * d * -np.expm1(middle)) + (d - 1) * middle - np.log(-np.expm1(d * middle))
+        small = slope < math.log(n)  # z has to come nearer to 1
+        high, low = np.where(small, middle, high), np.where(small, low, middle)
+    s = (low + high) / 2
+    y, z, f = np.exp(s), -np.expm1(s), -np.expm1(d * s)
+    first = z * d * y ** (d - 1) / f
+    second = z * z * d * (1 - d) * y ** (d - 2) / f
+    spread = t * (first + second - first * first)
+    coefficient = t * np.log(f) - n * np.log(z) - 0.5 * np.log(2 * np.pi * np.maximum(spread, 1e-300))
+    return coefficient + log_gamma(np.array([n + 1.0])) - log_gamma(t + 1) - t * math.log(d)
+
+
+def table_chances(customers: int, weight: float, rest: float, discount: float, strength: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of tables of a dish with many customers, and their probabilities.
+
+    The law is that of ``draw_tables``. A grid finds where it lies; there every number counts,
+    or, if these are too many, evenly spaced ones that stand for their neighbours.
+    """
+
+    def logs(t: np.ndarray) -> np.ndarray:
+        grow = log_gamma(strength / discount + rest + t) + t * math.log(discount) + t * math.log(weight)
+        return log_stirling(customers, t, discount) + grow
+
+    grid = np.unique(np.geomspace(1, customers, GRID).astype(np.int64))
+    values = logs(grid)
+    near = np.flatnonzero(values > values.max() - FAR)
+    low, high = grid[max(0, near[0] - 1)], grid[min(len(grid) - 1, near[-1] + 1)]
+    spots = np.arange(low, high + 1) if high - low < WINDOW else np.unique(np.linspace(low, high, WINDOW).astype(np.int64))
+    values = logs(spots)
+    chance = np.exp(values - values.max()) * np.gradient(spots.astype(np.float64)) if len(spots) > 1 else np.ones(1)
+    return spots, chance / chance.sum()
+
+
 def draw_tables(
     customers: np.ndarray, weight: np.ndarray, rest: np.ndarray, discount: float, strength: float, rng: np.random.Generator
 ) -> np.ndarray:
@@ -35,13 +139,13 @@ def draw_tables(
     parent serves the dish with probability ``weight``. The seats of a dish are drawn as one
     block: with S(c, t) seatings of c customers at t tables, t has the probability
     S(c, t) weight**t (strength + discount rest) (strength + discount (rest + 1)) ...
-    Of a dish with more than ``EXACT_CUSTOMERS`` customers so many are drawn, and the tables
-    of all follow by the power law with which tables grow, the power being the discount.
+    The numbers S come from their recursion, and for a dish with more than
+    ``EXACT_CUSTOMERS`` customers from closed forms of the same numbers.
     """
     out = np.ones(len(customers), np.int64)
-    held = np.minimum(customers, EXACT_CUSTOMERS)
-    order = np.argsort(held, kind="stable")
-    values, starts = np.unique(held[order], return_index=True)
+    few = np.flatnonzero(customers <= EXACT_CUSTOMERS)
+    order = few[np.argsort(customers[few], kind="stable")]
+    values, starts = np.unique(customers[order], return_index=True)
     stops = np.append(starts[1:], len(order))
     first = np.searchsorted(values, 2)
     for (n, row), a, b in zip(stirling_rows(values[first:], discount), starts[first:], stops[first:]):
@@ -53,7 +157,7 @@ def draw_tables(
             chance = np.cumsum(np.exp(chance - chance.max(axis=1, keepdims=True)), axis=1)
             spot = rng.random(len(some)) * chance[:, -1]
             out[some] = 1 + (chance < spot[:, None]).sum(axis=1)
-    more = customers > EXACT_CUSTOMERS
-    scaled = out[more] * (customers[more] / EXACT_CUSTOMERS) ** discount
-    out[more] = np.minimum(np.rint(scaled).astype(np.int64), customers[more])
+    for i in np.flatnonzero(customers > EXACT_CUSTOMERS).tolist():
+        spots, chance = table_chances(int(customers[i]), float(weight[i]), float(rest[i]), discount, strength)
+        out[i] = spots[min(len(spots) - 1, int(np.searchsorted(np.cumsum(chance), rng.random())))]
     return out

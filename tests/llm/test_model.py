@@ -6,12 +6,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from llm_rows import no_docs, odd_docs, odd_rows  # noqa: F401
 
 import blockloom.llm.pitman_yor as model
 from blockloom.llm.chunks import Chunk
 from blockloom.llm.queries import QUERIES
-from blockloom.llm.seating import draw_tables, stirling_rows
+from blockloom.llm.seating import draw_tables, stirling_rows, table_chances
 
 
 def held(doc_id):
@@ -76,6 +77,134 @@ def test_drawn_tables_follow_their_distribution():
     assert large[0] == 1 and large[1] in (1, 2) and 1 <= large[2] <= 9000 and large[3] > large[2]
 
 
+def exact_law(n, weight, rest, discount, strength, most):
+    """The law of the number of tables up to ``most``, by the recursion alone."""
+    row = np.full(most, -np.inf)
+    row[0] = 0.0
+    tables = np.arange(1, most + 1)
+    for seated in range(1, n):
+        room = seated - tables * discount
+        longer = np.where(room > 0, row + np.log(np.maximum(room, 1e-300)), -np.inf)
+        longer[1:] = np.logaddexp(longer[1:], row[:-1])
+        row = longer
+    value = row + np.cumsum(np.log(strength + discount * (rest + np.arange(most))) + math.log(weight))
+    chance = np.exp(value - value.max())
+    return chance / chance.sum()
+
+
+@pytest.mark.parametrize(
+    "n,weight,rest,discount,most",
+    [(4097, 1e-3, 500.0, 0.6, 60), (4097, 0.2, 3.0, 0.1, 120), (20_000, 1e-2, 2000.0, 0.8, 200), (20_000, 0.3, 20.0, 0.3, 200), (100_000, 1e-3, 500.0, 0.6, 60)],
+)
+def test_tables_of_many_customers_follow_the_same_law(n, weight, rest, discount, most):
+    want = exact_law(n, weight, rest, discount, 1.0, most)
+    spots, chance = table_chances(n, weight, rest, discount, 1.0)
+    got = np.zeros(most + 1)
+    np.add.at(got, np.minimum(spots, most + 1) - 1, chance)
+    assert np.abs(got[:most] - want).sum() < 2e-3
+    rng = np.random.default_rng(2)
+    many = 3000
+    drawn = draw_tables(np.full(many, n), np.full(many, weight), np.full(many, rest), discount, 1.0, rng)
+    spread = math.sqrt((want * tables_squared(most)).sum() - (want * np.arange(1, most + 1)).sum() ** 2)
+    assert abs(drawn.mean() - (want * np.arange(1, most + 1)).sum()) < 5 * spread / math.sqrt(many) + 1e-9
+
+
+def tables_squared(most):
+    return np.arange(1, most + 1) ** 2.0
+
+
+def test_the_law_has_no_step_where_the_closed_form_begins():
+    means = []
+    for n in (4090, 4096, 4097, 4103):
+        drawn = draw_tables(np.full(20_000, n), np.full(20_000, 2e-3), np.full(20_000, 800.0), 0.6, 1.0, np.random.default_rng(n))
+        means.append(drawn.mean())
+    assert max(means) - min(means) < 0.06
+    assert table_chances(10**9, 1e-2, 5e5, 0.8, 1.0)[1].sum() == pytest.approx(1)
+
+
+def seat_by_seat(texts, scored, discount, strength, root_discount, sweeps, burn_in, seed):
+    """Mean token probabilities of a plain model whose customers are reseated one at a time."""
+    rng = np.random.default_rng(seed)
+    streams = [["<", *t.split(), ">"] for t in texts]
+    words = sorted({w for s in streams for w in s[1:]})
+    base = 1 / (len(words) + 1)
+    root: dict = {w: [] for w in words}  # sizes of the tables of a dish
+    context: dict = {}
+
+    def total(seats):
+        return sum(map(sum, seats.values())), sum(map(len, seats.values()))
+
+    def root_chance(w):
+        customers, tables = total(root)
+        return (sum(root[w]) - root_discount * len(root[w]) + (strength + root_discount * tables) * base) / (strength + customers)
+
+    def chance(u, w):
+        seats = context.get(u, {})
+        customers, tables = total(seats)
+        own = seats.get(w, [])
+        return (sum(own) - discount * len(own) + (strength + discount * tables) * root_chance(w)) / (strength + customers)
+
+    def sit(own, d, open_weight):
+        weights = np.array([*(n - d for n in own), open_weight])
+        at = rng.choice(len(weights), p=weights / weights.sum())
+        if at == len(own):
+            own.append(0)
+        own[at] += 1
+        return own[at] == 1
+
+    def leave(own):
+        at = rng.choice(len(own), p=np.array(own) / sum(own))
+        own[at] -= 1
+        if not own[at]:
+            del own[at]
+            return True
+        return False
+
+    def add(u, w):
+        seats = context.setdefault(u, {})
+        own, (_, tables) = seats.setdefault(w, []), total(seats)
+        if sit(own, discount, (strength + discount * tables) * root_chance(w)):
+            _, tables = total(root)
+            sit(root[w], root_discount, (strength + root_discount * tables) * base)
+
+    pairs = [p for s in streams for p in zip(s, s[1:])]
+    for u, w in pairs:
+        add(u, w)
+    out = [np.zeros(len(t.split()) + 1) for t in scored]
+    for sweep in range(burn_in + sweeps):
+        for u, w in pairs:
+            if leave(context[u][w]):
+                leave(root[w])
+            add(u, w)
+        if sweep >= burn_in:
+            for row, text in zip(out, scored):
+                stream = ["<", *text.split(), ">"]
+                row += [chance(u, w) if w in root else 0.0 for u, w in zip(stream, stream[1:])]
+    return [np.log10(row / sweeps).sum() for row in out]
+
+
+def test_scores_equal_a_model_reseated_one_customer_at_a_time(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(12)]
+    chances = rng.dirichlet(np.full(12, 0.3), 12)
+    texts = []
+    for _ in range(60):
+        at, text = int(rng.integers(12)), []
+        for _ in range(int(rng.integers(3, 15))):
+            text.append(words[at])
+            at = int(rng.choice(12, p=chances[at]))
+        texts.append(" ".join(text))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = [r.score for r in model.score_documents(docs, burn_in=4, samples=12).orderBy("doc_id").collect()]
+    train = [t for i, t in enumerate(texts) if not held(i)]
+    pairs = Counter(p for t in train for p in zip(["<", *t.split()], [*t.split(), ">"]))
+    once, twice = (sum(c == n for c in pairs.values()) for n in (1, 2))
+    want = seat_by_seat(train, texts, model._discount(once, twice), 1.0, 0.5, 25, 10, 1)
+    known = [i for i, t in enumerate(texts) if set(t.split()) <= {w for s in train for w in s.split()}]
+    differ = np.array([(got[i] - want[i]) / (len(texts[i].split()) + 1) for i in known])
+    assert len(known) > 50 and np.abs(differ).mean() < 0.02 and np.corrcoef([got[i] for i in known], [want[i] for i in known])[0, 1] > 0.995
+
+
 def test_probabilities_of_a_context_sum_to_one():
     parts, texts = 3, [b"a b a c", b"a b b d", b"b a b a b", b"c"] * 3
     ids = [i for i in range(100) if not held(i)][: len(texts)]
