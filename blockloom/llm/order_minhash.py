@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from blockloom.llm.tables import SPACE, filled, unused_name
 
 PLACE_BITS = 27  # of a packed long, for the place in the text
-HASH_BITS = 36
+HASH_BITS = 36  # later places count as the last one, so order among them alone is lost
 PLACES = (1 << PLACE_BITS) - 1
 HASHES = (1 << HASH_BITS) - 1
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 1 << 16
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -24,7 +24,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def _packed(value: Column, place: Column) -> Column:
     """The upper hash bits of a 64-bit value above a place; order is that of the hash."""
     high = F.shiftleft(F.shiftrightunsigned(value, 64 - HASH_BITS), PLACE_BITS)
-    return high.bitwiseOR(place.cast("long").bitwiseAND(F.lit(PLACES)))
+    return high.bitwiseOR(F.least(place.cast("long"), F.lit(PLACES).cast("long")))
 
 
 def _hash_of(packed: Column) -> Column:
@@ -77,9 +77,11 @@ def order_minhash(text: Column, k: int = 2, tuple_size: int = 2, coordinates: in
     """Array of ``coordinates`` 16-bit integers; the share of equal ones is a likeness.
 
     Every k-mer is numbered by its occurrence in the text, and k-mer and number are hashed
-    onto a ring. Coordinate ``j`` orders the ring from its ``j``-th part on, which is a hash
-    order of its own, takes the ``tuple_size`` first entries, puts them back in text order
-    and hashes the tuple. Both what a text says and in which order it says it must agree,
+    onto a ring of ``coordinates`` parts, a power of two. Coordinate ``j`` goes through the
+    parts from the ``j``-th on in strides of its own, an odd number of parts, which is a hash
+    order of its own; it takes the ``tuple_size`` first entries, puts them back in text order
+    and hashes the tuple. A short text leaves most parts empty; strides then lead the
+    coordinates to entries that hardly depend on each other. Both what a text says and in which order it says it must agree,
     so the likeness follows the edit distance rather than the set of words. Texts without
     words share one fingerprint.
     """
@@ -100,24 +102,28 @@ def order_minhash(text: Column, k: int = 2, tuple_size: int = 2, coordinates: in
             ring, lambda e, i: (i < tuple_size) | F.coalesce(part(F.get(ring, i - tuple_size)) != part(e), F.lit(True))
         )
 
+    low_bits = PLACE_BITS + HASH_BITS - parts_bits
+    rest = F.lit((1 << low_bits) - 1)
+
     def signed(ring: Column) -> Column:
-        def coordinate(ring: Column, parts: Column, wheel: Column, j: Column) -> Column:
-            found = F.array_position(parts, j.cast("long"))
-            start = F.when(found > 0, found).otherwise(F.size(F.filter(parts, lambda p: p < j)) + 1)
-            taken = F.slice(wheel, start.cast("int"), F.least(F.lit(tuple_size), F.size(ring)))
+        def turned(entries: Column, j: Column) -> Column:
+            """Entries with their part told as steps of the coordinate's stride."""
+            stride = (j * 29 + 7).bitwiseAND(F.lit(coordinates // 2 - 1)) * 2 + 1 if coordinates > 1 else F.lit(1)
+            steps = lambda e: ((part(e) - j) * stride).cast("long").bitwiseAND(F.lit(coordinates - 1).cast("long"))
+            return F.transform(entries, lambda e: F.shiftleft(steps(e), low_bits).bitwiseOR(e.bitwiseAND(rest)))
+
+        def coordinate(ring: Column, parts: Column, j: Column) -> Column:
+            found = F.array_position(parts, j.cast("long")).cast("int")
+            enough = (found > 0) & (F.get(parts, found + tuple_size - 2) == j)
+            first = F.when(F.coalesce(enough, F.lit(False)), F.slice(ring, F.greatest(found, F.lit(1)), F.lit(tuple_size)))
+            taken = F.slice(F.array_sort(turned(F.coalesce(first, ring), j)), 1, tuple_size)
             placed = F.array_sort(
                 F.transform(taken, lambda e: F.shiftleft(_place_of(e), HASH_BITS).bitwiseOR(_hash_of(e)))
             )
             return F.xxhash64(F.transform(placed, lambda e: e.bitwiseAND(F.lit(HASHES)))).bitwiseAND(F.lit(0xFFFF)).cast("int")
 
         numbers = F.sequence(F.lit(0), F.lit(coordinates - 1))
-        return let(
-            F.transform(ring, part),
-            lambda parts: let(
-                F.concat(ring, ring),
-                lambda wheel: F.transform(numbers, lambda j: coordinate(ring, parts, wheel, j)),
-            ),
-        )
+        return let(F.transform(ring, part), lambda parts: F.transform(numbers, lambda j: coordinate(ring, parts, j)))
 
     ordered = F.array_sort(F.transform(kmers(text, k), lambda value, i: _packed(value, i)))
     ring = let(ordered, lambda s: F.array_sort(numbered(s)))
@@ -140,8 +146,9 @@ def with_next(docs: DataFrame, id_column: str, columns: list[str], rows_per_buck
 
     Ids are cut at approximate quantiles, which are ids of the table, so the first row of a
     bucket is the row with that id: it also goes to the bucket before, behind all others,
-    and the window of a bucket needs no other. The number of cuts grows with the table up
-    to a few thousand and is all that the driver sees. Equal ids go by their columns, null
+    and the window of a bucket needs no other. The number of cuts grows with the table, up
+    to 65,536, which 131 million rows reach; beyond, buckets grow and their sorts spill. The cuts
+    are all that the driver sees. Equal ids go by their columns, null
     ids come first.
     """
     key, guard, bucket = (unused_name(docs, name) for name in ("_key", "_guard", "_bucket"))
@@ -150,9 +157,15 @@ def with_next(docs: DataFrame, id_column: str, columns: list[str], rows_per_buck
     shares = [i / wanted for i in range(wanted)]
     low, cuts = rows.agg(F.min(key), F.percentile_approx(key, shares, 10 * MAX_BUCKETS)).first()
     cuts = sorted({low, *(cuts or [])} - {None})
-    places = F.array(*[F.lit(cut) for cut in cuts]).cast("array<bigint>")
-    own = F.size(F.filter(places, lambda cut: cut <= F.col(key))) - 1
-    before = F.when(F.array_contains(places, F.col(key)), F.pmod(own - 1, F.lit(max(1, len(cuts)))))
+    places = F.lit(cuts or [0]).cast("array<bigint>")
+    # The last cut at or under the key, by halving; the first cut is the smallest key.
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, len(cuts)).bit_length()))])
+
+    def further(at: Column, step: Column) -> Column:
+        return F.when(F.coalesce(F.get(places, at + step) <= F.col(key), F.lit(False)), at + step).otherwise(at)
+
+    own = F.aggregate(halves, F.lit(0), further)
+    before = F.when(F.get(places, own) == F.col(key), F.pmod(own - 1, F.lit(max(1, len(cuts)))))
     copies = F.array_compact(F.array(F.struct(own.alias("b"), F.lit(0).alias("g")), F.when(before.isNotNull(), F.struct(before.alias("b"), F.lit(1).alias("g")))))
     spread = rows.withColumn(bucket, F.explode(copies)).withColumn(guard, F.col(f"{bucket}.g")).withColumn(bucket, F.col(f"{bucket}.b"))
     order = Window.partitionBy(bucket).orderBy(guard, key, *columns)
