@@ -155,28 +155,30 @@ def pack(
 ) -> DataFrame:
     """Place of every piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
-    Full pieces are sequences of their own. The others are dealt by a hash of id and piece
-    into shards of about ``shard_items``, whose number grows with the input, and each shard
+    Full pieces are sequences of their own. The others are dealt by a hash of the number they
+    get when they are written into shards of about ``shard_items``, whose number grows with the input, and each shard
     is packed by the sum-of-squares rule, longest first. A shard holds lengths only. Null
     text is empty and has the end id alone; rows that repeat an id or have none are packed
     like others. An empty table gives no rows; other columns are ignored.
     """
-    pieces = materialized(token_pieces(docs, tokenizer_path, capacity, id_column, text_column), "pieces")
+    made = token_pieces(docs, tokenizer_path, capacity, id_column, text_column)
+    # The number a piece gets when it is written deals it, so that rows alike are spread too.
+    pieces = materialized(made.withColumn("_deal", F.monotonically_increasing_id()), "pieces")
     short = pieces.filter(F.col("length") < capacity)
     shards = max(1, round(short.count() / shard_items))
-    schema = StructType([*pieces.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    schema = StructType([*made.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     def place(key: tuple, shard: pa.Table) -> pa.Table:
         order = [("length", "descending"), *[(c, "ascending") for c in ("doc_id", "piece", "start", "ids_crc32")]]
-        shard = shard.drop_columns("_shard").sort_by(order)
+        shard = shard.drop_columns(["_shard", "_deal"]).sort_by(order)
         bins, offsets = sum_of_squares(shard["length"].to_numpy(), capacity)
         shard = shard.append_column("sequence_id", pa.array(bins * shards + key[0].as_py()))
         return shard.append_column("offset", pa.array(offsets))
 
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards))
+    shard = F.pmod(F.xxhash64("_deal"), F.lit(shards))
     packed = short.withColumn("_shard", shard).groupBy("_shard").applyInArrow(place, schema)
     # Full pieces take negative numbers, which no shard uses.
     alone = -F.monotonically_increasing_id() - 1
     full = pieces.filter(F.col("length") == capacity)
-    full = full.withColumn("sequence_id", alone).withColumn("offset", F.lit(0).cast("long"))
+    full = full.drop("_deal").withColumn("sequence_id", alone).withColumn("offset", F.lit(0).cast("long"))
     return packed.unionByName(full)
