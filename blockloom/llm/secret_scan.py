@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm.tables import filled, unused_name
-from blockloom.llm.trigram_query import clauses
+from blockloom.llm.trigram_query import conjunction
 from blockloom.session import materialized
 
 
@@ -51,7 +51,7 @@ def postings(docs: DataFrame, rules: tuple[Rule, ...], id_column: str, text_colu
 
     Trigrams that no rule asks for are never looked up, so they are not indexed.
     """
-    grams = sorted({g for rule in rules for clause in clauses(rule.pattern) or [] for g in clause})
+    grams = sorted({g for rule in rules for stretch in conjunction(rule.pattern) for clause in stretch for g in clause})
     folded = F.lower(filled(F.col(text_column)))
     held = F.array_compact(F.array(*[F.when(F.contains(folded, F.lit(g)), F.lit(g)) for g in grams]))
     if not grams:
@@ -60,18 +60,24 @@ def postings(docs: DataFrame, rules: tuple[Rule, ...], id_column: str, text_colu
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """``id, kinds``: rules whose Boolean query the postings of a text satisfy."""
+    """``id, kinds``: rules whose Boolean query the postings of a text satisfy.
+
+    A clause holds if all its trigrams are there, a stretch if one of its clauses holds, and a
+    rule if all its stretches hold.
+    """
     spark = index.sparkSession
     asked = [
-        (rule.kind, n, gram, len(clause))
+        (rule.kind, m, n, gram, len(clause), len(conjunction(rule.pattern)))
         for rule in rules
-        for n, clause in enumerate(clauses(rule.pattern) or [])
+        for m, stretch in enumerate(conjunction(rule.pattern))
+        for n, clause in enumerate(stretch)
         for gram in sorted(clause)
     ]
     # As many rows as the rules have trigrams, so a broadcast.
-    wanted = F.broadcast(spark.createDataFrame(asked, "kind string, clause int, gram string, needed int"))
-    met = index.join(wanted, "gram").groupBy("id", "kind", "clause", "needed").agg(F.count("*").alias("held"))
-    return met.filter("held = needed").groupBy("id").agg(F.collect_set("kind").alias("kinds"))
+    wanted = F.broadcast(spark.createDataFrame(asked, "kind string, stretch int, clause int, gram string, needed int, stretches int"))
+    met = index.join(wanted, "gram").groupBy("id", "kind", "stretches", "stretch", "clause", "needed").agg(F.count("*").alias("held"))
+    held = met.filter("held = needed").groupBy("id", "kind", "stretches").agg(F.count_distinct("stretch").alias("held"))
+    return held.filter("held = stretches").groupBy("id").agg(F.collect_set("kind").alias("kinds"))
 
 
 def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
@@ -119,28 +125,28 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
 
 
 def secret_spans(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: tuple[Rule, ...] = RULES
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: tuple[Rule, ...] = RULES, to: str = "spans"
 ) -> DataFrame:
-    """``docs`` with a column ``spans``: array of ``(start, order, end, kind)`` sorted by start.
+    """``docs`` with a column ``to``: array of ``(start, order, end, kind)`` sorted by start.
 
     Rules with mandatory trigrams are only run over texts that the index admits; the others
     scan every text. Offsets count code points, ends are exclusive. Null text counts as
     empty and has no spans; rows may repeat an id or have none, since the index only admits
-    and every row is verified by itself. A column named ``spans`` is replaced.
+    and every row is verified by itself. A column named as ``to`` is replaced, no other.
     """
     index = materialized(postings(docs, rules, id_column, text_column), "postings")
-    kinds = unused_name(docs, "_kinds")
-    admitted = candidates(index, rules).select(F.col("id").alias("_admitted"), F.col("kinds").alias(kinds))
-    rows = docs.join(admitted, docs[id_column].eqNullSafe(F.col("_admitted")), "left").drop("_admitted")
+    kinds, own = unused_name(docs, "_kinds"), unused_name(docs, "_admitted")
+    admitted = candidates(index, rules).select(F.col("id").alias(own), F.col("kinds").alias(kinds))
+    rows = docs.join(admitted, docs[id_column].eqNullSafe(F.col(own)), "left").drop(own)
     text, none = filled(F.col(text_column)), F.array().cast("array<struct<start:long,order:int,end:long,kind:string>>")
     found = []
     for order, rule in enumerate(rules):
-        if clauses(rule.pattern) is None:
+        if not conjunction(rule.pattern):
             run = F.rlike(text, F.lit(long_form(rule)))
         else:
             run = F.coalesce(F.array_contains(kinds, rule.kind), F.lit(False))
         found.append(F.when(run, rule_spans(text, rule, order)).otherwise(none))
-    return rows.withColumn("spans", F.array_sort(F.concat(*found))).drop(kinds)
+    return rows.withColumn(to, F.array_sort(F.concat(*found))).drop(kinds)
 
 
 def written(spans: Column) -> Column:
@@ -160,11 +166,15 @@ def scan_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by ``mark``; touching spans share one."""
-    found = secret_spans(docs, **options)
+    """``docs`` with every secret in ``text`` replaced by ``mark``; touching spans share one.
+
+    All other columns stay as they are, whatever their names; null text stays null.
+    """
+    spans = unused_name(docs, "_spans")
+    found = secret_spans(docs, to=spans, **options)
     length = F.length("text").cast("long")
-    past = running(F.transform("spans", lambda s: s["end"]), lambda a, b: F.greatest(a, b))
-    starts = F.transform("spans", lambda s: s["start"])
+    past = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    starts = F.transform(spans, lambda s: s["start"])
 
     def between(a: Column, b: Column) -> Column:
         piece = F.substr(F.col("text"), (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
@@ -172,4 +182,4 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
 
     pieces = F.zip_with(F.concat(F.array(F.lit(0).cast("long")), past), F.concat(starts, F.array(length)), between)
     clean = F.array_join(F.array_compact(pieces), mark)
-    return found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))).drop("spans")
+    return found.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(F.col("text"))).drop(spans)

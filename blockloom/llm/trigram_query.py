@@ -13,8 +13,30 @@ def trigrams(text: str) -> frozenset[str]:
     return frozenset(text[i : i + 3] for i in range(len(text) - 2))
 
 
+def conjunction(pattern: str) -> list[list[frozenset[str]]]:
+    """For every mandatory stretch of ``pattern`` its trigram sets, one of which is inside each
+    match, in lower case; a match satisfies all stretches.
+
+    Empty if the pattern has no mandatory trigram. A stretch that another one implies, because
+    each of its sets is within one of the other's, is left out.
+    """
+    stretches = _Stretches()
+    stretches.walk(parser.parse(pattern))
+    stretches.close()
+    out: list[list[frozenset[str]]] = []
+    for strings in stretches.found:
+        if min(map(len, strings)) < 3:
+            continue
+        sets = {trigrams(text) for text in strings}
+        least = sorted((s for s in sets if not any(other < s for other in sets)), key=sorted)
+        if least not in out:
+            out.append(least)
+    implied = [a for a in out if any(b is not a and all(any(s <= t for s in a) for t in b) for b in out)]
+    return [a for a in out if a not in implied]
+
+
 def clauses(pattern: str) -> list[frozenset[str]] | None:
-    """Trigram sets, one of which is wholly inside every match, in lower case.
+    """The stretch of ``conjunction`` with the longest strings: the most selective one alone.
 
     None if the pattern has no mandatory trigram: its matches can only be found by a scan.
     Stretches of literal characters are followed through groups, alternatives and single
@@ -89,6 +111,5 @@ def _strings(items) -> set[str] | None:
 
 def matches_somewhere(pattern: str, text: str) -> bool:
     """Whether the query of ``pattern`` admits ``text``; a pattern without one admits all."""
-    wanted = clauses(pattern)
     have = trigrams(re.sub("[A-Z]+", lambda m: m[0].lower(), text))
-    return wanted is None or any(clause <= have for clause in wanted)
+    return all(any(clause <= have for clause in stretch) for stretch in conjunction(pattern))
