@@ -11,31 +11,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm.min_cut import Cut
-from blockloom.llm.page_blocks import Block, blocks_of, free_wrappers
+from blockloom.llm.page_blocks import Block, Place, blocks_of, free_wrappers, places_of
+from blockloom.llm.tables import unused_name
 
 UNIT = 1000  # capacities are whole thousandths
 
 
 @dataclass(frozen=True)
 class Weights:
-    """Log odds that a block is content, and the smoothness of neighbouring labels."""
+    """Log odds that a block is content, and the smoothness of neighbouring labels.
 
-    base: float = 0.0
-    words: float = 0.6  # times the logarithm of one more than the words
+    What a block says and where it stands among the page's words decides; names are one weak
+    sign among others. Smoothness is of the size of the odds, so a short paragraph among
+    long ones takes their label.
+    """
+
+    words: float = 0.8  # times the logarithm of one more than the words
+    usual: float = -0.9  # times that of the page's usual block, the mean over its running words
+    least: float = -3.6  # of the latter
     linked: float = -4.0  # times the share of words inside links
-    article: float = 4.0  # inside the page's largest article
+    share: float = 3.0  # times the share of the page's running words around the block
+    strange: float = -4.0  # times how little of the main box the block's own layout box holds
+    outside: float = -1.5  # outside an article that has most running words
     heading: float = 0.5
-    apart: float = -12.0  # menus, footers, sidebars, notices, adverts, forms, comments
-    header: float = -8.0  # headers outside articles
-    adjacent: float = 0.8  # blocks that follow each other
-    proximity: float = 1.2  # blocks with a near common ancestor
+    kind: float = -8.0  # hidden, or inside a menu, footer, aside, form by tag or role
+    name: float = -3.0  # inside an element whose class or id says so
+    header: float = -5.0  # headers outside articles
+    adjacent: float = 1.5  # blocks that follow each other
+    proximity: float = 3.0  # blocks with a near common ancestor
 
 
-def content_odds(block: Block, words: int, largest: int | None, weights: Weights) -> float:
-    odds = weights.base + weights.words * math.log1p(words) + weights.linked * min(1.0, block.linked / max(words, 1))
-    inside = block.article is not None and block.article == largest
-    odds += weights.article * inside + weights.heading * block.heading + weights.apart * block.apart
-    return odds + weights.header * (block.header and not inside)
+def content_odds(block: Block, place: Place, weights: Weights) -> float:
+    odds = max(weights.least, weights.usual * math.log1p(place.usual)) + weights.words * math.log1p(place.words)
+    odds += weights.linked * min(1.0, block.linked / max(place.words, 1))
+    odds += weights.share * place.share + weights.strange * place.strange + weights.heading * block.heading
+    odds += weights.outside * place.outside
+    if block.apart:
+        odds += weights.kind if block.apart_by_kind else weights.name
+    return odds + weights.header * (block.header and not place.article)
 
 
 def _costs(odds: float) -> tuple[int, int]:
@@ -54,38 +67,36 @@ def _distance(one: tuple[int, ...], two: tuple[int, ...]) -> int:
     return len(one) + len(two) - 2 * common
 
 
-def label_blocks(blocks: list[Block], texts: list[str], weights: Weights) -> list[bool]:
-    """Whether each block is content, by the cheapest labelling of the whole page.
+def label_blocks(blocks: list[Block], texts: list[str], weights: Weights) -> tuple[list[bool], list[bool]]:
+    """Whether each block is content, by the cheapest labelling of the whole page, and
+    whether its own odds alone would have said so.
 
     Neighbours in the text are joined, and every block with the one before it under the
-    same parent, the more strongly the nearer they are in the document tree.
+    same parent; each step more between them in the document tree halves the strength.
     """
     words = [len(text.split()) for text in texts]
     free_wrappers(blocks, words)
-    sizes: dict[int, int] = {}
-    for block, n in zip(blocks, words):
-        if block.article is not None and not block.apart:
-            sizes[block.article] = sizes.get(block.article, 0) + n
-    largest = max(sizes, key=lambda article: (sizes[article], -article), default=None)
-    graph, sibling = Cut(len(blocks)), {}
-    for i, (block, n) in enumerate(zip(blocks, words)):
-        graph.terminals(i, *_costs(content_odds(block, n, largest, weights)))
+    graph, sibling, alone = Cut(len(blocks)), {}, []
+    for i, (block, place) in enumerate(zip(blocks, places_of(blocks, words))):
+        odds = content_odds(block, place, weights)
+        alone.append(odds > 0)
+        graph.terminals(i, *_costs(odds))
         joined = {i - 1: weights.adjacent} if i else {}
         parent = block.path[:-1]
         if parent in sibling:
             joined[sibling[parent]] = joined.get(sibling[parent], 0.0) + weights.proximity
         for other, weight in joined.items():
-            room = round(UNIT * weight / (1 + _distance(block.path, blocks[other].path)))
+            room = round(UNIT * weight / 3 * 2.0 ** (2 - _distance(block.path, blocks[other].path)))
             graph.edge(i, other, room, room)
         sibling[parent] = i
-    return graph.source_side()
+    return graph.source_side(), alone
 
 
 def main_text(html: str | None, weights: Weights = Weights()) -> tuple[str, int, int]:
     """Main text, number of blocks and number of content blocks of one page."""
     blocks = blocks_of(html)
     texts = [" ".join("".join(block.text).split()) for block in blocks]
-    labels = label_blocks(blocks, texts, weights)
+    labels, _ = label_blocks(blocks, texts, weights)
     kept = [text for text, content in zip(texts, labels) if content and text]
     return " ".join(kept), len(blocks), len(kept)
 
@@ -104,6 +115,7 @@ def extract_pages(pages: DataFrame, html_column: str = "html", weights: Weights
         for batch in batches:
             yield pd.DataFrame([main_text(html, weights) for html in batch], columns=["text", "n_blocks", "n_content_blocks"])
 
-    found = pages.withColumn("_extracted", extract(F.col(html_column)))
-    text = F.col("_extracted.text")
-    return found.select(*kept, text, F.length(text).cast("long").alias("n_chars"), "_extracted.n_blocks", "_extracted.n_content_blocks")
+    own = unused_name(pages, "_extracted")
+    found = pages.withColumn(own, extract(F.col(html_column)))
+    text = F.col(f"{own}.text")
+    return found.select(*kept, text, F.length(text).cast("long").alias("n_chars"), f"{own}.n_blocks", f"{own}.n_content_blocks")

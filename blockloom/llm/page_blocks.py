@@ -29,6 +29,8 @@ APART_NAMES = frozenset(
 HEADER_NAMES = frozenset(("header", "head", "top"))
 #: What follows one of these in a name tells how a page is laid out: ``no-sidebar``, ``has-widgets``.
 LAYOUT_PARTS = frozenset(("no", "has", "with", "without"))
+DOUBT = 0.3  # of a running word
+MAIN = 0.6  # share of the running words from which a box is the main one
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -45,6 +47,7 @@ class Element:
 @dataclass
 class Block:
     path: tuple[int, ...]
+    tags: tuple[str, ...]  # of the elements in the path
     marked: tuple[Element, ...]  # apart or header, outermost first
     article: int | None
     heading: bool
@@ -56,6 +59,11 @@ class Block:
     def apart(self) -> bool:
         return any(e.apart for e in self.marked)
 
+    @property
+    def apart_by_kind(self) -> bool:
+        """Hidden, or inside an element whose tag or role is that of a menu, footer or the like."""
+        return any(e.apart and not e.by_name for e in self.marked)
+
     @property
     def header(self) -> bool:
         return any(e.header and e.tag not in INLINE for e in self.marked)
@@ -121,7 +129,8 @@ class Blocks(HTMLParser):
         boxes = [e for e in self.stack if e.tag not in INLINE]
         article = next((e for e in boxes if e.tag in ("article", "main")), None)
         heads = any(e.tag in ("h1", "h2", "h3", "h4", "h5", "h6") for e in boxes[-1:])
-        return Block(tuple(e.number for e in boxes), tuple(e for e in self.stack if e.apart or e.header), article and article.number, heads, bool(article) and article.tag == "main")
+        numbers, tags = tuple(e.number for e in boxes), tuple(e.tag for e in boxes)
+        return Block(numbers, tags, tuple(e for e in self.stack if e.apart or e.header), article and article.number, heads, bool(article) and article.tag == "main")
 
     def _judge(self, element: Element, attrs: dict) -> None:
         names = set()
@@ -204,3 +213,67 @@ def free_wrappers(blocks: list[Block], words: list[int]) -> None:
                 if not marks[i]:
                     plain += running[i]
                     plain_articles[blocks[i].article] += running[i]
+
+
+#: Elements that lay out a page; others in a block's path are part of a running text.
+LAYOUT = frozenset("div section aside center table td form header footer".split())
+
+
+@dataclass
+class Place:
+    """Where a block stands among the running words of its page, whatever its names are."""
+
+    words: int
+    usual: float  # words of the block in which a running word of the page stands, on average
+    share: float  # of the page's running words in the fullest box around the block
+    strange: float  # share of the main box's words that are not in the block's own layout box
+    article: bool  # inside the largest article
+    outside: bool  # outside an article that has most running words
+
+
+def places_of(blocks: list[Block], words: list[int]) -> list[Place]:
+    """The place of every block.
+
+    The main box is the deepest element of several blocks that holds ``MAIN`` of the page's
+    running words: those outside links and outside elements of a kind that is no text; words
+    in elements that are none by their names count for ``DOUBT``. A block inside it has its share; another has that of the largest box around it that does
+    not hold the main box. A layout element inside the main box with few of its words, such
+    as an advert between two paragraphs, is strange there.
+    """
+    counts = [0 if b.apart_by_kind else DOUBT if b.apart or b.header else 1 for b in blocks]
+    running = [count * (n - min(n, b.linked)) for count, b, n in zip(counts, blocks, words)]
+    total = max(1, sum(running))
+    usual = sum(n * n for n in running) / total
+    inside: dict[int, float] = {}
+    several: Counter = Counter()
+    articles: Counter = Counter()
+    for block, n, size in zip(blocks, running, words):
+        for number in block.path:
+            inside[number] = inside.get(number, 0) + n
+            several[number] += 1
+        if block.article is not None and not block.apart:
+            articles[block.article] += size
+    largest = max(articles, key=lambda a: (articles[a], -a), default=None)
+    full = [b for b in blocks if any(several[e] > 1 and inside[e] >= MAIN * total for e in b.path)]
+    main = max((e for b in full for e in b.path if several[e] > 1 and inside[e] >= MAIN * total), default=None)
+    out = []
+    for block, n, size in zip(blocks, running, words):
+        strange = 0.0
+        if main is None or main in block.path:
+            share = 1.0 if main is None else inside[main] / total
+            below = block.path[block.path.index(main) + 1 :] if main is not None else ()
+            tags = block.tags[len(block.path) - len(below) :]
+            boxes = [inside[e] for e, tag in zip(below, tags) if tag in LAYOUT]
+            if boxes:
+                strange = 1 - boxes[0] / max(1, inside[main])
+        else:
+            share = max([inside[e] for e in block.path if several[e] > 1 and several[e] < len(blocks) and not _holds(e, main, blocks)], default=n) / total
+        in_article = block.article is not None and block.article == largest
+        outside = largest is not None and not in_article and 2 * inside.get(largest, 0) > total
+        out.append(Place(size, usual, share, strange, in_article, outside))
+    return out
+
+
+def _holds(element: int, other: int, blocks: list[Block]) -> bool:
+    """Whether ``element`` stands above ``other``; numbers rise from the outside in."""
+    return element < other and any(element in b.path and other in b.path for b in blocks)
