@@ -29,7 +29,6 @@ def learn_dictionaries(
     labelled: DataFrame,
     lang_column: str = "lang",
     text_column: str = "text",
-    order_column: str = "doc_id",
     sample_docs: int = 256,
     sample_bytes: int = 4096,
     dictionary_bytes: int = 131072,
@@ -45,7 +44,6 @@ def learn_dictionaries(
     takes for another language is left out as mislabelled, unless that half has less than
     ``BLOCK_BYTES`` of the text's own language to judge by. Rows without language or letters,
     and languages with fewer than the 8 bytes of letters a dictionary needs, teach nothing.
-    ``order_column`` is not used; copies would differ in it.
     """
     rows = labelled.select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("at"))
     rows = rows.filter("lang IS NOT NULL").filter(F.col("text").rlike(r"\p{L}"))

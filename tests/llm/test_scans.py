@@ -6,16 +6,19 @@ import random
 import re
 
 import pandas as pd
-from llm_rows import SF_DIR, no_docs, odd_docs, odd_rows  # noqa: F401
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from llm_rows import SF_DIR, no_docs, odd_docs, odd_rows  # noqa: F401
+from pyspark.sql import functions as F
 
 from blockloom.llm import language_id
-from blockloom.llm.html_extract import extract_pages, main_text
+from blockloom.llm.html_extract import Weights, extract_pages, label_blocks, main_text
 from blockloom.llm.min_cut import Cut
+from blockloom.llm.page_blocks import blocks_of
 from blockloom.llm.queries import QUERIES
 from blockloom.llm.secret_scan import BASE_RULES, RULES, redacted, scan_report, secret_spans
-from blockloom.llm.trigram_query import clauses, matches_somewhere
+from blockloom.llm.trigram_query import clauses, conjunction, matches_somewhere
 
 
 def spans_brute(text):
@@ -78,6 +81,20 @@ def test_scan_keeps_columns_and_empty_tables(odd_docs, no_docs):
     assert scan_report(no_docs).count() == 0
 
 
+def test_columns_of_the_names_used_inside_stay(odd_docs):
+    docs = odd_docs.withColumns({"_admitted": F.lit(1), "_kinds": F.lit("k"), "spans": F.lit("mine")})
+    clean = redacted(docs)
+    assert clean.columns == docs.columns and clean.filter("spans = 'mine' AND _admitted = 1 AND _kinds = 'k'").count() == odd_docs.count()
+    assert secret_spans(docs, to="found").columns == [*docs.columns, "found"]
+
+
+def test_all_mandatory_stretches_are_asked_for():
+    private = conjunction(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+    assert len(private) == 2 and {"beg"} < {g for clause in private[0] for g in clause} and {"key"} < {g for clause in private[1] for g in clause}
+    assert not matches_somewhere("abc.*def", "abc x") and matches_somewhere("abc.*def", "abc def") and matches_somewhere("abc.*def", "def abc")
+    assert conjunction("[0-9a-f]+") == [] and conjunction("abc.*abcd") == [[frozenset({"abc", "bcd"})]]
+
+
 def test_rules_have_queries():
     assert clauses(RULES[2].pattern) is None
     assert all(clauses(rule.pattern) for rule in RULES if rule.kind != "hex")
@@ -104,6 +121,29 @@ def test_language_of_held_out_documents(spark):
     assert found["score"].between(0, 1).all()
 
 
+def test_predictions_equal_plain_compression(spark):
+    """Every text by one plain call per language and block of letters."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    known = language_id.learn_from_documents(docs)
+    got = {r.doc_id: (r.lang_pred, r.score, r.lang_rejected) for r in QUERIES["op2_language_id"](spark, SF_DIR).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for row in rows:
+        letters = " ".join(re.findall(r"[^\W\d_]+", (row.text or "").lower())).encode()
+        if not letters:
+            assert got[row.doc_id] == ("und", 0.0, True)
+            continue
+        sizes = []
+        for lang, content in known.items():
+            raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            blocks = [letters[at : at + 4096] for at in range(0, len(letters), 4096)]
+            plain = [zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False, write_dict_id=False).compress(b) for b in blocks]
+            sizes.append((sum(map(len, plain)), lang))
+        (best, lang), (second, _), *_ = sorted(sizes)
+        pred, score, rejected = got[row.doc_id]
+        assert (pred, rejected) == (lang, score < 0.004) and abs(score - (second - best) / second) < 1e-12
+
+
 def test_language_ignores_labels_of_what_it_predicts(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text", "lang")
     blind = docs.selectExpr("doc_id", "text", "CASE WHEN crc32(CAST(doc_id AS STRING)) % 3 = 1 THEN 'xx' ELSE lang END AS lang")
@@ -207,11 +247,53 @@ def test_a_long_discussion_stays_apart():
     assert main_text(page)[0] == ("The story goes on and on. " * 30).strip()
 
 
+def given_pages(spark, folder):
+    import html as references
+
+    for html in (r.html for r in spark.read.parquet(f"{folder}/pages.parquet").select("html").collect()):
+        article = re.search(r"<article>(.*)</article>", html, re.S)[1]
+        parts = [re.sub(r"</?b>", "", part) for part in re.split(r"</?(?:p|h1|br)>", article)]
+        yield html, " ".join(filter(None, (" ".join(references.unescape(part).split()) for part in parts)))
+
+
+def test_pages_whose_names_and_article_say_nothing(spark):
+    """Given pages without telling names and tags: an advert and readers' comments are still left out."""
+    nameless = {"<article>": '<div class="q1">', "</article>": '</div><div class="zz9"><p>I liked this story, thank you.</p><p>Me too!</p></div>'}
+    nameless |= {'class="ad"': 'class="x1a"'}
+    wrong, large = 0, 0
+    for html, want in given_pages(spark, SF_DIR):
+        for old, new in nameless.items():
+            html = html.replace(old, new)
+        if len(want.split()) >= 80:
+            large += 1
+            wrong += main_text(html)[0] != want
+    assert large > 20 and wrong == 0
+
+
+def test_the_cut_decides(spark):
+    """Short paragraphs are content through their neighbours, not by their own odds."""
+    changed = total = alone_wrong = wrong = 0
+    for html, want in given_pages(spark, "/root/testdata/sf0.01"):
+        blocks = blocks_of(html)
+        texts = [" ".join("".join(block.text).split()) for block in blocks]
+        labels, alone = label_blocks(blocks, texts, Weights())
+        changed += sum(a != b for a, b in zip(labels, alone))
+        total += len(labels)
+        wrong += " ".join(t for t, content in zip(texts, labels) if content and t) != want
+        alone_wrong += " ".join(t for t, content in zip(texts, alone) if content and t) != want
+    assert wrong == 0 and alone_wrong > 10 and 0.005 < changed / total < 0.1
+    apart = "<body><div><p>" + "A paragraph of the story that goes on. " * 9 + "</p><p>Yes.</p><p>" + "And on and on. " * 12
+    text = main_text(apart + "</p></div><div><p>Yes.</p></div><div><p>Buy now.</p></div></body>")[0]
+    assert text.count("Yes.") == 1 and "Buy" not in text
+
+
 def test_main_text_of_odd_pages(spark):
     odd = [None, "", "<", "<p>a<p>b<script>x</script", "<" * 500, "plain words only", "<div>" * 2000 + "deep words"]
     assert [main_text(html)[0] for html in odd] == ["", "", "<", "a b", "<" * 500, "plain words only", "deep words"]
     schema = "page_id long, url string, html string, text string, n_blocks string"
     pages = spark.createDataFrame([(k, None, html, "old", "old") for k, html in enumerate(odd)] + [(0, "u", None, "", "")], schema)
+    clashing = extract_pages(pages.withColumn("_extracted", F.lit(7)))
+    assert clashing.filter("_extracted = 7").count() == len(odd) + 1
     rows = extract_pages(pages).collect()
     assert len(rows) == len(odd) + 1 and all(r.n_chars == len(r.text) for r in rows)
     assert extract_pages(pages.limit(0)).count() == 0
