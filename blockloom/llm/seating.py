@@ -8,9 +8,10 @@ import numpy as np
 
 EXACT_CUSTOMERS = 4096  # up to here Stirling numbers come from their recursion, beyond from closed forms
 MATRIX = 1 << 21
-TERMS = 120  # of the series; beyond, its terms are under 1e-16 of the largest
+TERMS = 40  # of the series, and so many more as its largest one is late
 DIGITS = 19.0  # natural logarithm of the cancellation that the series may have
-GRID = 400
+FIRST = 160  # numbers of tables that are tried first
+GRID = 200
 WINDOW = 20_000  # numbers of tables that are looked at one by one
 FAR = 40.0  # natural logarithm under the top from which a number of tables is out of reach
 
@@ -42,6 +43,16 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
+_LOG_FACTORIALS = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, 1 << 16)))))
+
+
+def log_factorial(x: np.ndarray) -> np.ndarray:
+    """Logarithms of factorials of whole numbers that are not negative."""
+    x = x.astype(np.int64)
+    small = _LOG_FACTORIALS[np.minimum(x, len(_LOG_FACTORIALS) - 1)]
+    return small if not len(x) or x.max() < len(_LOG_FACTORIALS) else np.where(x < len(_LOG_FACTORIALS), small, log_gamma(x + 1.0))
+
+
 def log_stirling(n: int, tables: np.ndarray, discount: float) -> np.ndarray:
     """Logarithms of generalised Stirling numbers of many customers, for any numbers of tables.
 
@@ -77,18 +88,18 @@ def _last_by_sum(n: int, discount: float, power: float, decay: float) -> int:
 def _by_series(n: int, t: np.ndarray, discount: float) -> np.ndarray:
     if not len(t):
         return t
-    j = np.arange(1, TERMS + 1, dtype=np.float64)
+    largest = (t.max() / n**discount * discount**discount) ** (1 / (1 - discount))
+    j = np.arange(1, min(TERMS + int(4 * largest), int(t.max())) + 1, dtype=np.float64)
     j = j[discount * j < n]
     sign = np.where(j % 2 == 1, 1.0, -1.0) * np.sin(np.pi * discount * j)
-    size = log_gamma(1 + discount * j) + log_gamma(n - discount * j) - math.log(math.pi) - log_gamma(np.array([n + 1.0]))
-    size = size - log_gamma(j + 1)
-    more = t[:, None] - j[None, :]
-    ways = np.where(more >= 0, log_gamma(t + 1)[:, None] - log_gamma(np.maximum(more, 0) + 1), -np.inf)
+    size = log_gamma(1 + discount * j) + log_gamma(n - discount * j) - math.log(math.pi) - math.lgamma(n + 1) - log_factorial(j)
+    more = (t[:, None] - j[None, :]).astype(np.int64)
+    ways = np.where(more >= 0, log_factorial(t)[:, None] - log_factorial(np.maximum(more, 0)), -np.inf)
     terms = size[None, :] + ways
     top = terms.max(axis=1)
     total = (sign[None, :] * np.exp(terms - top[:, None])).sum(axis=1)
     coefficient = np.log(np.maximum(total, 1e-300)) + top
-    return coefficient + log_gamma(np.array([n + 1.0])) - log_gamma(t + 1) - t * math.log(discount)
+    return coefficient + math.lgamma(n + 1) - log_factorial(t) - t * math.log(discount)
 
 
 def _by_saddle(n: int, t: np.ndarray, discount: float) -> np.ndarray:
@@ -106,20 +117,26 @@ def _by_saddle(n: int, t: np.ndarray, discount: float) -> np.ndarray:
     second = z * z * d * (1 - d) * y ** (d - 2) / f
     spread = t * (first + second - first * first)
     coefficient = t * np.log(f) - n * np.log(z) - 0.5 * np.log(2 * np.pi * np.maximum(spread, 1e-300))
-    return coefficient + log_gamma(np.array([n + 1.0])) - log_gamma(t + 1) - t * math.log(d)
+    return coefficient + math.lgamma(n + 1) - log_factorial(t) - t * math.log(d)
 
 
 def table_chances(customers: int, weight: float, rest: float, discount: float, strength: float) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of tables of a dish with many customers, and their probabilities.
 
-    The law is that of ``draw_tables``. A grid finds where it lies; there every number counts,
-    or, if these are too many, evenly spaced ones that stand for their neighbours.
+    The law is that of ``draw_tables``. If it does not lie among the first ``FIRST`` numbers, a
+    grid finds where it does; there every number counts, or, if these are too many, evenly
+    spaced ones that stand for their neighbours.
     """
 
     def logs(t: np.ndarray) -> np.ndarray:
         grow = log_gamma(strength / discount + rest + t) + t * math.log(discount) + t * math.log(weight)
         return log_stirling(customers, t, discount) + grow
 
+    spots = np.arange(1, FIRST + 1)
+    values = logs(spots)
+    if values[-1] < values.max() - FAR:  # the rest is out of reach, as of most dishes
+        chance = np.exp(values - values.max())
+        return spots, chance / chance.sum()
     grid = np.unique(np.geomspace(1, customers, GRID).astype(np.int64))
     values = logs(grid)
     near = np.flatnonzero(values > values.max() - FAR)
