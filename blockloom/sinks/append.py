@@ -24,6 +24,7 @@ BATCH_COLUMN = "batch_id"
 BUCKET_BITS = 6
 TAIL_BATCHES = 32  # batches whose hashes lie beside the sorted base before they are merged into it
 MANY_BATCHES = 500
+FEW_KEYS = 1_000_000  # hashes of 8 bytes: 8 MB
 KEY_SCHEMA = "_key_hash bigint, _batch string"
 
 
@@ -96,14 +97,15 @@ class KeyIndex:
 
     def _write_base(self, rows: DataFrame, generation: int) -> None:
         """Sorted by hash and split by ranges, so that a bucket's files and row groups do not overlap."""
-        rows = rows.withColumn("bucket", hash_bucket(F.col("_key_hash"))).repartitionByRange("_key_hash").sortWithinPartitions("_key_hash")
+        rows = rows.withColumn("bucket", hash_bucket(F.col("_key_hash")))
+        rows = rows.repartitionByRange("_key_hash").sortWithinPartitions("_key_hash")
         rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/gen={generation}/base")
 
     def prepare(self) -> int:
         """The generation to append to. Merges a long tail; indexes a table that has no index."""
         generation = self._generation()
         if generation is None:
-            rows = self.spark.createDataFrame([], KEY_SCHEMA)
+            rows = self.spark.createDataFrame([], KEY_SCHEMA).coalesce(1)
             if [name for name in child_names(self.spark, self.target) if name.startswith(f"{BATCH_COLUMN}=")]:
                 stored = self.spark.read.parquet(self.target)
                 rows = stored.select(key_hash(self.keys).alias("_key_hash"), F.col(BATCH_COLUMN).cast("string").alias("_batch"))
@@ -114,17 +116,23 @@ class KeyIndex:
         self._write_base(self._read(generation, None), generation + 1)
         return generation + 1
 
-    def lookup(self, hashes: DataFrame, buckets: Sequence[int], low: int, high: int, generation: int, batch_id: str) -> DataFrame:
-        """``_hash, _batch`` of index rows whose hash is among ``hashes``, but those of the batch itself.
+    def lookup(
+        self, hashes: DataFrame, buckets: Sequence[int], low: int, high: int, generation: int, batch_id: str, count: int | None = None
+    ) -> DataFrame:
+        """``_key_hash, _batch`` of index rows whose hash is among ``hashes``, but those of the batch itself.
 
-        ``buckets`` and the range ``low .. high`` must cover ``hashes``.
+        ``buckets`` and the range ``low .. high`` must cover ``hashes``, of which there are ``count``.
         """
         rows = self._read(generation, batch_id, buckets).filter(F.col("_key_hash").between(F.lit(low), F.lit(high)))
-        wanted = F.broadcast(hashes) if is_bounded(hashes, 1_000_000) else hashes
+        small = count <= FEW_KEYS if count is not None else is_bounded(hashes, FEW_KEYS)
+        wanted = F.broadcast(hashes) if small else hashes
         return rows.filter(F.col("_batch") != batch_id).join(wanted, "_key_hash", "left_semi")
 
-    def add(self, keys: DataFrame, generation: int, batch_id: str) -> None:
-        rows = keys.select("_key_hash", F.lit(batch_id).alias("_batch")).repartitionByRange("_key_hash").sortWithinPartitions("_key_hash")
+    def add(self, keys: DataFrame, generation: int, batch_id: str, count: int) -> None:
+        """Hashes of at most ``count`` keys, sorted; many are split by ranges."""
+        rows = keys.select("_key_hash", F.lit(batch_id).alias("_batch"))
+        rows = rows.coalesce(1) if count <= FEW_KEYS else rows.repartitionByRange("_key_hash")
+        rows = rows.sortWithinPartitions("_key_hash")
         rows.write.mode("overwrite").parquet(f"{self.path}/gen={generation}/tail/batch={batch_id}")
 
 
@@ -160,10 +168,12 @@ def append_dedupe(
     first = first_rows(batch, keys, list(order_by))
     first = materialized(first.withColumn("_key_hash", key_hash(keys)), "append")
     bounds = [] if range_column is None else [F.min(range_column).alias("_from"), F.max(range_column).alias("_to")]
-    seen = first.agg(F.min("_key_hash").alias("low"), F.max("_key_hash").alias("high"), F.collect_set(hash_bucket(F.col("_key_hash"))).alias("buckets"), *bounds).first()
+    own = F.col("_key_hash")
+    ends = [F.count("*").alias("keys"), F.min(own).alias("low"), F.max(own).alias("high")]
+    seen = first.agg(*ends, F.collect_set(hash_bucket(own)).alias("buckets"), *bounds).first()
     fresh = first
     if seen.buckets:
-        found = index.lookup(first.select("_key_hash"), seen.buckets, seen.low, seen.high, generation, batch_id)
+        found = index.lookup(first.select("_key_hash"), seen.buckets, seen.low, seen.high, generation, batch_id, seen[0])
         # Names of batches that may hold a key; too many of them are not worth a predicate.
         batches = [row[0] for row in found.select("_batch").distinct().limit(MANY_BATCHES + 1).collect()]
         if batches:
@@ -174,5 +184,5 @@ def append_dedupe(
             probe = F.broadcast(probe) if is_bounded(probe) else probe
             taken = existing.select(*keys).join(probe, keys, "left_semi")
             fresh = materialized(first.join(taken, keys, "left_anti"), "fresh")
-    index.add(fresh, generation, batch_id)
+    index.add(fresh, generation, batch_id, seen[0])
     append_batch(fresh.drop("_key_hash"), target_path, batch_id)

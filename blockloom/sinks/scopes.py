@@ -25,7 +25,7 @@ import re
 import uuid
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -298,10 +298,7 @@ def extend_scopes(
     """
     spark, names = df.sparkSession, list(cuts)
     _check_names(names)
-    known = {}
-    if path_exists(spark, f"{table}/commits") and names:
-        rows = current_scopes(spark, table).filter(F.col("scope").isin(*names))
-        known = {row.scope: row for row in rows.select("scope", "row_count", "depth", "high").collect()}
+    known = scope_states(spark, table, names)
     full = [name for name in names if name in known and known[name].depth + 1 >= merge_depth]
     met = [n for n in names if n in known and known[n].row_count and (known[n].high is None or known[n].high >= cuts[n])]
     dropped = {}
@@ -333,6 +330,15 @@ def extend_scopes(
     return _commit(df, table, location, frame, commit_id, config_hash)
 
 
+def scope_states(spark: SparkSession, table: str, names: Iterable[str]) -> dict[str, Row]:
+    """``row_count, depth, high`` of the named scopes that have a pointer."""
+    names = list(names)
+    if not names or not path_exists(spark, f"{table}/commits"):
+        return {}
+    rows = current_scopes(spark, table).filter(F.col("scope").isin(*names))
+    return {row.scope: row for row in rows.select("scope", "row_count", "depth", "high").collect()}
+
+
 def _over_cuts(
     spark: SparkSession, table: str, cuts: Mapping[str, int], cut_column: str, scope_column: str
 ) -> DataFrame | None:
@@ -356,13 +362,6 @@ def replace_scope(df: DataFrame, table: str, scope: str, config_hash: str | None
     return replace_scopes(tagged, table, scopes=only, config_hash=config_hash, **options)
 
 
-def _current_schema(spark: SparkSession, table: str, as_of: int | None = None) -> T.StructType:
-    newest = recent_log(spark, table, as_of).agg(F.max_by("schema_hash", "seq")).first()[0]
-    if newest is None:
-        raise FileNotFoundError(f"no commit in {table}")
-    return _stored_schema(spark, table, newest)
-
-
 def read_committed(
     spark: SparkSession, table: str, scopes: Iterable[str] | None = None, as_of: int | None = None
 ) -> DataFrame:
@@ -375,9 +374,18 @@ def read_committed(
     """
     pieces = live_pieces(spark, table, as_of)
     if scopes is not None:
-        pieces = pieces.filter(F.col("scope").isin(*scopes)) if scopes else pieces.limit(0)
-    schema = _current_schema(spark, table)
-    pinned = pieces.collect()
+        names = list(scopes)
+        pieces = pieces.filter(F.col("scope").isin(*names)) if names else pieces.limit(0)
+    # The newest schema comes with the pieces, as a row without a scope.
+    none = F.lit(None)
+    newest = recent_log(spark, table, as_of).agg(F.max_by("schema_hash", "seq").alias("location")).select(
+        none.cast("string").alias("scope"), "location", none.cast("string").alias("cut_column"), none.cast("bigint").alias("below")
+    )
+    found = pieces.unionByName(newest).collect()
+    pinned, name = [row for row in found if row.scope is not None], next(row.location for row in found if row.scope is None)
+    if name is None:
+        raise FileNotFoundError(f"no commit in {table}")
+    schema = _stored_schema(spark, table, name)
     if not pinned:
         return spark.createDataFrame([], schema)
     paths = [f"{row.location}/scope={row.scope}" for row in pinned]

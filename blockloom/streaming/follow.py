@@ -13,7 +13,7 @@ from blockloom.operators.windows import first_rows, reorg_invalidations
 from blockloom.session import materialized
 from blockloom.sinks.append import append_batch, append_dedupe, path_exists
 from blockloom.sinks.compact import scope_block_range
-from blockloom.sinks.scopes import current_scopes, extend_scopes, is_committed, read_committed
+from blockloom.sinks.scopes import current_scopes, extend_scopes, is_committed, read_committed, scope_states
 from blockloom.sources.unify import hot_cold_union
 from blockloom.streaming.jobs import start_batches
 
@@ -27,21 +27,20 @@ def hot_scope(scope_size: int) -> Column:
     return F.concat(*text)
 
 
-def _stored_tips(spark, hot_table: str) -> DataFrame:
-    """``chain_id, old_tip``: the highest stored block per chain, from the pointers.
+def _stored_tips(spark, hot_table: str) -> dict[int, int]:
+    """Highest stored block per chain, from the pointers; one row per chain.
 
     Only a last scope whose pointer does not know it is read.
     """
     chain, first, _ = scope_block_range(F.col("scope"))
     pointers = current_scopes(spark, hot_table).filter("row_count > 0")
-    last = pointers.groupBy(chain.alias("chain_id")).agg(F.max_by(F.struct("scope", "high"), first).alias("_last"))
-    last = last.select("chain_id", "_last.scope", "_last.high")
-    unknown = [row.scope for row in last.filter("high IS NULL").select("scope").collect()]
-    tips = last.filter("high IS NOT NULL").select("chain_id", F.col("high").alias("old_tip"))
-    if not unknown:
-        return tips
-    read = read_committed(spark, hot_table, unknown).groupBy("chain_id").agg(F.max("block_number").alias("old_tip"))
-    return tips.unionByName(read)
+    last = pointers.groupBy(chain.alias("chain_id")).agg(F.max_by(F.struct("scope", "high"), first).alias("last")).collect()
+    unknown = [row.last.scope for row in last if row.last.high is None]
+    tips = {row.chain_id: row.last.high for row in last}
+    if unknown:
+        read = read_committed(spark, hot_table, unknown).groupBy("chain_id").agg(F.max("block_number").alias("tip"))
+        tips |= {row.chain_id: row.tip for row in read.collect()}
+    return tips
 
 
 def apply_blocks(
@@ -107,60 +106,64 @@ def _commit_blocks(
 ) -> None:
     spark = rows.sparkSession
     # Scopes and the block range of one micro-batch; stored data is read for these only.
-    reach = observed.groupBy("partition_key").agg(F.min("block_number").alias("low"), F.max("block_number").alias("high")).collect()
+    low, high = F.min("block_number").alias("low"), F.max("block_number").alias("high")
+    reach = observed.groupBy("partition_key").agg(low, high).collect()
     names = [row.partition_key for row in reach]
-    first = not path_exists(spark, f"{hot_table}/commits")
-    if first:
-        stored = spark.createDataFrame([], rows.schema)
-        old_tips = spark.createDataFrame([], "chain_id bigint, old_tip bigint")
-    else:
-        low, high = min((row.low for row in reach), default=0), max((row.high for row in reach), default=-1)
-        stored = read_committed(spark, hot_table, names).filter(F.col("block_number").between(low, high))
+    if path_exists(spark, f"{hot_table}/commits"):
+        ends = F.lit(min((row.low for row in reach), default=0)), F.lit(max((row.high for row in reach), default=-1))
+        stored = read_committed(spark, hot_table, names).filter(F.col("block_number").between(*ends))
         old_tips = _stored_tips(spark, hot_table)
+    else:
+        stored, old_tips = spark.createDataFrame([], rows.schema), {}
     known = _latest(stored).select(*BLOCK, F.col("block_hash").alias("_hash"), F.struct("seen_at", "block_hash").alias("_seen"))
     outdated = (F.col("block_hash") != F.col("_hash")) & (F.struct("seen_at", "block_hash") < F.col("_seen"))
     changed = F.col("_hash").isNotNull() & (F.col("block_hash") != F.col("_hash"))
     news = rows.join(known, BLOCK, "left").filter(~F.coalesce(outdated, F.lit(False)))
     news = materialized(news.withColumn("_changed", changed).select(*rows.columns, "_changed"), "news")
     # The fork of a chain is its lowest block whose stored hash differs; everything stored
-    # from there to the old tip is orphaned, also in later scopes.
-    tips = news.groupBy("chain_id").agg(
-        F.max("block_number").alias("new_tip"),
-        F.min(F.when(F.col("_changed"), F.col("block_number"))).alias("fork_block"),
-        F.nullif(F.count_distinct(F.when(F.col("_changed"), F.col("block_number"))), F.lit(0)).alias("changed_blocks"),
+    # from there to the old tip is orphaned, also in later scopes. One row per changed scope.
+    differing = F.when(F.col("_changed"), F.col("block_number"))
+    changes = news.groupBy("chain_id", "partition_key").agg(
+        low, high, F.min(differing).alias("fork"), F.count_distinct(differing).alias("changed")
     )
-    notes = tips.join(old_tips, "chain_id", "left").withColumn("old_tip", F.when(F.col("fork_block").isNotNull(), F.col("old_tip")))
-    notes.select("chain_id", "new_tip", "fork_block", "old_tip", "changed_blocks").coalesce(1).write.mode("overwrite").parquet(pending)
-    reorgs = spark.read.schema(_REORG_SCHEMA).parquet(pending).filter("fork_block IS NOT NULL")
-    lows = news.groupBy("partition_key").agg(F.min("block_number").alias("low")).collect()
-    cuts = {row.partition_key: row.low for row in lows}
-    fresh, stored_cuts = news.drop("_changed"), {}
-    if not first:
-        for row in _orphaned(spark, hot_table, reorgs).collect():  # scope names on the old branches
-            cuts[row.partition_key] = min(row.cut_from, cuts.get(row.partition_key, row.cut_from))
-        pointers = current_scopes(spark, hot_table).filter(F.col("scope").isin(*cuts) & (F.col("row_count") > 0)) if cuts else None
-        known_high = {row.scope: row.high for row in pointers.select("scope", "high").collect()} if cuts else {}
-        stored_cuts = {n: cuts[n] for n, high in known_high.items() if high is None or high >= cuts[n]}
-    if stored_cuts:  # else all blocks are new ones at the end of their scopes
-        stored = read_committed(spark, hot_table, list(stored_cuts)).filter(F.col("block_number") >= min(stored_cuts.values()))
-        bounds = spark.createDataFrame(list(stored_cuts.items()), "partition_key string, _cut bigint")
+    changes = changes.collect()
+    notes = []
+    for chain in {row.chain_id for row in changes}:
+        mine = [row for row in changes if row.chain_id == chain]
+        fork = min((row.fork for row in mine if row.fork is not None), default=None)
+        found = (fork, old_tips.get(chain), sum(row.changed for row in mine)) if fork is not None else (None, None, None)
+        notes.append((chain, max(row.high for row in mine), *found))
+    reorgs = [(chain, fork, tip) for chain, _, fork, tip, _ in notes if fork is not None]
+    spark.createDataFrame(notes, _REORG_SCHEMA).coalesce(1).write.mode("overwrite").parquet(pending)
+    cuts = {row.partition_key: row.low for row in changes}
+    for row in _orphaned(spark, hot_table, reorgs):
+        cuts[row.partition_key] = min(row.cut_from, cuts.get(row.partition_key, row.cut_from))
+    states = scope_states(spark, hot_table, cuts)
+    fresh = news.drop("_changed")
+    met = {n: cuts[n] for n, row in states.items() if row.row_count and (row.high is None or row.high >= cuts[n])}
+    if met:  # else all blocks are new ones at the end of their scopes
+        stored = read_committed(spark, hot_table, list(met)).filter(F.col("block_number") >= min(met.values()))
+        bounds = spark.createDataFrame(list(met.items()), "partition_key string, _cut bigint")
         kept = stored.join(F.broadcast(bounds), "partition_key").filter(F.col("block_number") >= F.col("_cut"))
-        kept = kept.join(reorgs.select("chain_id", "fork_block", "old_tip"), "chain_id", "left")
-        on_old_branch = F.col("block_number").between(F.col("fork_block"), F.col("old_tip"))
-        kept = kept.filter(~F.coalesce(on_old_branch, F.lit(False))).select(*fresh.columns)
+        old = F.broadcast(spark.createDataFrame(reorgs, "chain_id bigint, _fork bigint, _tip bigint"))  # a row per chain
+        on_old_branch = F.col("block_number").between(F.col("_fork"), F.col("_tip"))
+        kept = kept.join(old, "chain_id", "left").filter(~F.coalesce(on_old_branch, F.lit(False))).select(*fresh.columns)
         fresh = hot_cold_union(fresh, kept, [*BLOCK, *row_key])
     # A batch of outdated rows only has no cuts: an empty commit keeps its replay short.
     extend_scopes(fresh, hot_table, cuts, "block_number", commit_id=commit_id)
 
 
-def _orphaned(spark, hot_table: str, reorgs: DataFrame) -> DataFrame:
+def _orphaned(spark, hot_table: str, reorgs: list[tuple[int, int, int]]) -> list:
     """``partition_key, cut_from`` of the stored scopes that a reorg reaches."""
+    if not reorgs:
+        return []
     chain, first, last = scope_block_range(F.col("scope"))
     stored = current_scopes(spark, hot_table).filter("row_count > 0")
     stored = stored.select(chain.alias("chain_id"), first.alias("_first"), last.alias("_last"), F.col("scope").alias("partition_key"))
-    reached = (F.col("_last") >= F.col("fork_block")) & (F.col("_first") <= F.col("old_tip"))
-    cut = F.greatest("_first", "fork_block").alias("cut_from")
-    return stored.join(reorgs, "chain_id").filter(reached).select("partition_key", cut)
+    forks = F.broadcast(spark.createDataFrame(reorgs, "chain_id bigint, _fork bigint, _tip bigint"))  # a row per chain
+    reached = (F.col("_last") >= F.col("_fork")) & (F.col("_first") <= F.col("_tip"))
+    cut = F.greatest("_first", "_fork").alias("cut_from")
+    return stored.join(forks, "chain_id").filter(reached).select("partition_key", cut).collect()
 
 
 def follow_blocks(

@@ -136,14 +136,16 @@ def read_jsonl_batches_query(spark, sf_dir):
 
 @query(
     "dead_letter_batches",
-    """SELECT event_id % 64 AS file, count(*) AS bad_lines FROM events WHERE event_id % 1009 = 1008 GROUP BY 1""",
+    """SELECT event_id % 64 AS file, count(*) AS bad_lines, min(CASE event_id // 1009 % 6 WHEN 1 THEN 'payload must be an object'
+  WHEN 2 THEN 'unknown field' WHEN 3 THEN 'wrong type' WHEN 4 THEN 'bad event_time' ELSE 'not json' END) AS error
+FROM events WHERE event_id % 1009 = 1008 GROUP BY 1""",
 )
 def dead_letter_batches(spark, sf_dir):
     root = scratch_path(spark, "jsonl")
     event_lines(spark, sf_dir).repartition(8, "file").write.partitionBy("file").text(root)
     _, rejected = read_jsonl_batches(spark, root)
     number = F.regexp_extract("file", r"/file=(\d+)/", 1).cast("bigint")
-    return rejected.select(number.alias("file"), "bad_lines")
+    return rejected.select(number.alias("file"), "bad_lines", "error")
 
 
 @query(
