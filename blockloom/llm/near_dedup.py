@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,7 @@ from blockloom.llm.components import connected_components
 from blockloom.session import broadcast_if_bounded, materialized
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
+ROWS_AT_ONCE = 256  # whose sets a task holds
 BLOCK = 256  # shingles hashed at once, so that a very long text needs no large matrix
 PAIRS = "a long, b long"
 PAIRED_BUCKET = 16  # larger buckets are compared block by block instead of pair by pair
@@ -193,14 +194,17 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 def _full_sets(docs, firsts, involved, id_column, text_column, words) -> DataFrame:
     """``id, value``: the sorted set of every representative in ``involved(id)``, as bytes."""
 
-    def as_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [shingle_set(text, words).tobytes() for text in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "n": [len(v) // 8 for v in values], "value": values})
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                values = [shingle_set(text.as_py(), words).tobytes() for text in part.column("text")]
+                sizes = pa.array([len(v) // 8 for v in values], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("id"), sizes, pa.array(values, pa.binary())], ["id", "n", "value"])
 
     involved = broadcast_if_bounded(materialized(involved.distinct(), "involved"))
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    sets = texts.join(involved, "id", "left_semi").mapInPandas(as_sets, "id long, n long, value binary")
+    sets = texts.join(involved, "id", "left_semi").mapInArrow(as_sets, "id long, n long, value binary")
     # Rows may repeat an id; the representative's own set is the one of its signature row.
     sets = sets.join(firsts.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n")), ["id", "n"])
     return materialized(sets.dropDuplicates(["id"]).select("id", "value"), "sets")
@@ -271,27 +275,30 @@ def _block_links(outside, current, docs, firsts, id_column, text_column, words,
 def _verified(pairs, docs, firsts, id_column, text_column, words, percent) -> DataFrame:
     """Pairs that hold on their signatures, within six deviations, and on their full sets."""
 
-    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = []
-            for one, two in zip(batch["sa"], batch["sb"]):
-                same = np.frombuffer(one, np.uint8) == np.frombuffer(two, np.uint8)
-                keep.append(same.mean() >= _least_agreement(percent, len(same)))
-            yield batch.loc[keep, ["a", "b"]]
+    def alike(one: np.ndarray, two: np.ndarray) -> bool:
+        return (one == two).mean() >= _least_agreement(percent, len(one))
 
-    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sides = zip(batch["va"], batch["vb"])
-            keep = [_holds(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in sides]
-            yield batch.loc[keep, ["a", "b"]]
+    def kept(first: str, second: str, kind: type, test: Callable[[np.ndarray, np.ndarray], bool]):
+        """Keeps the pairs whose two packed arrays pass; they are read where Arrow holds them."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sides = zip(batch.column(first), batch.column(second))
+                keep = [test(*(np.frombuffer(value.as_buffer(), kind) for value in pair)) for pair in sides]
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        return run
+
+    likely = kept("sa", "sb", np.uint8, alike)
+    exact = kept("va", "vb", np.uint64, lambda x, y: _holds(x, y, percent))
 
     sized = firsts.select("rep", "n_shingles", "signature")
     first, second = sized.toDF("a", "na", "sa"), sized.toDF("b", "nb", "sb")
     near_size = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     held = pairs.join(second, "b").join(first, "a").filter(near_size).select("a", "b", "sa", "sb")
-    held = materialized(held.mapInPandas(likely, PAIRS), "likely")
+    held = materialized(held.mapInArrow(likely, PAIRS), "likely")
     if held.isEmpty():
         return held
     sets = _full_sets(docs, firsts, held.select(F.explode(F.array("a", "b")).alias("id")), id_column, text_column, words)
     held = held.join(sets.toDF("b", "vb"), "b").join(sets.toDF("a", "va"), "a").select("a", "b", "va", "vb")
-    return held.mapInPandas(exact, PAIRS)
+    return held.mapInArrow(exact, PAIRS)
