@@ -70,9 +70,9 @@ def test_pipeline_is_registered_and_takes_an_empty_table(spark, folder):
     assert "pipeline" not in entry.oracle_sql()
 
 
-def test_ten_operators_are_registered():
+def test_all_operators_are_registered():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
 
 
 def test_tokenizer_files_are_read_in_place():
