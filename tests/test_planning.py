@@ -150,6 +150,23 @@ def test_aggregate_waits_for_full_ranges(spark):
     assert [tuple(r) for r in events.collect()] == [("s", "0-9", 0, 9)] and state.first().last_emitted_end == 10
 
 
+def test_events_of_long_leaps_are_dealt_by_their_blocks(spark):
+    """Streams that start anywhere, with few rows in one task: events come from many tasks, each range from few."""
+    starts = {f"s{n}": 37 * n - 50 for n in range(6)}
+    cursors = spark.createDataFrame([(k, 41_000 + 3 * n) for n, k in enumerate(starts)] + [("t", -7), ("t", 12_345)], "stream_key string, cursor bigint").coalesce(1)
+    state = spark.createDataFrame([*starts.items(), ("idle", 5)], "stream_key string, last_emitted_end bigint").coalesce(1)
+    events, after = rg.range_aggregate(cursors, 10, state)
+    rows = events.withColumn("task", F.spark_partition_id()).collect()
+    highest = {k: 41_000 + 3 * n for n, k in enumerate(starts)}
+    want = [(k, s, s + 9) for k, first in starts.items() for s in range(first, highest[k] + 1 - 9, 10)]
+    want += [("t", s, s + 9) for s in range(-10, 12_345 + 1 - 9, 10)]
+    assert sorted((r.stream_key, r.start, r.end) for r in rows) == sorted(want)
+    assert all(r.partition_key == f"{r.start}-{r.end}" for r in rows)
+    assert {r.stream_key: r.last_emitted_end for r in after.collect()} == {"idle": 5} | {k: max(e for s, _, e in want if s == k) + 1 for k in [*starts, "t"]}
+    places = {(r.task, r.start // 5120) for r in rows}
+    assert len({task for task, _ in places}) >= 4 and len(places) <= 9 + 8
+
+
 def test_long_ranges_split_without_long_arrays(spark):
     event = spark.createDataFrame([("0-45999999", None, None)], "partition_key string, start bigint, end bigint")
     parts = rg.range_split(event, 5000)
