@@ -23,6 +23,7 @@ EVENT_COLUMNS = [
     "tx_hash",
     "payload",
 ]
+OUT_ROWS = 10_000  # of a rule's frames that go out together, as many as Arrow batches have
 
 
 class InvalidRuleOutput(ValueError):
@@ -131,21 +132,46 @@ def sorted_group_rule(
     """``python_group_rule`` with the rows of a key in the order of ``order_within``."""
 
     def run(batches: Iterable) -> Iterable:
+        read = 0
+
         def pieces():
-            for batch in batches:
-                # One number per run of equal keys; the batch is sorted by them.
+            nonlocal read
+            for read, batch in enumerate(batches, 1):
+                # The batch is sorted by the keys; a piece begins where they change.
                 marks = batch[keys].ne(batch[keys].shift()) & ~(batch[keys].isna() & batch[keys].shift().isna())
-                for _, piece in batch.groupby(marks.any(axis=1).cumsum(), sort=False):
-                    first = piece[keys].iloc[0]
-                    yield tuple(None if missing else value for value, missing in zip(first, first.isna())), piece
-
-        for key, found in itertools.groupby(pieces(), key=lambda pair: pair[0]):
-            yield from function(key, (piece.reset_index(drop=True) for _, piece in found))
+                starts = marks.any(axis=1).to_numpy().nonzero()[0].tolist()
+                firsts = batch[keys].iloc[starts]
+                found = zip(*[[None if gone else value for value, gone in zip(firsts[k], firsts[k].isna())] for k in keys])
+                for start, end, key in zip(starts, [*starts[1:], len(batch)], found):
+                    yield key, batch.iloc[start:end].reset_index(drop=True)
+
+        def frames():
+            for key, found in itertools.groupby(pieces(), key=lambda pair: pair[0]):
+                yield from function(key, (piece for _, piece in found))
+
+        # Frames made of one batch go out as one: each that is sent costs far more than its rows.
+        # They may be views of the batch, so none is held while later ones are read.
+        held, rows, form = [], 0, None
+        for frame in frames():
+            own = read, frame.columns.tolist(), frame.dtypes.tolist()
+            if held and (own != form or rows >= OUT_ROWS or len(held) >= OUT_ROWS):
+                yield _joined(held)
+                held, rows = [], 0
+            held.append(frame)
+            rows, form = rows + len(frame), own
+        if held:
+            yield _joined(held)
 
     dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order_within)
     return dealt.mapInPandas(run, schema)
 
 
+def _joined(frames: list):
+    import pandas as pd
+
+    return frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+
+
 def event_error() -> Column:
     """Reason a typed event row is invalid, or null."""
     out = F.when(canonical_uuid("alert_definition_id").isNull(), "bad alert_definition_id")

@@ -118,13 +118,15 @@ def python_rule_query(spark, sf_dir):
 
 
 def _longest_run(key, pieces):
+    import numpy as np
     import pandas as pd
 
-    count, longest, last = 0, 0, None
+    count, longest, last = 0, 0, []
     for piece in pieces:
-        dates = piece["o_orderdate"]
-        pauses = [0 if last is None else (dates.iloc[0] - last).days, *dates.diff().dt.days.iloc[1:]]
-        count, longest, last = count + len(piece), max(longest, int(max(pauses))), dates.iloc[-1]
+        dates = piece["o_orderdate"].to_numpy()
+        steps = np.diff(np.concatenate([last, dates]) if count else dates)
+        pauses = steps[~np.isnat(steps)] // np.timedelta64(1, "D")
+        count, longest, last = count + len(dates), max([longest, *pauses.tolist()]), dates[-1:]
     yield pd.DataFrame({"o_custkey": [key[0]], "orders": [count], "longest_pause": [longest]})
 
 

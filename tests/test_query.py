@@ -257,6 +257,32 @@ def test_group_rule_streams_groups_of_any_size(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_small_frames_of_a_group_rule_go_out_together(spark):
+    """A batch of many keys leaves as few frames; frames of other types and of later batches stay apart."""
+    import itertools
+
+    import pandas as pd
+
+    class Rows:  # stands for the dealt and sorted DataFrame
+        def repartition(self, *keys):
+            return self
+
+        sortWithinPartitions = repartition
+
+        def mapInPandas(self, run, schema):
+            return run
+
+    def sizes(key, pieces):
+        n = sum(len(piece) for piece in pieces)
+        yield pd.DataFrame({"k": [key[0]], "n": [n if key[0] != 5 else None]})
+
+    batches = [pd.DataFrame({"k": [0, 0, 1, 2, 3]}), pd.DataFrame({"k": [3, 3, 4]}), pd.DataFrame({"k": [5, 6, 6]})]
+    frames = list(ur.python_group_rule(Rows(), ["k"], sizes, "k bigint, n bigint")(iter(batches)))
+    got = [[tuple(row) for row in frame.astype(object).itertuples(index=False)] for frame in frames]
+    assert list(itertools.chain(*got)) == [(0, 2), (1, 1), (2, 1), (3, 3), (4, 1), (5, None), (6, 2)]
+    assert len(frames) < 7 and len(frames[0]) == 3
+
+
 def test_audit_row(spark, alerts):
     result = run_query(alerts, "SELECT dedupe_key FROM dataset")
     row = audit_row(spark, result, "org", "ds", datetime.datetime(2025, 1, 1), task_id="t").first()
