@@ -166,7 +166,7 @@ def append_dedupe(
     index = KeyIndex(spark, target_path, keys)
     generation = index.prepare()
     first = first_rows(batch, keys, list(order_by))
-    first = materialized(first.withColumn("_key_hash", key_hash(keys)), "append")
+    first = materialized(first.withColumn("_key_hash", key_hash(keys)), "append", "zstd")
     bounds = [] if range_column is None else [F.min(range_column).alias("_from"), F.max(range_column).alias("_to")]
     own = F.col("_key_hash")
     ends = [F.count("*").alias("keys"), F.min(own).alias("low"), F.max(own).alias("high")]
@@ -182,7 +182,8 @@ def append_dedupe(
                 existing = existing.filter(F.col(range_column).between(F.lit(seen._from), F.lit(seen._to)))
             probe = first.select(*keys)
             probe = F.broadcast(probe) if is_bounded(probe) else probe
-            taken = existing.select(*keys).join(probe, keys, "left_semi")
-            fresh = materialized(first.join(taken, keys, "left_anti"), "fresh")
+            # Their keys alone are stored, and rows go to the table as they come from the join.
+            taken = materialized(existing.select(*keys).join(probe, keys, "left_semi"), "taken", "zstd")
+            fresh = first.join(taken, keys, "left_anti")
     index.add(fresh, generation, batch_id, seen[0])
     append_batch(fresh.drop("_key_hash"), target_path, batch_id)

@@ -28,7 +28,7 @@ def drained_in_waves(spark, df, wave, start):
     """
     path, schema = scratch_path(spark, "stream"), df.drop(wave).schema
     for value in [row[0] for row in df.select(wave).distinct().orderBy(wave).collect()]:
-        df.filter(F.col(wave) == value).drop(wave).write.mode("append").parquet(path)
+        df.filter(F.col(wave) == value).drop(wave).write.mode("append").parquet(path, compression="zstd")
         start(spark.readStream.schema(schema).parquet(path)).awaitTermination()
 
 

@@ -180,6 +180,23 @@ def test_equal_hashes_of_other_keys_do_not_drop_rows(spark, folder, monkeypatch)
     assert {r.k: r.v for r in read_appended(spark, folder).collect()} == {0: "x", 1: "y", 2: "y", 3: "y"}
 
 
+def test_rows_of_an_append_are_stored_once_beside_the_table(spark, folder, monkeypatch):
+    """Rows of a batch of which half are known: of the rest only keys are written again."""
+    names = []
+    kept = append.materialized
+
+    def noted(df, name, *options):
+        names.append((name, sorted(df.columns)))
+        return kept(df, name, *options)
+
+    monkeypatch.setattr(append, "materialized", noted)
+    append_dedupe(folder, keyed(spark, [(k, "old") for k in range(40)]), ["k"], ["v"], "b0")
+    append_dedupe(folder, keyed(spark, [(k, "new") for k in range(20, 60)] + [(50, "a copy"), (None, "x")]), ["k"], ["v"], "b1")
+    want = {k: "old" if k < 40 else "new" for k in range(60)} | {50: "a copy", None: "x"}
+    assert {r.k: r.v for r in read_appended(spark, folder).collect()} == want and read_appended(spark, folder).count() == 61
+    assert [columns for name, columns in names if "v" in columns] == [["_key_hash", "k", "v"]] * 2
+
+
 # Keyed streams
 
 
