@@ -139,7 +139,7 @@ def sorted_group_rule(
             for read, batch in enumerate(batches, 1):
                 # The batch is sorted by the keys; a piece begins where they change.
                 marks = batch[keys].ne(batch[keys].shift()) & ~(batch[keys].isna() & batch[keys].shift().isna())
-                starts = marks.any(axis=1).to_numpy().nonzero()[0].tolist()
+                starts = [0, *(marks.any(axis=1).to_numpy()[1:].nonzero()[0] + 1).tolist()] if len(batch) else []
                 firsts = batch[keys].iloc[starts]
                 found = zip(*[[None if gone else value for value, gone in zip(firsts[k], firsts[k].isna())] for k in keys])
                 for start, end, key in zip(starts, [*starts[1:], len(batch)], found):
