@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -73,8 +73,8 @@ def apply_blocks(
     spark = batch.sparkSession
     pending = f"{hot_table}/pending/{commit_id}"
     if not is_committed(spark, hot_table, commit_id):
-        rows = batch.join(_latest(batch).drop("seen_at"), [*BLOCK, "block_hash"], "left_semi")
-        rows = first_rows(rows, [*BLOCK, *row_key], [F.desc("seen_at")]).withColumn("partition_key", hot_scope(scope_size))
+        rows = first_rows(_of_latest(batch), [*BLOCK, *row_key], [F.desc("seen_at")])
+        rows = rows.withColumn("partition_key", hot_scope(scope_size))
         observed = batch.select("chain_id", "block_number", hot_scope(scope_size).alias("partition_key"))
         _commit_blocks(rows, commit_id, hot_table, pending, row_key, observed)
     reorgs = spark.read.schema(_REORG_SCHEMA).parquet(pending)
@@ -101,6 +101,17 @@ def _latest(rows: DataFrame) -> DataFrame:
     return newest.select(*BLOCK, "_newest.block_hash", "_newest.seen_at")
 
 
+def _of_latest(rows: DataFrame) -> DataFrame:
+    """Rows that carry the hash ``_latest`` gives their block; rows without a block or hash go.
+
+    One shuffle by block, which serves what is ranked or joined by block afterwards too.
+    """
+    newest_first = Window.partitionBy(*BLOCK).orderBy(F.desc("seen_at"), F.desc("block_hash"))
+    named = rows.filter(F.col("chain_id").isNotNull() & F.col("block_number").isNotNull())
+    judged = named.withColumn("_newest", F.first("block_hash").over(newest_first))
+    return judged.filter(F.col("block_hash") == F.col("_newest")).drop("_newest")
+
+
 def _commit_blocks(
     rows: DataFrame, commit_id: str, hot_table: str, pending: str, row_key: Sequence[str], observed: DataFrame
 ) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from blockloom.session import scratch_path
+from blockloom.session import materialized, scratch_path
 from blockloom.sinks.append import read_appended
 from blockloom.sinks.scopes import read_committed
 from blockloom.streaming.alerts import alert_evaluate, alert_evaluate_stream, alert_route_stream, dedupe_stream
@@ -89,6 +89,7 @@ def follow_logs_query(spark, sf_dir):
         F.col("l_orderkey").alias("block_number"), F.col("l_linenumber").alias("log_index"), F.col("l_partkey").alias("token")
     )
     rows = blocks.select("chain_id", "block_number", "block_hash").join(logs.distinct(), "block_number")
+    rows = materialized(rows, "logs", "zstd")  # every wave takes its rows from here
     top = blocks.agg(F.max("block_number")).first()[0]
     return read_committed(spark, _follow(spark, rows, top, ("log_index", "token"))[0]).drop("partition_key")
 

@@ -197,3 +197,23 @@ def test_delivery_outcomes(spark):
     assert got["retry"].next_attempt_at == T0 + datetime.timedelta(seconds=5) and len(got["retry"].error_message) == 1024
     assert got["ok"].provider_message_id == "m1" and got["ok"].delivered_at == T0
     assert {tuple(r) for r in delivery_outcomes(once, outcomes).collect()} == {tuple(r) for r in once.collect()}
+
+
+def test_rows_of_the_latest_hash_take_one_shuffle(spark):
+    """All rows with the newest hash of their block stay, those seen earlier too; then one per row key."""
+    import re
+
+    from blockloom.operators.windows import first_rows
+    from blockloom.streaming.follow import _of_latest
+
+    seen = [
+        (1, 5, "a", 1, 0), (1, 5, "b", 2, 0), (1, 5, "b", 1, 1), (1, 5, "b", 2, 1),  # b is newest, its row 1 came twice
+        (1, 6, "c", 3, 0), (1, 6, "d", 3, 0), (1, 7, "e", None, 0), (1, 7, "f", 1, 0),  # a tie; a null time is oldest
+        (1, 8, None, 9, 0), (1, 8, "g", 1, 0), (None, 9, "h", 1, 0), (1, None, "i", 1, 0),  # newest hash or block unknown
+    ]
+    rows = spark.createDataFrame(seen, "chain_id bigint, block_number bigint, block_hash string, seen_at int, log_index int")
+    kept = first_rows(_of_latest(rows), ["chain_id", "block_number", "log_index"], [F.desc("seen_at")])
+    got = sorted((r.block_number, r.block_hash, r.seen_at, r.log_index) for r in kept.collect())
+    assert got == [(5, "b", 2, 0), (5, "b", 2, 1), (6, "d", 3, 0), (7, "f", 1, 0)]
+    plan = kept._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1
