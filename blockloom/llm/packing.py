@@ -5,83 +5,93 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from blockloom.llm.pieces import parts_by_bytes
 from blockloom.session import materialized
 
-# str.split() splits at the characters with the Unicode property White_Space and at these.
-SPLIT_TOO = re.compile("[\x1c-\x1f]")
-# The code points with the Unicode property White_Space.
-WHITE_SPACE = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-NOT_SPACE = re.compile(f"[^{''.join(map(chr, WHITE_SPACE))}]+")
 # A mark alone after a letter and before white space is a token of its own either way.
-AFTER_LETTER = re.compile(r"(?<=[a-z])[.,](?=[ \n])")
+AFTER_LETTER = [(f" {mark}", re.compile(rf"{re.escape(mark)}(?<=[a-z].)(?=[ \n])")) for mark in ".,"]
 SPECIAL = "<|"
 END = b"\0\0\0\0"
 CACHED_WORDS = 800_000
 CACHED_LENGTH = 40
+TEXT_BYTES = 1 << 20  # of texts whose words a task holds at once
+NEW_WORDS = 1000  # of one call of the tokenizer
 SHARD_ITEMS = 40_000
 PIECE = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 )
 
 
+def lowered(text: str) -> str:
+    """The text with a-z for A-Z and marks apart from words. It has no special tokens, whose case matters."""
+    text = text.encode().lower().decode()
+    for apart, mark in AFTER_LETTER:
+        text = mark.sub(apart, text)
+    return text
+
+
 class WordIds:
     """Little-endian ids of words, each encoded once by a tokenizer that splits at white space.
 
     A tokenizer that drops white space and case encodes a text as it encodes its words, so
-    ids of a text are joined from those of its words. New words of letters are encoded in one
-    call and told apart by the tokens that end a word. The store starts anew when it is full.
+    ids of a text are joined from those of its words. Words are told apart and joined where
+    Arrow holds them; new ones are encoded together and told apart by the place where a token
+    starts. The store starts anew when it is full.
     """
 
-    def __init__(self, tokenizer_path: str, end_of_word: str = "</w>"):
+    def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        for token, number in self.tokenizer.get_vocab().items():
-            self.ends[number] = token.endswith(end_of_word)
         self.known: dict[str, bytes] = {}
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def learn(self, words: list[str]) -> None:
-        plain = [word for word in words if word.isalpha()]
-        ids = self.ids(" ".join(plain))
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(plain):  # letters that the tokenizer takes for something else
-            plain = stops = []
-        begin = 0
-        for word, stop in zip(plain, stops):
-            self.known[word] = ids[begin:stop].tobytes()
-            begin = stop
-        for word in words:
-            if word not in self.known:
-                self.known[word] = self.ids(word).tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        text = text or ""
-        if SPECIAL not in text:  # the case of special tokens matters
-            text = text.encode().lower().decode()
-            text = AFTER_LETTER.sub(r" \g<0>", text)
-        words = NOT_SPACE.findall(text) if SPLIT_TOO.search(text) else text.split()
+    def learned(self, words: list[str]) -> list[bytes]:
+        """Ids of each word."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4").tobytes()
+        tokens = np.fromiter((start for start, _ in found.offsets), np.int64, len(ids) // 4)
+        # A token may take the space before its word along.
+        spaces = np.fromiter(accumulate((len(word) + 1 for word in words), initial=-1), np.int64, len(words) + 1)
+        cuts = (4 * np.searchsorted(tokens, spaces)).tolist()
+        return [ids[begin:end] for begin, end in zip(cuts, cuts[1:])]
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each of these distinct words, from the store or learned."""
         if len(self.known) > CACHED_WORDS:
             self.known = {}
-        new = set(words).difference(self.known)
-        if new:
-            self.learn(sorted(new))
-        ids = b"".join(map(self.known.__getitem__, words))
-        for word in new:
-            if len(word) > CACHED_LENGTH:
-                del self.known[word]
-        return ids
+        found = list(map(self.known.get, words))
+        new = [place for place, ids in enumerate(found) if ids is None]
+        for at in range(0, len(new), NEW_WORDS):
+            places = new[at : at + NEW_WORDS]
+            for place, ids in zip(places, self.learned([words[place] for place in places])):
+                found[place] = ids
+                if len(words[place]) <= CACHED_LENGTH:
+                    self.known[words[place]] = ids
+        return found
+
+    def encode_all(self, texts: list[str | None]) -> pa.Array:
+        """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
+        whole = (text or "" for text in texts)
+        plain = pa.array([text if SPECIAL in text else lowered(text) for text in whole], pa.large_string())
+        # Other white space is left to the tokenizer, which finds it inside a word.
+        words = pc.ascii_split_whitespace(plain)
+        each = words.values.dictionary_encode()
+        ids = pa.array(self.ids(each.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        joined = pa.ListArray.from_arrays(words.offsets, ids.take(each.indices))
+        return pc.binary_join(joined, pa.scalar(b"", pa.large_binary()))
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of one text."""
+        return self.encode_all([text])[0].as_py()
 
 
 _STORES: dict[str, WordIds] = {}
@@ -100,14 +110,16 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_column:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = word_ids(tokenizer_path)
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = store.encode(text.as_py()) + END
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            columns = zip(*out) if out else [()] * len(PIECE)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, PIECE.types)], names=PIECE.names)
+            for part in parts_by_bytes(batch, "text", TEXT_BYTES):
+                out = []
+                encoded = store.encode_all(part.column("text").to_pylist())
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoded):
+                    ids = ids.as_py() + END
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        cut_ids = ids[at : at + 4 * capacity]
+                        out.append((doc_id, piece, at // 4, len(cut_ids) // 4, zlib.crc32(cut_ids)))
+                columns = [pa.array(v, t) for v, t in zip(zip(*out), PIECE.types)]
+                yield pa.RecordBatch.from_arrays(columns, names=PIECE.names)
 
     plain = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     return plain.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")

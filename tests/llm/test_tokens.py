@@ -17,7 +17,8 @@ from sentencepiece import sentencepiece_model_pb2 as proto
 from tokenizers import Tokenizer
 
 from blockloom.llm import order_minhash as omh
-from blockloom.llm.packing import pack, sum_of_squares, word_ids
+from blockloom.llm import packing
+from blockloom.llm.packing import WordIds, pack, sum_of_squares, word_ids
 from blockloom.llm.piece_model import CharacterMap, PieceModel
 from blockloom.llm import piece_model, pieces
 from blockloom.llm.pieces import decode_pieces, encode_and_decode, encode_pieces
@@ -117,6 +118,37 @@ def test_word_store_equals_the_tokenizer():
         assert np.frombuffer(store.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_are_learned_in_few_calls():
+    """Thousands of new words with digits and marks, which are no plain letters."""
+    store, calls = WordIds(WORDS), []
+    tokenizer = store.tokenizer
+
+    class Counted:
+        def encode(self, text, **options):
+            calls.append(text)
+            return tokenizer.encode(text, **options)
+
+    store.tokenizer = Counted()
+    text = " ".join(f"ab{n}$$$" for n in range(4000))
+    want = tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(store.encode(text), "<u4").tolist() == want
+    assert len(calls) <= 4
+    store.encode(text)
+    assert len(calls) <= 4
+
+
+def test_texts_of_one_call_and_a_small_store_change_nothing(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 200)
+    monkeypatch.setattr(packing, "NEW_WORDS", 7)
+    tokenizer, store = Tokenizer.from_file(WORDS), WordIds(WORDS)
+    texts = [*random_texts(800, 12, 60), None, "", " \n ", "a.,b, c.\n,d. e,", "\u0301x y\u0301. z"]
+    for _ in range(2):
+        got = store.encode_all(texts).to_pylist()
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [
+            tokenizer.encode(text or "", add_special_tokens=False).ids for text in texts
+        ]
+
+
 def check_packing(got, rows, capacity):
     tokenizer, want, places = Tokenizer.from_file(WORDS), [], {}
     for doc_id, text in rows:
