@@ -20,6 +20,9 @@ from blockloom.session import materialized
 # A mark alone after a letter and before white space is a token of its own either way.
 AFTER_LETTER = [(f" {mark}", re.compile(rf"{re.escape(mark)}(?<=[a-z].)(?=[ \n])")) for mark in ".,"]
 SPECIAL = "<|"
+# With some marks only one of both letters is one code point, so these are lowered after they are composed.
+# What is left out here are ranges without combining marks, as of quotes and ideographs.
+ONE_COMPOSED = re.compile("[HIJTWY][^\x00-\u02ff\u2000-\u20cf\u3400-\u9fff]")
 END = b"\0\0\0\0"
 CACHED_WORDS = 800_000
 CACHED_LENGTH = 40
@@ -32,7 +35,9 @@ PIECE = pa.schema(
 
 
 def lowered(text: str) -> str:
-    """The text with a-z for A-Z and marks apart from words. It has no special tokens, whose case matters."""
+    """The text with a-z for A-Z and marks apart from words, or as it is where its case matters."""
+    if SPECIAL in text or not text.isascii() and ONE_COMPOSED.search(text):
+        return text
     text = text.encode().lower().decode()
     for apart, mark in AFTER_LETTER:
         text = mark.sub(apart, text)
@@ -80,8 +85,7 @@ class WordIds:
 
     def encode_all(self, texts: list[str | None]) -> pa.Array:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        whole = (text or "" for text in texts)
-        plain = pa.array([text if SPECIAL in text else lowered(text) for text in whole], pa.large_string())
+        plain = pa.array([lowered(text or "") for text in texts], pa.large_string())
         # Other white space is left to the tokenizer, which finds it inside a word.
         words = pc.ascii_split_whitespace(plain)
         each = words.values.dictionary_encode()

@@ -142,6 +142,10 @@ def test_texts_of_one_call_and_a_small_store_change_nothing(monkeypatch):
     monkeypatch.setattr(packing, "NEW_WORDS", 7)
     tokenizer, store = Tokenizer.from_file(WORDS), WordIds(WORDS)
     texts = [*random_texts(800, 12, 60), None, "", " \n ", "a.,b, c.\n,d. e,", "\u0301x y\u0301. z"]
+    # Marks that are put in another order, and letters that become two.
+    rng = random.Random(8)
+    marks = ["\u0130", "\u031d", "\u0307", "\u0f0c", "a", "e", " ", "\u0328", "\u0345", "\u1e9b", "\U0001d15e", "!", "\u0958"]
+    texts += ["".join(rng.choice(marks) for _ in range(40)) for _ in range(300)]
     for _ in range(2):
         got = store.encode_all(texts).to_pylist()
         assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [
@@ -149,6 +153,14 @@ def test_texts_of_one_call_and_a_small_store_change_nothing(monkeypatch):
         ]
 
 
+def test_capitals_before_combining_marks():
+    """H with U+0331 stays two code points, h with it would become one; I with U+0307 is the other way round."""
+    tokenizer, store = Tokenizer.from_file(WORDS), WordIds(WORDS)
+    for text in ["H\u0331", "A T\u0308b.", "W\u030a", "Y\u030a", "J\u030c", "H\u0328\u0331", "I\u031d\u0307", "t\u0308 T"]:
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(store.encode(text), "<u4").tolist() == want
+
+
 def check_packing(got, rows, capacity):
     tokenizer, want, places = Tokenizer.from_file(WORDS), [], {}
     for doc_id, text in rows:
