@@ -167,6 +167,22 @@ def test_events_of_long_leaps_are_dealt_by_their_blocks(spark):
     assert len({task for task, _ in places}) >= 4 and len(places) <= 9 + 8
 
 
+def test_ranges_of_streams_that_are_alike_are_made_together(spark):
+    """More streams than one list holds, two without a name, some that start off the others' ranges."""
+    first = {n: 3 if n % 50 == 0 else 0 for n in range(300)}
+    seen = [(n, 12_000 + n % 7) for n in first] + [(None, 10_239)]
+    state = spark.createDataFrame([*first.items(), (None, 20)], "stream_key bigint, last_emitted_end bigint")
+    events, after = rg.range_aggregate(spark.createDataFrame(seen, "stream_key bigint, cursor bigint"), 10, state)
+    rows = events.withColumn("task", F.spark_partition_id()).collect()
+    want = [(n, s, s + 9) for n, low in first.items() for s in range(low, 12_000 + n % 7 + 1 - 9, 10)]
+    want += [(None, s, s + 9) for s in range(10_230, 10_240 - 9, 10)]
+    found = [(r.stream_key, r.start, r.end) for r in rows]
+    assert sorted(found, key=str) == sorted(want, key=str) and all(r.partition_key == f"{r.start}-{r.end}" for r in rows)
+    assert after.filter("stream_key IS NULL").count() == 2 and after.count() == 302
+    changes = sum((a.task, a.partition_key) != (b.task, b.partition_key) for a, b in zip(rows, rows[1:]))
+    assert changes < len(rows) / 5  # a range's rows lie together, so its text is made for many streams at once
+
+
 def test_long_ranges_split_without_long_arrays(spark):
     event = spark.createDataFrame([("0-45999999", None, None)], "partition_key string, start bigint, end bigint")
     parts = rg.range_split(event, 5000)
