@@ -241,6 +241,32 @@ def test_a_crash_between_events_and_state_repeats_the_events(spark, folder, monk
     assert [(s, e) for _, s, e, _ in events_of(spark, folder)] == [(20, 29), (30, 39), (40, 49)]
 
 
+def test_events_are_stored_as_differences(spark, folder):
+    """Numbers without dictionaries, whatever the key; the rows are those of the cursors."""
+    import pyarrow.parquet as pq
+
+    for name, schema in (("s", "string"), ("n", "bigint")):
+        keys = [f"s{n}" if name == "s" else n for n in range(40)]
+        frame = spark.createDataFrame([(k, 999 + n % 3) for n, k in enumerate(keys)] + [(k, 0) for k in keys], f"stream_key {schema}, cursor bigint")
+        apply_cursors(frame, "s-0", 10, f"{folder}/{name}/state", f"{folder}/{name}/events", buckets=3)
+        assert events_of(spark, f"{folder}/{name}") == sorted((k, 10 * i, 10 * i + 9, f"{10 * i}-{10 * i + 9}") for k in keys for i in range(100))
+        columns = {}
+        for file in glob.glob(f"{folder}/{name}/events/batch_id=s-0/*.parquet"):
+            group = pq.ParquetFile(file).metadata.row_group(0)
+            for i in range(group.num_columns):
+                columns.setdefault(group.column(i).path_in_schema, set()).update(group.column(i).encodings)
+        numbers = {"start", "end"} | ({"stream_key"} if name == "n" else set())
+        assert {c for c, used in columns.items() if "DELTA_BINARY_PACKED" in used and "RLE_DICTIONARY" not in used} == numbers
+
+
+def test_events_of_any_batch_name(spark, folder):
+    """Names that a folder cannot have as they are, and batches without events, are read like all others."""
+    for n, name in enumerate(["s-0", "a:b/c=%d-1", "s-2"]):
+        for state in ("state", "again"):  # as after a crash before the state is written
+            apply_cursors(cursors(spark, [(f"k{n}", 29 if n < 2 else 5)]), name, 10, f"{folder}/{state}{n}", f"{folder}/events")
+    assert [(k, s) for k, s, _, _ in events_of(spark, folder)] == [("k0", 20), ("k1", 20)]
+
+
 BLOCKS = "chain_id bigint, block_number bigint, block_time timestamp_ntz, at timestamp_ntz"
 
 
